@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 from tidemark.llm.language import op6_language_id
+from tidemark.llm.minhash import op5_minhash_dedup
 from tidemark.llm.urls import OP8_SQL, op8_url_filters
 
-QUERIES = {"op6_language_id": op6_language_id, "op8_url_filters": op8_url_filters}
+QUERIES = {
+    "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_language_id": op6_language_id,
+    "op8_url_filters": op8_url_filters,
+}
 ORACLE_SQL = {"op8_url_filters": OP8_SQL}
