@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.fingerprint import op7_fingerprints
 from tidemark.llm.language import op6_language_id
 from tidemark.llm.minhash import op5_minhash_dedup
 from tidemark.llm.urls import OP8_SQL, op8_url_filters
@@ -9,6 +10,7 @@ from tidemark.llm.urls import OP8_SQL, op8_url_filters
 QUERIES = {
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_language_id": op6_language_id,
+    "op7_fingerprints": op7_fingerprints,
     "op8_url_filters": op8_url_filters,
 }
 ORACLE_SQL = {"op8_url_filters": OP8_SQL}
