@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.llm.fingerprint import op7_fingerprints
 from tidemark.llm.language import op6_language_id
 from tidemark.llm.minhash import op5_minhash_dedup
+from tidemark.llm.tokens import op9_token_output
 from tidemark.llm.urls import OP8_SQL, op8_url_filters
 
 QUERIES = {
@@ -12,5 +13,6 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_fingerprints": op7_fingerprints,
     "op8_url_filters": op8_url_filters,
+    "op9_token_output": op9_token_output,
 }
 ORACLE_SQL = {"op8_url_filters": OP8_SQL}
