@@ -19,6 +19,8 @@ _FLIP = _RNG.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
 _TIMES = _RNG.integers(0, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _BAND = mix(_RNG.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64)) | np.uint64(1)
 _CHUNK = 1 << 15
+#: Bins of the screening sketch; each holds four bits of the least hash that falls into it.
+BINS = 512
 
 
 def min_max(value: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -51,8 +53,31 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return mix((mix(parts + np.uint64(1)) * _BAND[None]).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15))
 
 
+def sketch(value: np.ndarray, of: np.ndarray, runs: int) -> np.ndarray:
+    """One-permutation sketches of runs of ascending hashes: per bin 0 if empty, else 1 to 15; 16 bins a word."""
+    code = np.zeros((runs, BINS), np.uint8)
+    if len(value):
+        at = of * BINS + (value >> np.uint64(55)).astype(np.int64)
+        least = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        code.ravel()[at[least]] = 1 + (value[least] >> np.uint64(20)) % np.uint64(15)
+    return (code[:, ::2] | code[:, 1::2] << 4).view(np.int64)
+
+
+def _may_link(percent: int):
+    """Whether sketches of sets x and y allow the similarity: the bins that differ are at most what
+    is expected at the threshold and five standard deviations more."""
+    part, miss = percent / 100, 1 - percent / 100
+    union = (F.col("n") + F.col("n2")) / (1 + part)
+    filled = F.lit(BINS) * (1 - F.exp(-union / BINS))
+    spread = F.sqrt(F.lit(miss * part) * filled * (1.1 - filled / union))
+    differ = " + ".join(f"bit_count((z{i} | shiftright(z{i}, 1) | shiftright(z{i}, 2) | shiftright(z{i}, 3)) & 1229782938247303441L)" for i in range(BINS // 16))
+    for i in range(BINS // 16):
+        differ = differ.replace(f"z{i} ", f"(sketch[{i}] ^ sketch2[{i}]) ").replace(f"z{i},", f"sketch[{i}] ^ sketch2[{i}],")
+    return F.expr(differ) <= miss * filled + 5 * spread + 2
+
+
 def _signed(batches):
-    """Per document: id, set size, digest of the whole set, band keys."""
+    """Per document: id, set size, digest of the whole set, band keys, screening sketch."""
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         for lo, hi in slices(texts):
@@ -67,8 +92,12 @@ def _signed(batches):
             offsets = np.zeros(hi - lo + 1, np.int32)
             offsets[1:] = np.cumsum(np.where(sizes > 0, BANDS, 0))
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))],
-                names=["doc_id", "n_shingles", "digest", "keys"],
+                [
+                    ids.slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), pa.array(digest, pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())),
+                    pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * (BINS // 16)), pa.array(sketch(value, of, hi - lo).ravel())),
+                ],
+                names=["doc_id", "n_shingles", "digest", "keys", "sketch"],
             )
 
 
@@ -95,19 +124,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     Documents with equal sets form one class, represented by its smallest id. Representatives that
     share a band key and whose sizes allow a link are candidates, in two rounds: first each with the
     smallest of its bucket; then, only in buckets whose members are not yet all in one component,
-    each pair of members from different components. A link between members of one component cannot
-    change the result, so nothing is lost and no bucket is expanded into all its pairs.
-    At the threshold a pair shares none of the 24 bands of 5 values with probability below 1e-6.
+    pairs of members from different components, each at the least key it shares and only where
+    sketches of both sets allow a link. A link between members of one component cannot change the
+    result, so no bucket is expanded into all its pairs. At the threshold a pair shares none of the
+    24 bands of 5 values, or fails the sketch, with a probability of about 1e-6.
 
     Null and empty texts and texts without words have size 0 and are linked with nothing. Rows with
     a null id get a null component and are not kept. Rows that repeat an id keep one row each; the
     id stands for all of them. An empty table gives an empty table; other columns are ignored.
     """
     known = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = known.mapInArrow(_signed, "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>")
+    signed = known.mapInArrow(_signed, "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>, sketch array<bigint>")
     classes = cut(
         signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     )
     # A representative that only meets itself needs no candidates: lone keys go before anything is joined.
     keyed = classes.select("rep", "n", F.explode("keys").alias("key"))
@@ -121,11 +151,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     near = components(first).withColumnRenamed("node", "rep")
     placed = buckets.select("key", "rep", "n").join(near, "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left = cut(placed.join(mixed, "key"))
-    right = left.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
+    left = cut(placed.join(mixed, "key")).join(classes.select("rep", "keys", "sketch"), "rep")
+    right = left.select("key", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "root", "keys", "sketch")))
     cross = (
-        left.join(right, "key").where((F.col("root") != F.col("root2")) & (F.col("rep") < F.col("rep2")) & fits(F.col("n"), F.col("n2")))
-        .select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+        left.join(right, "key").where(
+            (F.col("root") != F.col("root2")) & (F.col("rep") < F.col("rep2")) & fits(F.col("n"), F.col("n2")) & _may_link(percent)
+            & (F.array_min(F.array_intersect("keys", "keys2")) == F.col("key"))
+        ).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).join(star, ["a", "b"], "left_anti")
     )
     links = first.union(confirm(known, cut(cross), percent))
     roots = components(links)
