@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.decontaminate import OP3_SQL, op3_decontaminate
 from tidemark.llm.fingerprint import op7_fingerprints
 from tidemark.llm.language import op6_language_id
 from tidemark.llm.lines import OP10_SQL, op10_line_dedup
@@ -11,10 +12,11 @@ from tidemark.llm.urls import OP8_SQL, op8_url_filters
 
 QUERIES = {
     "op10_line_dedup": op10_line_dedup,
+    "op3_decontaminate": op3_decontaminate,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_language_id": op6_language_id,
     "op7_fingerprints": op7_fingerprints,
     "op8_url_filters": op8_url_filters,
     "op9_token_output": op9_token_output,
 }
-ORACLE_SQL = {"op10_line_dedup": OP10_SQL, "op8_url_filters": OP8_SQL}
+ORACLE_SQL = {"op3_decontaminate": OP3_SQL, "op10_line_dedup": OP10_SQL, "op8_url_filters": OP8_SQL}

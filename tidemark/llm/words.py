@@ -12,6 +12,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_PUNCT = _SPACE.copy()
+_PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -33,20 +35,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of some texts (null: none).
+    """The words ``[^\\x20\\x09-\\x0D]+`` of some texts (null: none); with ``plain``, ASCII punctuation parts words too.
 
     ``start``, ``end``: byte offsets into ``data``; ``hash``: of the bytes; ``first``: for each text
     the index of its first word, with one more entry at the end.
     """
 
-    def __init__(self, texts: list[str | None], lower: bool = True):
+    def __init__(self, texts: list[str | None], lower: bool = True, plain: bool = False):
         raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
         self.data = b"\n".join(raw)
         if lower:
             self.data = self.data.lower()
         b = np.frombuffer(self.data, np.uint8)
         inside = np.zeros(len(b) + 2, np.int8)
-        inside[1:-1] = ~_SPACE[b]
+        inside[1:-1] = ~(_PUNCT if plain else _SPACE)[b]
         edge = np.diff(inside)
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         up, down = _powers(len(b) + 1)
