@@ -14,11 +14,16 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _PUNCT = _SPACE.copy()
 _PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+#: 1: an ASCII letter, 2: ASCII punctuation other than an apostrophe.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[[c for c in (*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)) if c != 0x27]] = 2
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
+        n = 1 << n.bit_length()
         for k, base in enumerate((_BASE, _INVERSE)):
             with np.errstate(over="ignore"):
                 _POWERS[k] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
@@ -36,12 +41,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of some texts (null: none); with ``plain``, ASCII punctuation parts words too.
+    With ``letters``, a word also ends between an ASCII letter and ASCII punctuation other than an apostrophe.
 
     ``start``, ``end``: byte offsets into ``data``; ``hash``: of the bytes; ``first``: for each text
     the index of its first word, with one more entry at the end.
     """
 
-    def __init__(self, texts: list[str | None], lower: bool = True, plain: bool = False):
+    def __init__(self, texts: list[str | None], lower: bool = True, plain: bool = False, letters: bool = False):
         raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
         self.data = b"\n".join(raw)
         if lower:
@@ -51,6 +57,10 @@ class Words:
         inside[1:-1] = ~(_PUNCT if plain else _SPACE)[b]
         edge = np.diff(inside)
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if letters and len(b):
+            kind = _KIND[b]
+            inner = np.flatnonzero(kind[1:] * kind[:-1] == 2) + 1
+            self.start, self.end = (np.sort(np.concatenate([x, inner])) for x in (self.start, self.end))
         up, down = _powers(len(b) + 1)
         total = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(_VALUE[b] * up[: len(b)], out=total[1:])
