@@ -13,126 +13,128 @@ FREQUENT, SLOTS = 32_768, 1 << 18
 HOT = 500
 
 
+#: The tokens of a line: distinct, lower case, parted by white space.
+_TOKENS = r"array_distinct(array_remove(split(translate(lower({}), '\u0009\u000d\u000c\u000b', '    '), ' '), ''))"
+_MASK = (1 << 40) - 1
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """Lines with at least ``least`` distinct tokens: ``doc, line, hs`` (the tokens' 64-bit hashes), ``n``."""
+    """Lines with at least ``least`` distinct tokens: ``doc, line, words, n, same`` (a hash of the line in lower case)."""
     return (
         docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-        .select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("line", "words"))
-        .select("doc", "line", F.expr(r"array_distinct(filter(split(lower(words), '[ \\t\\x0B\\f\\r]+'), w -> w <> ''))").alias("words"))
-        .select("doc", "line", F.expr("transform(words, w -> xxhash64(w))").alias("hs"), F.size("words").alias("n"))
-        .where(F.col("n") >= least)
+        .select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("line", "raw"))
+        .select("doc", "line", F.xxhash64(F.lower("raw")).alias("same"), F.expr(_TOKENS.format("raw")).alias("words"))
+        .withColumn("n", F.size("words")).where(F.col("n") >= least)
     )
 
 
-def _frequencies(lines: DataFrame) -> Column:
-    """Line counts of the frequent tokens, as a table by slot of the token's hash (0: not frequent).
+def _frequencies(docs: DataFrame, text_col: str) -> Column:
+    """Counts of the frequent tokens, as a table by slot of the token's hash (0: not frequent).
 
-    Every token is counted over all lines; the ``FREQUENT`` greatest counts reach the driver. A rare
+    Every token of every text is counted; the ``FREQUENT`` greatest counts reach the driver. A rare
     token in a frequent one's slot counts as frequent: that changes the order for every line alike.
     """
     top = (
-        lines.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("df"))
+        docs.select(F.explode(F.split(F.translate(F.lower(text_col), "\n\t\r\f\x0b", "     "), " ")).alias("w"))
+        .groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("df"))
         .where("df > 1").orderBy(F.desc("df"), "h").limit(FREQUENT).collect()
     )
     slots = [0] * SLOTS
     for r in top:
         i = r.h % SLOTS
-        slots[i] = max(slots[i], r.df)
+        slots[i] = max(slots[i], min(r.df, (1 << 22) - 1))
     return F.split(F.lit(",".join(map(str, slots))), ",").cast("array<bigint>")
 
 
-def _ordered(lines: DataFrame, slots: Column) -> DataFrame:
-    """``lines`` with tokens from rare to frequent (``t``: structs of count and hash), the set's id and two parity sketches."""
-    rank = F.transform("hs", lambda h: F.struct(F.element_at(slots, (F.pmod(h, F.lit(SLOTS)) + 1).cast("int")).alias("c"), h.alias("h")))
-    return lines.select("doc", "line", "n", F.sort_array(rank).alias("t")).select(
-        "doc", "line", "n", "t",
-        F.expr("xxhash64(transform(t, x -> x.h))").alias("set_id"),
-        F.expr("aggregate(t, 0L, (s, x) -> s ^ shiftleft(1L, cast(x.h & 63 as int)))").alias("s1"),
-        F.expr("if(n > 100, aggregate(t, 0L, (s, x) -> s ^ shiftleft(1L, cast((x.h >> 8) & 63 as int))), 0L)").alias("s2"),
-    )
-
-
-def _keys(ordered: DataFrame, percent: int) -> DataFrame:
-    """One row for each key of a line's prefix, and for each line with the same set the first only.
+def _keys(lines: DataFrame, slots: Column, percent: int) -> DataFrame:
+    """The keys of every line's prefix: ``key, doc, line, np, s1, s2``; of equal lines the first only.
 
-    Two sets that are alike have ``percent`` % of either in common, so their first common token is
-    among the first n - ceil(p n) + 1 of either, the second among one more, and the third among two
-    more. A rare token is a key; a frequent first common token is followed by frequent ones only,
-    and the three together are a key.
+    Tokens are ordered from rare to frequent, as values of count and hash. Two sets that are alike
+    have ``percent`` % of either in common, so their first common token is among the first
+    n - ceil(p n) + 1 of either, the second among one more, and the third among two more. A rare
+    token is a key; a frequent first common token is followed by frequent ones only, and the
+    three together are a key. ``np`` holds the set's size and the key's place; ``s1`` and ``s2``
+    are parity sketches of the set, the second for large sets only.
     """
+    rank = F.transform("hs", lambda h: F.shiftleft(F.element_at(slots, (F.pmod(h, F.lit(SLOTS)) + 1).cast("int")), 40).bitwiseOR(h.bitwiseAND(F.lit(_MASK))))
+    hot = f"{HOT} * {1 << 40}L"
     made = f"""
-        transform(sequence(1, k), i -> if(element_at(t, i).c <= {HOT},
-          array(named_struct('pos', i, 'key', element_at(t, i).h)),
-          flatten(transform(sequence(i + 1, k + 1), j -> transform(sequence(j + 1, k + 2),
-            l -> named_struct('pos', i, 'key', xxhash64(element_at(t, i).h, element_at(t, j).h, element_at(t, l).h)))))))
+        concat(
+          transform(filter(slice(t, 1, k), v -> v < {hot}), (v, i) -> named_struct('pos', i + 1, 'key', v)),
+          if(element_at(t, k) < {hot}, cast(array() as array<struct<pos: int, key: bigint>>),
+            flatten(flatten(transform(filter(sequence(1, k), i -> element_at(t, i) >= {hot}), i ->
+              transform(sequence(i + 1, k + 1), j -> transform(sequence(j + 1, k + 2),
+                l -> named_struct('pos', i, 'key', xxhash64(element_at(t, i), element_at(t, j), element_at(t, l))))))))))
     """
     return (
-        ordered.withColumn("k", F.expr(f"n - cast(({percent} * n + 99) div 100 as int) + 1"))
-        .select("set_id", "doc", "line", "n", "s1", "s2", F.explode(F.flatten(F.expr(made))).alias("e"))
-        .groupBy(F.col("e.key").alias("key"), "set_id")
-        .agg(F.min(F.struct("doc", "line")).alias("first"), F.min("e.pos").alias("pos"), F.min("n").alias("n"), F.min("s1").alias("s1"), F.min("s2").alias("s2"))
+        lines.select("doc", "line", "n", "same", F.expr("transform(words, w -> xxhash64(w))").alias("hs"))
+        .select("doc", "line", "n", "same", F.sort_array(rank).alias("t"))
+        .withColumn("k", F.expr(f"n - cast(({percent} * n + 99) div 100 as int) + 1"))
+        .select(
+            "doc", "line", "n", "same", F.expr(made).alias("keys"),
+            F.expr("aggregate(t, 0L, (s, x) -> s ^ shiftleft(1L, cast(x & 63 as int)))").alias("s1"),
+            F.expr("if(n > 100, aggregate(t, 0L, (s, x) -> s ^ shiftleft(1L, cast((x >> 8) & 63 as int))), 0L)").alias("s2"),
+        )
+        .groupBy("same").agg(F.min(F.struct("doc", "line", "n", "s1", "s2", "keys")).alias("x"))
+        .select("x.doc", "x.line", "x.n", "x.s1", "x.s2", F.explode("x.keys").alias("e"))
+        .select("e.key", "doc", "line", F.expr("shiftleft(cast(n as bigint), 32) | e.pos").alias("np"), "s1", "s2")
     )
 
 
-def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least: int = 5) -> tuple[DataFrame, DataFrame]:
-    """The lines by class of equal token sets, and the links between classes.
+def links(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """Pairs of lines that are alike, each the first of its equals: ``doc_a, line_a, doc_b, line_b``, the earlier first.
 
-    First ``lines(doc, line, set_id)``, second ``links(set_id, doc, line, earlier_id, earlier_doc,
-    earlier_line)``: pairs of different sets with Jaccard similarity of ``percent`` % or more, each
-    with the first line of its class; the earlier class comes first. Candidates share a prefix key
-    and pass the length filter, the positional filter and a parity sketch (its Hamming distance is
-    at most the size of the symmetric difference); their full sets are fetched and compared.
+    Candidates share a prefix key and pass the length filter, the positional filter and a parity
+    sketch (its Hamming distance is at most the size of the symmetric difference); their texts are
+    fetched and the full sets compared.
     """
-    spark = docs.sparkSession
-    lines = _lines(docs, id_col, text_col, least)
-    slots = _frequencies(lines)
-    ordered = _ordered(lines, slots)
-    keys = _keys(ordered, percent).repartition(partitions(spark), "key")
-    a, b = (keys.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("set_id", "first", "pos", "n", "s1", "s2"))) for x in "ab")
-    # overlap must reach p (na + nb) / (1 + p); what is left after the first common tokens bounds it
-    need = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
+    keys = _keys(lines, _frequencies(docs, text_col), percent).repartition(partitions(docs.sparkSession), "key")
+    a, b = (
+        keys.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("doc", "line", "np", "s1", "s2")))
+        .withColumn(f"n_{x}", F.expr(f"cast(np_{x} >> 32 as int)")).withColumn(f"pos_{x}", F.expr(f"cast(np_{x} & 4294967295 as int)"))
+        for x in "ab"
+    )
+    need = f"(({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent})"  # the overlap of sets that are alike
     candidates = cut(
-        a.join(b, "key").where(
-            F.expr("first_a < first_b and set_id_a <> set_id_b") & F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-            & (F.expr("1 + least(n_a - pos_a, n_b - pos_b)") >= need)
-            & (F.expr("bit_count(s1_a ^ s1_b)") <= F.col("n_a") + F.col("n_b") - 2 * need)
-            & (F.expr("if(n_a > 100 and n_b > 100, bit_count(s2_a ^ s2_b), 0)") <= F.col("n_a") + F.col("n_b") - 2 * need)
-        ).select("set_id_a", "first_a", "set_id_b", "first_b").distinct()
+        a.join(b, "key").where(F.expr(f"""
+            (doc_a < doc_b or doc_a = doc_b and line_a < line_b)
+            and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)
+            and 1 + least(n_a - pos_a, n_b - pos_b) >= {need}
+            and bit_count(s1_a ^ s1_b) <= n_a + n_b - 2 * {need}
+            and if(n_a > 100 and n_b > 100, bit_count(s2_a ^ s2_b), 0) <= n_a + n_b - 2 * {need}
+        """)).select("doc_a", "line_a", "doc_b", "line_b").distinct()
     )
     wanted = (
-        candidates.select("first_a.*").union(candidates.select("first_b.*")).distinct()
-        .groupBy("doc").agg(F.collect_list("line").alias("lines"))
+        candidates.select("doc_a", "line_a").union(candidates.select("doc_b", "line_b")).distinct()
+        .groupBy(F.col("doc_a").alias("doc")).agg(F.collect_list("line_a").alias("lines"))
     )
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc").select(
-        "doc", F.explode(F.expr(r"transform(lines, i -> struct(i as line, element_at(split(text, '\\n'), i + 1) as words))")).alias("x")
+    sets = (
+        docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc")
+        .select("doc", F.explode(F.expr(r"transform(lines, i -> struct(i as line, element_at(split(text, '\n'), i + 1) as raw))")).alias("x"))
+        .select("doc", "x.line", F.expr(_TOKENS.format("x.raw")).alias("words")).dropDuplicates(["doc", "line"])
+        .select("doc", "line", F.expr("transform(words, w -> xxhash64(w))").alias("hs"))
     )
-    sets = texts.select(
-        F.struct("doc", "x.line").alias("at"), F.expr(r"array_distinct(filter(split(lower(x.words), '[ \\t\\x0B\\f\\r]+'), w -> w <> ''))").alias("words")
-    ).dropDuplicates(["at"]).select("at", F.expr("transform(words, w -> xxhash64(w))").alias("hs"))
-    both = candidates.join(sets.toDF("first_a", "hs_a"), "first_a").join(sets.toDF("first_b", "hs_b"), "first_b")
+    both = candidates.join(sets.toDF("doc_a", "line_a", "hs_a"), ["doc_a", "line_a"]).join(sets.toDF("doc_b", "line_b", "hs_b"), ["doc_b", "line_b"])
     common = F.size(F.array_intersect("hs_a", "hs_b"))
-    links = both.where(100 * common >= percent * (F.size("hs_a") + F.size("hs_b") - common)).select(
-        F.col("set_id_b").alias("set_id"), "first_b.*", F.col("set_id_a").alias("earlier_id"),
-        F.col("first_a.doc").alias("earlier_doc"), F.col("first_a.line").alias("earlier_line"),
-    )
-    return ordered.select("doc", "line", "set_id"), links
+    return both.where(100 * common >= percent * (F.size("hs_a") + F.size("hs_b") - common)).select("doc_a", "line_a", "doc_b", "line_b")
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least: int = 5) -> DataFrame:
     """Per document with any: ``doc, removed``, the sorted numbers (from 0) of the lines that go.
 
     Lines are in order of id and number. A line of at least ``least`` distinct tokens (lower case,
-    split at white space) goes if any line before it has an equal set of tokens or one that is
-    alike by ``percent`` % of the union, whether that one stays or not. Sets are told apart by 64-bit
-    hashes of their tokens. Shorter lines stay. Null texts have no lines; documents without an id
-    keep all; rows that share an id count as one place, so they lose no line to each other.
+    parted by white space) goes if any line before it is equal in lower case or alike by ``percent`` %
+    of the union of their sets, whether that one stays or not. Equal lines are told by a
+    64-bit hash, and so are tokens. Shorter lines stay. Null texts have no lines; documents without
+    an id keep all; rows that share an id count as one place, so they lose no line to each other.
     """
-    lines, links = similar_lines(docs, id_col, text_col, percent, least)
-    later = links.select("set_id").distinct().withColumn("later", F.lit(True))
-    first = lines.groupBy("set_id").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"))
-    gone = first.join(later, "set_id", "left").where("n > 1 or later")
+    lines = _lines(docs, id_col, text_col, least)
+    places = cut(lines.select("doc", "line", "same"))
+    later = links(docs, lines, id_col, text_col, percent).select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line"), F.lit(True).alias("later")).distinct()
+    first = places.groupBy("same").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n")).select("same", "n", "first.*")
+    gone = first.join(later, ["doc", "line"], "left").where("n > 1 or later").select("same", "later", F.struct("doc", "line").alias("first"))
     return (
-        lines.join(gone, "set_id").where(F.expr("later or struct(doc, line) <> first"))
+        places.join(gone, "same").where(F.expr("later or struct(doc, line) <> first"))
         .select("doc", "line").distinct().groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("removed"))
     )
 
