@@ -7,6 +7,7 @@ from tidemark.llm.fingerprint import op7_fingerprints
 from tidemark.llm.language import op6_language_id
 from tidemark.llm.lines import OP10_SQL, op10_line_dedup
 from tidemark.llm.minhash import op5_minhash_dedup
+from tidemark.llm.passages import op2_substring_dedup
 from tidemark.llm.pieces import op1_sentencepiece
 from tidemark.llm.tokens import op9_token_output
 from tidemark.llm.urls import OP8_SQL, op8_url_filters
@@ -14,6 +15,7 @@ from tidemark.llm.urls import OP8_SQL, op8_url_filters
 QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_language_id": op6_language_id,
