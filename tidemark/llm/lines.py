@@ -13,18 +13,18 @@ FREQUENT, SLOTS = 32_768, 1 << 18
 HOT = 500
 
 
-#: The tokens of a line: distinct, lower case, parted by white space.
-_TOKENS = r"array_distinct(array_remove(split(translate(lower({}), '\u0009\u000d\u000c\u000b', '    '), ' '), ''))"
+#: The tokens of a line: lower case, parted by white space.
+_TOKENS = r"array_remove(split(translate(lower({}), '\u0009\u000d\u000c\u000b', '    '), ' '), '')"
 _MASK = (1 << 40) - 1
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """Lines with at least ``least`` distinct tokens: ``doc, line, words, n, same`` (a hash of the line in lower case)."""
+    """Lines of at least ``least`` tokens: ``doc, line, words, same`` (a hash of the line in lower case)."""
     return (
         docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
         .select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("line", "raw"))
         .select("doc", "line", F.xxhash64(F.lower("raw")).alias("same"), F.expr(_TOKENS.format("raw")).alias("words"))
-        .withColumn("n", F.size("words")).where(F.col("n") >= least)
+        .where(F.size("words") >= least)
     )
 
 
@@ -36,13 +36,12 @@ def _frequencies(docs: DataFrame, text_col: str) -> Column:
     """
     top = (
         docs.select(F.explode(F.split(F.translate(F.lower(text_col), "\n\t\r\f\x0b", "     "), " ")).alias("w"))
-        .groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("df"))
+        .groupBy(F.xxhash64("w").alias("h"), F.pmod(F.hash("w"), F.lit(SLOTS)).alias("slot")).agg(F.count("*").alias("df"))
         .where("df > 1").orderBy(F.desc("df"), "h").limit(FREQUENT).collect()
     )
     slots = [0] * SLOTS
     for r in top:
-        i = r.h % SLOTS
-        slots[i] = max(slots[i], min(r.df, (1 << 22) - 1))
+        slots[r.slot] = max(slots[r.slot], min(r.df, (1 << 22) - 1))
     return F.split(F.lit(",".join(map(str, slots))), ",").cast("array<bigint>")
 
 
@@ -53,22 +52,21 @@ def _keys(lines: DataFrame, slots: Column, percent: int) -> DataFrame:
     have ``percent`` % of either in common, so their first common token is among the first
     n - ceil(p n) + 1 of either, the second among one more, and the third among two more. A rare
     token is a key; a frequent first common token is followed by frequent ones only, and the
-    three together are a key. ``np`` holds the set's size and the key's place; ``s1`` and ``s2``
+    three together are a key. Sets of one or two tokens are alike only if equal. ``np`` holds the set's size and the key's place; ``s1`` and ``s2``
     are parity sketches of the set, the second for large sets only.
     """
-    rank = F.transform("hs", lambda h: F.shiftleft(F.element_at(slots, (F.pmod(h, F.lit(SLOTS)) + 1).cast("int")), 40).bitwiseOR(h.bitwiseAND(F.lit(_MASK))))
+    rank = F.transform("words", lambda w: F.shiftleft(F.element_at(slots, F.pmod(F.hash(w), F.lit(SLOTS)) + 1), 40).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(_MASK))))
     hot = f"{HOT} * {1 << 40}L"
     made = f"""
-        concat(
+        if(n < 3, array(named_struct('pos', 1, 'key', xxhash64(t))), concat(
           transform(filter(slice(t, 1, k), v -> v < {hot}), (v, i) -> named_struct('pos', i + 1, 'key', v)),
           if(element_at(t, k) < {hot}, cast(array() as array<struct<pos: int, key: bigint>>),
             flatten(flatten(transform(filter(sequence(1, k), i -> element_at(t, i) >= {hot}), i ->
               transform(sequence(i + 1, k + 1), j -> transform(sequence(j + 1, k + 2),
-                l -> named_struct('pos', i, 'key', xxhash64(element_at(t, i), element_at(t, j), element_at(t, l))))))))))
+                l -> named_struct('pos', i, 'key', xxhash64(element_at(t, i), element_at(t, j), element_at(t, l)))))))))))
     """
     return (
-        lines.select("doc", "line", "n", "same", F.expr("transform(words, w -> xxhash64(w))").alias("hs"))
-        .select("doc", "line", "n", "same", F.sort_array(rank).alias("t"))
+        lines.select("doc", "line", "same", F.sort_array(F.array_distinct(rank)).alias("t")).withColumn("n", F.size("t"))
         .withColumn("k", F.expr(f"n - cast(({percent} * n + 99) div 100 as int) + 1"))
         .select(
             "doc", "line", "n", "same", F.expr(made).alias("keys"),
@@ -112,8 +110,9 @@ def links(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, percent
         docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc")
         .select("doc", F.explode(F.expr(r"transform(lines, i -> struct(i as line, element_at(split(text, '\n'), i + 1) as raw))")).alias("x"))
         .select("doc", "x.line", F.expr(_TOKENS.format("x.raw")).alias("words")).dropDuplicates(["doc", "line"])
-        .select("doc", "line", F.expr("transform(words, w -> xxhash64(w))").alias("hs"))
+        .select("doc", "line", F.expr("array_distinct(transform(words, w -> xxhash64(w)))").alias("hs"))
     )
+    sets = cut(sets)
     both = candidates.join(sets.toDF("doc_a", "line_a", "hs_a"), ["doc_a", "line_a"]).join(sets.toDF("doc_b", "line_b", "hs_b"), ["doc_b", "line_b"])
     common = F.size(F.array_intersect("hs_a", "hs_b"))
     return both.where(100 * common >= percent * (F.size("hs_a") + F.size("hs_b") - common)).select("doc_a", "line_a", "doc_b", "line_b")
@@ -122,9 +121,9 @@ def links(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, percent
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least: int = 5) -> DataFrame:
     """Per document with any: ``doc, removed``, the sorted numbers (from 0) of the lines that go.
 
-    Lines are in order of id and number. A line of at least ``least`` distinct tokens (lower case,
-    parted by white space) goes if any line before it is equal in lower case or alike by ``percent`` %
-    of the union of their sets, whether that one stays or not. Equal lines are told by a
+    Lines are in order of id and number. A line of at least ``least`` tokens (lower case, parted
+    by white space) goes if any such line before it is equal in lower case or alike by ``percent`` %
+    of the union of their token sets, whether that one stays or not. Equal lines are told by a
     64-bit hash, and so are tokens. Shorter lines stay. Null texts have no lines; documents without
     an id keep all; rows that share an id count as one place, so they lose no line to each other.
     """
@@ -169,8 +168,8 @@ OP10_SQL = r"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS words FROM documents),
 toks AS (
-  SELECT doc_id, line, list_sort(list_distinct(list_filter(string_split_regex(lower(words), '[ \t\x0B\f\r]+'), lambda w: w <> ''))) AS t FROM lines),
-fit AS (SELECT * FROM toks WHERE len(t) >= 5),
+  SELECT doc_id, line, list_filter(string_split_regex(lower(words), '[ \t\x0B\f\r]+'), lambda w: w <> '') AS w FROM lines),
+fit AS (SELECT doc_id, line, list_sort(list_distinct(w)) AS t FROM toks WHERE len(w) >= 5),
 cls AS (SELECT t, min({'doc': doc_id, 'line': line}) AS first, row_number() OVER () AS id FROM fit GROUP BY t),
 words AS (SELECT id, first, t, len(t) AS n, unnest(t) AS w FROM cls),
 freq AS (SELECT w, count(*) AS df FROM words GROUP BY w),
