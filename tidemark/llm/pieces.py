@@ -163,7 +163,7 @@ def _words(batches):
             yield pa.RecordBatch.from_arrays([pa.array([at] * len(part), pa.int32()), pa.array(range(a, a + len(part)), pa.int32()), pa.array(part, pa.string())], names=["block", "number", "word"])
 
     for batch in batches:
-        for block, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1).to_pylist()), strict=True):
+        for block, text in zip(batch.column(0).to_pylist(), _texts(batch.column(2).to_pylist()), strict=True):
             if block != at:
                 yield from flush()
                 at, seen = block, set()
@@ -240,9 +240,11 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     chars = known.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
     parts = partitions(spark)
     packed = known.mapInArrow(_pack(-(-chars // block_chars) or 1), f"block int, id {kind}, packed binary").repartition(parts, "block")
-    refs = packed.select("block", "packed").sortWithinPartitions("block").mapInArrow(_words, "block int, number int, word string").repartition(parts, "word")
+    # both uses of the dealt texts, and both of the dealt words, read all columns, so that each exchange is written once
+    refs = packed.sortWithinPartitions("block").mapInArrow(_words, "block int, number int, word string").repartition(parts, "word")
     longest = max(len(model.id_to_piece(i)) for i in range(model.get_piece_size()) if not model.is_byte(i) and not model.is_control(i))
-    graph = lattice(refs.select("word").distinct(), piece_table(spark, path), longest)
+    distinct = refs.groupBy("word").agg(F.min("block").alias("block"), F.min("number").alias("number")).where("block >= 0 and number >= 0").select("word")
+    graph = lattice(distinct, piece_table(spark, path), longest)
     merges = model_type(path) == 2
     encoded = (fold_merges if merges else fold_viterbi)(graph)
     filled = refs.join(encoded, "word").select("block", "number", "ids")
