@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.llm.decontaminate import OP3_SQL, op3_decontaminate
 from tidemark.llm.fingerprint import op7_fingerprints
 from tidemark.llm.language import op6_language_id
+from tidemark.llm.licenses import OP4_SQL, op4_license_scan
 from tidemark.llm.lines import OP10_SQL, op10_line_dedup
 from tidemark.llm.minhash import op5_minhash_dedup
 from tidemark.llm.passages import op2_substring_dedup
@@ -17,10 +18,11 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op4_license_scan": op4_license_scan,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_language_id": op6_language_id,
     "op7_fingerprints": op7_fingerprints,
     "op8_url_filters": op8_url_filters,
     "op9_token_output": op9_token_output,
 }
-ORACLE_SQL = {"op3_decontaminate": OP3_SQL, "op10_line_dedup": OP10_SQL, "op8_url_filters": OP8_SQL}
+ORACLE_SQL = {"op4_license_scan": OP4_SQL, "op3_decontaminate": OP3_SQL, "op10_line_dedup": OP10_SQL, "op8_url_filters": OP8_SQL}
