@@ -28,10 +28,12 @@ TEMPLATES = (
 )
 #: Names of licence files.
 LICENSE_FILE = r"(?i)^(licen[sc]e|copying|unlicense|notice)([-_.].*)?$"
+#: Words that carry no weight.
+STOP = "a all and any are as at by can for from in into is it may not of on or provided that the this to under with without you".split()
 
 
 def terms(text: str) -> list[str]:
-    return re.findall(r"[a-z0-9]+", text.lower())
+    return [t for t in re.findall(r"[a-z0-9]+", text.lower()) if t not in STOP]
 
 
 def weights(templates=TEMPLATES) -> tuple[dict[str, float], list[tuple[str, dict[str, float]]]]:
@@ -62,6 +64,11 @@ def anchors(unit: list[tuple[str, dict[str, float]]], least: float) -> list[str]
     return sorted(out)
 
 
+def clue(unit: list[tuple[str, dict[str, float]]], least: float) -> str:
+    """An expression that finds an anchor term."""
+    return r"(?i)(?<![a-z0-9])(?:" + "|".join(anchors(unit, least)) + r")(?![a-z0-9])"
+
+
 def matches(texts: DataFrame, templates=TEMPLATES, least: float = 0.7) -> DataFrame:
     """The best template of each text: ``key, license, cosine``, where the cosine is ``least`` or more.
 
@@ -72,9 +79,9 @@ def matches(texts: DataFrame, templates=TEMPLATES, least: float = 0.7) -> DataFr
     spark = texts.sparkSession
     idf, unit = weights(templates)
     rare = math.log(1 + len(unit)) + 1
-    words = "filter(split(lower(text), '[^a-z0-9]+'), t -> t <> '')"
+    words = f"filter(split(lower(text), '[^a-z0-9]+'), t -> t <> '' and t not in ({', '.join(map(repr, STOP))}))"
     found = (
-        texts.where(F.col("text").rlike(r"(?i)(?<![a-zA-Z0-9])(" + "|".join(anchors(unit, least)) + r")(?![a-zA-Z0-9])"))
+        texts.where(F.col("text").rlike(clue(unit, least)))
         .select("key", F.explode(F.expr(words)).alias("term")).groupBy("key", "term").agg(F.count("*").alias("n"))
     )
     known = spark.createDataFrame([(t, w) for t, w in idf.items()], "term string, idf double")
@@ -118,9 +125,12 @@ def scan(files: DataFrame, templates=TEMPLATES, least: float = 0.7, share: float
     key = F.struct(F.col("id").alias("id"), F.col("path").alias("path"))
     named = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(LICENSE_FILE), F.lit(False))
     words = lambda c: F.size(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != ""))
-    clue = F.col("text").rlike(r"(?i)(" + "|".join(anchors(weights(templates)[1], least)) + ")")
-    candidates = known.where(clue)
-    lines = candidates.select(key.alias("file"), named.alias("named"), words(F.col("text")).alias("size"), F.explode(F.when(named, F.array("text")).otherwise(F.split("text", "\n"))).alias("text"))
+    hint = F.col("text").rlike(clue(weights(templates)[1], least))
+    lines = (
+        known.where(hint)
+        .select(key.alias("file"), named.alias("named"), words(F.col("text")).alias("size"), F.explode(F.when(named, F.array("text")).otherwise(F.split("text", "\n"))).alias("text"))
+        .where(hint)
+    )
     distinct = lines.select(F.col("text").alias("key"), "text").distinct()
     best = matches(distinct, templates, least).withColumnRenamed("key", "text")
     hits = lines.join(best, "text").withColumn("part", words(F.col("text")))
@@ -169,7 +179,7 @@ WITH v(template, license, term, weight) AS (VALUES {vector}), k(term, idf) AS (V
 files AS (SELECT doc_id, concat_ws('/', source, (doc_id // 100)::VARCHAR, doc_id::VARCHAR) AS path, concat_ws('/', source, (doc_id // 100)::VARCHAR) AS dir, source, text FROM documents),
 lines AS (SELECT doc_id, path, dir, source, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS size, unnest(string_split(text, chr(10))) AS line FROM files),
 texts AS (SELECT DISTINCT line FROM lines),
-words AS (SELECT line, term, count(*) AS n FROM (SELECT line, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM texts) GROUP BY ALL),
+words AS (SELECT line, term, count(*) AS n FROM (SELECT line, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM texts) WHERE term NOT IN ({", ".join(map(repr, STOP))}) GROUP BY ALL),
 w AS (SELECT line, words.term, n * coalesce(idf, {rare!r}::DOUBLE) AS w FROM words LEFT JOIN k USING (term)),
 norm AS (SELECT line, sqrt(sum(w * w)) AS norm FROM w GROUP BY line),
 dots AS (SELECT line, template, license, sum(w * weight) AS dot FROM w JOIN v USING (term) GROUP BY ALL),
