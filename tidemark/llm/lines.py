@@ -87,20 +87,18 @@ def links(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, percent
     fetched and the full sets compared.
     """
     keys = _keys(lines, _frequencies(docs, text_col), percent).repartition(partitions(docs.sparkSession), "key")
-    a, b = (
-        keys.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("doc", "line", "np", "s1", "s2")))
-        .withColumn(f"n_{x}", F.expr(f"cast(np_{x} >> 32 as int)")).withColumn(f"pos_{x}", F.expr(f"cast(np_{x} & 4294967295 as int)"))
-        for x in "ab"
-    )
-    need = f"(({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent})"  # the overlap of sets that are alike
+    # both sides are the dealt keys as they are, so that their exchange is written once
+    n, pos = (lambda x: f"cast({x}.np >> 32 as int)"), (lambda x: f"cast({x}.np & 4294967295 as int)")
+    total = f"({n('a')} + {n('b')})"
+    need = f"(({percent} * {total} + {99 + percent}) div {100 + percent})"  # the overlap of sets that are alike
     candidates = cut(
-        a.join(b, "key").where(F.expr(f"""
-            (doc_a < doc_b or doc_a = doc_b and line_a < line_b)
-            and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)
-            and 1 + least(n_a - pos_a, n_b - pos_b) >= {need}
-            and bit_count(s1_a ^ s1_b) <= n_a + n_b - 2 * {need}
-            and if(n_a > 100 and n_b > 100, bit_count(s2_a ^ s2_b), 0) <= n_a + n_b - 2 * {need}
-        """)).select("doc_a", "line_a", "doc_b", "line_b").distinct()
+        keys.alias("a").join(keys.alias("b"), F.expr(f"""
+            a.key = b.key and (a.doc < b.doc or a.doc = b.doc and a.line < b.line)
+            and 100 * least({n('a')}, {n('b')}) >= {percent} * greatest({n('a')}, {n('b')})
+            and 1 + least({n('a')} - {pos('a')}, {n('b')} - {pos('b')}) >= {need}
+            and bit_count(a.s1 ^ b.s1) <= {total} - 2 * {need}
+            and if({n('a')} > 100 and {n('b')} > 100, bit_count(a.s2 ^ b.s2), 0) <= {total} - 2 * {need}
+        """)).selectExpr("a.doc as doc_a", "a.line as line_a", "b.doc as doc_b", "b.line as line_b").distinct()
     )
     wanted = (
         candidates.select("doc_a", "line_a").union(candidates.select("doc_b", "line_b")).distinct()
