@@ -2,5 +2,480 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark import fixtures as fx
+from tidemark.fixtures import T0, over_views
+from tidemark.functions import htmlx, text
+from tidemark.operators import store
+from tidemark.plans import poll, search
+from tidemark.sources import feeds, opml
+from tidemark.tables import table
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+DAY = 86400
+MID = T0 + 5000
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query and its SQL over the tables and the fixture views."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = over_views(sql)
+        return f
+
+    return add
+
+
+# --- full-text search
+
+_WORDS = r"list_filter(string_split_regex(translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+TERMS = ["thand", "eau", "ungen", "there"]
+_BM25 = rf"""WITH w AS (SELECT id AS item_id, unnest({_WORDS.format("content_text")}) AS term FROM v_items),
+  c AS (SELECT item_id, term, count(*) AS tf FROM w GROUP BY ALL), l AS (SELECT item_id, count(*) AS len FROM w GROUP BY ALL),
+  s AS (SELECT count(*) AS n, avg(len) AS mean FROM l), h AS (SELECT * FROM c WHERE term IN ('thand', 'eau', 'ungen', 'there')),
+  d AS (SELECT term, count(*) AS df FROM h GROUP BY term),
+  r AS (SELECT item_id, round(-sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
+        FROM h JOIN d USING (term) JOIN l USING (item_id), s GROUP BY item_id)
+  """
+
+
+def _text_postings(spark, sf, stemmer=None):
+    return search.postings(fx.items(spark, sf), ("content_text",), stemmer=stemmer)
+
+
+def _all_postings(spark, sf):
+    return search.postings(fx.items(spark, sf))
+
+
+@query("search_bm25", _BM25 + "SELECT item_id, score FROM r")
+def search_bm25(spark: SparkSession, sf: str) -> DataFrame:
+    scored = search.bm25(*search.index(_text_postings(spark, sf)), TERMS)
+    return scored.select("item_id", F.round("score", 6).alias("score"))
+
+
+@query("search_topk", _BM25 + "SELECT item_id, score, title, url FROM (SELECT * FROM r ORDER BY score, item_id LIMIT 50) JOIN v_items ON id = item_id")
+def search_topk(spark, sf):
+    best = search.top(search_bm25(spark, sf), 50)
+    return best.join(fx.items(spark, sf).select(F.col("id").alias("item_id"), "title", "url"), "item_id").select("item_id", "score", "title", "url")
+
+
+_POSTED = "WITH p AS (" + " UNION ALL ".join(
+    rf"SELECT id AS item_id, '{c}' AS col, generate_subscripts({_WORDS.format(c)}, 1) AS place, unnest({_WORDS.format(c)}) AS term FROM v_items" for c in ("title", "author", "content_text")
+) + ") "
+_HAS = "SELECT DISTINCT item_id FROM p WHERE term = '{}'"
+
+
+@query("search_boolean", _POSTED + f"({_HAS.format('the')} INTERSECT ({_HAS.format('thand')} UNION {_HAS.format('onthe')})) EXCEPT {_HAS.format('eau')}")
+def search_boolean(spark, sf):
+    p = _all_postings(spark, sf)
+    return search.but_not(search.all_of(search.has_term(p, "the"), search.any_of(search.has_term(p, "thand"), search.has_term(p, "onthe"))), search.has_term(p, "eau"))
+
+
+@query("search_phrase", _POSTED + "SELECT DISTINCT a.item_id FROM p a JOIN p b ON a.item_id = b.item_id AND a.col = b.col AND b.place = a.place + 1 WHERE a.term = 'of' AND b.term = 'the'")
+def search_phrase(spark, sf):
+    return search.has_phrase(_all_postings(spark, sf), ["of", "the"])
+
+
+@query("search_initial", _POSTED + "SELECT DISTINCT item_id FROM p WHERE term = 'the' AND place = 1")
+def search_initial(spark, sf):
+    return search.has_phrase(_all_postings(spark, sf), ["the"], at_start=True)
+
+
+@query("search_near", _POSTED + "SELECT DISTINCT a.item_id FROM p a JOIN p b ON a.item_id = b.item_id AND a.col = b.col AND a.place <> b.place AND abs(a.place - b.place) - 1 <= 3 WHERE a.term = 'thand' AND b.term = 'of'")
+def search_near(spark, sf):
+    return search.has_near(_all_postings(spark, sf), "thand", "of", 3)
+
+
+@query("search_prefix", _POSTED + "SELECT DISTINCT item_id FROM p WHERE starts_with(term, 'onthe')")
+def search_prefix(spark, sf):
+    return search.has_prefix(_all_postings(spark, sf), "onthe")
+
+
+@query("search_column", _POSTED + "SELECT DISTINCT item_id FROM p WHERE term = 'fr' AND col = 'author'")
+def search_column(spark, sf):
+    return search.has_term(_all_postings(spark, sf), "fr", "author")
+
+
+@query("search_porter")
+def search_porter(spark, sf):
+    p = _text_postings(spark, sf, text.stem)
+    return search.bm25(*search.index(p), [text.porter(t) for t in ("thanding", "inations")]).select("item_id", F.round("score", 6).alias("score"))
+
+
+@query("search_postings", _POSTED + "SELECT item_id, term, count(*) AS tf FROM p GROUP BY ALL")
+def search_postings(spark, sf):
+    return search.index(_all_postings(spark, sf))[0]
+
+
+# --- normalization
+
+
+@query("strip_tracking", r"""SELECT page_id, CASE WHEN url LIKE '%?utm_source=feed%' THEN replace(url, '?utm_source=feed', '') WHEN url LIKE '%?page=2&ref=x%' THEN replace(url, '&ref=x', '') ELSE url END AS url FROM pages""")
+def strip_tracking(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.strip_tracking(F.col("url")).alias("url"))
+
+
+_ARTICLE = "regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1)"
+_PLAIN = rf"trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({_ARTICLE}, '<[^>]+>', ' ', 'g'), '&quot;', '\"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[\t\n\f\r ]+', ' ', 'g'))".replace('\\"', '"')
+
+
+@query("html_text", f"SELECT page_id, {_PLAIN} AS content_text FROM pages")
+def html_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.html_to_text(htmlx.article_of(F.col("html")), text.basic_entities).alias("content_text"))
+
+
+@query("html_title", "SELECT page_id, trim(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
+def html_title(spark, sf):
+    return table(spark, sf, "pages").select("page_id", htmlx.title_of(F.col("html")).alias("title"))
+
+
+@query("html_links", """SELECT page_id, generate_subscripts(l, 1) - 1 AS place, regexp_extract(url, '^(\\w+://[^/?#]*)', 1) || unnest(l) AS link
+  FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="(/[^"#]*)', 1) AS l FROM pages)""".replace("\\\\", "\\"))
+def html_links(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.posexplode(htmlx.plain_links(F.col("url"), F.col("html"))).alias("place", "link")).withColumn("place", F.col("place").cast("bigint"))
+
+
+@query("html_links_tree", """SELECT page_id, generate_subscripts(l, 1) - 1 AS place, regexp_extract(url, '^(\\w+://[^/?#]*)', 1) || unnest(l) AS link
+  FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="(/[^"#]*)', 1) AS l FROM pages)""")
+def html_links_tree(spark, sf):
+    """The same links by the general path, which handles any page."""
+    rows = table(spark, sf, "pages").select("page_id", F.posexplode(htmlx.page_links("url", "html", F.lit(""))).alias("place", "link"))
+    return rows.withColumn("place", F.col("place").cast("bigint"))
+
+
+@query("html_sanitize")
+def html_sanitize(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.sanitize("html").alias("content_html"))
+
+
+@query("page_items")
+def page_items(spark, sf):
+    pages = table(spark, sf, "pages").select(F.lit(1).cast("bigint").alias("source_id"), "url", "html", F.lit("").alias("content_selector"))
+    return feeds.page_items(pages, T0)
+
+
+@query("item_guid_rss", "SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN source || doc_id ELSE source || '/' || doc_id END) AS guid FROM documents")
+def item_guid_rss(spark, sf):
+    docs = table(spark, sf, "documents").withColumn("g", F.expr("if(doc_id % 3 = 0, '', concat(source, '/', doc_id))")).withColumn("l", F.expr("concat(source, doc_id)"))
+    return docs.select("doc_id", text.feed_guid(F.col("g"), F.col("l")).alias("guid"))
+
+
+@query("item_guid_html", "SELECT page_id, sha256(url || trim(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1))) AS guid FROM pages")
+def item_guid_html(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.page_guid(F.col("url"), htmlx.title_of(F.col("html"))).alias("guid"))
+
+
+@query("entry_fallbacks", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE lang END AS content, CASE WHEN doc_id % 3 = 0 THEN doc_id WHEN doc_id % 3 = 1 THEN doc_id + 1 ELSE 7 END AS published_at FROM documents")
+def entry_fallbacks(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select(
+        "doc_id", text.feed_content(F.expr("if(doc_id % 2 = 0, text, '')"), F.col("lang")).alias("content"),
+        text.published(F.expr("if(doc_id % 3 = 0, doc_id, null)"), F.expr("if(doc_id % 3 = 1, doc_id + 1, null)"), F.lit(7).cast("bigint")).alias("published_at"),
+    )
+
+
+_FEED = """concat('<rss version="2.0" xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><title>s</title><item><guid>', doc_id, '</guid><link>http://', source, '.example/', doc_id,
+  '?utm_source=x</link><title>', lang, '</title><description>d &amp;amp; ', doc_id, '</description><pubDate>Mon, 01 Jan 2024 00:00:', lpad(cast(doc_id % 60 as string), 2, '0'), ' GMT</pubDate></item></channel></rss>')"""
+
+
+@query("feed_items", f"""SELECT doc_id AS source_id, sha256(doc_id::VARCHAR) AS guid, 'http://' || source || '.example/' || doc_id AS url, lang AS title, '' AS author,
+  {T0} + doc_id % 60 AS published_at, 'd &amp; ' || doc_id AS content_html, 'd & ' || doc_id AS content_text FROM documents""")
+def feed_items(spark, sf):
+    bodies = table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), F.expr(_FEED).alias("body"))
+    return feeds.entry_items(feeds.entries(bodies), T0)
+
+
+# --- the store
+
+
+@query("item_upsert_first_wins", "SELECT id, source_id, guid, url FROM v_items WHERE guid NOT IN (SELECT guid FROM v_items_raw r WHERE r.id <= 100 AND r.source_id = v_items.source_id)")
+def item_upsert_first_wins(spark, sf):
+    raw = fx.items_raw(spark, sf)
+    return store.upsert_items(raw.where("id <= 100"), raw.where("id > 100")).select("id", "source_id", "guid", "url")
+
+
+@query("item_upsert_results", "SELECT id, min(id) OVER (PARTITION BY source_id, guid) AS item_id, id = min(id) OVER (PARTITION BY source_id, guid) AS is_new FROM v_items_raw")
+def item_upsert_results(spark, sf):
+    raw = fx.items_raw(spark, sf)
+    return store.upsert_results(raw.limit(0), raw)
+
+
+@query("new_items_per_source", "SELECT source_id, count(*) AS new_items, count(*) > 40 AS had_many FROM v_items GROUP BY source_id")
+def new_items_per_source(spark, sf):
+    raw = fx.items_raw(spark, sf)
+    done = raw.select("id", "source_id").join(store.upsert_results(raw.limit(0), raw), "id")
+    return done.groupBy("source_id").agg(F.count_if("is_new").alias("new_items")).withColumn("had_many", F.col("new_items") > 40)
+
+
+@query("known_urls", "SELECT DISTINCT url FROM v_items WHERE source_id = 3")
+def known_urls(spark, sf):
+    return store.known_urls(fx.items(spark, sf), 3)
+
+
+@query("new_urls_antijoin", """SELECT DISTINCT (page_id % 20 + 1) AS source_id, url FROM (SELECT page_id, 'http://src' || (page_id % 20) || '.example/' || (page_id * 7) AS url FROM pages) p
+  WHERE NOT EXISTS (SELECT 1 FROM v_items i WHERE i.source_id = p.page_id % 20 + 1 AND i.url = p.url)""")
+def new_urls_antijoin(spark, sf):
+    found = table(spark, sf, "pages").selectExpr("page_id % 20 + 1 as source_id", "concat('http://src', page_id % 20, '.example/', page_id * 7) as url")
+    return store.new_urls(found.union(found), fx.items(spark, sf))
+
+
+_PATCHES = f"SELECT user_id AS item_id, floor(epoch(ts))::BIGINT AS ts, event_id AS seq, CASE event_type WHEN 'view' THEN true WHEN 'error' THEN false END AS is_read, CASE event_type WHEN 'purchase' THEN true WHEN 'signup' THEN false END AS is_starred FROM events"
+
+
+def _patches(spark, sf):
+    return table(spark, sf, "events").selectExpr(
+        "user_id as item_id", "unix_seconds(cast(ts as timestamp)) as ts", "event_id as seq", "case event_type when 'view' then true when 'error' then false end as is_read",
+        "case event_type when 'purchase' then true when 'signup' then false end as is_starred",
+    )
+
+
+@query("state_last_wins", f"WITH p AS ({_PATCHES}), b AS (SELECT item_id, coalesce(is_read, false) AS is_read, coalesce(is_starred, false) AS is_starred, ts AS updated_at, seq FROM p UNION ALL SELECT *, -1 FROM v_state) SELECT item_id, is_read, is_starred, updated_at FROM b QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY updated_at DESC, seq DESC) = 1")
+def state_last_wins(spark, sf):
+    p = _patches(spark, sf).selectExpr("item_id", "coalesce(is_read, false) as is_read", "coalesce(is_starred, false) as is_starred", "ts as updated_at", "seq")
+    return store.upsert_states(fx.states(spark, sf), p)
+
+
+def _flag(f: str) -> str:
+    last = f"max_by(is_{f}, o) FILTER (is_{f} IS NOT NULL)"
+    return f"coalesce({last}, false) AS is_{f}, CASE WHEN {last} THEN min(ts) FILTER (is_{f} AND o > coalesce(off_{f}, 0)) END AS {f}_at"
+
+
+@query("state_transition", f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ts, seq) AS o FROM ({_PATCHES})),
+  q AS (SELECT *, max(o) FILTER (is_read = false) OVER w AS off_read, max(o) FILTER (is_starred = false) OVER w AS off_starred FROM p WINDOW w AS (PARTITION BY item_id))
+  SELECT item_id, {_flag("read")}, {_flag("starred")}, max_by(ts, o) AS updated_at FROM q GROUP BY item_id""")
+def state_transition(spark, sf):
+    return store.fold_states(_patches(spark, sf))
+
+
+@query("state_default_row", "SELECT id AS item_id, coalesce(is_read, false) AS is_read, coalesce(is_starred, false) AS is_starred, coalesce(s.updated_at, 0) AS updated_at FROM v_items i LEFT JOIN v_state s ON s.item_id = i.id")
+def state_default_row(spark, sf):
+    return store.states_or_default(fx.items(spark, sf).select(F.col("id").alias("item_id")), fx.states(spark, sf))
+
+
+@query("lookup_source", "SELECT id, url, title FROM v_sources WHERE id = 7")
+def lookup_source(spark, sf):
+    return store.lookup(fx.sources(spark, sf), 7).select("id", "url", "title")
+
+
+@query("list_sources", "SELECT id, title, url FROM v_sources")
+def list_sources(spark, sf):
+    return store.listed(fx.sources(spark, sf), "title").select("id", "title", "url")
+
+
+@query("list_folders", "SELECT id, name, parent_id, updated_at FROM v_folders")
+def list_folders(spark, sf):
+    return store.listed(fx.folders(spark, sf), "name")
+
+
+@query("insert_sources", """WITH n AS (SELECT c_custkey AS seq, 'http://src' || (c_custkey % 40) || '.example/feed' AS url, c_name AS title FROM customer),
+  f AS (SELECT *, row_number() OVER (ORDER BY seq) AS k FROM (SELECT * FROM n WHERE url NOT IN (SELECT url FROM v_sources) QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1))
+  SELECT id, url, title, poll_interval FROM v_sources UNION ALL SELECT (SELECT max(id) FROM v_sources) + k, url, title, 3600 FROM f""")
+def insert_sources(spark, sf):
+    new = table(spark, sf, "customer").selectExpr("c_custkey as seq", "'rss' as type", "concat('http://src', c_custkey % 40, '.example/feed') as url", "c_name as title")
+    return store.insert_sources(fx.sources(spark, sf), new, T0)[0].select("id", "url", "title", "poll_interval")
+
+
+@query("update_sources", f"SELECT id, CASE WHEN id % 3 = 0 THEN 'new ' || id ELSE title END AS title, CASE WHEN id % 2 = 0 AND id % 3 = 0 THEN 7200 ELSE poll_interval END AS poll_interval, CASE WHEN id % 3 = 0 THEN {MID} ELSE updated_at END AS updated_at FROM v_sources")
+def update_sources(spark, sf):
+    s = fx.sources(spark, sf)
+    changes = s.where("id % 3 = 0").selectExpr("id", "concat('new ', id) as title", "if(id % 2 = 0, cast(7200 as bigint), null) as poll_interval")
+    return store.patch(s, changes, ["title", "poll_interval"], MID).select("id", "title", "poll_interval", "updated_at")
+
+
+@query("due_sources", f"SELECT id, url, next_poll_at FROM v_sources WHERE next_poll_at <= {T0 + 12000} AND NOT is_dead")
+def due_sources(spark, sf):
+    return poll.due(fx.sources(spark, sf), T0 + 12000).select("id", "url", "next_poll_at")
+
+
+@query("route_sources", "SELECT type, count(*) AS n FROM v_sources GROUP BY type")
+def route_sources(spark, sf):
+    rss, page, rest = poll.routed(fx.sources(spark, sf))
+    return rss.union(page).union(rest).groupBy("type").agg(F.count("*").alias("n"))
+
+
+_SINCE = T0 + 3000
+_ARMS = {
+    "items": ("v_items", "fetched_at", "id, source_id, guid, url, title, author, fetched_at", 1000), "states": ("v_state", "updated_at", "item_id, is_read, is_starred, updated_at", None),
+    "folders": ("v_folders", "updated_at", "id, name, parent_id, updated_at", None), "sources": ("v_sources", "updated_at", "id, url, title, updated_at", None),
+    "tombstones": ("v_tomb", "deleted_at", "entity_type, entity_id, deleted_at", None),
+}
+_MADE = {"items": fx.items, "states": fx.states, "folders": fx.folders, "sources": fx.sources, "tombstones": fx.tombstones}
+
+
+def _arm(spark, sf, name):
+    _, change, cols, cap = _ARMS[name]
+    return store.sync_arm(_MADE[name](spark, sf).select(*cols.split(", ")), change, _SINCE, cap)
+
+
+for _name, (_view, _change, _cols, _cap) in _ARMS.items():
+    query(f"sync_{_name}", f"SELECT {_cols} FROM {_view} WHERE {_change} > {_SINCE}" + (f" ORDER BY {_change}, id LIMIT {_cap}" if _cap else ""))(lambda spark, sf, name=_name: _arm(spark, sf, name))
+
+
+@query("sync_cursor", "SELECT greatest({0}, max(t)) AS cursor FROM (SELECT max(fetched_at) AS t FROM (SELECT fetched_at FROM v_items WHERE fetched_at > {0} ORDER BY fetched_at, id LIMIT 1000) UNION ALL SELECT max(updated_at) FROM v_state UNION ALL SELECT max(updated_at) FROM v_folders UNION ALL SELECT max(updated_at) FROM v_sources UNION ALL SELECT max(deleted_at) FROM v_tomb)".format(_SINCE))
+def sync_cursor(spark, sf):
+    return store.sync_cursor([(_arm(spark, sf, n), a[1]) for n, a in _ARMS.items()], _SINCE)
+
+
+_BEFORE = T0 + 20000
+_VICTIMS = f"SELECT i.* FROM v_items i LEFT JOIN v_state s ON s.item_id = i.id WHERE fetched_at < {_BEFORE} AND (is_starred IS NULL OR NOT is_starred)"
+
+
+@query("ttl_sweep_victims", f"SELECT id, source_id, fetched_at FROM ({_VICTIMS})")
+def ttl_sweep_victims(spark, sf):
+    return store.sweep_victims(fx.items(spark, sf), fx.states(spark, sf), _BEFORE).select("id", "source_id", "fetched_at")
+
+
+@query("ttl_sweep_survivors", f"SELECT id, source_id, fetched_at FROM v_items WHERE id NOT IN (SELECT id FROM ({_VICTIMS}))")
+def ttl_sweep_survivors(spark, sf):
+    return store.sweep(fx.items(spark, sf), fx.states(spark, sf), _BEFORE, MID)[0].select("id", "source_id", "fetched_at")
+
+
+@query("ttl_sweep_tombstones", f"SELECT 'item' AS entity_type, id AS entity_id, {MID} AS deleted_at FROM ({_VICTIMS})")
+def ttl_sweep_tombstones(spark, sf):
+    return store.sweep(fx.items(spark, sf), fx.states(spark, sf), _BEFORE, MID)[2]
+
+
+@query("ttl_cutoff", "SELECT event_id, (date_trunc('month', ts) - INTERVAL 3 MONTH + (day(ts) - 1) * INTERVAL 1 DAY)::DATE::VARCHAR AS cutoff FROM events")
+def ttl_cutoff(spark, sf):
+    return table(spark, sf, "events").select("event_id", store.months_back(F.to_date("ts"), 3).cast("string").alias("cutoff"))
+
+
+@query("tombstone_purge", f"SELECT * FROM v_tomb WHERE deleted_at >= {T0 + 60000}")
+def tombstone_purge(spark, sf):
+    return store.purge_tombstones(fx.tombstones(spark, sf), T0 + 60000)
+
+
+@query("delete_source_cascade", f"""SELECT 'source' AS kind, id FROM v_sources WHERE id NOT IN (2, 5) UNION ALL SELECT 'item', id FROM v_items WHERE source_id NOT IN (2, 5)
+  UNION ALL SELECT 'state', item_id FROM v_state WHERE item_id NOT IN (SELECT id FROM v_items WHERE source_id IN (2, 5)) UNION ALL VALUES ('tombstone', 2), ('tombstone', 5), ('tombstone', 999)""")
+def delete_source_cascade(spark, sf):
+    ids = spark.createDataFrame([(2,), (5,), (999,)], "id bigint")
+    s, i, st, t = store.delete_sources(fx.sources(spark, sf), fx.items(spark, sf), fx.states(spark, sf), ids, MID)
+    parts = [("source", s.select("id")), ("item", i.select("id")), ("state", st.select(F.col("item_id").alias("id"))), ("tombstone", t.select(F.col("entity_id").alias("id")))]
+    out = None
+    for kind, df in parts:
+        df = df.select(F.lit(kind).alias("kind"), "id")
+        out = df if out is None else out.union(df)
+    return out
+
+
+@query("delete_folder_setnull", "SELECT 'folder' AS kind, id, CASE WHEN parent_id IN (1, 105) THEN NULL ELSE parent_id END AS ref FROM v_folders WHERE id NOT IN (1, 105) UNION ALL SELECT 'source', id, CASE WHEN folder_id IN (1, 105, 102) AND folder_id <> 102 THEN NULL ELSE folder_id END FROM v_sources")
+def delete_folder_setnull(spark, sf):
+    f, s, _ = store.delete_folders(fx.folders(spark, sf), fx.sources(spark, sf), spark.createDataFrame([(1,), (105,)], "id bigint"), MID)
+    return f.select(F.lit("folder").alias("kind"), "id", F.col("parent_id").alias("ref")).union(s.select(F.lit("source"), "id", "folder_id"))
+
+
+@query("folder_depth", "WITH RECURSIVE w(id, up, depth) AS (SELECT id, parent_id, 0 FROM v_folders UNION ALL SELECT w.id, f.parent_id, w.depth + 1 FROM w JOIN v_folders f ON f.id = w.up) SELECT id, max(depth)::BIGINT AS depth FROM w GROUP BY id".replace("WITH RECURSIVE ", "WITH "))
+def folder_depth(spark, sf):
+    return store.folder_depths(fx.folders(spark, sf))
+
+
+@query("unique_violations", "SELECT source_id, guid, count(*) AS n FROM v_items_raw GROUP BY ALL HAVING count(*) > 1")
+def unique_violations(spark, sf):
+    return store.repeated_keys(fx.items_raw(spark, sf), "source_id", "guid")
+
+
+@query("fk_orphans", "SELECT item_id FROM v_state WHERE item_id NOT IN (SELECT id FROM v_items)")
+def fk_orphans(spark, sf):
+    return store.orphans(fx.states(spark, sf), "item_id", fx.items(spark, sf)).select("item_id")
+
+
+# --- polls
+
+
+@query("adapt_interval", "SELECT event_id, CASE WHEN event_type = 'purchase' THEN greatest((event_id * 37) % 30000 // 2, 900) ELSE least((event_id * 37) % 30000 * 3 // 2, 21600) END AS next_interval FROM events")
+def adapt_interval(spark, sf):
+    return table(spark, sf, "events").select("event_id", poll.next_interval(F.expr("(event_id * 37) % 30000"), F.col("event_type") == "purchase").alias("next_interval"))
+
+
+@query("backoff", "SELECT event_id, least(60 * (2 ** greatest(event_id % 15 - 1, 0)), 86400)::BIGINT AS backoff FROM events")
+def backoff(spark, sf):
+    return table(spark, sf, "events").select("event_id", poll.backoff(F.expr("event_id % 15")).alias("backoff"))
+
+
+_FOLD = """WITH e AS (SELECT user_id AS source_id, floor(epoch(ts))::BIGINT AS ts, CASE event_type WHEN 'purchase' THEN 'new' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'none' ELSE 'unchanged' END AS outcome,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type <> 'signup'),
+  s(source_id, k, interval_s, next_poll_at, fails, dead) AS (
+    SELECT DISTINCT source_id, 0::BIGINT, 3600::BIGINT, 0::BIGINT, 0::BIGINT, false FROM e
+    UNION ALL
+    SELECT s.source_id, e.k,
+      CASE WHEN dead OR outcome = 'failed' THEN interval_s WHEN outcome = 'new' THEN greatest(interval_s // 2, 900) ELSE least(interval_s * 3 // 2, 21600) END,
+      CASE WHEN dead THEN next_poll_at WHEN outcome = 'failed' THEN ts + least(60 * (2 ** fails), 86400)::BIGINT WHEN outcome = 'new' THEN ts + greatest(interval_s // 2, 900) ELSE ts + least(interval_s * 3 // 2, 21600) END,
+      CASE WHEN dead THEN fails WHEN outcome = 'failed' THEN fails + 1 ELSE 0 END, dead OR (outcome = 'failed' AND fails + 1 >= {dead_at})
+    FROM s JOIN e ON e.source_id = s.source_id AND e.k = s.k + 1)
+  SELECT source_id, arg_max(interval_s, k) AS interval_s, arg_max(next_poll_at, k) AS next_poll_at, arg_max(fails, k) AS fails, arg_max(dead, k) AS dead FROM s GROUP BY source_id"""
+
+
+def _fold(spark, sf, dead_at):
+    return poll.fold_polls(fx.poll_log(spark, sf), dead_at=dead_at).withColumnRenamed("interval", "interval_s")
+
+
+@query("poll_state_fold", _FOLD.format(dead_at=poll.DEAD_AT))
+def poll_state_fold(spark, sf):
+    return _fold(spark, sf, poll.DEAD_AT)
+
+
+@query("poll_state_fold_early_death", _FOLD.format(dead_at=3))
+def poll_state_fold_early_death(spark, sf):
+    return _fold(spark, sf, 3)
+
+
+@query("stream_poll_state", _FOLD.format(dead_at=poll.DEAD_AT))
+def stream_poll_state(spark, sf):
+    from tidemark.streaming.jobs import last_states
+
+    log = _stream(spark, sf, "events").where("event_type <> 'signup'").selectExpr(
+        "user_id as source_id", "unix_seconds(cast(ts as timestamp)) as ts", "event_id", "case event_type when 'purchase' then 'new' when 'error' then 'failed' when 'view' then 'none' else 'unchanged' end as outcome"
+    )
+    return last_states(log, _shared(spark)).withColumnRenamed("interval", "interval_s")
+
+
+@query("stream_upsert", "SELECT source_id, guid, 1::BIGINT AS n FROM v_items")
+def stream_upsert(spark, sf):
+    from tidemark.streaming.jobs import upsert_stream
+
+    items = _stream(spark, sf, "documents").selectExpr("doc_id + 1 as id", "cast(substring(source, 4) as bigint) + 1 as source_id", "sha2(text, 256) as guid", "concat('http://', source, '.example/', doc_id) as url")
+    return upsert_stream(items, _shared(spark)).groupBy("source_id", "guid").agg(F.count("*").alias("n"))
+
+
+def _stream(spark, sf, name):
+    return spark.readStream.schema(table(spark, sf, name).schema).option("maxFilesPerTrigger", 4).parquet(f"{sf}/{name}.parquet*")
+
+
+def _shared(spark) -> str:
+    """A new folder in the shared checkpoint folder of the session; one on this machine where none is set, as in tests."""
+    import tempfile
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return f"{base}/stream-{uuid.uuid4().hex}"
+
+
+# --- outlines
+
+
+@query("opml_folder_groups", "SELECT folder_id, f.name AS folder, string_agg(title, ',' ORDER BY title) AS titles, string_agg(url, ',' ORDER BY title) AS urls FROM v_sources s JOIN v_folders f ON f.id = s.folder_id GROUP BY ALL")
+def opml_folder_groups(spark, sf):
+    return opml.grouped(fx.sources(spark, sf), fx.folders(spark, sf))
+
+
+_LINE = """'<outline text="' || title || '" title="' || title || CASE WHEN type = 'rss' THEN '" type="rss' ELSE '' END || '" xmlUrl="' || url || '"/>'"""
+
+
+@query("opml_export", f"""SELECT 0 AS section, title AS rank, {_LINE} AS line FROM v_sources s LEFT JOIN v_folders f ON f.id = s.folder_id WHERE f.id IS NULL
+  UNION ALL SELECT 1, name, '<outline text="' || name || '" title="' || name || '">' || string_agg({_LINE}, '' ORDER BY title) || '</outline>' FROM v_sources s JOIN v_folders f ON f.id = s.folder_id GROUP BY f.id, name""")
+def opml_export(spark, sf):
+    return opml.export(fx.sources(spark, sf), fx.folders(spark, sf))
+
+
+@query("opml_import_counters", "SELECT c_custkey AS file, 2::BIGINT AS folders_created, 3 - (c_custkey % 40 < 20)::BIGINT AS sources_created, 2 + (c_custkey % 40 < 20)::BIGINT AS skipped FROM customer")
+def opml_import_counters(spark, sf):
+    body = """concat('<opml version="2.0"><body><outline text="F1"><outline text="a" xmlUrl="http://src', c_custkey % 40, '.example/feed"/><outline text="b" type="rss" xmlUrl="http://b"/><outline text="G"><outline xmlUrl="http://lost"/></outline></outline>',
+      '<outline text="c" xmlUrl="http://c"/><outline text="c2" xmlUrl="http://c"/><outline text="no url" type="RSS"/><outline title="F2"/></body></opml>')"""
+    files = table(spark, sf, "customer").select(F.col("c_custkey").alias("file"), F.expr(body).alias("body"))
+    return opml.import_counts(files, fx.sources(spark, sf))
