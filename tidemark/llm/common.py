@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: ``small`` sends a table to every executor while it has at most so many values.
+BROADCAST_VALUES = 1_000_000
+
+
+def small(df: DataFrame, values: Column | None = None) -> DataFrame:
+    """``df``, marked for broadcast if a count shows that it is small; else as it is, to be joined by shuffle.
+
+    ``values`` says how many values a row has (1 if not given). ``df`` should be cut: it is read for the count.
+    """
+    n = df.agg(F.coalesce(F.sum(F.lit(1) if values is None else values), F.lit(0)).alias("n")).first().n
+    return F.broadcast(df) if n <= BROADCAST_VALUES else df
+
+
 def partitions(spark: SparkSession) -> int:
     """How many shuffle partitions the session asks for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -249,6 +249,25 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = 80, least: float = 0
     return found
 
 
+def without_leaks(docs: DataFrame, items: DataFrame, percent: int = 80, least: float = 0.6, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, that contain no test item as ``leaks`` finds them; a pass for each index, no shuffle."""
+    at = docs.columns.index(text_col)
+    for index in indexes(items):
+
+        def run(batches, index=index):
+            for batch in batches:
+                texts = batch.column(at).to_pylist()
+                for a, b in slices(texts):
+                    w, keep = Words(texts[a:b], plain=True), np.ones(b - a, bool)
+                    for text, item in search(index, w, least):
+                        q, qs, r, rs = overlaps(index, w, text, item)
+                        keep[text] &= not (100 * q >= percent * qs and 100 * r >= percent * rs)
+                    yield batch.slice(a, b - a).filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Leaks of the benchmark into all documents."""
     from tidemark.tables import table

@@ -188,6 +188,27 @@ def identify(docs: DataFrame, trained: list[tuple[str, str]], id_col: str = "doc
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, phrase_rate double")
 
 
+def keep_known(docs: DataFrame, trained: list[tuple[str, str]], most: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text has letters and at most ``most`` phrases a folded character.
+
+    One pass without a shuffle. Null and empty texts go; so does every text when there is no training text.
+    """
+    frozen, names = tuple(trained), docs.columns
+    at = names.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for a, b in _slices(texts):
+                keep = np.zeros(b - a, bool)
+                if frozen:
+                    sizes, counts = phrases(texts[a:b], frozen)
+                    keep = (sizes > 0) & (counts.min(1) <= most * sizes)
+                yield batch.slice(a, b - a).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _slices(texts: list[str | None], chars: int = 4_000_000) -> list[tuple[int, int]]:
     """Runs of rows of about so many characters: what is in memory at once does not grow with a batch."""
     out, a, n = [], 0, 0

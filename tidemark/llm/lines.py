@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, partitions
+from tidemark.llm.common import cut, partitions, small
 
 #: So many most frequent tokens have their counts in the order's table, which has so many slots.
 FREQUENT, SLOTS = 32_768, 1 << 18
@@ -100,12 +100,12 @@ def links(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, percent
             and if({n('a')} > 100 and {n('b')} > 100, bit_count(a.s2 ^ b.s2), 0) <= {total} - 2 * {need}
         """)).selectExpr("a.doc as doc_a", "a.line as line_a", "b.doc as doc_b", "b.line as line_b").distinct()
     )
-    wanted = (
+    wanted = cut(
         candidates.select("doc_a", "line_a").union(candidates.select("doc_b", "line_b")).distinct()
         .groupBy(F.col("doc_a").alias("doc")).agg(F.collect_list("line_a").alias("lines"))
     )
     sets = (
-        docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc")
+        docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(small(wanted, F.size("lines")), "doc")
         .select("doc", F.explode(F.expr(r"transform(lines, i -> struct(i as line, element_at(split(text, '\n'), i + 1) as raw))")).alias("x"))
         .select("doc", "x.line", F.expr(_TOKENS.format("x.raw")).alias("words")).dropDuplicates(["doc", "line"])
         .select("doc", "line", F.expr("array_distinct(transform(words, w -> xxhash64(w)))").alias("hs"))
