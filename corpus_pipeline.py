@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import shared_dir
-from tidemark.llm.decontaminate import leaks
-from tidemark.llm.language import identify, training_texts
+from tidemark.llm.decontaminate import without_leaks
+from tidemark.llm.language import keep_known, training_texts
 from tidemark.llm.lines import dedup_lines
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.pieces import encode_decode
@@ -23,16 +23,9 @@ from tidemark.tables import table
 FOREIGN = 0.6
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids(_kept)``, with their columns."""
-    return docs.join(ids.distinct(), F.col("doc_id") == F.col("_kept"), "left_semi")
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and texts that none of the learned languages explains."""
-    found = identify(docs, training_texts(docs))
-    known = found.where((F.col("lang_pred") != "und") & (F.col("phrase_rate") <= FOREIGN))
-    return _keep(docs, known.select(F.col("doc_id").alias("_kept")))
+    return keep_known(docs, training_texts(docs), FOREIGN)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,13 +37,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose sets of five-word shingles are alike by 80 %: the one of smallest id."""
     kept = near_duplicates(docs, percent=80).where("kept")
-    return _keep(docs, kept.select(F.col("doc_id").alias("_kept")))
+    return docs.join(kept.select(F.col("doc_id").alias("_kept")).distinct(), F.col("doc_id") == F.col("_kept"), "left_semi")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that contain a benchmark item."""
-    leaked = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, F.col("doc_id") == F.col("_leaked"), "left_anti")
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
