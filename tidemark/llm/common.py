@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder; later reads do not depend on executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once and written as Parquet under the shared folder; later reads do not depend on executors.
+
+    The files are columnar and compressed, so they take a fraction of a checkpoint's serialized rows.
+    They stay until the shared folder is cleared.
+    """
+    out = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
 #: ``small`` sends a table to every executor while it has at most so many values.
@@ -71,7 +77,7 @@ def components(edges: DataFrame) -> DataFrame:
     ``root`` is the smallest id that can be reached. Rounds of large-star and small-star (Kiveris
     et al., 2014): every round shuffles the edges once each way and keeps at most as many edges as
     before, no node gathers its neighbours in one row, and the rounds grow with the logarithm of
-    the longest path. Each round is cut by a checkpoint in the shared folder.
+    the longest path. Each round is cut by a table in the shared folder.
     """
     cur = cut(
         edges.where("a is not null and b is not null and a <> b")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, partitions, small
+from tidemark.llm.common import cut, small
 
 #: So many most frequent tokens have their counts in the order's table, which has so many slots.
 FREQUENT, SLOTS = 32_768, 1 << 18
 #: A token in more lines than this is a key only together with the two that follow it.
 HOT = 500
+#: Under a key of more lines than this, lines are first held against leaders, in so many turns.
+CROWD, ROUNDS = 64, 2
 
 
 #: The tokens of a line: lower case, parted by white space.
@@ -79,43 +81,77 @@ def _keys(lines: DataFrame, slots: Column, percent: int) -> DataFrame:
     )
 
 
-def links(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """Pairs of lines that are alike, each the first of its equals: ``doc_a, line_a, doc_b, line_b``, the earlier first.
-
-    Candidates share a prefix key and pass the length filter, the positional filter and a parity
-    sketch (its Hamming distance is at most the size of the symmetric difference); their texts are
-    fetched and the full sets compared.
-    """
-    keys = _keys(lines, _frequencies(docs, text_col), percent).repartition(partitions(docs.sparkSession), "key")
-    # both sides are the dealt keys as they are, so that their exchange is written once
+def _fits(percent: int) -> str:
+    """The filters that a candidate pair of key rows ``a`` and ``b``, a the earlier, has to pass."""
     n, pos = (lambda x: f"cast({x}.np >> 32 as int)"), (lambda x: f"cast({x}.np & 4294967295 as int)")
     total = f"({n('a')} + {n('b')})"
     need = f"(({percent} * {total} + {99 + percent}) div {100 + percent})"  # the overlap of sets that are alike
-    candidates = cut(
-        keys.alias("a").join(keys.alias("b"), F.expr(f"""
-            a.key = b.key and (a.doc < b.doc or a.doc = b.doc and a.line < b.line)
-            and 100 * least({n('a')}, {n('b')}) >= {percent} * greatest({n('a')}, {n('b')})
-            and 1 + least({n('a')} - {pos('a')}, {n('b')} - {pos('b')}) >= {need}
-            and bit_count(a.s1 ^ b.s1) <= {total} - 2 * {need}
-            and if({n('a')} > 100 and {n('b')} > 100, bit_count(a.s2 ^ b.s2), 0) <= {total} - 2 * {need}
-        """)).selectExpr("a.doc as doc_a", "a.line as line_a", "b.doc as doc_b", "b.line as line_b").distinct()
-    )
-    wanted = cut(
-        candidates.select("doc_a", "line_a").union(candidates.select("doc_b", "line_b")).distinct()
-        .groupBy(F.col("doc_a").alias("doc")).agg(F.collect_list("line_a").alias("lines"))
+    return f"""
+        a.key = b.key and (a.doc < b.doc or a.doc = b.doc and a.line < b.line)
+        and 100 * least({n('a')}, {n('b')}) >= {percent} * greatest({n('a')}, {n('b')})
+        and 1 + least({n('a')} - {pos('a')}, {n('b')} - {pos('b')}) >= {need}
+        and bit_count(a.s1 ^ b.s1) <= {total} - 2 * {need}
+        and if({n('a')} > 100 and {n('b')} > 100, bit_count(a.s2 ^ b.s2), 0) <= {total} - 2 * {need}
+    """
+
+
+def _candidates(earlier: DataFrame, later: DataFrame, percent: int) -> DataFrame:
+    return (
+        earlier.alias("a").join(later.alias("b"), F.expr(_fits(percent)))
+        .selectExpr("a.doc as doc_a", "a.line as line_a", "b.doc as doc_b", "b.line as line_b").distinct()
     )
-    sets = (
-        docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(small(wanted, F.size("lines")), "doc")
+
+
+def _token_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The token hashes of the ``wanted(doc, line)``, fetched from their texts: ``doc, line, hs``."""
+    asked = cut(wanted.distinct().groupBy("doc").agg(F.collect_list("line").alias("lines")))
+    return cut(
+        docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(small(asked, F.size("lines")), "doc")
         .select("doc", F.explode(F.expr(r"transform(lines, i -> struct(i as line, element_at(split(text, '\n'), i + 1) as raw))")).alias("x"))
         .select("doc", "x.line", F.expr(_TOKENS.format("x.raw")).alias("words")).dropDuplicates(["doc", "line"])
         .select("doc", "line", F.expr("array_distinct(transform(words, w -> xxhash64(w)))").alias("hs"))
     )
-    sets = cut(sets)
-    both = candidates.join(sets.toDF("doc_a", "line_a", "hs_a"), ["doc_a", "line_a"]).join(sets.toDF("doc_b", "line_b", "hs_b"), ["doc_b", "line_b"])
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are alike."""
+    both = pairs.join(sets.toDF("doc_a", "line_a", "hs_a"), ["doc_a", "line_a"]).join(sets.toDF("doc_b", "line_b", "hs_b"), ["doc_b", "line_b"])
     common = F.size(F.array_intersect("hs_a", "hs_b"))
     return both.where(100 * common >= percent * (F.size("hs_a") + F.size("hs_b") - common)).select("doc_a", "line_a", "doc_b", "line_b")
 
 
+def later_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """Lines, each the first of its equals, that an earlier such line resembles: ``doc, line``.
+
+    Candidates share a prefix key and pass the length filter, the positional filter and a parity
+    sketch (its Hamming distance is at most the size of the symmetric difference); their texts are
+    fetched and the full sets compared. Keys that only one line has go before any join. Under a key
+    of at most ``CROWD`` lines all pairs are tried. Under a crowded key a line is first held against
+    a leader, the earliest line not known to go, in ``ROUNDS`` turns, which takes a row for each line;
+    only lines that no leader resembles are then tried with all earlier lines of the key. One
+    earlier line is enough for a line to go, so a group of many lines that are alike is settled by
+    its leader and never expanded into all pairs.
+    """
+    keys = cut(_keys(lines, _frequencies(docs, text_col), percent))
+    met = cut(keys.join(keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key"))
+    few, many = met.where(f"members <= {CROWD}"), met.where(f"members > {CROWD}")
+    place_b = lambda pairs: pairs.select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line")).distinct()
+    pairs = cut(_candidates(few, few, percent))
+    sets = _token_sets(docs, pairs.selectExpr("doc_a as doc", "line_a as line").union(pairs.selectExpr("doc_b as doc", "line_b as line")), id_col, text_col)
+    gone = cut(place_b(_alike(pairs, sets, percent)))
+    open_ = cut(many.join(gone, ["doc", "line"], "left_anti"))
+    if open_.isEmpty():
+        return gone
+    sets = _token_sets(docs, many.select("doc", "line"), id_col, text_col)
+    led = None
+    for _ in range(ROUNDS):
+        free = open_ if led is None else open_.join(led.select("key", F.struct("doc", "line").alias("last")), "key").where("struct(doc, line) > last").drop("last")
+        led = cut(free.groupBy("key").agg(F.min(F.struct("doc", "line", "np", "s1", "s2")).alias("x")).select("key", "x.*"))
+        found = cut(place_b(_alike(_candidates(led, open_, percent), sets, percent)))
+        gone, open_ = gone.union(found), cut(open_.join(found, ["doc", "line"], "left_anti"))
+    return gone.union(place_b(_alike(cut(_candidates(many, open_, percent)), sets, percent))).distinct()
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least: int = 5) -> DataFrame:
     """Per document with any: ``doc, removed``, the sorted numbers (from 0) of the lines that go.
 
@@ -127,7 +163,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     lines = _lines(docs, id_col, text_col, least)
     places = cut(lines.select("doc", "line", "same"))
-    later = links(docs, lines, id_col, text_col, percent).select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line"), F.lit(True).alias("later")).distinct()
+    later = later_lines(docs, lines, id_col, text_col, percent).withColumn("later", F.lit(True))
     first = places.groupBy("same").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n")).select("same", "n", "first.*")
     gone = first.join(later, ["doc", "line"], "left").where("n > 1 or later").select("same", "later", F.struct("doc", "line").alias("first"))
     return (
