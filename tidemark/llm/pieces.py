@@ -20,6 +20,8 @@ SPACE = "▁"
 LONGEST = 60
 #: The piece table is sent to every executor while it has at most so many rows; beyond, it is joined by shuffle.
 BROADCAST_PIECES = 1_000_000
+#: Words are dealt to so many times the session's partitions: each is exploded into its substrings there, which must fit in memory.
+WORD_PARTS = 4
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
 
@@ -80,14 +82,15 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     if pieces.count() <= BROADCAST_PIECES:
         pieces = F.broadcast(pieces)
     spans = (
-        words.withColumn("n", F.length("word"))
-        .select("word", "n", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
-        .select("word", "n", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("i") + 1))).alias("size"))
-        .select("word", "n", (F.col("i") - 1).alias("i"), (F.col("i") - 1 + F.col("size")).alias("j"), F.expr("substring(word, i, size)").alias("sub"))
+        words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i"))
+        .select("word", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("i") + 1))).alias("size"))
+        .select("word", (F.col("i") - 1).alias("i"), (F.col("i") - 1 + F.col("size")).alias("j"), F.expr("substring(word, i, size)").alias("sub"))
     )
-    return spans.join(pieces, "sub", "left").groupBy("word", "n").agg(
+    # substrings that are no piece go before the grouping; a word's first character stays, so that every word does
+    edges = spans.join(pieces, "sub", "left").where("id is not null or j = 1")
+    return edges.groupBy("word").agg(
         F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("cost"), "i", "j", "id")))).alias("edges")
-    )
+    ).withColumn("n", F.length("word"))
 
 
 def segments_ids(mask: Column) -> Column:
@@ -138,7 +141,7 @@ def fold_viterbi(graph: DataFrame, unknown_cost: float = 1e4) -> DataFrame:
 
 def _pack(blocks: int):
     def run(batches):
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             block = [zlib.crc32(f"{i}:".encode() + r) % blocks for i, r in zip(batch.column(0).to_pylist(), raw, strict=True)]
@@ -241,7 +244,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     parts = partitions(spark)
     packed = known.mapInArrow(_pack(-(-chars // block_chars) or 1), f"block int, id {kind}, packed binary").repartition(parts, "block")
     # both uses of the dealt texts, and both of the dealt words, read all columns, so that each exchange is written once
-    refs = packed.sortWithinPartitions("block").mapInArrow(_words, "block int, number int, word string").repartition(parts, "word")
+    refs = packed.sortWithinPartitions("block").mapInArrow(_words, "block int, number int, word string").repartition(WORD_PARTS * parts, "word")
     longest = max(len(model.id_to_piece(i)) for i in range(model.get_piece_size()) if not model.is_byte(i) and not model.is_control(i))
     distinct = refs.groupBy("word").agg(F.min("block").alias("block"), F.min("number").alias("number")).where("block >= 0 and number >= 0").select("word")
     graph = lattice(distinct, piece_table(spark, path), longest)
