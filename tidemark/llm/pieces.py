@@ -106,16 +106,19 @@ def segments_ids(mask: Column) -> Column:
 def fold_merges(graph: DataFrame) -> DataFrame:
     """Ids of each word by the merges of a BPE model: ``word, ids``.
 
-    The state is the set of boundaries, as bits. Each step takes the edge of best score, leftmost
-    among equals, that has boundaries at both ends and just one inside, and drops the inner one.
+    The state is the set of boundaries, as bits, and the edges that may still merge. Each step takes the edge of best score, leftmost
+    among equals, that has just one boundary inside, and drops that one; edges that lost an end or
+    have nothing inside any more leave the state, so that later steps scan few.
     """
-    step = "filter(spans, e -> (m & e.ends) = e.ends and bit_count(m & e.inner) = 1)"
+    first = "coalesce(try_element_at(filter(st.left, e -> bit_count(st.m & e.inner) = 1), 1).inner, 0L)"
     return (
-        graph.withColumn("spans", F.expr("""
-            transform(filter(edges, e -> e.j - e.i > 1), e -> named_struct(
-              'ends', shiftleft(1L, e.i) | shiftleft(1L, e.j), 'inner', (shiftleft(1L, e.j) - 1L) ^ (shiftleft(1L, e.i + 1) - 1L)))
+        graph.withColumn("mask", F.expr(f"""
+            aggregate(sequence(1, n), named_struct('m', shiftleft(1L, n + 1) - 1L, 'left', transform(filter(edges, e -> e.j - e.i > 1), e -> named_struct(
+                'ends', shiftleft(1L, e.i) | shiftleft(1L, e.j), 'inner', (shiftleft(1L, e.j) - 1L) ^ (shiftleft(1L, e.i + 1) - 1L)))),
+              (st, k) -> element_at(transform(array(st.m & ~{first}), m ->
+                named_struct('m', m, 'left', filter(st.left, e -> (m & e.ends) = e.ends and (m & e.inner) <> 0L))), 1),
+              st -> st.m)
         """))
-        .withColumn("mask", F.expr(f"aggregate(sequence(1, n), shiftleft(1L, n + 1) - 1L, (m, s) -> m & ~coalesce(try_element_at({step}, 1).inner, 0L))"))
         .select("word", segments_ids(F.col("mask")).alias("ids"))
     )
 
