@@ -335,6 +335,25 @@ def test_similar_lines_go(spark):
     assert got == {1: rows[0][1], 2: "short line", 3: rows[2][1], 4: None, 5: ""}
 
 
+def test_crowded_keys_lose_no_line(spark, monkeypatch):
+    monkeypatch.setattr(lines, "CROWD", 3)
+    r, words = random.Random(12), vocabulary(60)
+    rows = []
+    for _ in range(4):
+        base = prose(r, words, 24).split()
+        for _ in range(25):
+            copy = list(base)
+            for _ in range(r.randint(0, 5)):
+                copy[r.randrange(24)] = r.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    r.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    sets = [set(t.split()) for _, t in rows]
+    want = {i for i in range(len(rows)) if any(100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in range(i))}
+    got = {x.doc for x in lines.removed_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want and 10 < len(want) < len(rows)
+
+
 # --- pipeline
 
 

@@ -126,9 +126,9 @@ def later_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, p
     Candidates share a prefix key and pass the length filter, the positional filter and a parity
     sketch (its Hamming distance is at most the size of the symmetric difference); their texts are
     fetched and the full sets compared. Keys that only one line has go before any join. Under a key
-    of at most ``CROWD`` lines all pairs are tried. Under a crowded key a line is first held against
-    a leader, the earliest line not known to go, in ``ROUNDS`` turns, which takes a row for each line;
-    only lines that no leader resembles are then tried with all earlier lines of the key. One
+    of at most ``CROWD`` lines all pairs are tried. Other lines are first held against the leader of
+    their most crowded key, its earliest line not known to go, in ``ROUNDS`` turns of a row for each
+    line; only lines that no leader resembles are then tried with all earlier lines of their keys. One
     earlier line is enough for a line to go, so a group of many lines that are alike is settled by
     its leader and never expanded into all pairs.
     """
@@ -147,7 +147,8 @@ def later_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, p
     for _ in range(ROUNDS):
         free = open_ if led is None else open_.join(led.select("key", F.struct("doc", "line").alias("last")), "key").where("struct(doc, line) > last").drop("last")
         led = cut(free.groupBy("key").agg(F.min(F.struct("doc", "line", "np", "s1", "s2")).alias("x")).select("key", "x.*"))
-        found = cut(place_b(_alike(_candidates(led, open_, percent), sets, percent)))
+        held = open_.groupBy("doc", "line").agg(F.max(F.struct("members", "key", "np", "s1", "s2")).alias("x")).select("doc", "line", "x.*")
+        found = cut(place_b(_alike(_candidates(led, held, percent), sets, percent)))
         gone, open_ = gone.union(found), cut(open_.join(found, ["doc", "line"], "left_anti"))
     return gone.union(place_b(_alike(cut(_candidates(many, open_, percent)), sets, percent))).distinct()
 
