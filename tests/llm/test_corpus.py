@@ -156,6 +156,44 @@ def test_chains_are_the_best_of_all(spark):
     assert passages.align(a, b) == 4
 
 
+def test_chains_are_those_of_brute_force():
+    r = random.Random(31)
+    for _ in range(30):
+        pts, at, skew = [], 0, 0
+        for _ in range(r.randint(2, 4)):  # several passages of a pair, out of reach of each other
+            pts += [(at + k, at + skew + k) for k in range(0, r.choice((30, 120)), 3)]
+            at, skew = pts[-1][0] + r.randint(41, 120), skew + r.randint(-20, 20)
+        pts = sorted({*pts, *((r.randrange(400), r.randrange(400)) for _ in range(20))})
+        score, back = [], []
+        for i, (x, y) in enumerate(pts):
+            gain, from_ = max(
+                ((score[k] - 0.5 * abs((x - y) - (u - v)) - 0.05 * (x - u), k) for k, (u, v) in enumerate(pts[:i]) if 0 < x - u <= 40 and 0 < y - v <= 40), default=(0.0, -1)
+            )
+            if gain <= 0:
+                gain, from_ = 0.0, -1
+            score.append(gain + (8 if from_ < 0 else min(8, x - pts[from_][0], y - pts[from_][1])))
+            back.append(from_)
+        best = max(score)
+        ends = set()
+        for i in range(len(pts)):
+            if score[i] > best - 1e-9:
+                j = i
+                while back[j] >= 0:
+                    j = back[j]
+                ends.add((pts[j][0], pts[i][0] + 8, pts[j][1], pts[i][1] + 8))
+        got = passages.chains(np.array([p[0] for p in pts]), np.array([p[1] for p in pts]))
+        assert got[0] in ends
+        assert sum(b - a >= 30 for a, b, _, _ in got) >= 2
+
+
+def test_every_separated_passage_is_found(spark):
+    r, words = random.Random(32), vocabulary(3000)
+    shared = [prose(r, words, n) for n in (100, 60, 55)]
+    rows = [(1, " ".join(prose(r, words, 60) + " " + s for s in shared)), (2, " ".join(prose(r, words, 60) + " " + s for s in shared))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((x.a, x.b, x.c, x.e, x.same) for x in got) == [(60, 160, 60, 160, 100), (220, 280, 220, 280, 60), (340, 395, 340, 395, 55)]
+
+
 # --- 3
 
 
