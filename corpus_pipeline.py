@@ -29,8 +29,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that an earlier line equals or resembles, and documents of which nothing is left; ``n_chars`` follows."""
-    cleaned = dedup_lines(docs).where(F.length(F.trim("text")) > 0)
+    """Drops lines of any number of tokens that an earlier line equals or resembles, and documents of which nothing is left; ``n_chars`` follows."""
+    cleaned = dedup_lines(docs, least=1).where(F.length(F.trim("text")) > 0)
     return cleaned.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
 
 

@@ -392,6 +392,26 @@ def test_crowded_keys_lose_no_line(spark, monkeypatch):
     assert got == want and 10 < len(want) < len(rows)
 
 
+def test_short_lines_go_in_the_pipeline(spark):
+    r = random.Random(33)
+    # lines of one to six of eight words: equal ones, other orders and spaces, and sets of four inside sets of five
+    texts = ["\n".join(r.choice((" ", "  ")).join(r.choice("abcdefgh") for _ in range(r.randint(0, 6))) for _ in range(6)) for _ in range(40)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    met, want = [], {}
+    for i, t in enumerate(texts):
+        left = []
+        for line in t.split("\n"):
+            own = set(line.split())
+            if not own or not any(100 * len(own & x) >= 80 * len(own | x) for x in met):
+                left.append(line)
+            if own:
+                met.append(own)
+        if "\n".join(left).strip(" "):
+            want[i] = "\n".join(left)
+    got = {x.doc_id: x.text for x in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, DOCS), SF).collect()}
+    assert got == want and sum(map(len, want.values())) < sum(map(len, texts)) / 2
+
+
 # --- pipeline
 
 

@@ -54,13 +54,14 @@ def _keys(lines: DataFrame, slots: Column, percent: int) -> DataFrame:
     have ``percent`` % of either in common, so their first common token is among the first
     n - ceil(p n) + 1 of either, the second among one more, and the third among two more. A rare
     token is a key; a frequent first common token is followed by frequent ones only, and the
-    three together are a key. Sets of one or two tokens are alike only if equal. ``np`` holds the set's size and the key's place; ``s1`` and ``s2``
+    three together are a key. A set that even one more token makes unlike (of one to three tokens at 80 %) is alike
+    only if equal, and its key is the whole set. ``np`` holds the set's size and the key's place; ``s1`` and ``s2``
     are parity sketches of the set, the second for large sets only.
     """
     rank = F.transform("words", lambda w: F.shiftleft(F.element_at(slots, F.pmod(F.hash(w), F.lit(SLOTS)) + 1), 40).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(_MASK))))
     hot = f"{HOT} * {1 << 40}L"
     made = f"""
-        if(n < 3, array(named_struct('pos', 1, 'key', xxhash64(t))), concat(
+        if(n < 3 or 100 * n < {percent} * (n + 1), array(named_struct('pos', 1, 'key', xxhash64(t))), concat(
           transform(filter(slice(t, 1, k), v -> v < {hot}), (v, i) -> named_struct('pos', i + 1, 'key', v)),
           if(element_at(t, k) < {hot}, cast(array() as array<struct<pos: int, key: bigint>>),
             flatten(flatten(transform(filter(sequence(1, k), i -> element_at(t, i) >= {hot}), i ->
