@@ -120,6 +120,25 @@ def test_fold_in_parts_is_the_fold(spark):
     assert whole.dead and whole.fails == 2
 
 
+def test_no_row_gathers_a_group(spark):
+    log = spark.range(300_000).selectExpr("if(id % 3 = 0, 1L, id % 50) as source_id", "id as seq", "id as ts", "case id % 7 when 0 then 'new' when 1 then 'failed' else 'none' end as outcome")
+    patches = log.selectExpr("source_id as item_id", "ts", "seq", "seq % 3 = 0 as is_read", "if(seq % 5 = 0, null, seq % 2 = 0) as is_starred")
+    for df in (poll.fold_polls(log), store.fold_states(patches)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan and "aggregate(" not in plan.replace("Aggregate", "")
+    states = {}
+    for r in log.orderBy("seq").collect():
+        states[r.source_id] = poll.step(states.get(r.source_id, (3600, 0, 0, False)), r.ts, r.outcome)
+    assert {r[0]: tuple(r)[1:] for r in poll.fold_polls(log).collect()} == states
+    flags = {}
+    for r in patches.orderBy("seq").collect():
+        read, star, read_at, star_at, _ = flags.get(r.item_id, (False, False, None, None, 0))
+        read_at = read_at if r.is_read is None else (r.ts if read_at is None else read_at) if r.is_read else None
+        star_at = star_at if r.is_starred is None else (r.ts if star_at is None else star_at) if r.is_starred else None
+        flags[r.item_id] = (read if r.is_read is None else r.is_read, star if r.is_starred is None else r.is_starred, read_at, star_at, r.ts)
+    assert {r.item_id: tuple(r)[1:] for r in store.fold_states(patches).collect()} == flags
+
+
 def test_outcomes(spark):
     rows = [("rss", 200, 1, True), ("rss", 200, 0, True), ("rss", 304, 0, None), ("rss", 410, 0, None), ("rss", 200, 0, False), ("html", 304, 0, None), ("html", 404, 0, None), ("html", 200, 2, True)]
     assert values(spark, "k string, s int, n int, p boolean", rows, poll.outcome(F.col("k"), F.col("s"), F.col("n"), F.col("p"))) == ["new", "none", "unchanged", "gone", "failed", "failed", "failed", "new"]

@@ -103,12 +103,24 @@ def read_transition(flag: Column, at: Column, new: Column, now: Column) -> tuple
 
 
 def fold_states(patches: DataFrame) -> DataFrame:
-    """Patches ``(item_id, ts, seq, is_read, is_starred)`` folded in order, from unread and unstarred: the final state of each item."""
-    step = lambda f: f"case when x.is_{f} is null then s.{f}_at when x.is_{f} then coalesce(s.{f}_at, x.ts) end as {f}_at"
-    fold = f"""aggregate(array_sort(collect_list(struct(ts, seq, is_read, is_starred))),
-      named_struct('is_read', false, 'is_starred', false, 'read_at', cast(null as bigint), 'starred_at', cast(null as bigint), 'updated_at', cast(0 as bigint)),
-      (s, x) -> struct(coalesce(x.is_read, s.is_read) as is_read, coalesce(x.is_starred, s.is_starred) as is_starred, {step("read")}, {step("starred")}, x.ts as updated_at))"""
-    return patches.groupBy("item_id").agg(F.expr(fold).alias("s")).select("item_id", "s.*")
+    """Patches ``(item_id, ts, seq, is_read, is_starred)`` folded in order, from unread and unstarred: the final state of each item.
+
+    A flag is its last value that is not null; a flag that is set has the first time it was set
+    after it was last unset. Both are aggregates of constant size, so no row gathers an item's patches.
+    """
+    flags = ("read", "starred")
+    placed = patches.select("item_id", "ts", "is_read", "is_starred", F.struct("ts", "seq", "is_read", "is_starred").alias("o"))
+    ends = placed.groupBy(F.col("item_id").alias("_item")).agg(
+        *(F.expr(f"max_by(is_{f}, o) filter (where is_{f} is not null)").alias(f"last_{f}") for f in flags),
+        *(F.expr(f"max(o) filter (where not is_{f})").alias(f"off_{f}") for f in flags), F.max("o").getField("ts").alias("updated_at"),
+    )
+    since = (
+        placed.join(ends.select("_item", "off_read", "off_starred"), F.col("item_id").eqNullSafe(F.col("_item")))
+        .groupBy("item_id").agg(*(F.expr(f"min(ts) filter (where is_{f} and (off_{f} is null or o > off_{f}))").alias(f"{f}_at") for f in flags))
+    )
+    return since.join(ends, F.col("item_id").eqNullSafe(F.col("_item"))).select(
+        "item_id", *(F.coalesce(f"last_{f}", F.lit(False)).alias(f"is_{f}") for f in flags), *(F.when(F.col(f"last_{f}"), F.col(f"{f}_at")).alias(f"{f}_at") for f in flags), "updated_at"
+    )
 
 
 def tombstones_for(entity: str, ids: DataFrame, now: int) -> DataFrame:

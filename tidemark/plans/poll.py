@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Seconds between polls at least and at most, the first backoff, the longest, and the failures that end a source.
 SHORTEST, LONGEST, BACKOFF, LONGEST_BACKOFF, DEAD_AT = 900, 21600, 60, 86400, 10
@@ -44,25 +46,60 @@ def outcome(kind: Column, status: Column, new_items: Column, parsed: Column) ->
     )
 
 
-def step_sql(s: str, x: str, dead_at: int = DEAD_AT) -> str:
-    """SQL of the state after outcome ``x(ts, outcome)``: ``interval, next_poll_at, fails, dead``. Dead sources stay as they are."""
-    longer, shorter = f"least({s}.interval * 3 div 2, {LONGEST}L)", f"greatest({s}.interval div 2, {SHORTEST}L)"
-    wait = f"cast(least({BACKOFF} * pow(2, least({s}.fails, 40)), {LONGEST_BACKOFF}) as bigint)"
-    pick = f"case {x}.outcome when 'new' then {shorter} when 'none' then {longer} when 'unchanged' then {longer} else {s}.interval end"
-    return f"""if({s}.dead, {s}, named_struct(
-      'interval', cast({pick} as bigint),
-      'next_poll_at', cast({x}.ts + case {x}.outcome when 'gone' then {LONGEST_BACKOFF} when 'failed' then {wait} else {pick} end as bigint),
-      'fails', cast(if({x}.outcome in ('gone', 'failed'), {s}.fails + 1, 0) as bigint),
-      'dead', {x}.outcome = 'gone' or {x}.outcome = 'failed' and {s}.fails + 1 >= {dead_at}))"""
+def step(state: tuple, ts: int | None, outcome: str | None, dead_at: int = DEAD_AT) -> tuple:
+    """The state ``(interval, next_poll_at, fails, dead)`` after an outcome. Dead sources stay as they are."""
+    interval, _, fails, dead = state
+    if dead:
+        return state
+    if outcome in ("gone", "failed"):
+        wait = LONGEST_BACKOFF if outcome == "gone" else min(BACKOFF * 2 ** min(fails, 40), LONGEST_BACKOFF)
+        return interval, None if ts is None else ts + wait, fails + 1, outcome == "gone" or fails + 1 >= dead_at
+    if outcome == "new":
+        interval = max(interval // 2, SHORTEST)
+    elif outcome in ("none", "unchanged"):
+        interval = min(interval * 3 // 2, LONGEST)
+    return interval, None if ts is None else ts + interval, 0, None if outcome is None else False
 
 
 START = "named_struct('interval', cast(3600 as bigint), 'next_poll_at', cast(0 as bigint), 'fails', cast(0 as bigint), 'dead', false)"
 
 
+def _folded(dead_at: int, kind: pa.DataType):
+    """Rows sorted by source and order to the last state of each source; one source's state is held at a time."""
+
+    def run(batches):
+        now, state, any_ = None, None, False
+        for batch in batches:
+            done = []
+            for source, ts, outcome, start in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if not any_ or source != now:
+                    if any_:
+                        done.append((now, *state))
+                    now, state, any_ = source, (start["interval"], start["next_poll_at"], start["fails"], start["dead"]), True
+                state = step(state, ts, outcome, dead_at)
+            yield _states(done, kind)
+        if any_:
+            yield _states([(now, *state)], kind)
+
+    return run
+
+
+def _states(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(cols, (kind, pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["source_id", "interval", "next_poll_at", "fails", "dead"]
+    )
+
+
 def fold_polls(log: DataFrame, start: str = START, dead_at: int = DEAD_AT) -> DataFrame:
     """Outcomes ``(source_id, seq, ts, outcome)`` folded in order of ``seq``: the final state of each source.
 
-    A source's outcomes since its stored state meet in one row: at most one a minute.
+    ``start`` is SQL over the log's columns, alike for all rows of a source. A source's rows are
+    sorted within their partition, on disk if need be, and pass one by one through its state: no
+    row or task holds all outcomes of a source.
     """
-    fold = f"aggregate(array_sort(collect_list(struct(seq, ts, outcome))), {start}, (s, x) -> {step_sql('s', 'x', dead_at)})"
-    return log.groupBy("source_id").agg(F.expr(fold).alias("s")).select("source_id", "s.*")
+    rows = log.select("source_id", "seq", "ts", "outcome", F.expr(start).alias("start")).repartition("source_id").sortWithinPartitions("source_id", "seq", "ts", "outcome")
+    source = log.schema["source_id"].dataType
+    return rows.select("source_id", F.col("ts").cast("bigint").alias("ts"), "outcome", "start").mapInArrow(
+        _folded(dead_at, to_arrow_type(source)), f"source_id {source.simpleString()}, interval bigint, next_poll_at bigint, fails bigint, dead boolean"
+    )

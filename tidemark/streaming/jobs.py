@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.store import upsert_items
 from tidemark.plans import poll
@@ -16,41 +13,26 @@ from tidemark.plans import poll
 STATE = "interval bigint, next_poll_at bigint, fails bigint, dead boolean"
 
 
-def _advance(state: tuple, ts: int, outcome: str) -> tuple:
-    interval, due, fails, dead = state
-    if dead:
-        return state
-    if outcome in ("new", "none", "unchanged"):
-        interval = max(interval // 2, poll.SHORTEST) if outcome == "new" else min(interval * 3 // 2, poll.LONGEST)
-        return interval, ts + interval, 0, False
-    if outcome == "gone":
-        return interval, ts + poll.LONGEST_BACKOFF, fails + 1, True
-    return interval, ts + min(poll.BACKOFF * 2 ** min(fails, 40), poll.LONGEST_BACKOFF), fails + 1, fails + 1 >= poll.DEAD_AT
-
-
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
-    at = state.get if state.exists else (3600, 0, 0, False)
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for ts, outcome in zip(rows["ts"], rows["outcome"], strict=True):
-        at = _advance(at, int(ts), outcome)
-    state.update(at)
-    yield pd.DataFrame([(key[0], *at)], columns=["source_id", "interval", "next_poll_at", "fails", "dead"])
-
-
-def poll_states(log: DataFrame) -> DataFrame:
-    """A stream ``(source_id, ts, event_id, outcome)`` to the state of each source after each batch, in update mode."""
-    return log.groupBy("source_id").applyInPandasWithState(_fold, f"source_id bigint, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
+def _last(states: DataFrame) -> DataFrame:
+    return states.groupBy("source_id").agg(F.max_by(F.struct("interval", "next_poll_at", "fails", "dead"), "batch").alias("s"))
 
 
 def last_states(log: DataFrame, out: str) -> DataFrame:
-    """Runs the stream over all there is and returns the last state of each source; ``out`` is a shared folder."""
+    """Runs a stream ``(source_id, ts, event_id, outcome)`` over all there is and returns the last state of each source.
 
-    def put(batch: DataFrame, n: int) -> None:
-        batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{out}/states")
+    Each batch is folded onto the states of the batches before it, a row at a time. ``out`` is a shared folder.
+    """
+    spark, store, schema = log.sparkSession, f"{out}/states-{uuid.uuid4().hex}", f"source_id bigint, {STATE}, batch int"
 
-    poll_states(log).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
-    rows = log.sparkSession.read.schema(f"source_id bigint, {STATE}, batch int").parquet(f"{out}/states")
-    return rows.groupBy("source_id").agg(F.max_by(F.struct("interval", "next_poll_at", "fails", "dead"), "batch").alias("s")).select("source_id", "s.*")
+    def put(batch: DataFrame, n: int) -> None:
+        # a batch that is run again is replaced, and starts from only the batches before it
+        stored = spark.read.schema(schema).parquet(store).where(F.col("batch") < n) if n else spark.createDataFrame([], schema)
+        before = _last(stored).toDF("_source", "before")
+        rows = batch.join(before, F.col("source_id").eqNullSafe(F.col("_source")), "left").select("source_id", F.struct("ts", "event_id").alias("seq"), "ts", "outcome", "before")
+        poll.fold_polls(rows, f"coalesce(before, {poll.START})").write.mode("overwrite").parquet(f"{store}/batch={n}")
+
+    log.writeStream.foreachBatch(put).option("checkpointLocation", f"{out}/log-{uuid.uuid4().hex}").trigger(availableNow=True).start().awaitTermination()
+    return _last(spark.read.schema(schema).parquet(store)).select("source_id", "s.*")
 
 
 def upsert_stream(items: DataFrame, out: str) -> DataFrame:
