@@ -51,7 +51,7 @@ def runs_of(spark, rows):
         "licenses": lambda: licenses.scan(df.select(F.col("doc_id").alias("id"), F.concat("source", F.lit("/x")).alias("path"), "text", "line", "key")),
         "near": lambda: minhash.near_duplicates(df),
         "language": lambda: language.identify(df, language.training_texts(df)),
-        "fingerprints": lambda: fingerprint.settle(fingerprint.fingerprints(df), df),
+        "fingerprints": lambda: fingerprint.fingerprints(df),
         "lines": lambda: lines.dedup_lines(df),
         "urls": lambda: urls.judge(df.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), "key", "line"), [urls.host_rule("block", "net/")]),
     }
@@ -239,6 +239,16 @@ def test_licenses_are_inherited(spark):
     }
 
 
+def test_whole_license_files(spark):
+    texts = dict(licenses.file_templates())
+    rows = [(i, f"{name}/LICENSE", f"Copyright (c) 2020 Somebody Else\n\n{text.upper()}") for i, (name, text) in enumerate(sorted(texts.items()))]
+    rows += [(100 + i, f"{name}/src/deep/x.c", "int main;") for i, name in enumerate(sorted(texts))]
+    rows += [(200, "q/x", "Licensed under the MIT license."), (200, "q/x", "Licensed under CC BY 4.0.\nand a good many other words of no licence"), (201, "prose/LICENSE", "some words that are no licence at all " * 20)]
+    got = [(r.id, r.license, r.origin, r.from_path) for r in licenses.scan(spark.createDataFrame(rows, "id bigint, path string, text string")).collect()]
+    want = [(i, name, "file", None) for i, name in enumerate(sorted(texts))] + [(100 + i, name, "inherited", f"{name}/LICENSE") for i, name in enumerate(sorted(texts))]
+    assert sorted(got, key=str) == sorted([*want, (200, "MIT", "header", None), (200, "CC-BY-4.0", "header", None), (201, None, None, None)], key=str)
+
+
 # --- 5
 
 
@@ -321,13 +331,21 @@ def test_fingerprints_and_edits(spark):
         h = len(t) // 2
         assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - h] + nxt[:h]).encode()).hexdigest() and got[i].n_chars == len(t)
     assert got[5].fingerprint == got[9].fingerprint and got[7].fingerprint == got[1].fingerprint and got[3].near_edited == 1.0
-    assert fingerprint.collisions(spark.createDataFrame(rows, "doc_id bigint, text string")) is None
-
-
-def test_colliding_digests_are_told_apart(spark, monkeypatch):
-    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A")], "doc_id bigint, text string")
-    packed = df.select("text").mapInArrow(fingerprint._packed_canonical, "fp string, packed binary").withColumn("fp", F.lit("same"))
-    assert packed.groupBy("fp").agg(F.min("packed").alias("lo"), F.max("packed").alias("hi")).where("lo <> hi").count() == 1
+    assert fingerprint.shared_digests(spark.createDataFrame(rows, "doc_id bigint, text string")) == frozenset()
+
+
+def test_colliding_digests_are_told_apart(spark):
+    rows = [(1, "ab"), (2, "cd"), (3, "AB "), (4, "abc"), (None, "xy"), (None, "ab"), (5, "ad")]
+    weak = lambda canon: str(len(canon))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert fingerprint.shared_digests(df, hasher=weak) == {"2"}
+    got = fingerprint.fingerprints(df, parts=2, hasher=weak).collect()
+    canon = {"ab": "ab", "cd": "cd", "AB ": "ab", "abc": "abc", "xy": "xy", "ad": "ad"}
+    of = {r.doc_id: r for r in got if r.doc_id is not None}
+    assert len(got) == len(rows) and len({of[i].fingerprint for i in of}) == len({canon[t] for i, t in rows if i is not None})
+    assert of[1].fingerprint == of[3].fingerprint != of[2].fingerprint and of[4].fingerprint == "3"
+    assert of[2].edited_fingerprint == "2-" + hashlib.sha256(b"ca").hexdigest() and of[1].near_next == 0.0
+    assert sorted(r.edited_fingerprint for r in got if r.doc_id is None) == sorted("2-" + hashlib.sha256(x).hexdigest() for x in (b"aa", b"xa"))
 
 
 # --- 8

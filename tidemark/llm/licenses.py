@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import cut
+
 #: Licence templates (name, text), as headers and notices state them.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -69,30 +72,32 @@ def clue(unit: list[tuple[str, dict[str, float]]], least: float) -> str:
     return r"(?i)(?<![a-z0-9])(?:" + "|".join(anchors(unit, least)) + r")(?![a-z0-9])"
 
 
-def matches(texts: DataFrame, templates=TEMPLATES, least: float = 0.7) -> DataFrame:
+def file_templates() -> tuple[tuple[str, str], ...]:
+    """Whole public licence texts, a file each in ``license_texts``: what licence files hold besides the header sentences."""
+    folder = files("tidemark.llm") / "license_texts"
+    return tuple((f.name.removesuffix(".txt"), f.read_text()) for f in sorted(folder.iterdir(), key=lambda f: f.name))
+
+
+def matches(texts: DataFrame, templates=TEMPLATES, least: float = 0.7, hint: bool = True) -> DataFrame:
     """The best template of each text: ``key, license, cosine``, where the cosine is ``least`` or more.
 
     ``texts(key, text)`` are lines or whole files, a key each. Terms outside the templates weigh as
-    the rarest do. Only texts with an anchor term are split; the sparse vectors are joined to the
-    templates' by term, both small, and summed by text and template. Ties go to the first name.
+    the rarest do. Only texts with an anchor term are split (all, without ``hint``). The sparse vectors meet the
+    templates' in one broadcast table by term, whose size is that of the templates; a text's norm and its products
+    with all templates are sums of one grouping. Ties go to the first name.
     """
-    spark = texts.sparkSession
     idf, unit = weights(templates)
     rare = math.log(1 + len(unit)) + 1
     words = f"filter(split(lower(text), '[^a-z0-9]+'), t -> t <> '' and t not in ({', '.join(map(repr, STOP))}))"
-    found = (
-        texts.where(F.col("text").rlike(clue(unit, least)))
-        .select("key", F.explode(F.expr(words)).alias("term")).groupBy("key", "term").agg(F.count("*").alias("n"))
-    )
-    known = spark.createDataFrame([(t, w) for t, w in idf.items()], "term string, idf double")
-    vector = spark.createDataFrame([(i, name, t, w) for i, (name, v) in enumerate(unit) for t, w in v.items()], "template int, license string, term string, weight double")
+    asked = texts.where(F.col("text").rlike(clue(unit, least))) if hint else texts
+    found = asked.select("key", F.explode(F.expr(words)).alias("term")).repartition("key").groupBy("key", "term").agg(F.count("*").alias("n"))
+    known = texts.sparkSession.createDataFrame([(t, w, [v.get(t, 0.0) for _, v in unit]) for t, w in idf.items()], "term string, idf double, weights array<double>")
     weighed = found.join(F.broadcast(known), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(rare)))
-    norm = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(F.broadcast(vector), "term").groupBy("key", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norm, "key").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= least)
-    return scored.groupBy("key").agg(F.max(F.struct("cosine", F.lit(0).alias("_"))).alias("top"), F.collect_set(F.struct((-F.col("cosine")).alias("c"), "license")).alias("all")).select(
-        "key", F.array_min("all").getField("license").alias("license"), F.col("top.cosine").alias("cosine")
+    dots = weighed.groupBy("key").agg(
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *(F.sum(F.col("w") * F.col("weights")[i]).alias(f"d{i}") for i in range(len(unit)))
     )
+    best = F.array_min(F.array(*(F.struct((-F.round(F.coalesce(F.col(f"d{i}"), F.lit(0.0)) / F.col("norm"), 6)).alias("c"), F.lit(name).alias("license")) for i, (name, _) in enumerate(unit))))
+    return dots.select("key", best.alias("b")).where(F.col("b.c") <= -least).select("key", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
 
 
 def directory(path: Column) -> Column:
@@ -106,38 +111,46 @@ def ancestors(path: Column) -> Column:
     return F.array_distinct(F.concat(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/")), F.array(F.lit(""))))
 
 
-def scan(files: DataFrame, templates=TEMPLATES, least: float = 0.7, share: float = 0.5) -> DataFrame:
+def scan(texts: DataFrame, templates=TEMPLATES, least: float = 0.7, share: float = 0.5) -> DataFrame:
     """Licences of files: ``id, path, license, cosine, origin, from_path``.
 
-    ``files(id, path, text)``. A file's own licence is the best template among its lines, its whole
-    text if it has one of the names of licence files (``origin`` ``header`` or ``file``). A file
-    with such a name, or of whose words the matching lines are ``share`` or more, governs its
-    directory and all below; a file without a licence of its own takes that of the nearest ancestor
-    directory that has one (``inherited``), the first name where several files govern one.
-    Directories are reduced to distinct ones before they are joined to their ancestors.
+    ``texts(id, path, text)``. A file's own licence is the best template among its lines (``origin``
+    ``header``), or for a file with one of the names of licence files the best of its whole text,
+    against the same templates and against whole licence texts (``file``). A file with such a name,
+    or of whose words the matching lines are ``share`` or more, governs its directory and all below;
+    a file without a licence of its own takes that of the nearest ancestor directory that has one
+    (``inherited``), the first name where several files govern one. Texts are read once for their
+    lines with an anchor term, which are written to the shared folder; equal lines are weighed
+    once. Directories are reduced to distinct ones before they are joined to their ancestors.
 
     Null and empty texts have no licence of their own but inherit; a null path is its own place,
-    it neither governs nor inherits; null ids and repeated rows stay. An empty table gives an
-    empty table; other columns are ignored.
+    it neither governs nor inherits; null ids and repeated rows stay, each with its own result where rows of one id and
+    path differ in text. An empty table gives an empty table; other columns are ignored.
     """
-    # rows are told apart by id and path: equal rows have equal lines and one result
-    known = files.select("id", "path", "text")
-    key = F.struct(F.col("id").alias("id"), F.col("path").alias("path"))
+    # rows are told apart by id, path and text: equal rows have equal lines and one result
+    row = F.xxhash64("text")
+    known = texts.select("id", "path", "text")
     named = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(LICENSE_FILE), F.lit(False))
     words = lambda c: F.size(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != ""))
     hint = F.col("text").rlike(clue(weights(templates)[1], least))
-    lines = (
-        known.where(hint)
-        .select(key.alias("file"), named.alias("named"), words(F.col("text")).alias("size"), F.explode(F.when(named, F.array("text")).otherwise(F.split("text", "\n"))).alias("text"))
-        .where(hint)
+    lines = cut(
+        known.where(hint | named)
+        .select(
+            F.struct(F.col("id").alias("id"), F.col("path").alias("path"), row.alias("row")).alias("file"), named.alias("named"), words(F.col("text")).alias("size"),
+            F.explode(F.when(named, F.array("text")).otherwise(F.split("text", "\n"))).alias("text"),
+        )
+        .where(hint | F.col("named")).withColumn("key", F.md5("text")).withColumn("part", words(F.col("text")))
+    )
+    short = matches(lines.groupBy("key").agg(F.any_value("text").alias("text")), templates, least)
+    whole = matches(lines.where("named").groupBy("key").agg(F.any_value("text").alias("text")), file_templates(), least, hint=False)
+    best = cut(short.withColumn("whole", F.lit(False)).union(whole.withColumn("whole", F.lit(True))))
+    hits = lines.drop("text").join(best, "key").where("named or not whole")
+    own = cut(
+        hits.groupBy("file").agg(
+            F.array_min(F.collect_set(F.struct((-F.col("cosine")).alias("c"), "license"))).alias("best"), F.max("named").alias("named"),
+            F.sum("part").alias("part"), F.max("size").alias("size"),
+        ).select("file.*", F.col("best.license").alias("license"), (-F.col("best.c")).alias("cosine"), "named", (F.col("named") | (F.col("part") >= share * F.col("size"))).alias("governs"))
     )
-    distinct = lines.select(F.col("text").alias("key"), "text").distinct()
-    best = matches(distinct, templates, least).withColumnRenamed("key", "text")
-    hits = lines.join(best, "text").withColumn("part", words(F.col("text")))
-    own = hits.groupBy("file").agg(
-        F.array_min(F.collect_set(F.struct((-F.col("cosine")).alias("c"), "license"))).alias("best"), F.max("named").alias("named"),
-        F.sum("part").alias("part"), F.max("size").alias("size"),
-    ).select("file.*", F.col("best.license").alias("license"), (-F.col("best.c")).alias("cosine"), "named", (F.col("named") | (F.col("part") >= share * F.col("size"))).alias("governs"))
     governed = (
         own.where("governs and path is not null").select(directory(F.col("path")).alias("place"), F.struct("path", "license").alias("by"))
         .groupBy("place").agg(F.min("by").alias("by"))
@@ -147,10 +160,10 @@ def scan(files: DataFrame, templates=TEMPLATES, least: float = 0.7, share: float
         places.select("dir", F.explode(ancestors(F.col("dir"))).alias("place")).join(governed, "place")
         .groupBy("dir").agg(F.max(F.struct(F.length("place").alias("depth"), "by")).alias("near")).select("dir", F.col("near.by").alias("by"))
     )
-    mine = own.select(F.col("id").alias("_id"), F.col("path").alias("_path"), F.col("license").alias("own"), F.col("cosine"), "named")
+    mine = own.select(F.col("id").alias("_id"), F.col("path").alias("_path"), F.col("row").alias("_row"), F.col("license").alias("own"), F.col("cosine"), "named")
     return (
-        known.withColumn("dir", directory(F.col("path"))).drop("text")
-        .join(mine, F.col("id").eqNullSafe(F.col("_id")) & F.col("path").eqNullSafe(F.col("_path")), "left").join(nearest, "dir", "left")
+        known.select("id", "path", row.alias("row"), directory(F.col("path")).alias("dir"))
+        .join(mine, F.col("id").eqNullSafe(F.col("_id")) & F.col("path").eqNullSafe(F.col("_path")) & (F.col("row") == F.col("_row")), "left").join(nearest, "dir", "left")
         .select(
             "id", "path", F.coalesce("own", "by.license").alias("license"), "cosine",
             F.when(F.col("own").isNotNull(), F.when(F.col("named"), "file").otherwise("header")).when(F.col("by").isNotNull(), "inherited").alias("origin"),
@@ -163,10 +176,10 @@ def op4_license_scan(spark, sf_dir: str) -> DataFrame:
     """Licences of all documents, each a file ``source/hundred/doc_id`` in a folder of its source."""
     from tidemark.tables import table
 
-    files = table(spark, sf_dir, "documents").select(
+    docs = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), F.concat_ws("/", "source", F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string")).alias("path"), "text"
     )
-    return scan(files).withColumnRenamed("id", "doc_id")
+    return scan(docs).withColumnRenamed("id", "doc_id")
 
 
 def _sql() -> str:
