@@ -37,6 +37,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a ``cut`` that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: ``small`` sends a table to every executor while it has at most so many values.
 BROADCAST_VALUES = 1_000_000
 
@@ -50,6 +58,15 @@ def small(df: DataFrame, values: Column | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_VALUES else df
 
 
+def marked(rows: DataFrame, id_col: str = "doc", text_col: str = "text") -> DataFrame:
+    """``rows`` with ``mark``, which tells rows that share an id apart: 0 where the id is alone, else a hash of the text."""
+    repeated = cut(rows.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col))
+    if repeated.isEmpty():
+        return rows.withColumn("mark", F.lit(0).cast("bigint"))
+    again = small(repeated).withColumn("again", F.lit(True))
+    return rows.join(again, id_col, "left").withColumn("mark", F.when(F.col("again"), F.xxhash64(text_col)).otherwise(F.lit(0))).drop("again")
+
+
 def partitions(spark: SparkSession) -> int:
     """How many shuffle partitions the session asks for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

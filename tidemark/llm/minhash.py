@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, cut
+from tidemark.llm.common import components, cut, small
 from tidemark.llm.words import Words, mix, shingles, slices
 
 #: Permutations hashed, and bands of values; each permutation gives two values, so bands * rows = 2 * PERMUTATIONS.
@@ -76,10 +76,14 @@ def _may_link(percent: int):
     return F.expr(differ) <= miss * filled + 5 * spread + 2
 
 
+def _digest(value: np.ndarray) -> bytes:
+    return hashlib.blake2b(value.tobytes(), digest_size=16).digest()
+
+
 def _signed(batches):
-    """Per document: id, set size, digest of the whole set, band keys, screening sketch."""
+    """Per document: id, mark of the text, set size, digest of the whole set, band keys, screening sketch."""
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        texts = batch.column(2).to_pylist()
         for lo, hi in slices(texts):
             value, of = shingles(Words(texts[lo:hi]))
             sizes = np.bincount(of, minlength=hi - lo)
@@ -88,66 +92,68 @@ def _signed(batches):
             keys = bands(min_max(value, first)).view(np.int64) if len(full) else np.zeros((0, BANDS), np.int64)
             digest: list[bytes | None] = [None] * (hi - lo)
             for i, a, b in zip(full, first[:-1], first[1:], strict=True):
-                digest[i] = hashlib.blake2b(value[a:b].tobytes(), digest_size=16).digest()
+                digest[i] = _digest(value[a:b])
             offsets = np.zeros(hi - lo + 1, np.int32)
             offsets[1:] = np.cumsum(np.where(sizes > 0, BANDS, 0))
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), pa.array(digest, pa.binary()),
+                    *(batch.column(k).slice(lo, hi - lo) for k in (0, 1)), pa.array(sizes.astype(np.int64)), pa.array(digest, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())),
                     pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * (BINS // 16)), pa.array(sketch(value, of, hi - lo).ravel())),
                 ],
-                names=["doc_id", "n_shingles", "digest", "keys", "sketch"],
+                names=["doc_id", "mark", "n_shingles", "digest", "keys", "sketch"],
             )
 
 
 def _sets(batches):
-    """Per document: id and its sorted shingle hashes, as bytes."""
+    """Texts to their sets: the set's digest and its sorted shingle hashes, as bytes."""
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        texts = batch.column(0).to_pylist()
         for lo, hi in slices(texts):
             value, of = shingles(Words(texts[lo:hi]))
             cuts = np.searchsorted(of, np.arange(hi - lo + 1))
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo), pa.array([value[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())],
-                names=["id", "shingles"],
-            )
+            runs = [value[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(r) for r in runs], pa.binary()), pa.array([r.tobytes() for r in runs], pa.binary())], names=["digest", "shingles"])
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose sets of distinct 5-word shingles are alike.
 
-    Returns per document ``doc_id, n_shingles, component_id, kept``. Two documents are linked where
+    Returns per row ``doc_id, n_shingles, component_id, kept``, and ``mark, first_mark``. Two documents are linked where
     100 * intersection >= ``percent`` * union; links are confirmed on full sets of 64-bit shingle
-    hashes. ``component_id`` is the smallest id that links reach.
+    hashes. ``component_id`` is the smallest id that links reach, and ``first_mark`` the smallest mark of a text with that id there
+    (``mark``: a hash of the row's text).
 
-    Documents with equal sets form one class, represented by its smallest id. Representatives that
+    Documents with equal sets, told by the set's 128-bit digest, form one class. Classes that
     share a band key and whose sizes allow a link are candidates, in two rounds: first each with the
-    smallest of its bucket; then, only in buckets whose members are not yet all in one component,
+    one of its bucket that has the smallest id; then, only in buckets whose members are not yet all in one component,
     pairs of members from different components, each at the least key it shares and only where
     sketches of both sets allow a link. A link between members of one component cannot change the
     result, so no bucket is expanded into all its pairs. At the threshold a pair shares none of the
     24 bands of 5 values, or fails the sketch, with a probability of about 1e-6.
 
     Null and empty texts and texts without words have size 0 and are linked with nothing. Rows with
-    a null id get a null component and are not kept. Rows that repeat an id keep one row each; the
-    id stands for all of them. An empty table gives an empty table; other columns are ignored.
+    a null id link like others, but give no component its id; their ``component_id`` is null where no id is reached, and they are not ``kept``. Rows that repeat
+    an id are told apart by their texts, each with its own component. An empty table gives an empty table; other columns are ignored.
     """
-    known = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = known.mapInArrow(_signed, "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>, sketch array<bigint>")
+    known = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    signed = cut(known.mapInArrow(_signed, "doc_id bigint, mark bigint, n_shingles bigint, digest binary, keys array<bigint>, sketch array<bigint>"))
+    # of a class any member's text has the set; the one of least id and mark is fetched for it
     classes = cut(
-        signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+        signed.where("n_shingles > 0").groupBy("digest")
+        .agg(F.min(F.struct("doc_id", "mark")).alias("at"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+        .withColumn("rep", F.monotonically_increasing_id())
     )
-    # A representative that only meets itself needs no candidates: lone keys go before anything is joined.
-    keyed = classes.select("rep", "n", F.explode("keys").alias("key"))
+    # A class that only meets itself needs no candidates: lone keys go before anything is joined.
+    first_of = F.struct(F.col("at.doc_id").isNull().alias("none"), "at.doc_id", "at.mark", "rep", "n")
+    keyed = classes.select("rep", "n", first_of.alias("place"), F.explode("keys").alias("key"))
     buckets = cut(
-        keyed.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("rep", "n")).alias("hub"))
+        keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("place").alias("hub"))
         .where("members > 1").join(keyed, "key").select("key", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"))
     )
     fits = lambda a, b: F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
-    star = buckets.where((F.col("hub") != F.col("rep")) & fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    first = cut(confirm(known, star, percent))
+    star = cut(buckets.where((F.col("hub") != F.col("rep")) & fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+    first = cut(confirm(known, classes, star, percent))
     near = components(first).withColumnRenamed("node", "rep")
     placed = buckets.select("key", "rep", "n").join(near, "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
@@ -159,24 +165,47 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             & (F.array_min(F.array_intersect("keys", "keys2")) == F.col("key"))
         ).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).join(star, ["a", "b"], "left_anti")
     )
-    links = first.union(confirm(known, cut(cross), percent))
-    roots = components(links)
-    members = signed.select("doc_id", "n_shingles", "digest")
-    named = classes.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
-    found = members.join(named, "digest", "left").select(
+    links = first.union(confirm(known, classes, cut(cross), percent))
+    roots = classes.select("digest", "rep").join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
+    # rows of a component meet under its root: one row for each class first, then the least id of all
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("least")
+    own = signed.where("n_shingles > 0").groupBy("digest").agg(least).join(roots, "digest")
+    named = own.select("digest", "root").join(own.groupBy("root").agg(F.min("least").alias("least")), "root").select("digest", "least")
+    found = signed.select("doc_id", "mark", "n_shingles", "digest").join(named, "digest", "left").select(
         "doc_id", "n_shingles",
-        F.coalesce("root", "doc_id").alias("component_id"),
+        F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), "mark", F.coalesce("least.mark", "mark").alias("first_mark"),
     )
-    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "mark", "first_mark")
 
 
-def confirm(known: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of ids whose full sets are alike; sets are shuffled once for each side of the pairs."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+def without_copies(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, that stay when of each component of ``near_duplicates`` one row stays.
+
+    It is the row of the smallest id, of rows with that id the one whose text has the least hash, and of rows equal in both any one. A component
+    without any id keeps one of its rows, that of the least hash. Rows whose text is null or without words all stay.
+    """
+    near = cut(near_duplicates(docs, percent, id_col, text_col))
+    key = [F.col(id_col).cast("bigint").alias("_tm_id"), F.xxhash64(text_col).alias("_tm_mark")]
+    stay = near.where("n_shingles = 0 or (mark = first_mark and doc_id <=> component_id)").groupBy(F.col("doc_id").alias("_tm_id2"), F.col("mark").alias("_tm_mark2")).agg(
+        F.count("*").alias("_tm_rows"), F.max("n_shingles").alias("_tm_size")
+    )
+    cols = docs.columns
+    kept = docs.select("*", *key).join(stay, (F.col("_tm_mark") == F.col("_tm_mark2")) & F.col("_tm_id").eqNullSafe(F.col("_tm_id2")))
+    repeated = F.col("_tm_size").cast("boolean") & (F.col("_tm_rows") > 1)
+    if stay.where(repeated).isEmpty():
+        return kept.select(cols)
+    return kept.where(~repeated).select(cols).union(kept.where(repeated).dropDuplicates(["_tm_id", "_tm_mark"]).select(cols))
+
+
+def confirm(known: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` of classes whose full sets are alike; the sets of one text of each class are made once."""
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(classes.select("rep", "digest", "at"), "rep")
+    wanted = cut(wanted.select("rep", "digest", F.col("at.doc_id").alias("_id"), F.col("at.mark").alias("_mark")))
     sets = (
-        known.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        .mapInArrow(_sets, "id bigint, shingles binary")
+        known.join(small(wanted.select("_id", "_mark"), F.lit(2)), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_semi")
+        .select("text").mapInArrow(_sets, "digest binary, shingles binary").dropDuplicates(["digest"])
     )
+    sets = cut(sets.join(wanted.select("rep", "digest"), "digest").select("rep", "shingles"))
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
 
     def alike(batches):
@@ -199,4 +228,4 @@ def op5_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents, at 85 % of the union."""
     from tidemark.tables import table
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
