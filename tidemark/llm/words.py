@@ -99,11 +99,11 @@ def shingles(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return value[new], of[new]
 
 
-def slices(texts: list[str | None], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list, chars: int = 1_000_000, size=lambda t: len(t or "")) -> Iterator[tuple[int, int]]:
     """Runs of rows of about so many characters: what is in memory at once does not grow with a batch."""
     a, n = 0, 0
     for i, t in enumerate(texts):
-        n += len(t or "")
+        n += size(t)
         if n >= chars:
             yield a, i + 1
             a, n = i + 1, 0
