@@ -68,6 +68,14 @@ def upsert_items(items: DataFrame, batch: DataFrame, seq: str = "id") -> DataFra
     return first_of_batch(batch, ["source_id", "guid"], seq).join(items.select("source_id", "guid"), ["source_id", "guid"], "left_anti").select(batch.columns)
 
 
+def insert_items(items: DataFrame, batch: DataFrame, now: int, seq: str = "seq") -> DataFrame:
+    """``items`` with what ``upsert_items`` stores of ``batch``: ids continue the greatest in order of ``seq``, ``fetched_at`` and ``created_at`` are ``now``."""
+    fresh = upsert_items(items, batch, seq)
+    top = items.agg(F.coalesce(F.max("id"), F.lit(0)).alias("n")).first().n
+    stamped = numbered(fresh.drop("id"), top, seq).withColumns({c: F.lit(now).cast("bigint") for c in ("fetched_at", "created_at")})
+    return items.unionByName(stamped.select(*(c for c in items.columns if c in stamped.columns)), allowMissingColumns=True)
+
+
 def upsert_results(items: DataFrame, batch: DataFrame, seq: str = "id") -> DataFrame:
     """For each row of ``batch`` the id that its (source_id, guid) has in the end, and whether this row made it."""
     stored = items.select("source_id", "guid", F.col("id").alias("stored_id"))
@@ -210,3 +218,23 @@ def split_new_folders(folders: DataFrame, new: DataFrame, deepest: int = 2) -> t
         "reason", F.when(F.coalesce("name", F.lit("")) == "", "name is required").when(F.col("parent_id").isNotNull() & (F.coalesce("depth", F.lit(0)) + 1 > deepest), "too deep")
     ).drop("depth")
     return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
+
+
+def insert_folders(folders: DataFrame, new: DataFrame, now: int, deepest: int = 2) -> tuple[DataFrame, DataFrame]:
+    """``folders`` with the rows of ``new(seq, name, parent_id)`` that fit, stamped ``now``, and the rejected rows with a reason; ids continue the greatest."""
+    fit, rejected = split_new_folders(folders, new, deepest)
+    top = folders.agg(F.coalesce(F.max("id"), F.lit(0)).alias("n")).first().n
+    made = numbered(fit, top, "seq").withColumns({c: F.lit(now).cast("bigint") for c in ("created_at", "updated_at")})
+    return folders.unionByName(made.select(*(c for c in folders.columns if c in made.columns)), allowMissingColumns=True), rejected
+
+
+def update_folders(folders: DataFrame, changes: DataFrame, now: int, deepest: int = 2) -> tuple[DataFrame, DataFrame]:
+    """``folders`` with ``changes(id, name, parent_id)``, one a folder, and the changes whose new parent is too deep.
+
+    An empty or null name and a null parent leave what is stored; every changed folder gets ``updated_at`` = ``now``.
+    Changes of folders that are not stored are ignored. A new parent is judged by the depths before any change.
+    """
+    depth = folder_depths(folders).select(F.col("id").alias("parent_id"), "depth")
+    judged = changes.join(depth, "parent_id", "left").withColumn("too_deep", F.col("parent_id").isNotNull() & (F.coalesce("depth", F.lit(0)) + 1 > deepest))
+    fit = judged.where(~F.col("too_deep")).select("id", F.when(F.col("name") != "", F.col("name")).alias("name"), "parent_id")
+    return patch(folders, fit, ["name", "parent_id"], now), judged.where("too_deep").select(changes.columns)

@@ -103,3 +103,59 @@ def fold_polls(log: DataFrame, start: str = START, dead_at: int = DEAD_AT) -> Da
     return rows.select("source_id", F.col("ts").cast("bigint").alias("ts"), "outcome", "start").mapInArrow(
         _folded(dead_at, to_arrow_type(source)), f"source_id {source.simpleString()}, interval bigint, next_poll_at bigint, fails bigint, dead boolean"
     )
+
+
+_POLLED = "id bigint, interval bigint, next_poll_at bigint, fails bigint, dead boolean, last_poll_at bigint, etag string, last_modified string, polled boolean"
+
+
+def _applied(dead_at: int):
+    """Rows sorted by source and order to the poll state of each source after all of them."""
+
+    def run(batches):
+        now, held = None, None
+        kinds = [pa.int64()] * 4 + [pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
+
+        def batch_of(rows):
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in _POLLED.split(", ")])
+
+        for batch in batches:
+            done = []
+            for source, ts, result, etag, modified, start in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if held is None or source != now:
+                    if held is not None:
+                        done.append((now, *held))
+                    now, held = source, (start["interval"], start["next_poll_at"], start["fails"], start["dead"], start["last_poll_at"], start["etag"], start["last_modified"], False)
+                if not held[3]:  # a dead source is not polled
+                    if result == "unchanged":
+                        etag, modified = held[5], held[6]
+                    elif result not in ("new", "none"):
+                        etag = modified = None
+                    held = (*step(held[:4], ts, result, dead_at), ts, etag or "", modified or "", True)
+            yield batch_of(done)
+        if held is not None:
+            yield batch_of([(now, *held)])
+
+    return run
+
+
+def apply_polls(sources: DataFrame, polls: DataFrame, now: int, dead_at: int = DEAD_AT) -> DataFrame:
+    """``sources`` after ``polls(source_id, seq, ts, outcome, etag, last_modified)``, in order of ``seq`` for each source.
+
+    A poll sets its time, the next poll, the interval, failures and death (``step``), and ``updated_at`` to ``now``. The
+    validators are those of a good answer (none where it has none), stay after an unchanged one, and are cleared by failures. Sources that are dead are
+    not polled, and polls of unknown sources are ignored. A source's polls pass one by one through its state, sorted within their partition.
+    """
+    start = F.struct(
+        F.col("poll_interval").cast("bigint").alias("interval"), F.col("next_poll_at").cast("bigint").alias("next_poll_at"), F.col("consec_fails").cast("bigint").alias("fails"), F.col("is_dead").alias("dead"),
+        F.col("last_poll_at").cast("bigint").alias("last_poll_at"), F.coalesce("etag", F.lit("")).alias("etag"), F.coalesce("last_modified", F.lit("")).alias("last_modified"),
+    )
+    rows = polls.withColumnsRenamed({"etag": "_etag", "last_modified": "_modified"}).join(sources.select(F.col("id").alias("source_id"), start.alias("start")), "source_id")
+    rows = rows.repartition("source_id").sortWithinPartitions("source_id", "seq", "ts", "outcome")
+    after = rows.select(F.col("source_id").cast("bigint"), F.col("ts").cast("bigint"), "outcome", "_etag", "_modified", "start").mapInArrow(_applied(dead_at), _POLLED).where("polled").drop("polled")
+    new = {"poll_interval": "interval", "next_poll_at": "next_poll_at", "consec_fails": "fails", "is_dead": "dead", "last_poll_at": "last_poll_at", "etag": "etag", "last_modified": "last_modified"}
+    joined = sources.join(after.select(F.col("id").alias("_id"), *(F.col(v).alias(f"_{k}") for k, v in new.items())), F.col("id") == F.col("_id"), "left")
+    polled = F.col("_id").isNotNull()
+    return joined.select(
+        *(F.when(polled, F.col(f"_{c}")).otherwise(F.col(c)).cast(sources.schema[c].dataType).alias(c) if c in new else F.when(polled, F.lit(now)).otherwise(F.col(c)).cast("bigint").alias(c) if c == "updated_at" else F.col(c) for c in sources.columns)
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from tidemark.fixtures import T0, over_views
 from tidemark.functions import htmlx, text
 from tidemark.operators import store
 from tidemark.plans import poll, search
-from tidemark.sources import feeds, opml
+from tidemark.sources import feeds, opml, records
 from tidemark.tables import table
 
 QUERIES: dict = {}
@@ -63,7 +64,8 @@ def search_bm25(spark: SparkSession, sf: str) -> DataFrame:
 @query("search_topk", _BM25 + "SELECT item_id, score, title, url FROM (SELECT * FROM r ORDER BY score, item_id LIMIT 50) JOIN v_items ON id = item_id")
 def search_topk(spark, sf):
     best = search.top(search_bm25(spark, sf), 50)
-    return best.join(fx.items(spark, sf).select(F.col("id").alias("item_id"), "title", "url"), "item_id").select("item_id", "score", "title", "url")
+    named = best.join(fx.items(spark, sf).select(F.col("id").alias("item_id"), "title", "url"), "item_id").select("item_id", "score", "title", "url")
+    return named.orderBy("score", "item_id")  # a join does not keep the order
 
 
 _POSTED = "WITH p AS (" + " UNION ALL ".join(
@@ -72,10 +74,10 @@ _POSTED = "WITH p AS (" + " UNION ALL ".join(
 _HAS = "SELECT DISTINCT item_id FROM p WHERE term = '{}'"
 
 
-@query("search_boolean", _POSTED + f"({_HAS.format('the')} INTERSECT ({_HAS.format('thand')} UNION {_HAS.format('onthe')})) EXCEPT {_HAS.format('eau')}")
+@query("search_boolean", _POSTED + f"({_HAS.format('the')} INTERSECT ({_HAS.format('of')} UNION {_HAS.format('onthe')})) EXCEPT {_HAS.format('is')}")
 def search_boolean(spark, sf):
     p = _all_postings(spark, sf)
-    return search.but_not(search.all_of(search.has_term(p, "the"), search.any_of(search.has_term(p, "thand"), search.has_term(p, "onthe"))), search.has_term(p, "eau"))
+    return search.but_not(search.all_of(search.has_term(p, "the"), search.any_of(search.has_term(p, "of"), search.has_term(p, "onthe"))), search.has_term(p, "is"))
 
 
 @query("search_phrase", _POSTED + "SELECT DISTINCT a.item_id FROM p a JOIN p b ON a.item_id = b.item_id AND a.col = b.col AND b.place = a.place + 1 WHERE a.term = 'of' AND b.term = 'the'")
@@ -88,9 +90,9 @@ def search_initial(spark, sf):
     return search.has_phrase(_all_postings(spark, sf), ["the"], at_start=True)
 
 
-@query("search_near", _POSTED + "SELECT DISTINCT a.item_id FROM p a JOIN p b ON a.item_id = b.item_id AND a.col = b.col AND a.place <> b.place AND abs(a.place - b.place) - 1 <= 3 WHERE a.term = 'thand' AND b.term = 'of'")
+@query("search_near", _POSTED + "SELECT DISTINCT a.item_id FROM p a JOIN p b ON a.item_id = b.item_id AND a.col = b.col AND a.place <> b.place AND abs(a.place - b.place) - 1 <= 3 WHERE a.term = 'the' AND b.term = 'of'")
 def search_near(spark, sf):
-    return search.has_near(_all_postings(spark, sf), "thand", "of", 3)
+    return search.has_near(_all_postings(spark, sf), "the", "of", 3)
 
 
 @query("search_prefix", _POSTED + "SELECT DISTINCT item_id FROM p WHERE starts_with(term, 'onthe')")
@@ -122,6 +124,12 @@ def strip_tracking(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.strip_tracking(F.col("url")).alias("url"))
 
 
+@query("strip_tracking_full", r"""SELECT page_id, CASE WHEN url LIKE '%?utm_source=feed%' THEN replace(url, '?utm_source=feed', '') WHEN url LIKE '%?page=2&ref=x%' THEN replace(url, '&ref=x', '') ELSE url END AS url FROM pages""")
+def strip_tracking_full(spark, sf):
+    """The same by the general form, which decodes and encodes the query."""
+    return table(spark, sf, "pages").select("page_id", text.strip_tracking_full("url").alias("url"))
+
+
 _ARTICLE = "regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1)"
 _PLAIN = rf"trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({_ARTICLE}, '<[^>]+>', ' ', 'g'), '&quot;', '\"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[\t\n\f\r ]+', ' ', 'g'))".replace('\\"', '"')
 
@@ -136,6 +144,20 @@ def html_title(spark, sf):
     return table(spark, sf, "pages").select("page_id", htmlx.title_of(F.col("html")).alias("title"))
 
 
+@query("html_rule", f"SELECT page_id, replace(replace(trim(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)), '&quot;', '\"'), '&amp;', '&') AS title, {_PLAIN} AS content_text FROM pages")
+def html_rule(spark, sf):
+    """Title and text by the general path: the page's tree, the rule for its main part, sanitized, all entities decoded."""
+    rows = table(spark, sf, "pages").select("page_id", htmlx.by_rule("html").alias("rule"))
+    return rows.select("page_id", F.col("rule.title").alias("title"), text.html_to_text(text.sanitize("rule.content")).alias("content_text"))
+
+
+@query("html_selector", f"SELECT page_id, {_PLAIN} AS content_text FROM pages")
+def html_selector(spark, sf):
+    """The same text by a selector."""
+    rows = table(spark, sf, "pages").select("page_id", htmlx.by_selector("html", F.lit("article")).alias("content"))
+    return rows.select("page_id", text.html_to_text("content").alias("content_text"))
+
+
 @query("html_links", """SELECT page_id, generate_subscripts(l, 1) - 1 AS place, regexp_extract(url, '^(\\w+://[^/?#]*)', 1) || unnest(l) AS link
   FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="(/[^"#]*)', 1) AS l FROM pages)""".replace("\\\\", "\\"))
 def html_links(spark, sf):
@@ -294,10 +316,12 @@ def due_sources(spark, sf):
     return poll.due(fx.sources(spark, sf), T0 + 12000).select("id", "url", "next_poll_at")
 
 
-@query("route_sources", "SELECT type, count(*) AS n FROM v_sources GROUP BY type")
+@query("route_sources", "SELECT id, CASE WHEN id % 7 = 0 THEN 'skipped' WHEN type = 'rss' THEN 'feed' ELSE 'page' END AS route FROM v_sources")
 def route_sources(spark, sf):
-    rss, page, rest = poll.routed(fx.sources(spark, sf))
-    return rss.union(page).union(rest).groupBy("type").agg(F.count("*").alias("n"))
+    """The route that each source takes; every seventh is of no known type, half of them of none."""
+    sources = fx.sources(spark, sf).withColumn("type", F.expr("if(id % 7 = 0, if(id % 2 = 0, 'other', null), type)"))
+    named = zip(("feed", "page", "skipped"), poll.routed(sources), strict=True)
+    return reduce(DataFrame.union, [part.select("id", F.lit(route).alias("route")) for route, part in named])
 
 
 _SINCE = T0 + 3000
@@ -456,6 +480,114 @@ def _shared(spark) -> str:
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
+_SEEN = """SELECT user_id % 20 + 1 AS source_id, floor(epoch(ts))::BIGINT AS ts, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS k, event_id,
+    CASE event_type WHEN 'purchase' THEN 'new' WHEN 'view' THEN 'none' WHEN 'signup' THEN CASE WHEN type = 'rss' THEN 'unchanged' ELSE 'failed' END
+      WHEN 'click' THEN CASE WHEN event_id % 97 <> 0 THEN 'none' WHEN type = 'rss' THEN 'gone' ELSE 'failed' END ELSE 'failed' END AS outcome FROM events JOIN v_sources ON id = user_id % 20 + 1"""
+
+
+def _polls(spark, sf):
+    """Events as answers of twenty sources, with their status, entries and validators."""
+    answers = table(spark, sf, "events").selectExpr(
+        "user_id % 20 + 1 as source_id", "struct(ts, event_id) as seq", "unix_seconds(cast(ts as timestamp)) as ts", "concat('e', event_id) as etag", "if(event_id % 3 = 0, null, concat('m', event_id)) as last_modified",
+        "case event_type when 'purchase' then 200 when 'view' then 200 when 'signup' then 304 when 'click' then if(event_id % 97 = 0, 404, 200) else 500 end as status", "if(event_type = 'purchase', 2, 0) as new_items",
+    )
+    kinds = fx.sources(spark, sf).select(F.col("id").alias("source_id"), "type")
+    return answers.join(kinds, "source_id").withColumn("outcome", poll.outcome(F.col("type"), F.col("status"), F.col("new_items"), F.lit(True)))
+
+
+@query("poll_apply", f"""WITH e AS ({_SEEN}),
+  s(id, k, interval_s, next_poll_at, fails, dead, last_poll_at, etag, last_modified, updated_at) AS (
+    SELECT id, 0::BIGINT, poll_interval::BIGINT, next_poll_at::BIGINT, consec_fails::BIGINT, is_dead, NULL::BIGINT, '', '', updated_at::BIGINT FROM v_sources
+    UNION ALL
+    SELECT s.id, e.k,
+      CASE WHEN dead OR outcome IN ('failed', 'gone') THEN interval_s WHEN outcome = 'new' THEN greatest(interval_s // 2, 900) ELSE least(interval_s * 3 // 2, 21600) END,
+      CASE WHEN dead THEN next_poll_at WHEN outcome = 'gone' THEN ts + 86400 WHEN outcome = 'failed' THEN ts + least(60 * (2 ** fails), 86400)::BIGINT WHEN outcome = 'new' THEN ts + greatest(interval_s // 2, 900) ELSE ts + least(interval_s * 3 // 2, 21600) END,
+      CASE WHEN dead THEN fails WHEN outcome IN ('failed', 'gone') THEN fails + 1 ELSE 0 END, dead OR outcome = 'gone' OR (outcome = 'failed' AND fails + 1 >= 10),
+      CASE WHEN dead THEN last_poll_at ELSE ts END,
+      CASE WHEN dead OR outcome = 'unchanged' THEN etag WHEN outcome IN ('new', 'none') THEN 'e' || event_id ELSE '' END,
+      CASE WHEN dead OR outcome = 'unchanged' THEN last_modified WHEN outcome IN ('new', 'none') AND event_id % 3 <> 0 THEN 'm' || event_id ELSE '' END,
+      CASE WHEN dead THEN updated_at ELSE {MID} END
+    FROM s JOIN e ON e.source_id = s.id AND e.k = s.k + 1)
+  SELECT id, arg_max(interval_s, k) AS poll_interval, arg_max(next_poll_at, k) AS next_poll_at, arg_max(fails, k) AS consec_fails, arg_max(dead, k) AS is_dead, max(last_poll_at) AS last_poll_at,
+    nullif(arg_max(etag, k), '') AS etag, nullif(arg_max(last_modified, k), '') AS last_modified, arg_max(updated_at, k) AS updated_at FROM s GROUP BY id""")
+def poll_apply(spark, sf):
+    """Answers of feeds and pages written back to their sources: state, validators, last poll."""
+    before = fx.sources(spark, sf).withColumns({"last_poll_at": F.lit(None).cast("bigint"), "etag": F.lit(None).cast("string"), "last_modified": F.lit(None).cast("string")})
+    after = poll.apply_polls(before, _polls(spark, sf), MID)
+    return after.select("id", "poll_interval", "next_poll_at", "consec_fails", "is_dead", "last_poll_at", F.expr("nullif(etag, '')").alias("etag"), F.expr("nullif(last_modified, '')").alias("last_modified"), "updated_at")
+
+
+@query("poll_feeds", f"""WITH d AS (SELECT doc_id AS source_id, source, lang, doc_id % 5 = 0 AS bad, doc_id % 3 = 0 AS known FROM documents)
+  SELECT source_id, CASE WHEN bad THEN 'failed' WHEN known THEN 'none' ELSE 'new' END AS outcome, CASE WHEN bad OR known THEN 0 ELSE 1 END::BIGINT AS new_items FROM d""")
+def poll_feeds(spark, sf):
+    """Fetched bodies to items, their counts and each poll's outcome, in one plan: every third item is stored already, every fifth body is cut off."""
+    docs = table(spark, sf, "documents")
+    fetched = docs.select(F.col("doc_id").alias("source_id"), F.expr(f"if(doc_id % 5 = 0, substring({_FEED}, 1, 60), {_FEED})").alias("body"))
+    found = feeds.entry_items(feeds.entries(fetched), T0).withColumn("id", F.col("source_id"))
+    stored = docs.where("doc_id % 3 = 0").selectExpr("doc_id as source_id", "sha2(cast(doc_id as string), 256) as guid", "-doc_id as id")
+    counts = store.upsert_results(stored, found).where("is_new").join(found.select("id", "source_id"), "id").groupBy("source_id").agg(F.count("*").alias("n"))
+    bad = feeds.malformed(fetched).withColumn("bad", F.lit(True))
+    joined = fetched.select("source_id").join(counts, "source_id", "left").join(bad, "source_id", "left").withColumn("new_items", F.coalesce("n", F.lit(0)))
+    return joined.select("source_id", poll.outcome(F.lit("rss"), F.lit(200), F.col("new_items"), F.col("bad").isNull()).alias("outcome"), "new_items")
+
+
+# --- records
+
+
+_BODY = """case when doc_id % 11 = 0 then '{"type": "rss", ' when doc_id % 7 = 0 then concat('{"type":"html","url":"', source, '/', doc_id, '","extra":[1,2]}')
+  else concat('{"type":"rss","url":"', source, '/', doc_id, '","title":"', lang, '","poll_interval":', doc_id % 5 * 600, '}') end"""
+
+
+@query("json_sources", """SELECT doc_id, 'malformed' AS verdict, NULL AS url, NULL AS title, NULL::BIGINT AS poll_interval FROM documents WHERE doc_id % 11 = 0
+  UNION ALL SELECT doc_id, 'html needs scraper_config', source || '/' || doc_id, NULL, NULL FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 7 = 0
+  UNION ALL SELECT doc_id, 'stored', source || '/' || doc_id, lang, CASE WHEN doc_id % 5 = 0 THEN 3600 ELSE doc_id % 5 * 600 END FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 7 <> 0""")
+def json_sources(spark, sf):
+    """Bodies to sources, judged as requests are: malformed, invalid with a reason, or stored with the default interval."""
+    from tidemark.schema import split_valid_sources
+
+    good, bad = records.parsed(table(spark, sf, "documents").select("doc_id", F.expr(_BODY).alias("body")), "sources")
+    good = good.withColumn("poll_interval", F.expr("if(poll_interval = 0, 3600, poll_interval)"))
+    valid, rest = split_valid_sources(good)
+    cols = lambda df, verdict: df.select("doc_id", verdict.alias("verdict"), "url", "title", "poll_interval")
+    none = bad.selectExpr("doc_id", "cast(null as string) as url", "cast(null as string) as title", "cast(null as bigint) as poll_interval")
+    return cols(valid, F.lit("stored")).union(cols(rest, F.col("reason"))).union(cols(none, F.lit("malformed")))
+
+
+@query("json_folders", """SELECT id, '{"id":' || id || ',"name":"' || name || '"' || CASE WHEN parent_id IS NULL THEN '' ELSE ',"parent_id":' || parent_id END || ',"updated_at":' || updated_at || '}' AS value FROM v_folders""")
+def json_folders(spark, sf):
+    df = fx.folders(spark, sf)
+    return df.select("id", records.line(df).alias("value"))
+
+
+@query("item_insert_stamps", f"""WITH n AS (SELECT id AS seq, source_id, guid, url FROM v_items_raw r WHERE id > 100),
+  f AS (SELECT *, row_number() OVER (ORDER BY seq) AS k FROM (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM v_items_raw r WHERE r.id <= 100 AND r.source_id = n.source_id AND r.guid = n.guid) QUALIFY row_number() OVER (PARTITION BY source_id, guid ORDER BY seq) = 1))
+  SELECT (SELECT max(id) FROM v_items WHERE id <= 100) + k AS id, source_id, url, {MID}::BIGINT AS fetched_at, {MID}::BIGINT AS created_at FROM f""")
+def item_insert_stamps(spark, sf):
+    """New items get ids in order and the time of the write."""
+    stored = fx.items(spark, sf).where("id <= 100").withColumn("created_at", F.col("fetched_at"))
+    batch = fx.items_raw(spark, sf).where("id > 100").withColumnRenamed("id", "seq").drop("fetched_at")
+    return store.insert_items(stored, batch, MID).where("id > 100 or fetched_at = created_at and fetched_at = " + str(MID)).select("id", "source_id", "url", "fetched_at", "created_at")
+
+
+@query("insert_folders", f"""WITH n AS (SELECT c_custkey AS seq, CASE WHEN c_custkey % 9 = 0 THEN '' ELSE c_name END AS name, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 1 + c_custkey % 5 WHEN 2 THEN 100 + c_custkey % 25 ELSE 100000 END AS parent_id FROM customer)
+  SELECT (SELECT max(id) FROM v_folders) + row_number() OVER (ORDER BY seq) AS id, name, parent_id, {MID}::BIGINT AS updated_at FROM n WHERE name <> ''""")
+def insert_folders(spark, sf):
+    """New folders on the top, first and second level, and under one that is not there; those without a name are rejected."""
+    new = table(spark, sf, "customer").selectExpr(
+        "c_custkey as seq", "if(c_custkey % 9 = 0, '', c_name) as name", "cast(case c_custkey % 4 when 0 then null when 1 then 1 + c_custkey % 5 when 2 then 100 + c_custkey % 25 else 100000 end as bigint) as parent_id"
+    )
+    return store.insert_folders(fx.folders(spark, sf), new, MID)[0].where(f"updated_at = {MID}").select("id", "name", "parent_id", "updated_at")
+
+
+@query("update_folders", f"""SELECT id, CASE WHEN id % 3 = 0 AND id % 2 = 0 THEN 'new ' || id ELSE name END AS name, CASE WHEN id % 3 = 0 AND id % 5 = 0 THEN 2 ELSE parent_id END AS parent_id,
+  CASE WHEN id % 3 = 0 THEN {MID} ELSE updated_at END AS updated_at FROM v_folders""")
+def update_folders(spark, sf):
+    """Names and parents that are given replace those stored."""
+    f = fx.folders(spark, sf)
+    changes = f.where("id % 3 = 0").selectExpr("id", "if(id % 2 = 0, concat('new ', id), '') as name", "cast(if(id % 5 = 0, 2, null) as bigint) as parent_id")
+    return store.update_folders(f, changes, MID)[0].select("id", "name", "parent_id", "updated_at")
+
+
 # --- outlines
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.htmlx import by_rule, by_selector
-from tidemark.functions.text import collapse, feed_content, feed_guid, html_to_text, page_guid, published, sanitize, strip_tracking_full
+from tidemark.functions.text import feed_content, feed_guid, html_to_text, page_guid, published, sanitize, strip_tracking_full
 
 #: Longer bodies are cut, without an error.
 BODY_LIMIT = 10 << 20
@@ -35,13 +35,17 @@ def iso(text: Column) -> Column:
     return F.try_to_timestamp(text).cast("bigint")
 
 
+def _is_atom() -> Column:
+    return F.col("body").rlike(r"(?s)^\s*(<\?xml.*?\?>)?\s*(<!--.*?-->\s*)*<feed[\s>]")
+
+
 def entries(fetched: DataFrame) -> DataFrame:
     """Entries of feeds ``(source_id, body)``: ``source_id, guid, link, title, author, content, description, published_at, updated_at``.
 
     A body that is no well-formed XML has no entries; see ``malformed``.
     """
     body = F.substring("body", 1, BODY_LIMIT)
-    atom = F.col("body").rlike(r"(?s)^\s*(<\?xml.*?\?>)?\s*(<!--.*?-->\s*)*<feed[\s>]")
+    atom = _is_atom()
     options = {"columnNameOfCorruptRecord": "_corrupt"}
     rss = fetched.where(~atom).select("source_id", F.explode(F.from_xml(body, RSS, options).getField("channel").getField("item")).alias("e")).select(
         "source_id", "e.guid", "e.link", "e.title", F.coalesce("e.dc:creator", "e.author", F.lit("")).alias("author"), F.col("e.content:encoded").alias("content"), "e.description",
@@ -56,9 +60,10 @@ def entries(fetched: DataFrame) -> DataFrame:
 
 
 def malformed(fetched: DataFrame) -> DataFrame:
-    """Feeds of which the body does not parse: these polls count as failed."""
-    parsed = F.from_xml(F.substring("body", 1, BODY_LIMIT), RSS, {"columnNameOfCorruptRecord": "_corrupt"})
-    return fetched.where(parsed.getField("_corrupt").isNotNull()).select("source_id")
+    """Feeds of which the body does not parse, by the schema of its kind: these polls count as failed."""
+    options, body = {"columnNameOfCorruptRecord": "_corrupt"}, F.substring("body", 1, BODY_LIMIT)
+    bad = F.when(_is_atom(), F.from_xml(body, ATOM, options).getField("_corrupt")).otherwise(F.from_xml(body, RSS, options).getField("_corrupt"))
+    return fetched.where(bad.isNotNull() | ~F.coalesce(F.col("body").contains("<"), F.lit(False))).select("source_id")
 
 
 def entry_items(found: DataFrame, poll_ts: int) -> DataFrame:
@@ -83,6 +88,3 @@ def page_items(pages: DataFrame, poll_ts: int) -> DataFrame:
         sanitize("raw").alias("content_html"), html_to_text(sanitize("raw")).alias("content_text"),
     )
 
-
-def tidy(text: Column) -> Column:
-    return collapse(text)
