@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import id_bounds, partitions, shared_dir
 from tidemark.llm.words import Words
 
-#: A pair becomes a rule if it occurs so often in a shard; rounds within words, and over the whole sequence.
-LEAST, WORD_ROUNDS, WHOLE_ROUNDS = 8, 4, 2
+#: A pair becomes a rule if it occurs so often in a piece of a shard.
+LEAST = 8
+#: Symbols that are packed together, so that a reader need not unpack all.
+CHUNK = 1 << 14
 #: A worker forgets its words' ids when it holds so many.
 REMEMBERED = 2_000_000
 
@@ -108,41 +110,55 @@ def spread(flat: np.ndarray, size: np.ndarray, sequence: np.ndarray) -> tuple[np
     return flat[shift + np.arange(len(shift))], per
 
 
-def replace_pairs(symbols: np.ndarray, run: np.ndarray, weight: np.ndarray, fresh: int, least: int = LEAST):
-    """One round of Re-Pair over runs of symbols: ``symbols, run, rules``.
+def repair(symbols: np.ndarray, run: np.ndarray, weight: np.ndarray, fresh: int, least: int = LEAST):
+    """Re-Pair over runs of symbols until no pair occurs ``least`` times: ``symbols, run, rules``.
 
     ``run`` numbers the run a symbol belongs to (no pair crosses runs) and ``weight`` says how often
-    each run occurs. Pairs that occur ``least`` times are replaced by new symbols from ``fresh`` on,
-    each position by the more frequent of the pairs it takes part in, all at once.
+    each run occurs. In a round, pairs that occur ``least`` times are replaced by new symbols from ``fresh`` on,
+    each position by the more frequent of the pairs it takes part in, all at once. A count only
+    falls unless a new symbol takes part, so later rounds count the positions that were frequent and those beside a replacement.
     """
-    none = symbols, run, np.zeros((0, 2), np.int64)
-    if len(symbols) < 2:
-        return none
-    inside = run[1:] == run[:-1]
-    pair = symbols[:-1].astype(np.int64) << 32 | symbols[1:]
-    pair[~inside] = -1
-    kinds, inverse = np.unique(pair, return_inverse=True)
-    count = np.bincount(inverse, np.where(inside, weight[run[:-1]], 0), len(kinds)).astype(np.int64)
-    if not (count >= least).any():
-        return none
-    # a pair's rank: frequent first, then by its symbols; a position yields to neighbours of better rank
-    order = np.lexsort((kinds, -count))
-    rank = np.empty(len(kinds), np.int64)
-    rank[order] = np.arange(len(kinds))
-    mine = np.where(count[inverse] >= least, rank[inverse], np.iinfo(np.int64).max)
-    left = np.concatenate([[np.iinfo(np.int64).max], mine[:-1]])
-    right = np.concatenate([mine[1:], [np.iinfo(np.int64).max]])
-    take = (mine < np.iinfo(np.int64).max) & (mine < left) & (mine <= right)
-    chosen = np.flatnonzero(take)
-    if not len(chosen):
-        return none
-    used, new = np.unique(inverse[chosen], return_inverse=True)
-    rules = np.stack([kinds[used] >> 32, kinds[used] & 0xFFFFFFFF], 1)
-    symbols = symbols.copy()
-    symbols[chosen] = fresh + new
-    keep = np.ones(len(symbols), bool)
-    keep[chosen + 1] = False
-    return symbols[keep], run[keep], rules
+    far, n = np.iinfo(np.int64).max, len(symbols)
+    symbols, rules, live = symbols.astype(np.int64), [np.zeros((0, 2), np.int64)], np.arange(max(0, n - 1))
+    following, before, there, marked = np.arange(1, n + 1), np.arange(-1, n), np.ones(n, bool), np.zeros(n + 1, bool)
+    while len(live):
+        live = live[following[live] < n]
+        live = live[run[live] == run[following[live]]]
+        pair, times = symbols[live] << 32 | symbols[following[live]], weight[run[live]]
+        if len(live) > 10_000:  # pairs whose hash alone is not frequent need not be sorted
+            bucket = (pair * -7046029254386353131 >> 44) & 0xFFFFF
+            live_too = np.bincount(bucket, times)[bucket] >= least
+            live, pair, times = live[live_too], pair[live_too], times[live_too]
+        kinds, inverse = np.unique(pair, return_inverse=True)
+        count = np.bincount(inverse, times, len(kinds)).astype(np.int64)
+        often = count[inverse] >= least
+        live, inverse = live[often], inverse[often]
+        if not len(live):
+            break
+        # a pair's rank: frequent first, then by its symbols; a position yields to neighbours of better rank
+        rank = np.empty(len(kinds), np.int64)
+        rank[np.lexsort((kinds, -count))] = np.arange(len(kinds))
+        mine = rank[inverse]
+        beside = live[1:] == following[live[:-1]]
+        left, right = np.full(len(live), far), np.full(len(live), far)
+        left[1:][beside], right[:-1][beside] = mine[:-1][beside], mine[1:][beside]
+        # of a pair that overlaps itself, as in a run of one symbol, every other position
+        begins = np.flatnonzero(left != mine)
+        odd = (np.arange(len(live)) - np.repeat(begins, np.diff(np.append(begins, len(live))))) % 2 == 1
+        take = (mine <= left) & (mine <= right) & ~odd
+        chosen = live[take]
+        used, new = np.unique(inverse[take], return_inverse=True)
+        rules.append(np.stack([kinds[used] >> 32, kinds[used] & 0xFFFFFFFF], 1))
+        symbols[chosen] = fresh + new
+        fresh += len(used)
+        gone = following[chosen]
+        there[gone] = False
+        following[chosen] = following[gone]
+        before[following[chosen]] = chosen
+        marked[:] = False
+        marked[live[there[live]]] = marked[chosen] = marked[before[chosen]] = True  # the last place stands for what is before the first
+        live = np.flatnonzero(marked[:n])
+    return symbols[there], run[there], np.concatenate(rules)
 
 
 def compress(parts: tuple, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,20 +169,11 @@ def compress(parts: tuple, terminals: int) -> tuple[np.ndarray, np.ndarray, np.n
     """
     flat, size, sequence, total = parts
     often = np.bincount(sequence, minlength=len(size))
-    run, rules = np.repeat(np.arange(len(size)), size), []
-    fresh = terminals
-    for _ in range(WORD_ROUNDS):
-        flat, run, new = replace_pairs(flat.astype(np.int64), run, often, fresh)
-        rules.append(new)
-        fresh += len(new)
+    flat, run, inner = repair(flat, np.repeat(np.arange(len(size)), size), often, terminals)
     symbols, per = spread(flat, np.bincount(run, minlength=len(size)), sequence)
     doc = np.repeat(np.repeat(np.arange(len(total)), total), per)
-    ones = np.ones(len(total), np.int64)
-    for _ in range(WHOLE_ROUNDS):
-        symbols, doc, new = replace_pairs(symbols.astype(np.int64), doc, ones, fresh)
-        rules.append(new)
-        fresh += len(new)
-    return np.concatenate(rules), symbols, np.bincount(doc, minlength=len(total))
+    symbols, doc, outer = repair(symbols, doc, np.ones(len(total), np.int64), terminals + len(inner))
+    return np.concatenate([inner, outer]), symbols, np.bincount(doc, minlength=len(total))
 
 
 def expansions(rules: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,32 +202,51 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-def read_range(rules: bytes, symbols: bytes, symbol_counts: bytes, terminals: int, doc: int, lo: int, hi: int) -> np.ndarray:
-    """Ids ``lo`` to ``hi`` of the ``doc``-th document of a shard.
+def read_range(rules: bytes, symbols: list[bytes], symbol_counts: bytes, terminals: int, doc: int, lo: int, hi: int) -> np.ndarray:
+    """Ids ``lo`` to ``hi`` of the ``doc``-th document of a piece.
 
-    Expansion lengths say which symbols cover the range, so only those are expanded.
+    Only the chunks with the document's symbols are unpacked; the rules' expansion lengths say which symbols cover
+    the range, and only those are expanded, rule by rule, without what falls outside.
     """
-    flat, size = expansions(unpack(rules).reshape(-1, 2), terminals)
-    ends = np.cumsum(unpack(symbol_counts))
-    own = unpack(symbols)[ends[doc - 1] if doc else 0 : ends[doc]]
-    at = np.concatenate([[0], np.cumsum(size[own])])
-    a, b = max(0, int(np.searchsorted(at, lo, "right")) - 1), int(np.searchsorted(at, hi, "left"))
-    return spread(flat, size, own[a:b])[0][lo - at[a] : hi - at[a]]
-
-
-FILE = "shard int, piece int, doc_ids binary, id_counts binary, rules binary, symbol_counts binary, symbols binary"
-_NAMES = ["shard", "piece", "doc_ids", "id_counts", "rules", "symbol_counts", "symbols"]
-
-
-def _deal(bounds: list[int]):
+    table, counts = unpack(rules).reshape(-1, 3), unpack(symbol_counts)
+    first = int(counts[:doc].sum())
+    last = first + int(counts[doc])
+    a, b = first // CHUNK, -(-last // CHUNK)
+    own = np.concatenate([unpack(c) for c in symbols[a:b]] or [np.zeros(0, np.int64)])[first - a * CHUNK : last - a * CHUNK]
+    size_of = lambda x: np.where(x < terminals, 1, table[np.maximum(x - terminals, 0), 2] if len(table) else 1)
+    size = size_of(own)
+    at = np.cumsum(size) - size
+    while True:
+        inside = (at < hi) & (at + size > lo)
+        own, at, size = own[inside], at[inside], size[inside]
+        wide = np.flatnonzero(own >= terminals)
+        if not len(wide):
+            return own
+        each = np.ones(len(own), np.int64)
+        each[wide] = 2
+        place = np.cumsum(each) - each
+        out, start = np.repeat(own, each), np.repeat(at, each)
+        pairs = table[own[wide] - terminals]
+        out[place[wide]], out[place[wide] + 1] = pairs[:, 0], pairs[:, 1]
+        start[place[wide] + 1] += size_of(pairs[:, 0])
+        own, at, size = out, start, size_of(out)
+
+
+FILE = "shard int, piece int, without_id int, doc_ids binary, id_counts binary, rules binary, symbol_counts binary, symbols array<binary>"
+_NAMES = ["shard", "piece", "without_id", "doc_ids", "id_counts", "rules", "symbol_counts", "symbols"]
+_TYPES = [pa.int32()] * 3 + [pa.binary()] * 4 + [pa.list_(pa.binary())]
+
+
+def _deal(bounds: list[int], parts: int):
     def run(batches):
         edges, squeeze = np.array(bounds, np.int64), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids = batch.column(0).to_pylist()
+            raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([-1 if i is None else int(np.searchsorted(edges, i)) for i in ids], pa.int32()), batch.column(0),
-                    pa.array([squeeze.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary()),
+                    pa.array([-1 - zlib.crc32(r) % parts if i is None else int(np.searchsorted(edges, i)) for i, r in zip(ids, raw, strict=True)], pa.int32()), batch.column(0),
+                    pa.array([squeeze.compress(r) for r in raw], pa.binary()),
                 ],
                 names=["shard", "doc_id", "packed"],
             )
@@ -238,9 +264,11 @@ def _write(path: str, terminals: int, end_id: int, chars: int):
         def flush():
             lengths, parts = encode_texts(texts, path, end_id)
             rules, symbols, per = compress(parts, terminals)
-            known = np.array([-1 if i is None else i for i in ids], "<i8")
-            row = [shard, piece, known.tobytes(), pack(lengths), pack(rules.ravel()), pack(per), pack(symbols)]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32(), pa.int32()] + [pa.binary()] * 5, strict=True)], names=_NAMES)
+            row = [
+                shard, piece, sum(i is None for i in ids), np.array([i for i in ids if i is not None], "<i8").tobytes(), pack(lengths),
+                pack(np.column_stack([rules, expansions(rules, terminals)[1][terminals:]]).ravel()), pack(per), [pack(symbols[a : a + CHUNK]) for a in range(0, len(symbols), CHUNK)],
+            ]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES, strict=True)], names=_NAMES)
 
         for batch in batches:
             for s, i, packed in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -261,21 +289,21 @@ def _write(path: str, terminals: int, end_id: int, chars: int):
 def write_tokens(docs: DataFrame, out: str, path: str, terminals: int, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_chars: int = 3_000_000) -> None:
     """Encode every whole text and write the files under ``out``, in ascending id order.
 
-    The format: parquet files of rows ``shard, piece, doc_ids, id_counts, rules, symbol_counts,
-    symbols``. A row holds the documents of a range of ids, in order. ``rules`` are pairs of symbols
-    of a Re-Pair grammar (symbols below ``terminals`` are ids, rule ``k`` is symbol ``terminals +
-    k``), ``symbols`` the compressed documents, ``symbol_counts`` and ``id_counts`` each document's
+    The format: parquet files of rows ``shard, piece, without_id, doc_ids, id_counts, rules, symbol_counts,
+    symbols``. A row holds the documents of a range of ids, in order; the first ``without_id`` of them have none. ``rules`` are
+    pairs of symbols of a Re-Pair grammar (symbols below ``terminals`` are ids, rule ``k`` is symbol ``terminals +
+    k``), each with the number of ids it expands to; ``symbols`` are the compressed documents, in chunks of ``CHUNK``;
+    ``symbol_counts`` and ``id_counts`` are each document's
     number of symbols and of ids; arrays as by ``pack``, ``doc_ids`` as 64-bit integers.
 
-    A null text counts as empty: its ids are the end alone. Rows without an id come first, as id
-    -1 in the file; rows with equal ids follow each other by their compressed text. An empty table
-    writes no rows. Other columns are ignored.
+    A null text counts as empty: its ids are the end alone. Rows without an id come first, in shards of numbers below 0; rows
+    with equal ids follow each other by their compressed text. An empty table writes no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     known = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     bounds = id_bounds(known, "doc_id", partitions(spark))
     (
-        known.mapInArrow(_deal(bounds), "shard int, doc_id bigint, packed binary")
+        known.mapInArrow(_deal(bounds, partitions(spark)), "shard int, doc_id bigint, packed binary")
         .repartition(partitions(spark), "shard").sortWithinPartitions("shard", "doc_id", "packed")
         .mapInArrow(_write(path, terminals, end_id, shard_chars), FILE)
         .write.parquet(out, compression="none")
@@ -285,18 +313,19 @@ def write_tokens(docs: DataFrame, out: str, path: str, terminals: int, end_id: i
 def _read(terminals: int):
     def run(batches):
         for batch in batches:
-            for shard, piece, doc_ids, id_counts, rules, symbol_counts, symbols in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            for shard, piece, without_id, doc_ids, id_counts, rules, symbol_counts, symbols in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
                 ids, counts, per = np.frombuffer(doc_ids, "<i8"), unpack(id_counts), unpack(symbol_counts)
-                flat, size = expansions(unpack(rules).reshape(-1, 2), terminals)
-                full, each = spread(flat, size, unpack(symbols))
+                flat, size = expansions(unpack(rules).reshape(-1, 3)[:, :2], terminals)
+                full, each = spread(flat, size, np.concatenate([unpack(c) for c in symbols]))
                 ends = np.cumsum(each)[np.cumsum(per) - 1]
                 if not np.array_equal(np.diff(ends, prepend=0), counts):
                     raise ValueError(f"shard {shard}, piece {piece}: the symbols do not expand to the lengths written")
                 data = full.astype("<u4").tobytes()
                 crc = [zlib.crc32(data[4 * (e - c) : 4 * e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-                n = len(ids)
+                n = len(counts)
+                known = pa.array(np.concatenate([np.zeros(without_id, np.int64), ids]), mask=np.arange(n) < without_id)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, shard, np.int32)), pa.array(np.full(n, piece, np.int32)), pa.array(ids), pa.array(ends - counts), pa.array(counts), pa.array(crc, pa.int64())],
+                    [pa.array(np.full(n, shard, np.int32)), pa.array(np.full(n, piece, np.int32)), known, pa.array(ends - counts), pa.array(counts), pa.array(crc, pa.int64())],
                     names=["shard", "piece", "doc_id", "inside", "n_tokens", "ids_crc32"],
                 )
 
@@ -306,16 +335,17 @@ def _read(terminals: int):
 def read_digests(spark, out: str, terminals: int) -> DataFrame:
     """Read the files under ``out`` back and expand them: per document ``doc_id, start, n_tokens, ids_crc32``.
 
-    ``start`` counts the ids of all documents before: the sums of the pieces, one row each, are
-    accumulated, and within a piece the expansion lengths give the rest.
+    ``start`` counts the ids of all documents before: the sums of shards, of which there are as many as
+    partitions, are accumulated, then within a shard the sums of its pieces, one row each, and within a piece the expansion lengths give the rest.
     """
-    files = spark.read.parquet(out)
+    files = spark.read.schema(FILE).parquet(out)
     rows = files.mapInArrow(_read(terminals), "shard int, piece int, doc_id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint")
     sizes = files.select("shard", "piece", "id_counts").mapInArrow(_sizes, "shard int, piece int, ids bigint")
-    before = sizes.withColumn("before", F.coalesce(F.sum("ids").over(Window.orderBy("shard", "piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.join(before, ["shard", "piece"]).select(
-        F.expr("nullif(doc_id, -1)").alias("doc_id"), (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32"
-    )
+    sum_before = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards = sizes.groupBy("shard").agg(F.sum("ids").alias("ids")).select("shard", sum_before(Window.orderBy("shard")).alias("shard_before"))
+    pieces = sizes.select("shard", "piece", sum_before(Window.partitionBy("shard").orderBy("piece")).alias("piece_before"))
+    before = pieces.join(shards, "shard").select("shard", "piece", (F.col("shard_before") + F.col("piece_before")).alias("before"))
+    return rows.join(before, ["shard", "piece"]).select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def _sizes(batches):
