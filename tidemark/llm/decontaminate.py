@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import Words, mix, slices
 
 K1, B = 1.2, 0.75
-#: Items of a posting block, whose greatest impacts bound what the block can score; and blocks that are bounded together first.
-BLOCK, TOGETHER = 4, 16
-#: Characters of items in one index; more items than that make several indexes, searched in turn.
-INDEX_CHARS = 8_000_000
+#: Items of a posting block, whose greatest impacts bound what the block can score.
+BLOCK = 4
+#: Characters of items in one index, whose arrays take about ten bytes for each; more items than that make several indexes, searched in turn.
+INDEX_CHARS = 2_000_000
+#: Bounds that are looked up at once.
+LOOKUPS = 1 << 19
 
 
 @dataclass
@@ -28,10 +32,35 @@ class Index:
     first: np.ndarray  # of each term in items and impacts, one more at the end
     items: np.ndarray
     impacts: np.ndarray
-    block_max: np.ndarray  # blocks x terms
+    block_at: np.ndarray  # of each term and block with it: term * blocks + block, ascending
+    block_max: np.ndarray  # the greatest impact of each of those
+    blocks: int
     parts: list[tuple[np.ndarray, np.ndarray, int]]  # question's and answer's grams, and their width
 
 
+def bounds(index: Index, terms: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """The greatest impact that each term has in each block, 0 where it has none."""
+    want = terms.astype(np.int64) * index.blocks + blocks
+    at = np.minimum(np.searchsorted(index.block_at, want), len(index.block_at) - 1)
+    return np.where(index.block_at[at] == want, index.block_max[at], 0.0)
+
+
+def essential(index: Index, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each term the blocks that it alone makes worth a look: where each term's begin, with the end, and the blocks.
+
+    A block's terms are ordered by their greatest impact. What matches the block with ``least`` or more has a first of these terms, and
+    that term and all after it have maxima that sum up to ``least`` at least. Other terms, the common ones above all, name no block by themselves.
+    """
+    term, block = np.divmod(index.block_at, index.blocks)
+    order = np.lexsort((-index.block_max, block))
+    sums = np.cumsum(index.block_max[order][::-1])[::-1]
+    ends = np.searchsorted(block[order], np.arange(index.blocks), "right")
+    after = np.append(sums, 0.0)[ends]
+    keep = np.zeros(len(order), bool)
+    keep[order] = sums - after[block[order]] >= least - 1e-9
+    return np.searchsorted(term[keep], np.arange(len(index.terms) + 1)), block[keep]
+
+
 def grams(hashes: np.ndarray, width: int) -> np.ndarray:
     """Distinct hashes of runs of ``width`` words."""
     if len(hashes) < width:
@@ -72,9 +101,10 @@ def build(rows: list[tuple[int, str]], total: int, df: dict[int, int], mean: flo
     first = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
     items = np.array([i for x in lists for i, _ in x], np.int64)
     impacts = np.array([v for x in lists for _, v in x])
-    top = np.zeros((-(-len(rows) // BLOCK), len(terms)))
-    np.maximum.at(top, (items // BLOCK, np.repeat(np.arange(len(terms)), np.diff(first))), impacts)
-    return Index([i for i, _ in rows], longest, terms, first, items, impacts, top, parts)
+    blocks = -(-len(rows) // BLOCK)
+    at = np.repeat(np.arange(len(terms)), np.diff(first)) * blocks + items // BLOCK  # ascending, as items are within a term
+    new = np.flatnonzero(np.diff(at, prepend=-1))
+    return Index([i for i, _ in rows], longest, terms, first, items, impacts, at[new], np.maximum.reduceat(impacts, new), blocks, parts)
 
 
 def wand(index: Index, block: int, terms: np.ndarray, least: float) -> list[int]:
@@ -84,11 +114,12 @@ def wand(index: Index, block: int, terms: np.ndarray, least: float) -> list[int]
     it reach ``least``. Items before the pivot are skipped; an item at it is scored.
     """
     lists = []
-    for t in terms:
+    tops = bounds(index, terms, np.full(len(terms), block))
+    for t, top in zip(terms[tops > 0].tolist(), tops[tops > 0].tolist(), strict=True):
         a, b = index.first[t], index.first[t + 1]
         a, b = a + np.searchsorted(index.items[a:b], [block * BLOCK, (block + 1) * BLOCK])
         if a < b:
-            lists.append([int(index.items[a]), float(index.block_max[block, t]), int(a), int(b)])
+            lists.append([int(index.items[a]), top, int(a), int(b)])
     found = []
     while lists:
         lists.sort()
@@ -117,9 +148,9 @@ def wand(index: Index, block: int, terms: np.ndarray, least: float) -> list[int]
 def search(index: Index, w: Words, least: float) -> list[tuple[int, int]]:
     """Pairs (text, item) of which a passage of the text scores ``least`` or more of the item's own score.
 
-    Passages overlap by the longest item, so that a copy of an item is whole in one of them. Bounds
-    over the distinct terms of all passages are summed at once; only passages that reach ``least``
-    in a block are searched there.
+    Passages overlap by the longest item, so that a copy of an item is whole in one of them. The essential terms of a
+    passage name the blocks to look at; of these, blocks whose maxima over all terms of the passage do not reach ``least`` are skipped,
+    and only the rest are searched item by item.
     """
     if not len(w.hash) or not len(index.terms):
         return []
@@ -146,23 +177,24 @@ def search(index: Index, w: Words, least: float) -> list[tuple[int, int]]:
         cells.append((base[text] + place // stride - back)[ok])
         kinds.append(term[ok])
     cell, kind = np.concatenate(cells), np.concatenate(kinds)
+    by = np.lexsort((kind, cell))
+    cell, kind = cell[by], kind[by]
+    first, blocks = essential(index, least)
+    n = first[kind + 1] - first[kind]
+    named = np.repeat(first[kind] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    pairs = np.unique(np.repeat(cell, n) * index.blocks + blocks[named])
     hit: list[tuple[int, int]] = []
-    for top in range(0, len(index.block_max), TOGETHER):
-        bounds = index.block_max[top : top + TOGETHER]
-        keen = np.flatnonzero(np.bincount(cell, bounds.max(0)[kind], int(rows.sum())) >= least - 1e-9)
-        if not len(keen):
-            continue
-        number = np.full(int(rows.sum()), -1)
-        number[keen] = np.arange(len(keen))
-        near = number[cell] >= 0
-        c, k = number[cell[near]], kind[near]
-        by = np.argsort(c, kind="stable")
-        c, k = c[by], k[by]
-        cuts = np.searchsorted(c, np.arange(len(keen) + 1))
-        for block in range(len(bounds)):
-            for i in np.flatnonzero(np.bincount(c, bounds[block, k], len(keen)) >= least - 1e-9).tolist():
-                for item in wand(index, top + block, k[cuts[i] : cuts[i + 1]], least - 1e-9):
-                    hit.append((int(np.searchsorted(base, keen[i], "right")) - 1, item))
+    begin, end = np.searchsorted(cell, pairs // index.blocks), np.searchsorted(cell, pairs // index.blocks, "right")
+    taken = np.cumsum(end - begin)
+    for lo, hi in zip(*(lambda c: (c[:-1], c[1:]))(np.unique(np.append(np.searchsorted(taken, np.arange(0, (taken[-1] if len(taken) else 0) + 1, LOOKUPS)), [0, len(pairs)]))), strict=True):
+        size = (end - begin)[lo:hi]
+        which = np.repeat(np.arange(hi - lo), size)
+        terms = kind[np.repeat(begin[lo:hi] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        total = np.bincount(which, bounds(index, terms, (pairs[lo:hi] % index.blocks)[which]), hi - lo)
+        for k in (lo + np.flatnonzero(total >= least - 1e-9)).tolist():
+            passage, block = divmod(int(pairs[k]), index.blocks)
+            for item in wand(index, block, kind[begin[k] : end[k]], least - 1e-9):
+                hit.append((int(np.searchsorted(base, passage, "right")) - 1, item))
     return sorted(set(hit))
 
 
@@ -173,12 +205,12 @@ def overlaps(index: Index, w: Words, text: int, item: int) -> tuple[int, int, in
     return int(np.isin(question, own).sum()), len(question), int(np.isin(answer, own).sum()), len(answer)
 
 
-def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[Index]:
-    """Indexes of all items, each of a bounded number of characters; statistics are over all items."""
+def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Broadcast]:
+    """Indexes of all items, each of at most about ``INDEX_CHARS`` characters and sent to the executors once; statistics are over all items."""
     known = items.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     total = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("chars")).first()
     if not total.n:
-        return []
+        return
     blocks = -(-total.chars // INDEX_CHARS) or 1
 
     def terms(batches):
@@ -193,7 +225,6 @@ def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -
 
     stats = known.select("t").mapInArrow(terms, "h bigint, n bigint, words bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     mean = max(1.0, stats.where("h is null").first().words / total.n)
-    out = []
     for block in range(blocks):
         rows = known.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).orderBy("i", "t").collect()
         rows = [(r.i, r.t) for r in rows if r.t.split()]
@@ -207,8 +238,7 @@ def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -
             df = {r.h & (2**64 - 1): r.n for r in stats.join(wanted, "h").collect()}
         rows = [r for r in rows if len(Words([r[1]], plain=True).hash)]
         if rows:
-            out.append(build(rows, total.n, df, mean))
-    return out
+            yield items.sparkSession.sparkContext.broadcast(build(rows, total.n, df, mean))
 
 
 def leaks(docs: DataFrame, items: DataFrame, percent: int = 80, least: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,12 +258,13 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = 80, least: float = 0
     schema = f"doc_id {kind}, item_id {item_kind}, question_shared bigint, question_size bigint, answer_shared bigint, answer_size bigint"
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = docs.sparkSession.createDataFrame([], schema)
-    for index in indexes(items):  # one pass for each index; an index is bounded, so the closure is
+    for sent in indexes(items):  # one pass for each index
 
-        def run(batches, index=index):
+        def run(batches, sent=sent):
+            index = sent.value
             for batch in batches:
                 texts = batch.column(1).to_pylist()
-                for a, b in slices(texts):
+                for a, b in slices(texts, 500_000):
                     w, out = Words(texts[a:b], plain=True), []
                     for text, item in search(index, w, least):
                         q, qs, r, rs = overlaps(index, w, text, item)
@@ -252,12 +283,13 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = 80, least: float = 0
 def without_leaks(docs: DataFrame, items: DataFrame, percent: int = 80, least: float = 0.6, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, that contain no test item as ``leaks`` finds them; a pass for each index, no shuffle."""
     at = docs.columns.index(text_col)
-    for index in indexes(items):
+    for sent in indexes(items):
 
-        def run(batches, index=index):
+        def run(batches, sent=sent):
+            index = sent.value
             for batch in batches:
                 texts = batch.column(at).to_pylist()
-                for a, b in slices(texts):
+                for a, b in slices(texts, 500_000):
                     w, keep = Words(texts[a:b], plain=True), np.ones(b - a, bool)
                     for text, item in search(index, w, least):
                         q, qs, r, rs = overlaps(index, w, text, item)
