@@ -9,8 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LANE = 128
+from tidemark.llm.common import cut
+from tidemark.llm.words import slices
+
+#: Texts are parsed side by side in runs of so many characters; a phrase that would cross from one to the next counts twice.
+LANE = 1024
 PAD = 1
+#: Characters that are parsed at once.
+SLICE = 1_000_000
 
 
 def training_texts(docs: DataFrame, rows_per_lang: int = 48, chars_per_row: int = 400) -> list[tuple[str, str]]:
@@ -27,11 +33,13 @@ def training_texts(docs: DataFrame, rows_per_lang: int = 48, chars_per_row: int
         F.col("lang").isNotNull() & F.col("text").isNotNull()
         & (F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) != 2)
     ).select("lang", F.xxhash64("text").alias("h"), "text")
+    pool = cut(labelled.select("lang", "h").distinct())
+    # hashes are even over 64 bits: below this one of them a language has many more than it needs, but no task sees more than those
+    sizes = pool.groupBy("lang").agg(F.count("*").alias("n"))
+    top = F.when(F.col("n") <= 8 * rows_per_lang, F.lit(2**63 - 1)).otherwise((F.lit(-(2.0**63)) + F.lit(2.0**64) * 8 * rows_per_lang / F.col("n")).cast("bigint"))
+    least = pool.join(F.broadcast(sizes.select("lang", top.alias("top"))), "lang").where("h <= top")
     order = Window.partitionBy("lang").orderBy("h")
-    picked = (
-        labelled.select("lang", "h").distinct()
-        .withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows_per_lang).select("lang", "h").collect()
-    )
+    picked = least.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows_per_lang).select("lang", "h").collect()
     if not picked:
         return []
     chosen = {(r.lang, r.h) for r in picked}
@@ -119,8 +127,8 @@ def machines(trained: tuple[tuple[str, str], ...]):
 def phrases(texts: list[str | None], trained: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, np.ndarray]:
     """Per text the number of characters that count, and per language the number of phrases.
 
-    Texts are folded and cut into lanes of 128 characters that are parsed side by side; a phrase
-    ends where its lane ends, for every language alike.
+    Texts are folded, parsed whole, and laid out in lanes of ``LANE`` characters that are worked on side by side; a phrase
+    ends where its lane ends, for every language alike, which adds at most one phrase in ``LANE`` characters to a count.
     """
     code, width, tables = machines(trained)
     lanes, owner, sizes = [], [], np.zeros(len(texts), np.int64)
@@ -151,10 +159,17 @@ def phrases(texts: list[str | None], trained: tuple[tuple[str, str], ...]) -> tu
     return sizes, counts
 
 
+def weights_of(trained: tuple[tuple[str, str], ...]) -> np.ndarray:
+    """What a phrase of each language counts: a match in a text of m characters is about log(m) / entropy long, so the
+    phrases of a language that was trained on less count for less, by the ratio of logarithms."""
+    logs = np.log2([2 + len(t) for _, t in trained])
+    return logs / logs.max() if len(logs) else logs
+
+
 def identify(docs: DataFrame, trained: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Language of every whole text: ``id_col, lang_pred, score, phrase_rate``.
 
-    ``phrase_rate`` is phrases per folded character for the winning language (the cross-parsing
+    ``phrase_rate`` is normalised phrases (``weights_of``) per folded character for the winning language (the cross-parsing
     estimate, smaller is closer); ``score`` is one minus its ratio to the second best, from 0 to 1.
     Ties go to the first language in code order. A null or empty text, one without letters, and
     every text when there is no training text, get ``und``, score 0 and no rate. Rows keep their
@@ -166,18 +181,19 @@ def identify(docs: DataFrame, trained: list[tuple[str, str]], id_col: str = "doc
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a in _slices(texts):
+            for a in slices(texts, SLICE):
                 part = texts[a[0]:a[1]]
                 pred, score, rate = ["und"] * len(part), np.zeros(len(part)), [None] * len(part)
                 if frozen:
                     sizes, counts = phrases(part, frozen)
+                    counts = counts * weights_of(frozen)
                     lettered = sizes > 0
                     best = counts.argmin(1)
                     ordered = np.sort(counts, 1)
                     second = ordered[:, 1] if counts.shape[1] > 1 else sizes
                     for i in np.flatnonzero(lettered):
                         pred[i] = langs[best[i]]
-                        score[i] = max(0.0, 1 - ordered[i, 0] / max(1, second[i]))
+                        score[i] = max(0.0, 1 - ordered[i, 0] / max(1e-9, second[i]))
                         rate[i] = float(ordered[i, 0] / sizes[i])
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a[0], a[1] - a[0]), pa.array(pred), pa.array(score), pa.array(rate, pa.float64())],
@@ -188,8 +204,8 @@ def identify(docs: DataFrame, trained: list[tuple[str, str]], id_col: str = "doc
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, phrase_rate double")
 
 
-def keep_known(docs: DataFrame, trained: list[tuple[str, str]], most: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all columns, whose text has letters and at most ``most`` phrases a folded character.
+def keep_known(docs: DataFrame, trained: list[tuple[str, str]], most: float, allow: float = 0.0, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text has letters and at most ``most`` normalised phrases a folded character, and ``allow`` more.
 
     One pass without a shuffle. Null and empty texts go; so does every text when there is no training text.
     """
@@ -199,27 +215,16 @@ def keep_known(docs: DataFrame, trained: list[tuple[str, str]], most: float, tex
     def run(batches):
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            for a, b in _slices(texts):
+            for a, b in slices(texts, SLICE):
                 keep = np.zeros(b - a, bool)
                 if frozen:
                     sizes, counts = phrases(texts[a:b], frozen)
-                    keep = (sizes > 0) & (counts.min(1) <= most * sizes)
+                    keep = (sizes > 0) & ((counts * weights_of(frozen)).min(1) <= most * sizes + allow)
                 yield batch.slice(a, b - a).filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def _slices(texts: list[str | None], chars: int = 4_000_000) -> list[tuple[int, int]]:
-    """Runs of rows of about so many characters: what is in memory at once does not grow with a batch."""
-    out, a, n = [], 0, 0
-    for i, t in enumerate(texts):
-        n += len(t or "")
-        if n >= chars:
-            out.append((a, i + 1))
-            a, n = i + 1, 0
-    return out + [(a, len(texts))] * (a < len(texts))
-
-
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
     """Every document's language; see ``identify`` and ``training_texts``."""
     from tidemark.tables import table
