@@ -128,6 +128,61 @@ def test_viterbi_is_the_best_path(spark):
         assert abs(sum(flip.get(i, 1e4) for i in r.ids) - brute(r.word)[0]) < 1e-6
 
 
+def unigram_model(path, pieces_, **normal):
+    """A unigram model file of the pieces ``(text, score)``, with a piece for each byte."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    kinds = proto.SentencePiece
+    for text, kind in (("<unk>", kinds.UNKNOWN), ("<s>", kinds.CONTROL), ("</s>", kinds.CONTROL)):
+        proto.pieces.add(piece=text, score=0.0, type=kind)
+    for b in range(256):
+        proto.pieces.add(piece=f"<0x{b:02X}>", score=0.0, type=kinds.BYTE)
+    for text, score in pieces_:
+        proto.pieces.add(piece=text, score=score, type=kinds.NORMAL)
+    proto.trainer_spec.model_type, proto.trainer_spec.byte_fallback, proto.trainer_spec.vocab_size = 1, True, len(proto.pieces)
+    spec = proto.normalizer_spec
+    spec.name, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces = "identity", True, False, True
+    for k, v in normal.items():
+        setattr(spec, k, v)
+    path.write_bytes(proto.SerializeToString())
+    return str(path)
+
+
+def test_unigram_models_match_the_library(spark, tmp_path):
+    import sentencepiece
+
+    r = random.Random(61)
+    table = {"▁": -3.0, **{c: -4 - r.random() for c in "abcdef,"}}
+    while len(table) < 120:
+        table["".join(r.choice("abcdef") for _ in range(r.randint(2, 5)))] = -5 - 6 * r.random()
+    table |= {"▁" + t: -5 - 6 * r.random() for t in list(table)[10:60]}
+    path = unigram_model(tmp_path / "u.model", sorted(table.items()))
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [" ".join("".join(r.choice("abcdefx,") for _ in range(r.randint(1, 12))) for _ in range(8)) for _ in range(60)] + ["", None, "  a  ", "日本 é", "ab\ncd"]
+    got = {x.id: x for x in pieces.encode_decode(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), path).collect()}
+    for i, t in enumerate(texts):
+        assert list(got[i].ids) == model.encode(t or "") and got[i].round_trip, t
+
+
+def test_models_of_other_kinds_are_refused(tmp_path):
+    with pytest.raises(ValueError, match="not supported"):
+        pieces.Model(unigram_model(tmp_path / "a.model", [("a", -1.0)], remove_extra_whitespaces=True))
+    with pytest.raises(ValueError, match="not supported"):
+        pieces.Model(unigram_model(tmp_path / "b.model", [("a", -1.0)], name="nmt_nfkc"))
+
+
+def test_rare_words_return_to_their_blocks(spark):
+    import sentencepiece
+
+    model, r = sentencepiece.SentencePieceProcessor(model_file=BPE), random.Random(62)
+    texts = [prose(r, vocabulary(300), 80) for _ in range(40)] + ["same text of a few words"] * 30
+    rows = [(None if i % 7 == 0 else i // 2, t) for i, t in enumerate(texts)]
+    for most in (0, 20, 1000):
+        got = pieces.encode_decode(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), BPE, block_chars=2000, most=most).collect()
+        assert sorted((x.id or -1, x.decoded, tuple(x.ids)) for x in got) == sorted((i or -1, t, tuple(model.encode(t))) for i, t in rows)
+
+
 # --- 2
 
 
@@ -146,14 +201,29 @@ def test_passages_are_found_with_edits(spark):
     assert got[(21, 20)].same == 69 and got[(21, 20)].b == 71
 
 
-def test_chains_are_the_best_of_all(spark):
-    r = random.Random(2)
-    for _ in range(20):
-        pts = sorted({(r.randrange(60), r.randrange(60)) for _ in range(9)})
+def test_chains_are_the_best_of_all():
+    r, single = random.Random(2), 0
+    for _ in range(600):
+        pts = sorted({(r.randrange(60), r.randrange(60)) for _ in range(r.randint(2, 10))})
+        score, back = [], []
+        for x, y in pts:
+            gain, from_ = max(((score[k] - 10 * abs((x - y) - (u - v)) - (x - u), k) for k, (u, v) in enumerate(pts[: len(score)]) if 0 < x - u <= 40 and 0 < y - v <= 40), default=(0, -1))
+            gain, from_ = (gain, from_) if gain > 0 else (0, -1)
+            score.append(gain + 20 * (8 if from_ < 0 else min(8, x - pts[from_][0], y - pts[from_][1])))
+            back.append(from_)
         got = passages.chains(np.array([p[0] for p in pts]), np.array([p[1] for p in pts]))
-        assert all(a < b and c < e for a, b, c, e in got) and sum(1 for _ in got) <= len(pts)
-    a, b = np.array([1, 2, 3, 4, 5, 6]), np.array([1, 2, 9, 4, 6])
-    assert passages.align(a, b) == 4
+        assert all(a < b and c < e for a, b, c, e in got)
+        if sum(x == max(score) for x in score) == 1:
+            single, i = single + 1, score.index(max(score))
+            j = i
+            while back[j] >= 0:
+                j = back[j]
+            assert got[0] == (pts[j][0], pts[i][0] + 8, pts[j][1], pts[i][1] + 8)
+    assert single > 300
+
+
+def test_alignment_counts_common_words():
+    assert passages.align(np.array([1, 2, 3, 4, 5, 6]), np.array([1, 2, 9, 4, 6])) == 4
 
 
 def test_chains_are_those_of_brute_force():
@@ -194,6 +264,60 @@ def test_every_separated_passage_is_found(spark):
     assert sorted((x.a, x.b, x.c, x.e, x.same) for x in got) == [(60, 160, 60, 160, 100), (220, 280, 220, 280, 60), (340, 395, 340, 395, 55)]
 
 
+def test_a_passage_that_two_others_hold_in_pieces(spark):
+    r, words = random.Random(34), vocabulary(3000)
+    one, two, fill = prose(r, words, 40), prose(r, words, 40), lambda: prose(r, words, 60)
+    rows = [(1, fill() + " " + one), (2, two + " " + fill()), (3, fill() + " " + one + " " + two), (4, one + " " + two + " " + fill())]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert [(x.doc, x.other, x.a, x.b, x.c, x.e, x.same) for x in got] == [(4, 3, 0, 80, 60, 140, 80)]
+
+
+def test_every_run_of_fifty_words_is_found(spark):
+    r, words = random.Random(35), vocabulary(3000)
+    parts = [prose(r, words, n) for n in (20, 24, 25, 26, 30, 49, 50, 51, 60, 75) for _ in range(3)]
+    texts = [" ".join(r.choice(parts) if r.random() < 0.8 else prose(r, words, r.randint(1, 30)) for _ in range(r.randint(1, 8))) for _ in range(120)]
+    texts += [texts[3], texts[50], texts[3]]
+    rows = list(enumerate(texts))
+    found: dict[int, set[int]] = {}
+    for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        own, its = texts[x.doc].split(), texts[x.other].split()
+        assert x.other < x.doc and min(x.b - x.a, x.e - x.c) >= 50 and x.b <= len(own) and x.e <= len(its)
+        found.setdefault(x.doc, set()).update(range(x.a, x.b))
+    seen: set[tuple] = set()
+    n = 0
+    for i, t in rows:
+        w = t.split()
+        runs = [tuple(w[k : k + 50]) for k in range(len(w) - 49)]
+        for k, run in enumerate(runs):
+            if run in seen:
+                n += 1
+                assert set(range(k, k + 50)) <= found.get(i, set()), (i, k)
+        seen.update(runs)
+    assert n > 1000
+
+
+def test_most_edited_passages_are_found(spark):
+    r, words = random.Random(36), vocabulary(4000)
+    rows, want = [], set()
+    for k in range(100):
+        base = prose(r, words, 70).split()
+        edited = list(base)
+        for p in r.sample(range(70), 4):  # one word in eighteen
+            edited[p] = r.choice(words)
+        rows += [(2 * k, " ".join([prose(r, words, 30), *base, prose(r, words, 30)])), (2 * k + 1, " ".join([prose(r, words, 20), *edited, prose(r, words, 40)]))]
+        want.add((2 * k + 1, 2 * k))
+    got = {(x.doc, x.other) for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_passages_of_repeated_and_null_ids(spark):
+    r, words = random.Random(37), vocabulary(3000)
+    a, b = prose(r, words, 60), prose(r, words, 70)
+    rows = [(1, a), (2, b), (5, "x " + a), (5, b + " y"), (5, b + " y"), (None, a), (None, b), (3, None), (4, ""), (6, a)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((x.doc, x.other, x.a, x.b, x.same) for x in got) == [(5, 1, 1, 61, 60), (5, 2, 0, 70, 70), (6, 1, 0, 60, 60)]
+
+
 # --- 3
 
 
@@ -224,6 +348,22 @@ def test_wand_finds_all(spark):
         assert set(decontaminate.search(ix, tw, least)) == want
 
 
+def test_an_index_stays_small():
+    """As many items and terms as an index may have take memory by postings, not by blocks times terms."""
+    from collections import Counter
+
+    from tidemark.llm.words import Words
+
+    r, words = random.Random(81), vocabulary(30_000, seed=82)
+    items = [(i, prose(r, words, 24)) for i in range(12_000)]
+    assert sum(len(t) for _, t in items) > 0.8 * decontaminate.INDEX_CHARS
+    w = Words([t for _, t in items], plain=True)
+    ix = decontaminate.build(items, len(items), Counter(w.hash.tolist()), 24)
+    assert sum(x.nbytes for x in (ix.terms, ix.first, ix.items, ix.impacts, ix.block_at, ix.block_max)) < 16 * decontaminate.INDEX_CHARS
+    texts = [prose(r, words, 400) + " " + items[k][1] for k in range(0, 12_000, 400)]
+    assert decontaminate.search(ix, Words(texts, plain=True), 0.6) == [(k, 400 * k) for k in range(30)]
+
+
 # --- 4
 
 
@@ -280,6 +420,25 @@ def test_near_duplicates_are_the_components(spark):
     assert got == brute_components(rows)
 
 
+def test_one_row_of_each_group_stays(spark):
+    r, words = random.Random(41), vocabulary()
+    base = [prose(r, words, 60) for _ in range(8)]
+    near = lambda t: t + " one more"
+    rows = [
+        (5, base[0]), (5, base[1]), (7, near(base[0])), (8, near(base[1])),  # one id, two texts, each with a copy
+        (None, base[2]), (None, near(base[2])), (None, base[3]), (9, near(base[3])), (None, base[4]),  # without ids
+        (3, base[5]), (3, base[5]), (2, near(base[5])), (1, base[6]), (1, base[6]), (4, None), (4, None), (6, ""), (6, ""),
+    ]
+    rows = [(i, t, "en", f"s{k}", None) for k, (i, t) in enumerate(rows)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), SF).collect()
+    kept = {int(x.source[1:]) for x in got}
+    assert len(got) == len(kept) and {0, 1, 7, 8, 11, 14, 15, 16, 17} <= kept
+    assert len(kept & {4, 5}) == 1 and len(kept & {12, 13}) == 1 and len(kept) == 11
+    got = [(x.doc_id, x.component_id, x.kept) for x in minhash.near_duplicates(spark.createDataFrame([(i, t) for i, t, *_ in rows], "doc_id bigint, text string")).collect()]
+    want = [(5, 5, True)] * 2 + [(7, 5, False), (8, 5, False), (None, None, False), (None, None, False), (None, 9, False), (9, 9, True), (None, None, False)]
+    assert sorted(got, key=str) == sorted([*want, (3, 2, False), (3, 2, False), (2, 2, True), *[(1, 1, True)] * 2, *[(4, 4, True)] * 2, *[(6, 6, True)] * 2], key=str)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "a bigint, b bigint")
     got = dict(components(edges).collect())
@@ -314,6 +473,20 @@ def test_phrases_are_the_longest_matches():
             assert counts[i, k] == n
 
 
+def test_texts_of_unlearned_languages_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    polish = "Wszyscy ludzie rodza sie wolni i rowni pod wzgledem swej godnosci i swych praw. Sa oni obdarzeni rozumem i sumieniem i powinni postepowac wobec innych w duchu braterstwa."
+    finnish = "Kaikki ihmiset syntyvat vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu jarki ja omatunto, ja heidan on toimittava toisiaan kohtaan veljeyden hengessa."
+    foreign = [(-1, polish * 2), (-2, finnish * 3), (-3, "Все люди рождаются свободными и равными"), (-4, "7 8 9 ..."), (-5, None)]
+    more = spark.createDataFrame([(i, t, None, "s", 1) for i, t in foreign], DOCS)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.union(more), SF).collect()}
+    assert kept == {r.doc_id for r in docs.collect()}
+
+
+def test_less_training_weighs_less():
+    assert language.weights_of((("a", "x" * 30), ("b", "x" * 1022))).tolist() == [0.5, 1.0]
+
+
 def test_held_out_accuracy(spark):
     got = QUERIES["op6_language_id"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").where("held_out")
     assert got.where("lang = lang_pred").count() >= 0.97 * got.count()
@@ -366,7 +539,7 @@ def test_token_files(spark, tmp_path, odd_rows):
     from tokenizers import Tokenizer
 
     lib, out = Tokenizer.from_file(WORDS), f"file://{tmp_path}/tokens"
-    rows = [r for r in odd_rows if r[0] is not None and r[0] != 3] + [(50 + i, t, "", "", 0) for i, t in enumerate(["a​b c", "x<|endoftext|>y", "it's DON'T a.b 'so' don’t »a« a1b2 x.'s", "ΣΑΣ é"] + ["the cat sat on the mat again "] * 40)]
+    rows = [r for r in odd_rows if r[0] is not None and r[0] != 3] + [(-1, "of id minus one", "", "", 0), (-7, None, "", "", 0), (60_000, "again " * 4000, "", "", 0)] + [(50 + i, t, "", "", 0) for i, t in enumerate(["a​b c", "x<|endoftext|>y", "it's DON'T a.b 'so' don’t »a« a1b2 x.'s", "ΣΑΣ é"] + ["the cat sat on the mat again "] * 40)]
     tokens.write_tokens(spark.createDataFrame(rows, DOCS), out, WORDS, 49408, shard_chars=20_000)
     got, start = {r.doc_id: r for r in tokens.read_digests(spark, out, 49408).collect()}, 0
     ids_of = {}
@@ -378,9 +551,42 @@ def test_token_files(spark, tmp_path, odd_rows):
         for k, i in enumerate(np.frombuffer(row.doc_ids, "<i8").tolist()):
             want = ids_of[i]
             a, b = len(want) // 3, len(want) - len(want) // 4
+            assert row.without_id == 0
             assert tokens.read_range(row.rules, row.symbols, row.symbol_counts, 49408, k, a, b).tolist() == want[a:b]
 
 
+def test_token_files_with_null_and_repeated_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    lib, out = Tokenizer.from_file(WORDS), f"file://{tmp_path}/tokens"
+    rows = [(None, "first of none"), (None, "second of none"), (None, None), (-1, "minus one"), (4, "one text"), (4, "and another text"), (4, "one text"), (9, "")]
+    tokens.write_tokens(spark.createDataFrame(rows, "doc_id bigint, text string"), out, WORDS, 49408)
+    got = sorted(tokens.read_digests(spark, out, 49408).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, None, -1, 4, 4, 4, 9]
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:])) and got[0].start == 0
+    crc = lambda t: zlib.crc32(np.array([*lib.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes())
+    assert sorted((r.doc_id is None, r.ids_crc32) for r in got) == sorted((i is None, crc(t)) for i, t in rows)
+
+
+def test_no_frequent_pair_is_left():
+    r = np.random.default_rng(5)
+    for _ in range(40):
+        n = int(r.integers(0, 300))
+        symbols, run = r.integers(0, 4, n), np.sort(r.integers(0, 5, n))
+        if r.random() < 0.3:
+            symbols[:] = 1
+        got, runs, rules = tokens.repair(symbols, run, np.ones(5, np.int64), 10, 3)
+        flat, size = tokens.expansions(rules, 10)
+        assert np.array_equal(tokens.spread(flat, size, got)[0], symbols)
+        assert np.array_equal(np.repeat(runs, size[got]), run)
+        pairs, k = {}, 0
+        while k < len(got) - 1:  # a pair that overlaps itself counts every other time
+            if runs[k] == runs[k + 1]:
+                pairs[got[k], got[k + 1]] = pairs.get((got[k], got[k + 1]), 0) + 1
+            k += 1
+        assert all(n < 3 for (a, b), n in pairs.items() if a != b) and len(rules) < 100
+
+
 # --- 10
 
 
@@ -410,6 +616,47 @@ def test_crowded_keys_lose_no_line(spark, monkeypatch):
     assert got == want and 10 < len(want) < len(rows)
 
 
+@pytest.mark.parametrize("hot", (0, 3))
+def test_lines_of_frequent_tokens_and_of_all_lengths(spark, monkeypatch, hot):
+    """Keys by threes, by twos and one by one, with few and with many frequent tokens, on both sides of each length where they change."""
+    monkeypatch.setattr(lines, "HOT", hot)
+    r, words = random.Random(51 + hot), vocabulary(90)
+    rows = []
+    for n in (4, 6, 12, 17, 18, 19, 20, 21, 24, 50, 55, 60, 63, 64, 66, 70, 78):
+        base = r.sample(words, n)
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(r.randint(0, max(1, n // 7))):
+                if r.random() < 0.5:
+                    copy[r.randrange(len(copy))] = r.choice(words)
+                else:
+                    copy += r.sample(words, r.randint(0, n // 8))
+            rows.append(" ".join(copy))
+    r.shuffle(rows)
+    sets = [set(t.split()) for t in rows]
+    want = {i for i in range(len(rows)) if any(100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in range(i))}
+    got = {x.doc for x in lines.removed_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string"), least=1).collect()}
+    assert got == want and 20 < len(want) < len(rows) - 20
+
+
+def test_keys_grow_no_faster_than_the_line(spark):
+    r = random.Random(52)
+    rows = [(i, " ".join(r.sample([f"w{k}" for k in range(24_000)], 20_000)) + f" only{i}") for i in range(2)]
+    rows += [(2 + i, rows[1][1].replace("w7", "v7")) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    placed = lines._places(df, "doc_id", "text", 1)
+    slots = F.array_repeat(F.lit(lines.HOT << 40), lines.SLOTS)  # every token frequent
+    assert max(x.n for x in lines._distinct_lines(placed, slots, 80).select(F.size("keys").alias("n")).collect()) <= 2 * 4002
+    assert sorted((x.doc, list(x.removed)) for x in lines.removed_lines(df).collect()) == [(2, [0]), (3, [0])]
+
+
+def test_rows_that_share_an_id_keep_their_own_lines(spark):
+    first, second = "a line that two rows have in common", "unique second line that nobody else has at all"
+    rows = [(1, first), (2, "some other first line of five words\n" + second), (2, first + "\nanother unique line with words of its own"), (None, first), (2, first + "\nanother unique line with words of its own")]
+    got = sorted(x.text for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == sorted([first, rows[1][1], "another unique line with words of its own", "another unique line with words of its own", first])
+
+
 def test_short_lines_go_in_the_pipeline(spark):
     r = random.Random(33)
     # lines of one to six of eight words: equal ones, other orders and spaces, and sets of four inside sets of five
@@ -446,3 +693,14 @@ def test_pipeline_is_its_stages(spark):
     assert not any(b in t for b in bench for t in texts.values())
     near = brute_components(list(texts.items()), 80)
     assert all(near[i][1] == i for i in texts)
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_odd_rows_and_empty_tables(spark, odd_rows, stage):
+    name, run = corpus_pipeline.STAGES[stage]
+    df = spark.createDataFrame(odd_rows, DOCS).withColumns({c: F.lit("clash") for c in ("id", "key", "line", "doc", "mark", "at", "same", "row")})
+    got = run(spark, df, SF)
+    rows = got.collect()
+    assert (got.columns == df.columns) == (stage < 4)
+    assert len(rows) == {"language_id": 10, "line_dedup": 12, "near_dedup": 12, "decontaminate": 16, "sentencepiece": 16}[name], [r.doc_id for r in rows]
+    assert run(spark, df.limit(0), SF).count() == 0
