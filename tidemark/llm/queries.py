@@ -7,7 +7,7 @@ from tidemark.llm.fingerprint import op7_fingerprints
 from tidemark.llm.language import op6_language_id
 from tidemark.llm.licenses import OP4_SQL, op4_license_scan
 from tidemark.llm.lines import OP10_SQL, op10_line_dedup
-from tidemark.llm.minhash import op5_minhash_dedup
+from tidemark.llm.minhash import OP5_SQL, op5_minhash_dedup
 from tidemark.llm.passages import op2_substring_dedup
 from tidemark.llm.pieces import op1_sentencepiece
 from tidemark.llm.tokens import op9_token_output
@@ -25,4 +25,4 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_token_output": op9_token_output,
 }
-ORACLE_SQL = {"op4_license_scan": OP4_SQL, "op3_decontaminate": OP3_SQL, "op10_line_dedup": OP10_SQL, "op8_url_filters": OP8_SQL}
+ORACLE_SQL = {"op4_license_scan": OP4_SQL, "op5_minhash_dedup": OP5_SQL, "op3_decontaminate": OP3_SQL, "op10_line_dedup": OP10_SQL, "op8_url_filters": OP8_SQL}
