@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import Words, mix, slices
+from tidemark.llm.words import Words, mix, slices, text_slices
 
 K1, B = 1.2, 0.75
 #: Items of a posting block, whose greatest impacts bound what the block can score.
@@ -263,9 +263,8 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = 80, least: float = 0
         def run(batches, sent=sent):
             index = sent.value
             for batch in batches:
-                texts = batch.column(1).to_pylist()
-                for a, b in slices(texts, 500_000):
-                    w, out = Words(texts[a:b], plain=True), []
+                for a, _, texts in text_slices(batch.column(1), 500_000):
+                    w, out = Words(texts, plain=True), []
                     for text, item in search(index, w, least):
                         q, qs, r, rs = overlaps(index, w, text, item)
                         if 100 * q >= percent * qs and 100 * r >= percent * rs:
@@ -288,9 +287,8 @@ def without_leaks(docs: DataFrame, items: DataFrame, percent: int = 80, least: f
         def run(batches, sent=sent):
             index = sent.value
             for batch in batches:
-                texts = batch.column(at).to_pylist()
-                for a, b in slices(texts, 500_000):
-                    w, keep = Words(texts[a:b], plain=True), np.ones(b - a, bool)
+                for a, b, texts in text_slices(batch.column(at), 500_000):
+                    w, keep = Words(texts, plain=True), np.ones(b - a, bool)
                     for text, item in search(index, w, least):
                         q, qs, r, rs = overlaps(index, w, text, item)
                         keep[text] &= not (100 * q >= percent * qs and 100 * r >= percent * rs)

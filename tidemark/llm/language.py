@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
-from tidemark.llm.words import slices
+from tidemark.llm.words import text_slices
 
 #: Texts are parsed side by side in runs of so many characters; a phrase that would cross from one to the next counts twice.
 LANE = 1024
@@ -180,9 +180,8 @@ def identify(docs: DataFrame, trained: list[tuple[str, str]], id_col: str = "doc
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a in slices(texts, SLICE):
-                part = texts[a[0]:a[1]]
+            ids = batch.column(0)
+            for *a, part in text_slices(batch.column(1), SLICE):
                 pred, score, rate = ["und"] * len(part), np.zeros(len(part)), [None] * len(part)
                 if frozen:
                     sizes, counts = phrases(part, frozen)
@@ -214,11 +213,10 @@ def keep_known(docs: DataFrame, trained: list[tuple[str, str]], most: float, all
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in slices(texts, SLICE):
+            for a, b, texts in text_slices(batch.column(at), SLICE):
                 keep = np.zeros(b - a, bool)
                 if frozen:
-                    sizes, counts = phrases(texts[a:b], frozen)
+                    sizes, counts = phrases(texts, frozen)
                     keep = (sizes > 0) & ((counts * weights_of(frozen)).min(1) <= most * sizes + allow)
                 yield batch.slice(a, b - a).filter(pa.array(keep))
 

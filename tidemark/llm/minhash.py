@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, cut, small
-from tidemark.llm.words import Words, mix, shingles, slices
+from tidemark.llm.words import Words, mix, shingles, text_slices
 
 #: Permutations hashed, and bands of values; each permutation gives two values, so bands * rows = 2 * PERMUTATIONS.
 PERMUTATIONS, BANDS, ROWS = 60, 24, 5
@@ -83,9 +83,8 @@ def _digest(value: np.ndarray) -> bytes:
 def _signed(batches):
     """Per document: id, mark of the text, set size, digest of the whole set, band keys, screening sketch."""
     for batch in batches:
-        texts = batch.column(2).to_pylist()
-        for lo, hi in slices(texts):
-            value, of = shingles(Words(texts[lo:hi]))
+        for lo, hi, texts in text_slices(batch.column(2), 500_000):
+            value, of = shingles(Words(texts))
             sizes = np.bincount(of, minlength=hi - lo)
             full = np.flatnonzero(sizes)
             first = np.concatenate([[0], np.cumsum(sizes[full])])
@@ -108,9 +107,8 @@ def _signed(batches):
 def _sets(batches):
     """Texts to their sets: the set's digest and its sorted shingle hashes, as bytes."""
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for lo, hi in slices(texts):
-            value, of = shingles(Words(texts[lo:hi]))
+        for lo, hi, texts in text_slices(batch.column(0), 500_000):
+            value, of = shingles(Words(texts))
             cuts = np.searchsorted(of, np.arange(hi - lo + 1))
             runs = [value[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(r) for r in runs], pa.binary()), pa.array([r.tobytes() for r in runs], pa.binary())], names=["digest", "shingles"])

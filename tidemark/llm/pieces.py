@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.common import cut, partitions
 from tidemark.llm.tokens import spread
-from tidemark.llm.words import mix, slices
+from tidemark.llm.words import mix, text_slices
 
 SPACE = "▁"
 #: Words up to this length go through the lattice (their boundaries fit one bigint); longer ones through the library.
@@ -259,9 +259,8 @@ def _counted(shared):
     def run(batches):
         model = shared.value
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(texts, SLICE):
-                u = Units(texts[a:b], model)
+            for _, _, texts in text_slices(batch.column(0), SLICE):
+                u = Units(texts, model)
                 short = np.flatnonzero(u.end - u.start <= LONGEST)
                 _, at, n = np.unique(u.hash[short], return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([u.word(i) for i in short[at].tolist()], pa.string()), pa.array(n.astype(np.int64))], names=["word", "count"])
@@ -277,9 +276,10 @@ def _pack(blocks: int):
 
         squeeze, salt = zstandard.ZstdCompressor(level=6), f"{TaskContext.get().partitionId()}:".encode()
         for batch in batches:
-            raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            block = [zlib.crc32(salt + f"{i}:".encode() + r) % blocks for i, r in zip(batch.column(0).to_pylist(), raw, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), batch.column(0), pa.array([squeeze.compress(r) for r in raw], pa.binary())], names=["block", "id", "packed"])
+            for a, b, texts in text_slices(batch.column(1)):
+                raw, ids = [(t or "").encode("utf-8", "surrogatepass") for t in texts], batch.column(0).slice(a, b - a)
+                block = [zlib.crc32(salt + f"{i}:".encode() + r) % blocks for i, r in zip(ids.to_pylist(), raw, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), ids, pa.array([squeeze.compress(r) for r in raw], pa.binary())], names=["block", "id", "packed"])
 
     return run
 
@@ -309,9 +309,8 @@ def _rare_words(shared, hot):
                     yield from flush()
                     at, seen = int(blocks[lo]), {}
                 hi = int(np.searchsorted(blocks, at, "right"))
-                packed = batch.column(2).slice(lo, hi - lo).to_pylist()
-                for a, b in slices(packed, SLICE // 2, len):
-                    u = Units(_texts(packed[a:b]), model)
+                for _, _, packed in text_slices(batch.column(2).slice(lo, hi - lo), SLICE // 2):
+                    u = Units(_texts(packed), model)
                     kinds, where = np.unique(u.hash, return_index=True)
                     new = (u.end - u.start)[where] <= LONGEST
                     if len(known):
@@ -362,10 +361,10 @@ def _assemble(shared, hot, schema: pa.Schema):
         model = shared.value
         flat, size = _lists(words.column("ids")) if words.num_rows else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         rare = _dictionary(model, words.column("word").to_pylist(), flat, size)
-        packed, all_ids, decoded, exact = docs.column("packed").to_pylist(), [np.zeros(0, np.int32)], [], []
+        all_ids, decoded, exact = [np.zeros(0, np.int32)], [], []
         sizes = []
-        for lo, hi in slices(packed, SLICE // 2, len):
-            texts = _texts(packed[lo:hi])
+        for _, _, packed in text_slices(docs.column("packed").combine_chunks(), SLICE // 2):
+            texts = _texts(packed)
             u = Units(texts, model)
             kinds, at, which = np.unique(u.hash, return_index=True, return_inverse=True)
             long = np.flatnonzero((u.end - u.start)[at] > LONGEST)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _RNG = np.random.default_rng(20240101)
 _VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -109,3 +112,15 @@ def slices(texts: list, chars: int = 1_000_000, size=lambda t: len(t or "")) ->
             a, n = i + 1, 0
     if a < len(texts):
         yield a, len(texts)
+
+
+def text_slices(column: pa.Array, size: int = 1_000_000) -> Iterator[tuple[int, int, list]]:
+    """Runs of rows of about so many bytes, ``first, end, values``: only one run at a time becomes Python objects.
+
+    After the last one, freed memory goes back to the system, for the worker that did this may stay idle beside others.
+    """
+    for a, b in slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), size, int):
+        yield a, b, column.slice(a, b - a).to_pylist()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
