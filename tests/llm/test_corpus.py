@@ -453,7 +453,7 @@ def test_phrases_are_the_longest_matches():
     trained = (("x", "".join(r.choice("abc ") for _ in range(300))), ("y", "".join(r.choice("bcd") for _ in range(300))))
     trained = tuple((k, language.fold(t)) for k, t in trained)
     texts = ["".join(r.choice("abcd e") for _ in range(n)) for n in (1, 50, 127, 128, 129, 400)] + [None, "", "12"]
-    sizes, counts = language.phrases(texts, trained)
+    sizes, counts = language.phrases(texts, language.machines(trained))
     code = language.machines(trained)[0]
     for i, t in enumerate(texts):
         chars = [("?" if code[ord(c)] == 2 else c) if c.isalpha() else " " for c in (t or "").lower()]

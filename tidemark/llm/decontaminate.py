@@ -263,7 +263,7 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = 80, least: float = 0
         def run(batches, sent=sent):
             index = sent.value
             for batch in batches:
-                for a, _, texts in text_slices(batch.column(1), 500_000):
+                for a, _, texts in text_slices(batch.column(1), 250_000):
                     w, out = Words(texts, plain=True), []
                     for text, item in search(index, w, least):
                         q, qs, r, rs = overlaps(index, w, text, item)
@@ -287,7 +287,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, percent: int = 80, least: f
         def run(batches, sent=sent):
             index = sent.value
             for batch in batches:
-                for a, b, texts in text_slices(batch.column(at), 500_000):
+                for a, b, texts in text_slices(batch.column(at), 250_000):
                     w, keep = Words(texts, plain=True), np.ones(b - a, bool)
                     for text, item in search(index, w, least):
                         q, qs, r, rs = overlaps(index, w, text, item)

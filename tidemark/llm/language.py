@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -87,7 +85,7 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    table = np.full((len(nxt), width), -1, np.int64)
+    table = np.full((len(nxt), width), -1, np.int32)
     for s, row in enumerate(nxt):
         for c, t in row.items():
             table[s, c] = t
@@ -100,17 +98,16 @@ def parser(table: np.ndarray) -> np.ndarray:
     An entry is ``2 * (next state * width) + 1 if a new phrase begins here``. A phrase is the longest
     match from where it begins; a character that the training text lacks is a phrase of its own.
     """
-    root = table[0].copy()
-    fresh = np.where(root >= 0, root, 0)
-    step = np.where(table >= 0, table, fresh[None, :])
+    fresh = np.maximum(table[0], 0)
     new = table < 0
     new[0, :] = True
-    out = 2 * (step * table.shape[1]) + new
+    out = np.where(table >= 0, table, fresh[None, :])
+    out *= 2 * table.shape[1]
+    out += new
     out[:, PAD] = 0
-    return out.astype(np.int32).ravel()
+    return out.ravel()
 
 
-@lru_cache(maxsize=2)
 def machines(trained: tuple[tuple[str, str], ...]):
     """Code points to codes (0: no letter, 1: padding, 2: a letter that training lacks), and a parser per language."""
     known = sorted({c for _, t in trained for c in t if c != " "})
@@ -124,13 +121,13 @@ def machines(trained: tuple[tuple[str, str], ...]):
     return code, width, [parser(automaton([0 if c == " " else int(code[ord(c)]) for c in t], width)) for _, t in trained]
 
 
-def phrases(texts: list[str | None], trained: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Per text the number of characters that count, and per language the number of phrases.
+def phrases(texts: list[str | None], made: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """With ``made`` by ``machines``, per text the number of characters that count, and per language the number of phrases.
 
     Texts are folded, parsed whole, and laid out in lanes of ``LANE`` characters that are worked on side by side; a phrase
     ends where its lane ends, for every language alike, which adds at most one phrase in ``LANE`` characters to a count.
     """
-    code, width, tables = machines(trained)
+    code, width, tables = made
     lanes, owner, sizes = [], [], np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
         c = code[np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)]
@@ -176,16 +173,17 @@ def identify(docs: DataFrame, trained: list[tuple[str, str]], id_col: str = "doc
     multiplicity and null ids stay null; other columns are ignored. Very long texts are parsed
     whole.
     """
-    frozen, langs = tuple(trained), [lang for lang, _ in trained]
+    langs, weights = [lang for lang, _ in trained], weights_of(tuple(trained))
+    sent = docs.sparkSession.sparkContext.broadcast(machines(tuple(trained)))  # its size is bounded by the sample's
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
             for *a, part in text_slices(batch.column(1), SLICE):
                 pred, score, rate = ["und"] * len(part), np.zeros(len(part)), [None] * len(part)
-                if frozen:
-                    sizes, counts = phrases(part, frozen)
-                    counts = counts * weights_of(frozen)
+                if langs:
+                    sizes, counts = phrases(part, sent.value)
+                    counts = counts * weights
                     lettered = sizes > 0
                     best = counts.argmin(1)
                     ordered = np.sort(counts, 1)
@@ -208,16 +206,16 @@ def keep_known(docs: DataFrame, trained: list[tuple[str, str]], most: float, all
 
     One pass without a shuffle. Null and empty texts go; so does every text when there is no training text.
     """
-    frozen, names = tuple(trained), docs.columns
-    at = names.index(text_col)
+    at, weights = docs.columns.index(text_col), weights_of(tuple(trained))
+    sent = docs.sparkSession.sparkContext.broadcast(machines(tuple(trained)))
 
     def run(batches):
         for batch in batches:
             for a, b, texts in text_slices(batch.column(at), SLICE):
                 keep = np.zeros(b - a, bool)
-                if frozen:
-                    sizes, counts = phrases(texts, frozen)
-                    keep = (sizes > 0) & ((counts * weights_of(frozen)).min(1) <= most * sizes + allow)
+                if len(weights):
+                    sizes, counts = phrases(texts, sent.value)
+                    keep = (sizes > 0) & ((counts * weights).min(1) <= most * sizes + allow)
                 yield batch.slice(a, b - a).filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -83,7 +83,7 @@ def _digest(value: np.ndarray) -> bytes:
 def _signed(batches):
     """Per document: id, mark of the text, set size, digest of the whole set, band keys, screening sketch."""
     for batch in batches:
-        for lo, hi, texts in text_slices(batch.column(2), 500_000):
+        for lo, hi, texts in text_slices(batch.column(2), 250_000):
             value, of = shingles(Words(texts))
             sizes = np.bincount(of, minlength=hi - lo)
             full = np.flatnonzero(sizes)
@@ -107,7 +107,7 @@ def _signed(batches):
 def _sets(batches):
     """Texts to their sets: the set's digest and its sorted shingle hashes, as bytes."""
     for batch in batches:
-        for lo, hi, texts in text_slices(batch.column(0), 500_000):
+        for lo, hi, texts in text_slices(batch.column(0), 250_000):
             value, of = shingles(Words(texts))
             cuts = np.searchsorted(of, np.arange(hi - lo + 1))
             runs = [value[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
