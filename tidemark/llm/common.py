@@ -38,11 +38,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes the files of a ``cut`` that nothing reads any more."""
+    """Deletes the files of a ``cut`` that nothing reads any more, and lets Spark delete the shuffle files it was made from.
+
+    Spark drops those when the driver's memory is next tidied, which may be much later than the disk needs it.
+    """
     spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    spark.sparkContext._jvm.System.gc()
 
 
 #: ``small`` sends a table to every executor while it has at most so many values.

@@ -2,175 +2,227 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, small
+from tidemark.llm.common import cut, discard, small
 
 #: So many most frequent tokens have their counts in the order's table, which has so many slots.
 FREQUENT, SLOTS = 32_768, 1 << 18
-#: A token in more lines than this is a key only together with the two that follow it.
+#: A token that occurs more often than this is no key by itself.
 HOT = 500
-#: Under a key of more lines than this, lines are first held against leaders, in so many turns.
-CROWD, ROUNDS = 64, 2
+#: Lines of fewer tokens than the first have frequent tokens by threes as keys, of fewer than the second by twos, others one by one with their length.
+BY_THREES, BY_TWOS = 20, 64
+#: Larger sets have a sketch of twice the size.
+NARROW = 64
+#: Under a key of more lines than this, lines are first held against its earliest line.
+CROWD = 512
+
+
+#: White space inside a line.
+_SPACES = "[ \\t\\r\\f\\x0b]+"
+_PLACE = ["doc", "at"]
+_ROW = "struct<id: bigint, np: bigint, s1: bigint, s2: bigint>"
+
 
+def _row(text_col: str) -> Column:
+    """Tells rows that share an id apart: 31 bits of the text's hash."""
+    return F.shiftleft(F.xxhash64(text_col).bitwiseAND(F.lit((1 << 31) - 1)), 32)
 
-#: The tokens of a line: lower case, parted by white space.
-_TOKENS = r"array_remove(split(translate(lower({}), '\u0009\u000d\u000c\u000b', '    '), ' '), '')"
-_MASK = (1 << 40) - 1
 
+def _hashes(line: Column) -> Column:
+    """The hashes of the tokens of a line in lower case: they are parted by white space."""
+    return F.array_remove(F.transform(F.split(line, _SPACES), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """Lines of at least ``least`` tokens: ``doc, line, words, same`` (a hash of the line in lower case)."""
+
+def _places(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """Lines of ``least`` tokens or more: ``doc, at, same, hs``.
+
+    ``at`` holds the row's mark and the line's number from 0, so a place is ``doc, at``; ``same`` is a hash of the line in
+    lower case, and ``hs`` are those of its tokens.
+    """
     return (
         docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-        .select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("line", "raw"))
-        .select("doc", "line", F.xxhash64(F.lower("raw")).alias("same"), F.expr(_TOKENS.format("raw")).alias("words"))
-        .where(F.size("words") >= least)
+        .select(F.col(id_col).alias("doc"), _row(text_col).alias("row"), F.posexplode(F.split(F.lower(text_col), "\n")).alias("line", "raw"))
+        .where(F.length(F.trim("raw")) > 0)
+        .select("doc", F.col("row").bitwiseOR(F.col("line").cast("bigint")).alias("at"), F.xxhash64("raw").alias("same"), _hashes(F.col("raw")).alias("hs"))
+        .where(F.size("hs") >= least)
     )
 
 
-def _frequencies(docs: DataFrame, text_col: str) -> Column:
-    """Counts of the frequent tokens, as a table by slot of the token's hash (0: not frequent).
+def _frequencies(hs: DataFrame) -> Column:
+    """Counts of the frequent tokens, as a table by slot of the token's hash (0: not frequent), 40 bits to the left.
 
-    Every token of every text is counted; the ``FREQUENT`` greatest counts reach the driver. A rare
+    Every token of every line is counted; the ``FREQUENT`` greatest counts reach the driver. A rare
     token in a frequent one's slot counts as frequent: that changes the order for every line alike.
     """
-    top = (
-        docs.select(F.explode(F.split(F.translate(F.lower(text_col), "\n\t\r\f\x0b", "     "), " ")).alias("w"))
-        .groupBy(F.xxhash64("w").alias("h"), F.pmod(F.hash("w"), F.lit(SLOTS)).alias("slot")).agg(F.count("*").alias("df"))
-        .where("df > 1").orderBy(F.desc("df"), "h").limit(FREQUENT).collect()
-    )
+    top = hs.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("df")).where(f"df > {HOT // 8}").orderBy(F.desc("df"), "h").limit(FREQUENT).collect()
     slots = [0] * SLOTS
     for r in top:
-        slots[r.slot] = max(slots[r.slot], min(r.df, (1 << 22) - 1))
-    return F.split(F.lit(",".join(map(str, slots))), ",").cast("array<bigint>")
+        slots[r.h % SLOTS] = max(slots[r.h % SLOTS], min(r.df, (1 << 22) - 1))
+    return F.split(F.lit(",".join(str(n << 40) for n in slots)), ",").cast("array<bigint>")
 
 
-def _keys(lines: DataFrame, slots: Column, percent: int) -> DataFrame:
-    """The keys of every line's prefix: ``key, doc, line, np, s1, s2``; of equal lines the first only.
+def _distinct_lines(lines: DataFrame, slots: Column, percent: int) -> DataFrame:
+    """Of equal lines the first: ``doc, at, n, rare, s1, s2, keys``.
 
     Tokens are ordered from rare to frequent, as values of count and hash. Two sets that are alike
     have ``percent`` % of either in common, so their first common token is among the first
-    n - ceil(p n) + 1 of either, the second among one more, and the third among two more. A rare
-    token is a key; a frequent first common token is followed by frequent ones only, and the
-    three together are a key. A set that even one more token makes unlike (of one to three tokens at 80 %) is alike
-    only if equal, and its key is the whole set. ``np`` holds the set's size and the key's place; ``s1`` and ``s2``
-    are parity sketches of the set, the second for large sets only.
+    k = n - ceil(p n) + 1 of either, the second among one more, and the third among two more. A rare
+    token of the first k is a key; ``rare`` says how many there are, and they come first. Where the first common token is
+    a frequent one, only frequent ones follow: in short lines the first three together are a key, in longer
+    ones the first two, and in long lines, whose k is large, each by itself with the band of the length: two
+    lines that are alike are of one band or of neighbouring ones, and meet under the greater. Which of the three the longer of two lines
+    asks for, the shorter has as well, so keys grow no faster than the line. A set that even one more token
+    makes unlike (of one to three tokens at 80 %) is alike only if equal, and its key is the whole
+    set. ``s1`` and ``s2`` are a parity sketch of the set; in sets of at most ``NARROW`` tokens all of it is in the first.
     """
-    rank = F.transform("words", lambda w: F.shiftleft(F.element_at(slots, F.pmod(F.hash(w), F.lit(SLOTS)) + 1), 40).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(_MASK))))
-    hot = f"{HOT} * {1 << 40}L"
-    made = f"""
-        if(n < 3 or 100 * n < {percent} * (n + 1), array(named_struct('pos', 1, 'key', xxhash64(t))), concat(
-          transform(filter(slice(t, 1, k), v -> v < {hot}), (v, i) -> named_struct('pos', i + 1, 'key', v)),
-          if(element_at(t, k) < {hot}, cast(array() as array<struct<pos: int, key: bigint>>),
-            flatten(flatten(transform(filter(sequence(1, k), i -> element_at(t, i) >= {hot}), i ->
-              transform(sequence(i + 1, k + 1), j -> transform(sequence(j + 1, k + 2),
-                l -> named_struct('pos', i, 'key', xxhash64(element_at(t, i), element_at(t, j), element_at(t, l)))))))))))
+    rank = F.transform("hs", lambda h: F.get(slots, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 24)))
+    threes = "flatten(flatten(transform(sequence(rare + 1, k), i -> transform(sequence(i + 1, k + 1), j -> transform(sequence(j + 1, k + 2), l -> xxhash64(element_at(t, i), element_at(t, j), element_at(t, l)))))))"
+    twos = "flatten(transform(sequence(rare + 1, k), i -> transform(sequence(i + 1, k + 1), j -> xxhash64(element_at(t, i), element_at(t, j)))))"
+    band = f"cast(floor(ln(n) / {math.log(100 / percent)!r}) as int)"
+    ones = f"flatten(transform(slice(t, rare + 1, k - rare), x -> array(xxhash64(x, {band}), xxhash64(x, {band} + 1))))"
+    none = "cast(array() as array<bigint>)"
+    longer = f"(100 * n) div {percent}"
+    keys = f"""
+        if(n < 3 or 100 * n < {percent} * (n + 1), array(xxhash64(t)), if(rare = k, slice(t, 1, k), concat(
+          slice(t, 1, rare),
+          if(n < {BY_THREES}, {threes}, {none}),
+          if({longer} >= {BY_THREES} and n < {BY_TWOS}, {twos}, {none}),
+          if({longer} >= {BY_TWOS}, {ones}, {none}))))
     """
     return (
-        lines.select("doc", "line", "same", F.sort_array(F.array_distinct(rank)).alias("t")).withColumn("n", F.size("t"))
+        lines.select("doc", "at", "same", F.sort_array(F.array_distinct(rank)).alias("t")).withColumn("n", F.size("t"))
         .withColumn("k", F.expr(f"n - cast(({percent} * n + 99) div 100 as int) + 1"))
+        .withColumn("rare", F.expr(f"if(element_at(t, k) < {HOT} * {1 << 40}L, k, size(filter(slice(t, 1, k), v -> v < {HOT} * {1 << 40}L)))"))
         .select(
-            "doc", "line", "n", "same", F.expr(made).alias("keys"),
-            F.expr("aggregate(t, 0L, (s, x) -> s ^ shiftleft(1L, cast(x & 63 as int)))").alias("s1"),
-            F.expr("if(n > 100, aggregate(t, 0L, (s, x) -> s ^ shiftleft(1L, cast((x >> 8) & 63 as int))), 0L)").alias("s2"),
+            "doc", "at", "same", "n", "rare", F.expr(keys).alias("keys"),
+            F.expr("aggregate(t, 0L, (s, x) -> s ^ shiftleft(1L, cast(x & 63 as int)))").alias("all"),
+            F.expr(f"if(n > {NARROW}, aggregate(filter(t, x -> x & 64L = 0L), 0L, (s, x) -> s ^ shiftleft(1L, cast(x & 63 as int))), 0L)").alias("s2"),
         )
-        .groupBy("same").agg(F.min(F.struct("doc", "line", "n", "s1", "s2", "keys")).alias("x"))
-        .select("x.doc", "x.line", "x.n", "x.s1", "x.s2", F.explode("x.keys").alias("e"))
-        .select("e.key", "doc", "line", F.expr("shiftleft(cast(n as bigint), 32) | e.pos").alias("np"), "s1", "s2")
+        .withColumn("s1", F.expr("all ^ s2"))
+        .groupBy("same").agg(F.min(F.struct("doc", "at", "n", "rare", "s1", "s2", "keys")).alias("x")).select("x.*")
+    )
+
+
+def _keyed(distinct: DataFrame) -> DataFrame:
+    """A row for each key of a line: ``key, id, np, s1, s2``; ``np`` holds the set's size and the first place that the key's first token can have."""
+    return distinct.select("id", "n", "rare", "s1", "s2", F.posexplode("keys").alias("p", "key")).where("key is not null").select(
+        "key", "id", F.expr("shiftleft(cast(n as bigint), 32) | (least(p, rare) + 1)").alias("np"), "s1", "s2"
     )
 
 
 def _fits(percent: int) -> str:
-    """The filters that a candidate pair of key rows ``a`` and ``b``, a the earlier, has to pass."""
+    """The length, positional and sketch filters that a candidate pair of key rows ``a`` and ``b`` has to pass."""
     n, pos = (lambda x: f"cast({x}.np >> 32 as int)"), (lambda x: f"cast({x}.np & 4294967295 as int)")
     total = f"({n('a')} + {n('b')})"
     need = f"(({percent} * {total} + {99 + percent}) div {100 + percent})"  # the overlap of sets that are alike
     return f"""
-        a.key = b.key and (a.doc < b.doc or a.doc = b.doc and a.line < b.line)
-        and 100 * least({n('a')}, {n('b')}) >= {percent} * greatest({n('a')}, {n('b')})
+        100 * least({n('a')}, {n('b')}) >= {percent} * greatest({n('a')}, {n('b')})
         and 1 + least({n('a')} - {pos('a')}, {n('b')} - {pos('b')}) >= {need}
-        and bit_count(a.s1 ^ b.s1) <= {total} - 2 * {need}
-        and if({n('a')} > 100 and {n('b')} > 100, bit_count(a.s2 ^ b.s2), 0) <= {total} - 2 * {need}
+        and if(least({n('a')}, {n('b')}) > {NARROW}, bit_count(a.s1 ^ b.s1) + bit_count(a.s2 ^ b.s2), bit_count(a.s1 ^ a.s2 ^ b.s1 ^ b.s2)) <= {total} - 2 * {need}
     """
 
 
-def _candidates(earlier: DataFrame, later: DataFrame, percent: int) -> DataFrame:
-    return (
-        earlier.alias("a").join(later.alias("b"), F.expr(_fits(percent)))
-        .selectExpr("a.doc as doc_a", "a.line as line_a", "b.doc as doc_b", "b.line as line_b").distinct()
-    )
-
-
 def _token_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The token hashes of the ``wanted(doc, line)``, fetched from their texts: ``doc, line, hs``."""
-    asked = cut(wanted.distinct().groupBy("doc").agg(F.collect_list("line").alias("lines")))
+    """The distinct token hashes of the ``wanted(doc, at)``, fetched from their texts: ``doc, at, hs``."""
+    asked = cut(wanted.distinct().select("doc", _mark().alias("row"), _number().alias("line")).groupBy("doc", "row").agg(F.collect_list("line").alias("lines")))
     return cut(
-        docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(small(asked, F.size("lines")), "doc")
-        .select("doc", F.explode(F.expr(r"transform(lines, i -> struct(i as line, element_at(split(text, '\n'), i + 1) as raw))")).alias("x"))
-        .select("doc", "x.line", F.expr(_TOKENS.format("x.raw")).alias("words")).dropDuplicates(["doc", "line"])
-        .select("doc", "line", F.expr("array_distinct(transform(words, w -> xxhash64(w)))").alias("hs"))
+        docs.select(F.col(id_col).alias("doc"), _row(text_col).alias("row"), F.col(text_col).alias("text")).join(small(asked, F.size("lines")), ["doc", "row"])
+        .select("doc", "row", F.explode(F.expr(r"transform(lines, i -> struct(i as line, element_at(split(lower(text), '\n'), i + 1) as raw))")).alias("x"))
+        .select("doc", F.col("row").bitwiseOR(F.col("x.line").cast("bigint")).alias("at"), "x.raw").dropDuplicates(_PLACE)
+        .select("doc", "at", F.array_distinct(_hashes(F.col("raw"))).alias("hs"))
     )
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are alike."""
-    both = pairs.join(sets.toDF("doc_a", "line_a", "hs_a"), ["doc_a", "line_a"]).join(sets.toDF("doc_b", "line_b", "hs_b"), ["doc_b", "line_b"])
-    common = F.size(F.array_intersect("hs_a", "hs_b"))
-    return both.where(100 * common >= percent * (F.size("hs_a") + F.size("hs_b") - common)).select("doc_a", "line_a", "doc_b", "line_b")
+def _alike(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The later lines of the pairs (``a`` and ``b``, ids) whose full sets are alike: ``id, doc, at``.
+
+    One earlier line is enough, so each later line is held against its earliest candidate first, and only what is left against all.
+    """
+    pairs = cut(pairs.distinct())
+    places = cut(distinct.select("id", "doc", "at").join(small(cut(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"))), "id"))
+    at = lambda x: places.select(F.col("id").alias(x), F.struct("doc", "at", "id").alias(f"at_{x}"))
+    ordered = cut(pairs.join(at("a"), "a").join(at("b"), "b").select(F.least("at_a", "at_b").alias("first"), F.greatest("at_a", "at_b").alias("later")))
+    sets = _token_sets(docs, places.select("doc", "at"), id_col, text_col).join(places, _PLACE).select("id", "hs")
+
+    def held(some: DataFrame) -> DataFrame:
+        both = some.select(F.col("first.id").alias("a"), "later").withColumn("b", F.col("later.id")).join(sets.toDF("a", "hs_a"), "a").join(sets.toDF("b", "hs_b"), "b")
+        common = F.size(F.array_intersect("hs_a", "hs_b"))
+        return cut(both.where(100 * common >= percent * (F.size("hs_a") + F.size("hs_b") - common)).select("later").distinct())
+
+    first = held(ordered.groupBy("later").agg(F.min("first").alias("first")))
+    rest = held(ordered.join(small(first, F.lit(3)), "later", "left_anti"))
+    return cut(first.union(rest).select("later.id", "later.doc", "later.at"))
 
 
 def later_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """Lines, each the first of its equals, that an earlier such line resembles: ``doc, line``.
+    """Lines, each the first of its equals, that an earlier such line resembles: ``doc, at``.
 
     Candidates share a prefix key and pass the length filter, the positional filter and a parity
     sketch (its Hamming distance is at most the size of the symmetric difference); their texts are
-    fetched and the full sets compared. Keys that only one line has go before any join. Under a key
-    of at most ``CROWD`` lines all pairs are tried. Other lines are first held against the leader of
-    their most crowded key, its earliest line not known to go, in ``ROUNDS`` turns of a row for each
-    line; only lines that no leader resembles are then tried with all earlier lines of their keys. One
-    earlier line is enough for a line to go, so a group of many lines that are alike is settled by
-    its leader and never expanded into all pairs.
+    fetched and the full sets compared. Under a key that at most ``CROWD`` lines have all pairs are tried. Lines with a
+    more crowded key are held against the earliest line of the most crowded one, a row for each line. One earlier line is
+    enough for a line to go, so a group of many lines that are alike is settled by its earliest and not expanded into all pairs;
+    lines that are left are tried with all earlier lines of their crowded keys.
     """
-    keys = cut(_keys(lines, _frequencies(docs, text_col), percent))
-    met = cut(keys.join(keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key"))
-    few, many = met.where(f"members <= {CROWD}"), met.where(f"members > {CROWD}")
-    place_b = lambda pairs: pairs.select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line")).distinct()
-    pairs = cut(_candidates(few, few, percent))
-    sets = _token_sets(docs, pairs.selectExpr("doc_a as doc", "line_a as line").union(pairs.selectExpr("doc_b as doc", "line_b as line")), id_col, text_col)
-    gone = cut(place_b(_alike(pairs, sets, percent)))
-    open_ = cut(many.join(gone, ["doc", "line"], "left_anti"))
-    if open_.isEmpty():
-        return gone
-    sets = _token_sets(docs, many.select("doc", "line"), id_col, text_col)
-    led = None
-    for _ in range(ROUNDS):
-        free = open_ if led is None else open_.join(led.select("key", F.struct("doc", "line").alias("last")), "key").where("struct(doc, line) > last").drop("last")
-        led = cut(free.groupBy("key").agg(F.min(F.struct("doc", "line", "np", "s1", "s2")).alias("x")).select("key", "x.*"))
-        held = open_.groupBy("doc", "line").agg(F.max(F.struct("members", "key", "np", "s1", "s2")).alias("x")).select("doc", "line", "x.*")
-        found = cut(place_b(_alike(_candidates(led, held, percent), sets, percent)))
-        gone, open_ = gone.union(found), cut(open_.join(found, ["doc", "line"], "left_anti"))
-    return gone.union(place_b(_alike(cut(_candidates(many, open_, percent)), sets, percent))).distinct()
+    distinct = cut(_distinct_lines(lines, _frequencies(lines), percent).withColumn("id", F.monotonically_increasing_id()))
+    discard(lines)
+    met = _keyed(distinct).withColumn("members", F.count("*").over(Window.partitionBy("key")))
+    some = met.where(f"members > 1 and members <= {CROWD}")
+    # of two sets that are alike the smaller has 2p / (1 + p) of its own tokens in common, so of its first tokens fewer are enough
+    smaller = some.where(f"(np & 4294967295) <= (np >> 32) - ({2 * percent} * (np >> 32) + {99 + percent}) div {100 + percent} + 1")
+    row = "named_struct('id', id, 'np', np, 's1', s1, 's2', s2)"
+    ordered = "a.key = b.key and (a.np >> 32 < b.np >> 32 or a.np >> 32 = b.np >> 32 and a.id < b.id)"
+    # one query, so that both of its halves read one exchange: pairs, and rows of crowded keys
+    both = cut(
+        smaller.alias("a").join(some.alias("b"), F.expr(f"{ordered} and {_fits(percent)}")).selectExpr("cast(null as bigint) as key", "a.id as a", "b.id as b", f"cast(null as {_ROW}) as row")
+        .union(met.where(f"members > {CROWD}").selectExpr("key", "cast(null as bigint)", "cast(null as bigint)", f"{row} as row"))
+    )
+    place = distinct.select("id", F.struct("doc", "at").alias("place"))
+    crowd = cut(both.where("key is not null").select("key", "row.*").join(place, "id"))
+    sizes = crowd.groupBy("key").agg(F.count("*").alias("members"), F.min_by(F.struct("id", "np", "s1", "s2"), "place").alias("a"))
+    most = crowd.join(sizes, "key").groupBy("id").agg(F.max_by(F.struct("a", F.struct("id", "np", "s1", "s2").alias("b")), F.struct("members", "key")).alias("x")).select("x.*")
+    led = most.where(F.expr(f"a.id <> b.id and {_fits(percent)}")).select("a.id", "b.id")
+    gone = _alike(docs, distinct, both.where("key is null").select("a", "b").union(led), percent, id_col, text_col)
+    left = crowd.join(small(gone.select("id", F.lit(True).alias("gone")), F.lit(2)), "id", "left")
+    pairs = left.alias("a").join(left.alias("b"), F.expr(f"a.key = b.key and b.gone is null and a.place < b.place and {_fits(percent)}")).selectExpr("a.id as a", "b.id as b")
+    return gone.union(_alike(docs, distinct, pairs, percent, id_col, text_col)).select("doc", "at")
+
+
+def _mark() -> Column:
+    return F.col("at").bitwiseAND(F.lit(((1 << 31) - 1) << 32))
+
+
+def _number() -> Column:
+    return F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least: int = 5) -> DataFrame:
-    """Per document with any: ``doc, removed``, the sorted numbers (from 0) of the lines that go.
+    """Per document with any: ``doc, row, removed``, the sorted numbers (from 0) of the lines that go.
 
     Lines are in order of id and number. A line of at least ``least`` tokens (lower case, parted
     by white space) goes if any such line before it is equal in lower case or alike by ``percent`` %
     of the union of their token sets, whether that one stays or not. Equal lines are told by a
-    64-bit hash, and so are tokens. Shorter lines stay. Null texts have no lines; documents without
-    an id keep all; rows that share an id count as one place, so they lose no line to each other.
+    64-bit hash, and so are tokens. Shorter lines and blank ones stay. ``percent`` is at least 67.
+
+    Null texts have no lines; documents without an id keep all. Rows that share an id are told apart by ``row``, a mark of their text,
+    and ordered by it; rows equal in id and text count as one, so they lose no line to each other. An empty table gives an empty table.
     """
-    lines = _lines(docs, id_col, text_col, least)
-    places = cut(lines.select("doc", "line", "same"))
+    if percent < 67:
+        raise ValueError("lines that are alike must have three tokens in common")
+    places = _places(docs, id_col, text_col, least)
+    lines = cut(places)
+    held = cut(lines.select("doc", "at", "same"))
     later = later_lines(docs, lines, id_col, text_col, percent).withColumn("later", F.lit(True))
-    first = places.groupBy("same").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n")).select("same", "n", "first.*")
-    gone = first.join(later, ["doc", "line"], "left").where("n > 1 or later").select("same", "later", F.struct("doc", "line").alias("first"))
+    first = held.groupBy("same").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).select("same", "n", "first.*")
+    gone = first.join(later, _PLACE, "left").where("n > 1 or later").select("same", "later", F.struct("doc", "at").alias("first"))
     return (
-        places.join(gone, "same").where(F.expr("later or struct(doc, line) <> first"))
-        .select("doc", "line").distinct().groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("removed"))
+        held.join(gone, "same").where(F.expr("later or struct(doc, at) <> first"))
+        .select("doc", _mark().alias("row"), _number().alias("line")).distinct()
+        .groupBy("doc", "row").agg(F.sort_array(F.collect_list("line")).alias("removed"))
     )
 
 
@@ -179,21 +231,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A document that loses every line has an empty text; a null text stays null.
     """
-    gone = cut(removed_lines(docs, id_col, text_col, percent, least)).select(F.col("doc").alias("_tm_doc"), F.col("removed").alias("_tm_removed"))
+    gone = cut(removed_lines(docs, id_col, text_col, percent, least)).select(F.col("doc").alias("_tm_doc"), F.col("row").alias("_tm_row"), F.col("removed").alias("_tm_removed"))
     cols = docs.columns
-    joined = docs.join(gone, F.col(id_col) == F.col("_tm_doc"), "left")
+    joined = docs.join(small(gone, F.size("_tm_removed") + 2), (F.col(id_col) == F.col("_tm_doc")) & (_row(text_col) == F.col("_tm_row")), "left")
     kept = F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (w, i) -> not array_contains(_tm_removed, i)), '\\n')")
     return joined.withColumn(text_col, F.when(F.col("_tm_removed").isNull(), F.col(text_col)).otherwise(kept)).select(cols)
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """Per document: its number of lines, how many go, and which."""
+    """Per document: its number of lines, how many go, and which; lines of any number of tokens, blank ones left alone."""
     from tidemark.tables import table
 
     docs = table(spark, sf_dir, "documents")
-    gone = cut(removed_lines(docs)).withColumnRenamed("doc", "doc_id")
-    sizes = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
-    return sizes.join(gone, "doc_id", "left").select(
+    gone = cut(removed_lines(docs, least=1)).withColumnRenamed("doc", "doc_id")
+    sizes = docs.select("doc_id", _row("text").alias("row"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
+    return sizes.join(gone, ["doc_id", "row"], "left").select(
         "doc_id", F.greatest("n_lines", F.lit(0)).cast("bigint").alias("n_lines"), F.greatest(F.coalesce(F.size("removed"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_removed"),
         F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"),
     )
@@ -205,7 +257,7 @@ WITH lines AS (
   SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS words FROM documents),
 toks AS (
   SELECT doc_id, line, list_filter(string_split_regex(lower(words), '[ \t\x0B\f\r]+'), lambda w: w <> '') AS w FROM lines),
-fit AS (SELECT doc_id, line, list_sort(list_distinct(w)) AS t FROM toks WHERE len(w) >= 5),
+fit AS (SELECT doc_id, line, list_sort(list_distinct(w)) AS t FROM toks WHERE len(w) >= 1),
 cls AS (SELECT t, min({'doc': doc_id, 'line': line}) AS first, row_number() OVER () AS id FROM fit GROUP BY t),
 words AS (SELECT id, first, t, len(t) AS n, unnest(t) AS w FROM cls),
 freq AS (SELECT w, count(*) AS df FROM words GROUP BY w),
