@@ -296,6 +296,13 @@ def test_every_run_of_fifty_words_is_found(spark):
     assert n > 1000
 
 
+def test_shared_words_too_few_at_the_ends_of_texts(spark):
+    r, words = random.Random(38), vocabulary(3000)
+    few = prose(r, words, 32)
+    rows = [(1, prose(r, words, 90) + " " + few), (2, prose(r, words, 70) + " " + few), (3, few + " " + prose(r, words, 60)), (4, few), (5, few + " " + few)]
+    assert passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() == []
+
+
 def test_most_edited_passages_are_found(spark):
     r, words = random.Random(36), vocabulary(4000)
     rows, want = [], set()
