@@ -22,7 +22,7 @@ LEAST = 8
 #: Symbols that are packed together, so that a reader need not unpack all.
 CHUNK = 1 << 14
 #: A worker forgets its words' ids when it holds so many.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 
 
 class Vocabulary:
@@ -286,7 +286,7 @@ def _write(path: str, terminals: int, end_id: int, chars: int):
     return run
 
 
-def write_tokens(docs: DataFrame, out: str, path: str, terminals: int, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_chars: int = 3_000_000) -> None:
+def write_tokens(docs: DataFrame, out: str, path: str, terminals: int, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_chars: int = 2_000_000) -> None:
     """Encode every whole text and write the files under ``out``, in ascending id order.
 
     The format: parquet files of rows ``shard, piece, without_id, doc_ids, id_counts, rules, symbol_counts,
