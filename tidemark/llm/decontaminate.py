@@ -18,6 +18,8 @@ K1, B = 1.2, 0.75
 BLOCK = 4
 #: Characters of items in one index, whose arrays take about ten bytes for each; more items than that make several indexes, searched in turn.
 INDEX_CHARS = 2_000_000
+#: So many maxima are kept as a table as well, which is faster to look up.
+DENSE = 1 << 20
 #: Bounds that are looked up at once.
 LOOKUPS = 1 << 19
 
@@ -35,11 +37,15 @@ class Index:
     block_at: np.ndarray  # of each term and block with it: term * blocks + block, ascending
     block_max: np.ndarray  # the greatest impact of each of those
     blocks: int
+    dense: np.ndarray | None  # the same as a table of terms and blocks, where it has at most DENSE cells
     parts: list[tuple[np.ndarray, np.ndarray, int]]  # question's and answer's grams, and their width
+    named: tuple | None = None  # what ``essential`` gave last, and for which score
 
 
 def bounds(index: Index, terms: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     """The greatest impact that each term has in each block, 0 where it has none."""
+    if index.dense is not None:
+        return index.dense[terms, blocks]
     want = terms.astype(np.int64) * index.blocks + blocks
     at = np.minimum(np.searchsorted(index.block_at, want), len(index.block_at) - 1)
     return np.where(index.block_at[at] == want, index.block_max[at], 0.0)
@@ -104,7 +110,11 @@ def build(rows: list[tuple[int, str]], total: int, df: dict[int, int], mean: flo
     blocks = -(-len(rows) // BLOCK)
     at = np.repeat(np.arange(len(terms)), np.diff(first)) * blocks + items // BLOCK  # ascending, as items are within a term
     new = np.flatnonzero(np.diff(at, prepend=-1))
-    return Index([i for i, _ in rows], longest, terms, first, items, impacts, at[new], np.maximum.reduceat(impacts, new), blocks, parts)
+    tops, dense = np.maximum.reduceat(impacts, new), None
+    if len(terms) * blocks <= DENSE:
+        dense = np.zeros((len(terms), blocks))
+        dense.ravel()[at[new]] = tops
+    return Index([i for i, _ in rows], longest, terms, first, items, impacts, at[new], tops, blocks, dense, parts)
 
 
 def wand(index: Index, block: int, terms: np.ndarray, least: float) -> list[int]:
@@ -177,9 +187,11 @@ def search(index: Index, w: Words, least: float) -> list[tuple[int, int]]:
         cells.append((base[text] + place // stride - back)[ok])
         kinds.append(term[ok])
     cell, kind = np.concatenate(cells), np.concatenate(kinds)
-    by = np.lexsort((kind, cell))
+    by = np.argsort(cell, kind="stable")  # two ascending runs
     cell, kind = cell[by], kind[by]
-    first, blocks = essential(index, least)
+    if index.named is None or index.named[0] != least:
+        index.named = (least, *essential(index, least))
+    _, first, blocks = index.named
     n = first[kind + 1] - first[kind]
     named = np.repeat(first[kind] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     pairs = np.unique(np.repeat(cell, n) * index.blocks + blocks[named])
