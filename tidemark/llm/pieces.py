@@ -323,7 +323,7 @@ def _rare_words(shared, hot):
 
 def _lists(column) -> tuple[np.ndarray, np.ndarray]:
     """An Arrow column of lists as all values in a row and the number of each list."""
-    lists = column.combine_chunks()
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
     offsets = np.asarray(lists.offsets).astype(np.int64)
     return np.asarray(lists.values)[offsets[0] : offsets[-1]] if len(offsets) else np.zeros(0, np.int32), np.diff(offsets)
@@ -337,7 +337,7 @@ def _dictionary(model: Model, words: list[str], flat: np.ndarray, size: np.ndarr
     return hashes[order], spread(flat, size, order)[0].astype(np.int32), np.concatenate([[0], np.cumsum(size[order])]).astype(np.int32)
 
 
-def frequent_words(encoded: DataFrame, model: Model, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def frequent_words(encoded: DataFrame, shared, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words that occur ``2**k`` times or more, for the least k that leaves at most ``most``, with their ids.
 
     What reaches the driver is bounded by ``most``; the counts that decide are one row for each power of two.
@@ -349,9 +349,18 @@ def frequent_words(encoded: DataFrame, model: Model, most: int) -> tuple[np.ndar
         if total > most:
             break
         low = k
-    rows = encoded.where(F.floor(F.log2("count")) >= low).select("word", "ids").toArrow()
+    def hashed(batches):
+        for batch in batches:
+            flat, size = shared.value.widen(*_lists(batch.column(1)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(word_hashes(batch.column(0).to_pylist()).view(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat.astype(np.int32)))], names=["h", "ids"]
+            )
+
+    rows = encoded.where(F.floor(F.log2("count")) >= low).select("word", "ids").mapInArrow(hashed, "h bigint, ids array<int>").toArrow()
     flat, size = _lists(rows.column("ids")) if rows.num_rows else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-    return _dictionary(model, rows.column("word").to_pylist(), flat, size)
+    hashes = rows.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(hashes, kind="stable")
+    return hashes[order], spread(flat, size, order)[0].astype(np.int32), np.concatenate([[0], np.cumsum(size[order])]).astype(np.int32)
 
 
 def _assemble(shared, hot, schema: pa.Schema):
@@ -435,7 +444,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     counted = known.select("text").mapInArrow(_counted(shared), "word string, count bigint").groupBy("word").agg(F.sum("count").alias("count"))
     encoded = cut(encode_words(counted, model))
     chars = encoded.agg(F.coalesce(F.sum(F.col("count") * F.length("word")), F.lit(0)).alias("n")).first().n
-    hot = spark.sparkContext.broadcast(frequent_words(encoded, model, most))
+    hot = spark.sparkContext.broadcast(frequent_words(encoded, shared, most))
     parts = partitions(spark)
     # both uses of the dealt texts read all columns, so that the exchange is written once
     packed = known.mapInArrow(_pack(-(-chars // block_chars) or 1), f"block int, id {kind.simpleString()}, packed binary").repartition(2 * parts, "block")
