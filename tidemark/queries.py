@@ -116,6 +116,47 @@ def search_postings(spark, sf):
     return search.index(_all_postings(spark, sf))[0]
 
 
+# --- the stored index: three batches of items go in, every seventh is deleted
+
+_LIVE = "(SELECT * FROM v_items_raw WHERE id % 7 <> 0)"
+
+
+def _index(spark, sf):
+    from tidemark.plans.stored_index import StoredIndex
+
+    index, items = StoredIndex(spark, f"{_shared(spark)}/index"), fx.items_raw(spark, sf)
+    for k in range(3):
+        index.insert(items.where(F.col("id") % 3 == k))
+    index.delete(items.where("id % 7 = 0"))
+    return index
+
+
+@query("index_postings", _POSTED.replace("v_items", _LIVE) + "SELECT item_id, term, count(*) AS tf FROM p GROUP BY ALL")
+def index_postings(spark, sf):
+    return _index(spark, sf).counts()
+
+
+@query("index_topk", _BM25.replace("FROM v_items)", f"FROM {_LIVE})") + f"SELECT item_id, score, url FROM (SELECT * FROM r ORDER BY score, item_id LIMIT 50) JOIN {_LIVE} ON id = item_id")
+def index_topk(spark, sf):
+    """The best fifty by the text alone, from the blocks that they may be in."""
+    from tidemark.plans.stored_index import StoredIndex
+
+    index, items = StoredIndex(spark, f"{_shared(spark)}/index", ("content_text",)), fx.items_raw(spark, sf)
+    for k in range(3):
+        index.insert(items.where(F.col("id") % 3 == k))
+    index.delete(items.where("id % 7 = 0"))
+    best = index.top(TERMS, 50).withColumn("score", F.round("score", 6))
+    return best.join(items.select(F.col("id").alias("item_id"), "url"), "item_id").select("item_id", "score", "url").orderBy("score", "item_id")
+
+
+@query("index_phrase", _POSTED.replace("v_items", _LIVE) + "SELECT DISTINCT a.item_id FROM p a JOIN p b ON a.item_id = b.item_id AND a.col = b.col AND b.place = a.place + 1 WHERE a.term = 'of' AND b.term = 'the'")
+def index_phrase(spark, sf):
+    """A phrase from the merged index; only the shards of its words are read."""
+    index = _index(spark, sf)
+    index.optimize()
+    return search.has_phrase(index.postings(["of", "the"]), ["of", "the"])
+
+
 # --- normalization
 
 
