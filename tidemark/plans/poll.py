@@ -127,10 +127,10 @@ def _applied(dead_at: int):
                         done.append((now, *held))
                     now, held = source, (start["interval"], start["next_poll_at"], start["fails"], start["dead"], start["last_poll_at"], start["etag"], start["last_modified"], False)
                 if not held[3]:  # a dead source is not polled
-                    if result == "unchanged":
-                        etag, modified = held[5], held[6]
-                    elif result not in ("new", "none"):
+                    if start["page"] or result not in ("new", "none", "unchanged"):
                         etag = modified = None
+                    elif result == "unchanged":
+                        etag, modified = held[5], held[6]
                     held = (*step(held[:4], ts, result, dead_at), ts, etag or "", modified or "", True)
             yield batch_of(done)
         if held is not None:
@@ -143,14 +143,16 @@ def apply_polls(sources: DataFrame, polls: DataFrame, now: int, dead_at: int = D
     """``sources`` after ``polls(source_id, seq, ts, outcome, etag, last_modified)``, in order of ``seq`` for each source.
 
     A poll sets its time, the next poll, the interval, failures and death (``step``), and ``updated_at`` to ``now``. The
-    validators are those of a good answer (none where it has none), stay after an unchanged one, and are cleared by failures. Sources that are dead are
-    not polled, and polls of unknown sources are ignored. A source's polls pass one by one through its state, sorted within their partition.
+    validators are those of a good answer (none where it has none), stay after an unchanged one, and are cleared by failures; html sources have none after
+    any poll. Sources that are dead are not polled, nor are html sources without a scraper config, and polls of unknown sources are ignored. A source's polls pass one by one through its state, sorted within their partition.
     """
     start = F.struct(
         F.col("poll_interval").cast("bigint").alias("interval"), F.col("next_poll_at").cast("bigint").alias("next_poll_at"), F.col("consec_fails").cast("bigint").alias("fails"), F.col("is_dead").alias("dead"),
         F.col("last_poll_at").cast("bigint").alias("last_poll_at"), F.coalesce("etag", F.lit("")).alias("etag"), F.coalesce("last_modified", F.lit("")).alias("last_modified"),
+        F.coalesce(F.col("type") == "html", F.lit(False)).alias("page") if "type" in sources.columns else F.lit(False).alias("page"),
     )
-    rows = polls.withColumnsRenamed({"etag": "_etag", "last_modified": "_modified"}).join(sources.select(F.col("id").alias("source_id"), start.alias("start")), "source_id")
+    polled = sources.where("not (type <=> 'html') or scraper_config is not null") if {"type", "scraper_config"} <= set(sources.columns) else sources
+    rows = polls.withColumnsRenamed({"etag": "_etag", "last_modified": "_modified"}).join(polled.select(F.col("id").alias("source_id"), start.alias("start")), "source_id")
     rows = rows.repartition("source_id").sortWithinPartitions("source_id", "seq", "ts", "outcome")
     after = rows.select(F.col("source_id").cast("bigint"), F.col("ts").cast("bigint"), "outcome", "_etag", "_modified", "start").mapInArrow(_applied(dead_at), _POLLED).where("polled").drop("polled")
     new = {"poll_interval": "interval", "next_poll_at": "next_poll_at", "consec_fails": "fails", "is_dead": "dead", "last_poll_at": "last_poll_at", "etag": "etag", "last_modified": "last_modified"}

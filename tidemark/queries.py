@@ -252,7 +252,7 @@ _FEED = """concat('<rss version="2.0" xmlns:content="http://purl.org/rss/1.0/mod
   {T0} + doc_id % 60 AS published_at, 'd &amp; ' || doc_id AS content_html, 'd & ' || doc_id AS content_text FROM documents""")
 def feed_items(spark, sf):
     bodies = table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), F.expr(_FEED).alias("body"))
-    return feeds.entry_items(feeds.entries(bodies), T0)
+    return feeds.entry_items(feeds.entries(bodies), T0).drop("place")
 
 
 # --- the store
@@ -388,6 +388,48 @@ def sync_cursor(spark, sf):
     return store.sync_cursor([(_arm(spark, sf, n), a[1]) for n, a in _ARMS.items()], _SINCE)
 
 
+_CHANGED = " UNION ALL ".join(f"SELECT '{n}' AS kind, {k} AS id, {c} AS changed_at FROM {v} WHERE {c} > {_SINCE}" for (n, (v, c, *_)), k in zip(_ARMS.items(), ("id", "item_id", "id", "id", "entity_id"), strict=True))
+
+
+def _stored(spark, sf, late: bool = True) -> str:
+    """A store of the fixture tables; without ``late`` it lacks every second item and all tombstones."""
+    from tidemark.sources.snapshots import Snapshots
+
+    path = f"{_shared(spark)}/store"
+    _put(spark, sf, path, Snapshots, late)
+    return path
+
+
+def _put(spark, sf, path, kind, late):
+    for name, make in _MADE.items():
+        df = make(spark, sf)
+        df = df.drop("content_text") if name == "items" else df
+        if not late:
+            df = df.where(f"fetched_at <= {T0 + 5000}") if name == "items" else df.where(f"deleted_at <= {T0 + 5000}") if name == "tombstones" else df.where(f"updated_at <= {T0 + 5000}")
+        kind(spark, f"{path}/{name}").write(df)
+
+
+@query("sync_delta", _CHANGED)
+def sync_delta(spark, sf):
+    """All five arms, deletions among them, in one read of the store's change feed."""
+    from tidemark.sources.changes import read_changes
+
+    return read_changes(spark, _stored(spark, sf), _SINCE).select("kind", "id", "changed_at")
+
+
+@query("stream_changes", _CHANGED)
+def stream_changes(spark, sf):
+    """The change feed as a stream in two runs: the second goes on at the cursor of the first, after the store has changed."""
+    from tidemark.sources import changes
+    from tidemark.sources.snapshots import Snapshots
+    from tidemark.streaming.jobs import collect_changes
+
+    path, out = _stored(spark, sf, late=False), _shared(spark)
+    collect_changes(changes.stream_changes(spark, path, _SINCE), out)
+    _put(spark, sf, path, Snapshots, True)
+    return collect_changes(changes.stream_changes(spark, path, _SINCE), out).select("kind", "id", "changed_at")
+
+
 _BEFORE = T0 + 20000
 _VICTIMS = f"SELECT i.* FROM v_items i LEFT JOIN v_state s ON s.item_id = i.id WHERE fetched_at < {_BEFORE} AND (is_starred IS NULL OR NOT is_starred)"
 
@@ -550,7 +592,8 @@ def _polls(spark, sf):
       CASE WHEN dead THEN updated_at ELSE {MID} END
     FROM s JOIN e ON e.source_id = s.id AND e.k = s.k + 1)
   SELECT id, arg_max(interval_s, k) AS poll_interval, arg_max(next_poll_at, k) AS next_poll_at, arg_max(fails, k) AS consec_fails, arg_max(dead, k) AS is_dead, max(last_poll_at) AS last_poll_at,
-    nullif(arg_max(etag, k), '') AS etag, nullif(arg_max(last_modified, k), '') AS last_modified, arg_max(updated_at, k) AS updated_at FROM s GROUP BY id""")
+    CASE WHEN any_value(type) = 'rss' THEN nullif(arg_max(etag, k), '') END AS etag, CASE WHEN any_value(type) = 'rss' THEN nullif(arg_max(last_modified, k), '') END AS last_modified, arg_max(updated_at, k) AS updated_at
+  FROM (SELECT s.*, v.type FROM s JOIN v_sources v USING (id)) GROUP BY id""")
 def poll_apply(spark, sf):
     """Answers of feeds and pages written back to their sources: state, validators, last poll."""
     before = fx.sources(spark, sf).withColumns({"last_poll_at": F.lit(None).cast("bigint"), "etag": F.lit(None).cast("string"), "last_modified": F.lit(None).cast("string")})
@@ -572,6 +615,73 @@ def poll_feeds(spark, sf):
     return joined.select("source_id", poll.outcome(F.lit("rss"), F.lit(200), F.col("new_items"), F.col("bad").isNull()).alias("outcome"), "new_items")
 
 
+# --- answers as a data source
+
+_HOST = "regexp_extract(url, '^([^/]*//[^/?#]*)', 1)"
+_STRIPPED = "CASE WHEN url LIKE '%?utm_source=feed%' THEN replace(url, '?utm_source=feed', '') WHEN url LIKE '%?page=2&ref=x%' THEN replace(url, '&ref=x', '') ELSE url END"
+_PAGE_ROUND = rf"""WITH p AS (SELECT page_id AS source_id, regexp_replace({_STRIPPED}, '#.*', '') AS url, {_PLAIN} AS content_text,
+    CASE WHEN page_id % 2 = 0 THEN '' ELSE replace(replace(trim(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)), '&quot;', '"'), '&amp;', '&') END AS title FROM pages),
+  n AS (SELECT * FROM p WHERE source_id % 7 <> 0 AND source_id % 5 <> 0 AND source_id % 3 <> 0 AND source_id % 11 <> 0) """
+
+
+def _page_round(spark, sf):
+    """A page round over all pages, each the one article of a source: every fifth index fails, every third article is stored, every seventh source has no config, every eleventh article fails."""
+    from tidemark.plans.rounds import page_round
+    from tidemark.sources.answers import read_answers, write_answers
+
+    pages, path = table(spark, sf, "pages"), f"{_shared(spark)}/answers"
+    config = "if(page_id % 7 = 0, null, named_struct('index_selector', '#in', 'date_selector', '', 'content_selector', if(page_id % 2 = 0, 'article', '')))"
+    sources = pages.selectExpr("page_id as id", "'html' as type", "concat('http://index/', page_id) as url", f"{config} as scraper_config", "cast(3600 as bigint) as poll_interval", "cast(0 as bigint) as next_poll_at",
+                               "cast(null as bigint) as last_poll_at", "'old' as etag", "'old' as last_modified", "0 as consec_fails", "false as is_dead", "cast(0 as bigint) as updated_at")
+    plain = pages.withColumn("stripped", F.regexp_replace(text.strip_tracking_full("url"), "#.*", ""))
+    stored = plain.where("page_id % 3 = 0").selectExpr("page_id as source_id", "stripped as url", "'g' as guid")
+    index = "concat('<a href=\"/outside\">o</a><div id=\"in\"><a href=\"', url, '\">1</a><a href=\"', stripped, '\">2</a><a href=\"http://elsewhere/x\">3</a></div>')"
+    common = "cast(null as string) as error", f"cast({T0} as bigint) as fetched_at", "'new' as etag", "'new' as last_modified"
+    answers = plain.selectExpr("page_id as source_id", "concat('http://index/', page_id) as url", f"concat({_HOST}, '/') as final_url", "if(page_id % 5 = 0, 500, 200) as status", f"cast({index} as binary) as body", *common)
+    answers = answers.unionByName(plain.selectExpr("page_id as source_id", "stripped as url", "cast(null as string) as final_url", "if(page_id % 11 = 0, 404, 200) as status", "cast(html as binary) as body", *common))
+    write_answers(answers, path)
+    return sources, *page_round(sources, stored, read_answers(spark, path), T0)
+
+
+@query("page_round_items", _PAGE_ROUND + f"SELECT source_id, sha256(url || title) AS guid, url, title, content_text, {T0}::BIGINT AS published_at FROM n")
+def page_round_items(spark, sf):
+    """Index pages to links, new urls, articles and items, from answers that were written and read back."""
+    return _page_round(spark, sf)[1].select("source_id", "guid", "url", "title", "content_text", "published_at")
+
+
+@query("page_round_sources", _PAGE_ROUND + f"""SELECT source_id AS id, CASE WHEN source_id % 7 = 0 OR source_id % 5 = 0 THEN 3600 WHEN n.url IS NOT NULL THEN 1800 ELSE 5400 END::BIGINT AS poll_interval,
+    CASE WHEN source_id % 7 = 0 THEN 0 WHEN source_id % 5 = 0 THEN {T0 + 60} WHEN n.url IS NOT NULL THEN {T0 + 1800} ELSE {T0 + 5400} END::BIGINT AS next_poll_at,
+    CASE WHEN source_id % 7 <> 0 AND source_id % 5 = 0 THEN 1 ELSE 0 END::INT AS consec_fails, CASE WHEN source_id % 7 = 0 THEN 'old' ELSE '' END AS etag, CASE WHEN source_id % 7 = 0 THEN 0 ELSE {MID} END::BIGINT AS updated_at
+  FROM p LEFT JOIN n USING (source_id)""")
+def page_round_sources(spark, sf):
+    """The same round's sources: intervals, failures, cleared validators; those without a config as they were."""
+    sources, _, polls = _page_round(spark, sf)
+    return poll.apply_polls(sources, polls, MID).select("id", "poll_interval", "next_poll_at", "consec_fails", "etag", "updated_at")
+
+
+@query("feed_round", f"""WITH d AS (SELECT doc_id AS id, CASE doc_id % 6 WHEN 0 THEN 304 WHEN 1 THEN 404 WHEN 2 THEN 500 ELSE 200 END AS status, doc_id % 5 = 0 AS bad, doc_id % 3 = 0 AS known FROM documents),
+  o AS (SELECT *, CASE WHEN status = 304 THEN 'unchanged' WHEN status = 404 THEN 'gone' WHEN status <> 200 OR bad THEN 'failed' WHEN known THEN 'none' ELSE 'new' END AS outcome FROM d)
+  SELECT id, CASE outcome WHEN 'new' THEN 1800 WHEN 'none' THEN 5400 WHEN 'unchanged' THEN 5400 ELSE 3600 END::BIGINT AS poll_interval,
+    ({T0} + CASE outcome WHEN 'new' THEN 1800 WHEN 'none' THEN 5400 WHEN 'unchanged' THEN 5400 WHEN 'gone' THEN 86400 ELSE 60 END)::BIGINT AS next_poll_at, outcome = 'gone' AS is_dead,
+    CASE WHEN outcome IN ('new', 'none') THEN 'e' || id WHEN outcome = 'unchanged' THEN 'old' ELSE '' END AS etag FROM o""")
+def feed_round(spark, sf):
+    """A round over feeds of every kind of answer, written and read back: entries, counts, and the sources' next state."""
+    from tidemark.plans.rounds import feed_round as round_of
+    from tidemark.sources.answers import read_answers, write_answers
+
+    docs, path = table(spark, sf, "documents"), f"{_shared(spark)}/answers"
+    answers = docs.selectExpr(
+        "doc_id as source_id", "concat('http://', source, '.example/feed') as url", "cast(null as string) as final_url", "case doc_id % 6 when 0 then 304 when 1 then 404 when 2 then 500 else 200 end as status", "concat('e', doc_id) as etag",
+        "cast(null as string) as last_modified", f"cast({T0} as bigint) as fetched_at", "cast(null as string) as error", f"cast(if(doc_id % 5 = 0, substring({_FEED}, 1, 60), {_FEED}) as binary) as body",
+    )
+    write_answers(answers, path)
+    sources = docs.selectExpr("doc_id as id", "'rss' as type", "cast(3600 as bigint) as poll_interval", "cast(0 as bigint) as next_poll_at", "cast(null as bigint) as last_poll_at", "'old' as etag", "'old' as last_modified", "0 as consec_fails",
+                              "false as is_dead", "cast(0 as bigint) as updated_at")
+    stored = docs.where("doc_id % 3 = 0").selectExpr("doc_id as source_id", "sha2(cast(doc_id as string), 256) as guid")
+    _, polls = round_of(sources, stored, read_answers(spark, path), T0)
+    return poll.apply_polls(sources, polls, MID).select("id", "poll_interval", "next_poll_at", "is_dead", "etag")
+
+
 # --- records
 
 
@@ -646,6 +756,21 @@ def opml_export(spark, sf):
     return opml.export(fx.sources(spark, sf), fx.folders(spark, sf))
 
 
+@query("opml_document", f"""SELECT place - 1 AS place, value FROM (SELECT row_number() OVER (ORDER BY section, name, folder, part, title, id) AS place, value FROM (
+    SELECT 0 AS section, '' AS name, 0 AS folder, 1 AS part, title, s.id, {_LINE} AS value FROM v_sources s LEFT JOIN v_folders f ON f.id = s.folder_id WHERE f.id IS NULL
+    UNION ALL SELECT 1, name, f.id, 1, title, s.id, {_LINE} FROM v_sources s JOIN v_folders f ON f.id = s.folder_id
+    UNION ALL SELECT DISTINCT 1, name, f.id, 0, '', 0, '<outline text="' || name || '" title="' || name || '">' FROM v_sources s JOIN v_folders f ON f.id = s.folder_id
+    UNION ALL SELECT DISTINCT 1, name, f.id, 2, '', 0, '</outline>' FROM v_sources s JOIN v_folders f ON f.id = s.folder_id
+    UNION ALL VALUES (-1, '', 0, 0, '', 0, '<?xml version="1.0" encoding="UTF-8"?><opml version="2.0"><head><title>Feeds</title></head><body>'), (2, '', 0, 0, '', 0, '</body></opml>')))""")
+def opml_document(spark, sf):
+    """The outline file written as ordered files and read back, line by line."""
+    from tidemark.sources.text_files import read_text
+
+    path = f"{_shared(spark)}/outline"
+    opml.write_document(fx.sources(spark, sf), fx.folders(spark, sf), path, "Feeds")
+    return read_text(spark, path)
+
+
 @query("opml_import_counters", "SELECT c_custkey AS file, 2::BIGINT AS folders_created, 3 - (c_custkey % 40 < 20)::BIGINT AS sources_created, 2 + (c_custkey % 40 < 20)::BIGINT AS skipped FROM customer")
 def opml_import_counters(spark, sf):
     body = """concat('<opml version="2.0"><body><outline text="F1"><outline text="a" xmlUrl="http://src', c_custkey % 40, '.example/feed"/><outline text="b" type="rss" xmlUrl="http://b"/><outline text="G"><outline xmlUrl="http://lost"/></outline></outline>',

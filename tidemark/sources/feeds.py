@@ -40,20 +40,20 @@ def _is_atom() -> Column:
 
 
 def entries(fetched: DataFrame) -> DataFrame:
-    """Entries of feeds ``(source_id, body)``: ``source_id, guid, link, title, author, content, description, published_at, updated_at``.
+    """Entries of feeds ``(source_id, body)``: ``source_id, place, guid, link, title, author, content, description, published_at, updated_at``; ``place`` is the entry's in its feed.
 
     A body that is no well-formed XML has no entries; see ``malformed``.
     """
     body = F.substring("body", 1, BODY_LIMIT)
     atom = _is_atom()
     options = {"columnNameOfCorruptRecord": "_corrupt"}
-    rss = fetched.where(~atom).select("source_id", F.explode(F.from_xml(body, RSS, options).getField("channel").getField("item")).alias("e")).select(
-        "source_id", "e.guid", "e.link", "e.title", F.coalesce("e.dc:creator", "e.author", F.lit("")).alias("author"), F.col("e.content:encoded").alias("content"), "e.description",
+    rss = fetched.where(~atom).select("source_id", F.posexplode(F.from_xml(body, RSS, options).getField("channel").getField("item")).alias("place", "e")).select(
+        "source_id", "place", "e.guid", "e.link", "e.title", F.coalesce("e.dc:creator", "e.author", F.lit("")).alias("author"), F.col("e.content:encoded").alias("content"), "e.description",
         rfc822(F.col("e.pubDate")).alias("published_at"), F.lit(None).cast("bigint").alias("updated_at"),
     )
     links = F.filter("e.link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
-    feed = fetched.where(atom).select("source_id", F.explode(F.from_xml(body, ATOM, options).getField("entry")).alias("e")).select(
-        "source_id", F.col("e.id").alias("guid"), F.get(links, F.lit(0)).getField("_href").alias("link"), "e.title", F.coalesce("e.author.name", F.lit("")).alias("author"),
+    feed = fetched.where(atom).select("source_id", F.posexplode(F.from_xml(body, ATOM, options).getField("entry")).alias("place", "e")).select(
+        "source_id", "place", F.col("e.id").alias("guid"), F.get(links, F.lit(0)).getField("_href").alias("link"), "e.title", F.coalesce("e.author.name", F.lit("")).alias("author"),
         "e.content", F.col("e.summary").alias("description"), iso(F.col("e.published")).alias("published_at"), iso(F.col("e.updated")).alias("updated_at"),
     )
     return rss.unionByName(feed)
@@ -74,6 +74,7 @@ def entry_items(found: DataFrame, poll_ts: int) -> DataFrame:
         .select(
             "source_id", "guid", strip_tracking_full(F.coalesce("link", F.lit(""))).alias("url"), F.coalesce("title", F.lit("")).alias("title"), "author",
             published(F.col("published_at"), F.col("updated_at"), F.lit(poll_ts)).cast("bigint").alias("published_at"), "content_html", html_to_text(F.col("content_html")).alias("content_text"),
+            *(["place"] if "place" in found.columns else []),
         )
     )
 

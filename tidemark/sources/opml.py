@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from xml.sax.saxutils import escape
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,3 +85,27 @@ def document(lines: DataFrame, title: str) -> DataFrame:
     """One row ``xml``: the whole outline file of a store's sources, which are few."""
     body = lines.agg(F.array_join(F.array_sort(F.collect_list(F.struct("section", "rank", "line"))).getField("line"), "").alias("body"))
     return body.select(F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?><opml version="2.0"><head><title>{title}</title></head><body>'), "body", F.lit("</body></opml>")).alias("xml"))
+
+
+def ordered_lines(sources: DataFrame, folders: DataFrame) -> DataFrame:
+    """The lines of an outline file in order, one column ``line``: no row gathers a folder's or the file's lines.
+
+    Sources without a folder come first, by title; then folders that have a source, by name, each with an opening line, its sources by title, and a closing line.
+    """
+    line = outline_of(F.col("title"), F.col("url"), F.col("type"))
+    left = sources.select(F.col("id").alias("sid"), "title", "url", "type", "folder_id").join(folders.select(F.col("id").alias("folder_id"), "name"), "folder_id", "left")
+    key = ("section", "name", "folder", "part", "title", "sid")
+    lone = left.where("name is null").select(F.lit(0).alias("section"), F.lit("").alias("name"), F.lit(0).cast("bigint").alias("folder"), F.lit(1).alias("part"), "title", "sid", line.alias("line"))
+    inside = left.where("name is not null").select(F.lit(1).alias("section"), "name", F.col("folder_id").alias("folder"), F.lit(1).alias("part"), "title", "sid", line.alias("line"))
+    boxes = inside.select("section", "name", "folder").distinct()
+    head = F.concat(F.lit('<outline text="'), _escape(F.col("name")), F.lit('" title="'), _escape(F.col("name")), F.lit('">'))
+    ends = [boxes.select("section", "name", "folder", F.lit(part).alias("part"), F.lit("").alias("title"), F.lit(0).cast("bigint").alias("sid"), text.alias("line")) for part, text in ((0, head), (2, F.lit("</outline>")))]
+    return lone.unionByName(inside).unionByName(ends[0]).unionByName(ends[1]).orderBy(*key).select("line")
+
+
+def write_document(sources: DataFrame, folders: DataFrame, path: str, title: str) -> None:
+    """Writes a store's outline file as ordered files, which one after another are the document."""
+    from tidemark.sources.text_files import write_text
+
+    head = f'<?xml version="1.0" encoding="UTF-8"?><opml version="2.0"><head><title>{escape(title)}</title></head><body>'
+    write_text(ordered_lines(sources, folders), path, head, "</body></opml>")

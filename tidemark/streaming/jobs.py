@@ -58,3 +58,9 @@ def upsert_stream(items: DataFrame, out: str, buckets: int = 64) -> DataFrame:
 
     items.writeStream.foreachBatch(put).option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema).parquet(store).select(names)
+
+
+def collect_changes(changes: DataFrame, out: str) -> DataFrame:
+    """Runs a stream of ``sources.changes`` over all there is and returns every change that it and earlier runs over ``out`` delivered, each once."""
+    changes.writeStream.format("parquet").option("path", f"{out}/changes").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
+    return changes.sparkSession.read.schema(changes.schema).parquet(f"{out}/changes")
