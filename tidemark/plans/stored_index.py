@@ -26,9 +26,8 @@ CELL = 10
 SLICE = 1 << 19
 #: The term that every item has once; its postings are the list of items, with their lengths.
 ITEM = ""
-_FRAGMENT = "term string, range bigint, off array<int>, tf array<int>, len array<int>, places array<int>"
+_FRAGMENT = "term string, key bigint, range bigint, off array<int>, tf array<int>, len array<int>, places array<int>"
 _BLOCKS = "term string, range bigint, first bigint, last bigint, n int, off array<int>, tf array<int>, len array<int>, places array<int>, max_tf int, min_ratio double, shard int"
-_PLAIN = "term string, range bigint, first bigint, last bigint, n int, off array<int>, tf array<int>, len array<int>, places array<int>, max_tf int, min_ratio double"
 
 
 def term_key(term: str) -> int:
@@ -78,9 +77,10 @@ def _fragments(columns: int):
         listed = code >= 0
         held = np.add.reduceat(np.where(term == len(words.dictionary), 0, tf), rows) if len(rows) else sizes
         names = pa.concat_arrays([words.dictionary.cast(pa.string()), pa.array([ITEM])])
+        keys = np.array([term_key(t) for t in names.to_pylist()], np.int64)
         return pa.RecordBatch.from_arrays(
-            [names.take(pa.array(term[rows])), pa.array(span[rows]), _lists(ids[doc] - (span << RANGE), sizes), _lists(tf, sizes), _lists(length[doc], sizes), _lists(code[listed], held)],
-            names=["term", "range", "off", "tf", "len", "places"],
+            [names.take(pa.array(term[rows])), pa.array(keys[term[rows]]), pa.array(span[rows]), _lists(ids[doc] - (span << RANGE), sizes), _lists(tf, sizes), _lists(length[doc], sizes), _lists(code[listed], held)],
+            names=["term", "key", "range", "off", "tf", "len", "places"],
         )
 
     def run(batches):
@@ -126,9 +126,9 @@ def _blocks(batches):
             [
                 t["term"].combine_chunks().take(pa.array(row[at])), pa.array(spans[row[at]]), pa.array(base + off[at]), pa.array(base + off[last]), pa.array(n.astype(np.int32)), _lists(off - np.repeat(off[at], n), n),
                 _lists(tf, n), _lists(length, n), _lists(places, np.add.reduceat(held, at) if len(at) else n), pa.array((np.maximum.reduceat(tf, at) if len(at) else n).astype(np.int32)),
-                pa.array(np.minimum.reduceat(length / tf, at) if len(at) else np.zeros(0)),
+                pa.array(np.minimum.reduceat(length / tf, at) if len(at) else np.zeros(0)), t["shard"].combine_chunks().take(pa.array(row[at])),
             ],
-            names=[f.split()[0] for f in _PLAIN.split(", ")],
+            names=[f.split()[0] for f in _BLOCKS.split(", ")],
         )
 
     carried: pa.Table | None = None
@@ -172,9 +172,9 @@ class StoredIndex:
 
     def _segment(self, fragments: DataFrame, bounds: list[int]) -> dict:
         name = self.versions.fresh("segment")
-        shard = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)).cast("array<bigint>"), lambda b: b <= _key_column(F.col("term"))))
-        dealt = fragments.withColumn("shard", shard).repartition("shard", "range").sortWithinPartitions("shard", "term", "range")
-        blocks = dealt.drop("shard").mapInArrow(_blocks, _PLAIN).withColumn("shard", shard)
+        shard = reduce(lambda x, y: x + y, ((F.col("key") >= b).cast("int") for b in bounds), F.lit(0))
+        dealt = fragments.withColumn("shard", shard).drop("key").repartition("shard", "range").sortWithinPartitions("shard", "term", "range")
+        blocks = dealt.mapInArrow(_blocks, _BLOCKS)
         blocks.write.option("compression", "zstd").option("parquet.page.size", 1 << 16).partitionBy("shard").parquet(f"{self.path}/{name}")
         return {"name": name, "kind": "segment"} | self._totals(self.spark.read.schema(_BLOCKS).parquet(f"{self.path}/{name}"))
 
@@ -185,7 +185,7 @@ class StoredIndex:
 
     def _bounds(self, fragments: DataFrame) -> list[int]:
         steps = [k / self.shards for k in range(1, self.shards)]
-        got = fragments.where(F.col("term") != ITEM).agg(F.percentile_approx(_key_column(F.col("term")), F.lit(steps), F.lit(1000)).alias("b")).first().b if steps else None
+        got = fragments.where(F.col("term") != ITEM).agg(F.percentile_approx("key", F.lit(steps), F.lit(1000)).alias("b")).first().b if steps else None
         return sorted(set(got or []))
 
     def insert(self, items: DataFrame) -> int:
@@ -223,7 +223,7 @@ class StoredIndex:
         span = F.shiftright("item_id", RANGE)
         posting = F.struct((F.col("item_id") - F.shiftleft(span, RANGE)).cast("int").alias("off"), "tf", "len", "places")
         rows = alive.groupBy("term", span.alias("range"), F.shiftright("item_id", 7).alias("_few")).agg(F.array_sort(F.collect_list(posting)).alias("p"))  # 128 at most
-        fragments = self._write(scratch, rows.select("term", "range", F.col("p.off").alias("off"), F.col("p.tf").alias("tf"), F.col("p.len").alias("len"), F.flatten("p.places").alias("places")))
+        fragments = self._write(scratch, rows.select("term", _key_column(F.col("term")).alias("key"), "range", F.col("p.off").alias("off"), F.col("p.tf").alias("tf"), F.col("p.len").alias("len"), F.flatten("p.places").alias("places")))
         bounds = self._bounds(fragments)
         made = self._segment(fragments, bounds) | {"bounds": bounds, "at": base + 1}
         self._drop(scratch)
