@@ -551,6 +551,28 @@ def stream_upsert(spark, sf):
     return upsert_stream(items, _shared(spark)).groupBy("source_id", "guid").agg(F.count("*").alias("n"))
 
 
+@query("stream_upsert_runs", "SELECT source_id, guid, 1::BIGINT AS n FROM v_items")
+def stream_upsert_runs(spark, sf):
+    """The same by sorted runs of keys with Bloom filters, which a batch reads only where they may hold its keys."""
+    from tidemark.streaming.key_runs import upsert_by_runs
+
+    items = _stream(spark, sf, "documents").selectExpr("doc_id + 1 as id", "cast(substring(source, 4) as bigint) + 1 as source_id", "sha2(text, 256) as guid", "concat('http://', source, '.example/', doc_id) as url")
+    return upsert_by_runs(items, _shared(spark))[0].groupBy("source_id", "guid").agg(F.count("*").alias("n"))
+
+
+@query("stream_timers", _FOLD.format(dead_at=poll.DEAD_AT).replace("SELECT source_id, arg_max(interval_s", "SELECT *, CASE WHEN NOT dead AND next_poll_at < (SELECT max(ts) FROM e) THEN next_poll_at END AS due_at FROM (SELECT source_id, arg_max(interval_s") + ")")
+def stream_timers(spark, sf):
+    """The last state of every source, and when its timer fired for its next poll, in the time of the polls."""
+    from tidemark.streaming.timers import run_timers
+
+    log = _stream(spark, sf, "events").where("event_type <> 'signup'").selectExpr(
+        "user_id as source_id", "unix_seconds(cast(ts as timestamp)) as ts", "event_id as seq", "case event_type when 'purchase' then 'new' when 'error' then 'failed' when 'view' then 'none' else 'unchanged' end as outcome"
+    )
+    due, last = run_timers(log, _shared(spark))
+    fired = due.groupBy("source_id").agg(F.max("due_at").alias("due_at"))
+    return last.withColumnRenamed("interval", "interval_s").join(fired, "source_id", "left")
+
+
 def _stream(spark, sf, name):
     return spark.readStream.schema(table(spark, sf, name).schema).option("maxFilesPerTrigger", 4).parquet(f"{sf}/{name}.parquet*")
 
