@@ -6,9 +6,12 @@ written to a new place; ``sources.snapshots`` swaps the pointer.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.chains import parent_chains
+from tidemark.tables import kept
+
 
 def lookup(df: DataFrame, key: int, col: str = "id") -> DataFrame:
     """The row of a key; none where it is missing."""
@@ -36,9 +39,9 @@ def numbered(df: DataFrame, start: Column | int, *order: str, name: str = "id")
     """``df`` with consecutive numbers after ``start`` in order of ``order``.
 
     Rows are sorted over partitions; each partition's numbers begin after the counts of those before
-    it, so no task numbers all rows.
+    it, so no task numbers all rows. The sorted rows are written once, so counts and numbers are of one order.
     """
-    placed = df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    placed = kept(df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
     counts = placed.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_low"))
     before = counts.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     start = F.lit(start) if isinstance(start, int) else start
@@ -203,12 +206,8 @@ def sync_cursor(arms: list[tuple[DataFrame, str]], since: int) -> DataFrame:
 
 
 def folder_depths(folders: DataFrame) -> DataFrame:
-    """Number of ancestors of every folder, 11 for a cycle; each round looks one level up."""
-    up = folders.select(F.col("id").alias("_id"), F.col("parent_id").alias("_up"))
-    walk = folders.select("id", F.col("parent_id").alias("at"), F.lit(0).alias("depth"))
-    for _ in range(11):
-        walk = walk.join(up, F.col("at") == F.col("_id"), "left").select("id", F.col("_up").alias("at"), (F.col("depth") + F.when(F.col("at").isNotNull(), 1).otherwise(0)).alias("depth"))
-    return walk.select("id", F.col("depth").cast("bigint").alias("depth"))
+    """Number of ancestors of every folder, 11 for a cycle."""
+    return parent_chains(folders, most=11).select("id", "depth")
 
 
 def split_new_folders(folders: DataFrame, new: DataFrame, deepest: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -238,3 +237,21 @@ def update_folders(folders: DataFrame, changes: DataFrame, now: int, deepest: in
     judged = changes.join(depth, "parent_id", "left").withColumn("too_deep", F.col("parent_id").isNotNull() & (F.coalesce("depth", F.lit(0)) + 1 > deepest))
     fit = judged.where(~F.col("too_deep")).select("id", F.when(F.col("name") != "", F.col("name")).alias("name"), "parent_id")
     return patch(folders, fit, ["name", "parent_id"], now), judged.where("too_deep").select(changes.columns)
+
+
+def counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
+    """``df`` and the given aggregates of it, which its own first job computes: read them by ``.get`` after that."""
+    seen = Observation()
+    return df.observe(seen, *(c.alias(name) for name, c in counts.items())), seen
+
+
+def upsert_items_counted(items: DataFrame, batch: DataFrame, seq: str = "id") -> tuple[DataFrame, Observation]:
+    """What ``upsert_items`` stores, with ``stored`` and ``rejected``, the numbers of rows that are new and that are not, of the one job that writes the result.
+
+    The judged batch is observed before the rows that are not stored are dropped.
+    """
+    order = Window.partitionBy("source_id", "guid").orderBy(seq)
+    known = items.select("source_id", "guid", F.lit(True).alias("_known")).distinct()
+    judged = batch.withColumn("_k", F.row_number().over(order)).join(known, ["source_id", "guid"], "left").withColumn("_new", (F.col("_k") == 1) & F.col("_known").isNull())
+    seen_rows, seen = counted(judged, stored=F.count_if("_new"), rejected=F.count_if(~F.col("_new")))
+    return seen_rows.where("_new").select(batch.columns), seen

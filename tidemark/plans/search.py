@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
-#: Letters whose marks are folded, and what they fold to.
-MARKED, FOLDED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _folds() -> tuple[str, str]:
+    """Lower-case letters that Unicode decomposes into a letter and marks, or only another letter, and those letters; then the marks, which go. Canonical decompositions only."""
+    pairs, marks = [], []
+    for c in map(chr, range(0x80, 0x2FFFF)):
+        base, *rest = unicodedata.normalize("NFD", c)
+        if base != c and c.isalpha() and base.isalpha() and all(map(unicodedata.combining, rest)) and c == c.lower():
+            pairs.append((c, base))
+        elif unicodedata.category(c) == "Mn" and 0x300 <= ord(c) < 0x370:
+            marks.append(c)
+    return "".join(c for c, _ in pairs) + "".join(marks), "".join(b for _, b in pairs)
+
+
+MARKED, FOLDED = _folds()
 
 
 class EmptyQuery(ValueError):
@@ -17,7 +31,7 @@ class EmptyQuery(ValueError):
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits, common marks folded."""
+    """Lower-case runs of letters and digits, without the marks of letters of any script."""
     return F.filter(F.split(F.translate(F.lower(text), MARKED, FOLDED), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 

@@ -14,7 +14,7 @@ from tidemark.functions import htmlx, text
 from tidemark.operators import store
 from tidemark.plans import poll, search
 from tidemark.sources import feeds, opml, records
-from tidemark.tables import table
+from tidemark.tables import shared_dir, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -116,6 +116,17 @@ def search_postings(spark, sf):
     return search.index(_all_postings(spark, sf))[0]
 
 
+_ODD = "translate({}, 'aeinrst', 'άέйñřšť')"
+_FOLDED_WORDS = r"list_filter(string_split_regex(strip_accents(lower({})), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+
+
+@query("search_folded", rf"SELECT term, count(*) AS n FROM (SELECT unnest({_FOLDED_WORDS.format(_ODD.format('text'))}) AS term FROM documents) GROUP BY term")
+def search_folded(spark, sf):
+    """Terms of texts in which Latin, Greek and Cyrillic letters with marks stand for plain ones."""
+    odd = table(spark, sf, "documents").select(F.explode(search.tokens(F.translate("text", "aeinrst", "άέйñřšť"))).alias("term"))
+    return odd.groupBy("term").agg(F.count("*").alias("n"))
+
+
 # --- the stored index: three batches of items go in, every seventh is deleted
 
 _LIVE = "(SELECT * FROM v_items_raw WHERE id % 7 <> 0)"
@@ -449,6 +460,38 @@ def ttl_sweep_tombstones(spark, sf):
     return store.sweep(fx.items(spark, sf), fx.states(spark, sf), _BEFORE, MID)[2]
 
 
+def _days(spark, sf):
+    from tidemark.operators.retention import DayStore
+
+    days = DayStore(spark, f"{_shared(spark)}/items")
+    days.add(fx.items(spark, sf).select("id", "source_id", "fetched_at"))
+    return days
+
+
+_FAR = T0 + 5 * 86400 + 777
+_FAR_VICTIMS = _VICTIMS.replace(str(_BEFORE), str(_FAR))
+
+
+@query("day_sweep", f"""SELECT 'item' AS kind, id, fetched_at AS at FROM v_items WHERE id NOT IN (SELECT id FROM ({_FAR_VICTIMS})) UNION ALL SELECT 'tombstone', id, {MID} FROM ({_FAR_VICTIMS})
+  UNION ALL SELECT 'swept', count(*), 0 FROM ({_FAR_VICTIMS})""")
+def day_sweep(spark, sf):
+    """Items stored by day, after a sweep that reads expired days only: what is left, the tombstones, and the number that the sweep itself counted."""
+    days = _days(spark, sf)
+    marks, swept = days.sweep(fx.states(spark, sf), _FAR, MID, "id bigint, source_id bigint, fetched_at bigint")
+    left = days.read("id bigint, source_id bigint, fetched_at bigint").select(F.lit("item").alias("kind"), "id", F.col("fetched_at").alias("at"))
+    told = spark.createDataFrame([("swept", swept, 0)], "kind string, id bigint, at bigint")
+    return left.union(marks.select(F.lit("tombstone"), "entity_id", "deleted_at")).union(told)
+
+
+@query("upsert_counts", "WITH x AS (SELECT (SELECT count(*) FROM v_items WHERE guid NOT IN (SELECT guid FROM v_items_raw r WHERE r.id <= 100 AND r.source_id = v_items.source_id)) AS stored, (SELECT count(*) FROM v_items_raw WHERE id > 100) AS n) SELECT stored, n - stored AS rejected FROM x")
+def upsert_counts(spark, sf):
+    """A batch is written and its stored and rejected rows are counted by the same job."""
+    raw = fx.items_raw(spark, sf).select("id", "source_id", "guid")
+    fresh, seen = store.upsert_items_counted(raw.where("id <= 100"), raw.where("id > 100"))
+    fresh.write.parquet(f"{_shared(spark)}/fresh")
+    return spark.createDataFrame([(seen.get["stored"], seen.get["rejected"])], "stored bigint, rejected bigint")
+
+
 @query("ttl_cutoff", "SELECT event_id, (date_trunc('month', ts) - INTERVAL 3 MONTH + (day(ts) - 1) * INTERVAL 1 DAY)::DATE::VARCHAR AS cutoff FROM events")
 def ttl_cutoff(spark, sf):
     return table(spark, sf, "events").select("event_id", store.months_back(F.to_date("ts"), 3).cast("string").alias("cutoff"))
@@ -483,6 +526,18 @@ def folder_depth(spark, sf):
     return store.folder_depths(fx.folders(spark, sf))
 
 
+@query("order_chains", """WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 40 > 1 THEN o_orderkey - 1 END AS parent_id FROM orders),
+  w(id, up, depth) AS (SELECT id, parent_id, 0 FROM o UNION ALL SELECT w.id, o.parent_id, depth + 1 FROM w JOIN o ON o.id = w.up),
+  e AS (SELECT id, max(depth)::BIGINT AS depth FROM w GROUP BY id) SELECT e.id, CASE WHEN gone THEN depth + 1 ELSE depth END AS depth FROM e JOIN (
+    SELECT w.id, bool_or(w.up IS NOT NULL AND o.id IS NULL) AS gone FROM w LEFT JOIN o ON o.id = w.up GROUP BY w.id) USING (id)""")
+def order_chains(spark, sf):
+    """Chains of up to forty parents, some of which are no rows, by pointer doubling."""
+    from tidemark.operators.chains import parent_chains
+
+    orders = table(spark, sf, "orders").selectExpr("o_orderkey as id", "if(o_orderkey % 40 > 1, o_orderkey - 1, null) as parent_id")
+    return parent_chains(orders).select("id", "depth")
+
+
 @query("unique_violations", "SELECT source_id, guid, count(*) AS n FROM v_items_raw GROUP BY ALL HAVING count(*) > 1")
 def unique_violations(spark, sf):
     return store.repeated_keys(fx.items_raw(spark, sf), "source_id", "guid")
@@ -578,11 +633,8 @@ def _stream(spark, sf, name):
 
 
 def _shared(spark) -> str:
-    """A new folder in the shared checkpoint folder of the session; one on this machine where none is set, as in tests."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """A new folder in the folder that driver and executors share."""
+    return f"{shared_dir(spark)}/query-{uuid.uuid4().hex}"
 
 
 _SEEN = """SELECT user_id % 20 + 1 AS source_id, floor(epoch(ts))::BIGINT AS ts, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS k, event_id,
@@ -793,6 +845,21 @@ def opml_document(spark, sf):
     return read_text(spark, path)
 
 
+_OUTLINE = """concat('<opml version="2.0"><body><outline text="F', c_custkey, '"><outline text="a" xmlUrl="http://src', c_custkey % 40, '.example/feed"/><outline text="b" xmlUrl="http://b', c_custkey, '"/></outline><outline text="c" xmlUrl="http://c', c_custkey % 7, '"/></body></opml>')"""
+
+
+@query("opml_import_store", """WITH c AS (SELECT c_custkey AS k FROM customer), n AS (SELECT k, (SELECT max(id) FROM v_folders) + row_number() OVER (ORDER BY k) AS folder_id FROM c),
+  f AS (SELECT k, 0 AS inside, -1 AS sub, 'http://c' || k % 7 AS url, 'c' AS title, NULL::BIGINT AS folder_id FROM n UNION ALL SELECT k, 1, 0, 'http://src' || k % 40 || '.example/feed', 'a', folder_id FROM n UNION ALL SELECT k, 1, 1, 'http://b' || k, 'b', folder_id FROM n),
+  g AS (SELECT * FROM f WHERE url NOT IN (SELECT url FROM v_sources) QUALIFY row_number() OVER (PARTITION BY url ORDER BY k, inside, sub) = 1)
+  SELECT 'source' AS kind, id, url AS name, folder_id AS ref FROM v_sources UNION ALL SELECT 'source', (SELECT max(id) FROM v_sources) + row_number() OVER (ORDER BY k, inside, sub), url, folder_id FROM g
+  UNION ALL SELECT 'folder', id, name, parent_id FROM v_folders UNION ALL SELECT 'folder', folder_id, 'F' || k, NULL FROM n""")
+def opml_import_store(spark, sf):
+    """Outline files into the store: folders get ids, their feeds get these, and urls that are known are skipped."""
+    files = table(spark, sf, "customer").select(F.col("c_custkey").alias("file"), F.expr(_OUTLINE).alias("body"))
+    s, f, _ = opml.import_into(fx.sources(spark, sf), fx.folders(spark, sf), files, MID)
+    return s.select(F.lit("source").alias("kind"), "id", F.col("url").alias("name"), F.col("folder_id").alias("ref")).union(f.select(F.lit("folder"), "id", "name", "parent_id"))
+
+
 @query("opml_import_counters", "SELECT c_custkey AS file, 2::BIGINT AS folders_created, 3 - (c_custkey % 40 < 20)::BIGINT AS sources_created, 2 + (c_custkey % 40 < 20)::BIGINT AS skipped FROM customer")
 def opml_import_counters(spark, sf):
     body = """concat('<opml version="2.0"><body><outline text="F1"><outline text="a" xmlUrl="http://src', c_custkey % 40, '.example/feed"/><outline text="b" type="rss" xmlUrl="http://b"/><outline text="G"><outline xmlUrl="http://lost"/></outline></outline>',

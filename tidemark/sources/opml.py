@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from xml.sax.saxutils import escape
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.store import numbered
+
 _LEAF = "_text: string, _title: string, _type: string, _xmlUrl: string"
 SCHEMA = f"body struct<outline: array<struct<{_LEAF}, outline: array<struct<{_LEAF}>>>>>, _corrupt string"
 
@@ -109,3 +111,27 @@ def write_document(sources: DataFrame, folders: DataFrame, path: str, title: str
 
     head = f'<?xml version="1.0" encoding="UTF-8"?><opml version="2.0"><head><title>{escape(title)}</title></head><body>'
     write_text(ordered_lines(sources, folders), path, head, "</body></opml>")
+
+
+def import_into(sources: DataFrame, folders: DataFrame, files: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables after ``files(file, body)`` came in, one after another by ``file``: sources, folders, and the feeds that were skipped, with a ``reason``.
+
+    Folders get ids after the greatest, in order of file and place; their feeds get these as ``folder_id``. A feed without a url, with a stored one, or with one that came before
+    it (first those outside of folders, then folder by folder) is skipped.
+    """
+    made, feeds = imported(files)
+    top = folders.agg(F.coalesce(F.max("id"), F.lit(0)).alias("n")).first().n
+    placed = numbered(made, top, "file", "place")
+    stamps = {c: F.lit(now).cast("bigint") for c in ("created_at", "updated_at")}
+    fresh = placed.select("id", "name", F.lit(None).cast("bigint").alias("parent_id")).withColumns(stamps)
+    rows = feeds.join(placed.select("file", "place", F.col("id").alias("folder_id"), F.lit(True).alias("in_folder")), ["file", "place", "in_folder"], "left")
+    order = F.struct("file", F.col("in_folder").cast("int"), "place", "sub")
+    first = Window.partitionBy("url").orderBy(order)
+    judged = rows.withColumn("order", order).withColumn("k", F.row_number().over(first)).join(sources.select("url", F.lit(True).alias("stored")).distinct(), "url", "left").withColumn(
+        "reason", F.when(F.col("url").isNull(), "no url").when(F.col("stored"), "stored already").when(F.col("k") > 1, "came before"))
+    highest = sources.agg(F.coalesce(F.max("id"), F.lit(0)).alias("n")).first().n
+    new = numbered(judged.where("reason is null"), highest, "order").select(
+        "id", F.lit("rss").alias("type"), "url", "title", "folder_id", F.lit(now).cast("bigint").alias("next_poll_at"), F.lit(3600).cast("bigint").alias("poll_interval"), F.lit(0).alias("consec_fails"), F.lit(False).alias("is_dead")
+    ).withColumns(stamps)
+    keep = lambda df, like: df.select(*(F.col(c).cast(like.schema[c].dataType) for c in like.columns if c in df.columns))
+    return sources.unionByName(keep(new, sources), allowMissingColumns=True), folders.unionByName(keep(fresh, folders), allowMissingColumns=True), judged.where("reason is not null").select("file", "place", "sub", "url", "title", "reason")
