@@ -18,6 +18,8 @@ ITEMS = (
 STATES = "item_id bigint, is_read boolean, is_starred boolean, read_at bigint, starred_at bigint, updated_at bigint"
 TOMBSTONES = "id bigint, entity_type string, entity_id bigint, deleted_at bigint"
 SOURCE_TYPES = ("rss", "html")
+#: Bytes of a fetched body that are kept; longer ones are cut, without an error.
+BODY_LIMIT = 10 << 20
 
 
 def split_valid_sources(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,11 +1,13 @@
 """Answers of polls as a data source: archives of bodies with a header record each, read by source and cut to the byte.
 
 ``spark.dataSource.register(Answers)``, then ``df.write.format("answers").option("path", ...)`` and ``spark.read.format("answers")``.
-An archive is a row of records: a line of JSON with the fields below and the body's ``size``, the body, a line end.
+An archive is a row of records: a line of JSON with the fields below and the ``size`` of the packed body, the body packed by zlib, a line end.
+This module imports little, as Spark keeps a Python process on the driver for each step of a data source.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import uuid
 import zlib
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import Row, StructType
 
-from tidemark.sources.feeds import BODY_LIMIT
+from tidemark.schema import BODY_LIMIT
 from tidemark.sources.files import Folder, Written
 
 FIELDS = ("source_id", "url", "final_url", "status", "etag", "last_modified", "fetched_at", "error")
@@ -65,9 +67,9 @@ class AnswersWriter(DataSourceWriter):
                     files.append({"name": f"bucket={b:04d}/{uuid.uuid4().hex}.answers", "bucket": b, "buckets": self.buckets, "rows": 0, "bytes": 0, "lo": None, "hi": None})
                     open_[b] = (folder.create(files[-1]["name"]), files[-1])
                 stream, told = open_[b]
-                body = row["body"]
+                body = None if row["body"] is None else zlib.compress(row["body"], 1)
                 head = {k: row[k] for k in FIELDS} | {"size": None if body is None else len(body)}
-                record = json.dumps(head, ensure_ascii=False).encode("utf-8", "surrogatepass") + b"\n" + bytes(body or b"") + b"\n"
+                record = json.dumps(head, ensure_ascii=False).encode("utf-8", "surrogatepass") + b"\n" + (body or b"") + b"\n"
                 stream.write(record)
                 at = row["fetched_at"]
                 told |= {"rows": told["rows"] + 1, "bytes": told["bytes"] + len(record)}
@@ -128,17 +130,15 @@ class AnswersReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if partition.value is None:
             return
-        wanted = "body" in self.names
+        wanted = "body" in self.names and self.limit > 0
         with Folder(self.path).open(partition.value) as raw:
-            import io
-
             f = io.BufferedReader(raw, 1 << 16)
             while line := f.readline():
                 head = json.loads(line)
                 size = head.pop("size")
                 keep = (self.sources is None or head["source_id"] in self.sources) and wanted and size is not None
-                body = f.read(min(size, self.limit)) if keep else None
-                f.seek((size or 0) - (len(body) if body is not None else 0) + 1, 1)
+                body = unpack.decompress(f.read(size), self.limit) if keep and (unpack := zlib.decompressobj()) else None  # the limit is of unpacked bytes
+                f.seek(1 if keep else (size or 0) + 1, 1)
                 if self.sources is None or head["source_id"] in self.sources:
                     yield tuple(body if n == "body" else head[n] for n in self.names)
 

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.htmlx import by_rule, by_selector
 from tidemark.functions.text import feed_content, feed_guid, html_to_text, page_guid, published, sanitize, strip_tracking_full
+from tidemark.schema import BODY_LIMIT
 
-#: Longer bodies are cut, without an error.
-BODY_LIMIT = 10 << 20
 RSS = (
     "channel struct<item: array<struct<guid: string, link: string, title: string, description: string, `content:encoded`: string, `dc:creator`: string, author: string, pubDate: string>>>, _corrupt string"
 )

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import io
 import uuid
 from collections.abc import Iterator
 
@@ -87,8 +88,6 @@ class TextReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if partition.value is None:
             return
-        import io
-
         name, begin = partition.value
         with Folder(self.path).open(name) as raw:
             for k, line in enumerate(io.BufferedReader(raw, 1 << 16)):
