@@ -104,3 +104,13 @@ def test_one_of_two_writers_wins(spark, tmp_path):
     with pytest.raises(ConcurrentWrite):
         b.versions.commit(base, [{"name": "x"}])
     assert a.read("id bigint").count() == 2
+
+
+def test_stems_of_wanted_terms_only(spark):
+    from tidemark.functions.text import porter, stem
+
+    df = spark.createDataFrame([(1, "Falling falls", "", "hopping"), (2, "", None, "fall hope"), (3, None, None, None)], ITEMS)
+    stems = [porter("falling"), porter("hoping")]
+    counts, lengths = search.stemmed_index(df, ("title", "author", "content_text"), stem, stems)
+    exp = search.index(search.postings(df, stemmer=stem))
+    assert equal(counts, exp[0].where(F.col("term").isin(stems)).select("item_id", "term", "tf")) and equal(lengths, exp[1])

@@ -11,6 +11,7 @@ from tidemark.operators.store import new_urls, upsert_items
 from tidemark.plans.poll import outcome
 from tidemark.sources.answers import body_text
 from tidemark.sources.feeds import entries, entry_items, malformed, page_items
+from tidemark.tables import kept
 
 
 def _polls(asked: DataFrame, fresh: DataFrame, parsed, ts: int) -> DataFrame:
@@ -33,7 +34,7 @@ def feed_round(sources: DataFrame, items: DataFrame, answers: DataFrame, ts: int
     asked = answers.join(rss, "source_id")
     fetched = asked.where("status = 200").select("source_id", body_text(F.col("body")).alias("body"))
     found = entry_items(entries(fetched), ts)
-    fresh = upsert_items(items, found, "place").drop("place")
+    fresh = kept(upsert_items(items, found, "place").drop("place"))  # read by the caller and for the counts
     bad = malformed(fetched).select("source_id", F.lit(True).alias("bad"))
     return fresh, _polls(asked.drop("body").join(bad, "source_id", "left"), fresh, F.col("bad").isNull(), ts)
 
@@ -52,5 +53,5 @@ def page_round(sources: DataFrame, items: DataFrame, answers: DataFrame, ts: int
     got = answers.where("status = 200").select("source_id", "url", body_text(F.col("body")).alias("html")).join(wanted, ["source_id", "url"])
     configs = html.select("source_id", F.col("scraper_config.content_selector").alias("content_selector"))
     made = page_items(got.join(configs, "source_id"), ts).withColumn("place", F.col("url"))
-    fresh = upsert_items(items, made, "place").drop("place")
+    fresh = kept(upsert_items(items, made, "place").drop("place"))
     return fresh, _polls(asked.drop("body"), fresh, F.lit(True), ts)

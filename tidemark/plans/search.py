@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.tables import kept
+
 K1, B = 1.2, 0.75
 
 
@@ -50,6 +52,18 @@ def index(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return posted.groupBy("item_id", "term").agg(F.count("*").alias("tf")), posted.groupBy("item_id").agg(F.count("*").alias("len"))
 
 
+def stemmed_index(items: DataFrame, columns: tuple[str, ...], stemmer, stems: list[str], id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """What ``index`` gives of stemmed postings, for the given stems only: counts by stem, and lengths of all items.
+
+    Each distinct term is stemmed once, into a table that is written; only terms of the wanted stems are counted, and lengths need no stems.
+    """
+    words = items.select(F.col(id_col).alias("item_id"), F.concat(*(tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns)).alias("words"))
+    terms = words.select("item_id", F.explode("words").alias("term"))
+    known = kept(terms.select("term").distinct().withColumn("stem", stemmer("term")))
+    counts = terms.join(known.where(F.col("stem").isin(stems)), "term").groupBy("item_id", F.col("stem").alias("term")).agg(F.count("*").alias("tf"))
+    return counts, words.select("item_id", F.size("words").cast("bigint").alias("len")).where("len > 0")
+
+
 def has_term(posted: DataFrame, term: str, column: str | None = None) -> DataFrame:
     rows = posted.where(F.col("term") == term)
     return (rows.where(F.col("column") == column) if column else rows).select("item_id").distinct()

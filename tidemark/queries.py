@@ -107,8 +107,8 @@ def search_column(spark, sf):
 
 @query("search_porter")
 def search_porter(spark, sf):
-    p = _text_postings(spark, sf, text.stem)
-    return search.bm25(*search.index(p), [text.porter(t) for t in ("thanding", "inations")]).select("item_id", F.round("score", 6).alias("score"))
+    stems = [text.porter(t) for t in ("thanding", "inations")]
+    return search.bm25(*search.stemmed_index(fx.items(spark, sf), ("content_text",), text.stem, stems), stems).select("item_id", F.round("score", 6).alias("score"))
 
 
 @query("search_postings", _POSTED + "SELECT item_id, term, count(*) AS tf FROM p GROUP BY ALL")
@@ -804,6 +804,15 @@ def insert_folders(spark, sf):
     return store.insert_folders(fx.folders(spark, sf), new, MID)[0].where(f"updated_at = {MID}").select("id", "name", "parent_id", "updated_at")
 
 
+@query("reject_folders", """WITH n AS (SELECT c_custkey AS seq, CASE WHEN c_custkey % 9 = 0 THEN '' ELSE c_name END AS name, c_custkey % 3 AS k FROM customer)
+  SELECT seq, CASE WHEN name = '' THEN 'name is required' ELSE 'too deep' END AS reason FROM n WHERE name = '' OR k = 2""")
+def reject_folders(spark, sf):
+    """Folders below the first and second level fit, below the third they do not; rejected ones keep their reason."""
+    below = table(spark, sf, "customer").selectExpr("1000 + c_custkey as id", "c_name as name", "100 + c_custkey % 25 as parent_id", f"cast({T0} as bigint) as updated_at")
+    new = table(spark, sf, "customer").selectExpr("c_custkey as seq", "if(c_custkey % 9 = 0, '', c_name) as name", "cast(case c_custkey % 3 when 0 then 1 + c_custkey % 5 when 1 then 100 + c_custkey % 25 else 1000 + c_custkey end as bigint) as parent_id")
+    return store.insert_folders(fx.folders(spark, sf).unionByName(below), new, MID)[1].select("seq", "reason")
+
+
 @query("update_folders", f"""SELECT id, CASE WHEN id % 3 = 0 AND id % 2 = 0 THEN 'new ' || id ELSE name END AS name, CASE WHEN id % 3 = 0 AND id % 5 = 0 THEN 2 ELSE parent_id END AS parent_id,
   CASE WHEN id % 3 = 0 THEN {MID} ELSE updated_at END AS updated_at FROM v_folders""")
 def update_folders(spark, sf):

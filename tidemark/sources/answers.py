@@ -23,9 +23,9 @@ from tidemark.sources.files import Folder, Written
 
 FIELDS = ("source_id", "url", "final_url", "status", "etag", "last_modified", "fetched_at", "error")
 SCHEMA = "source_id bigint, url string, final_url string, status int, etag string, last_modified string, fetched_at bigint, error string, body binary"
-#: Bytes after which a task goes on in another file, which bounds what a task reads.
-FILE_BYTES = 64 << 20
-BUCKETS = 32
+#: Bytes after which a task goes on in another file; files of one read are put together up to as many.
+FILE_BYTES = 32 << 20
+BUCKETS, SPREAD = 16, 4
 
 
 def bucket_of(source_id: int | None, buckets: int) -> int:
@@ -96,7 +96,7 @@ class AnswersWriter(DataSourceWriter):
 
 
 class AnswersReader(DataSourceReader):
-    """A partition for each file that can hold an answer of the sources and times asked for; bodies of other sources, or that no column needs, are passed over."""
+    """Only files that can hold an answer of the sources and times asked for are opened; bodies of other sources, or that no column needs, are passed over."""
 
     def __init__(self, path: str, names: list[str], limit: int):
         self.path, self.names, self.limit = path, names, limit
@@ -118,20 +118,26 @@ class AnswersReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         bounded = self.lo > float("-inf") or self.hi < float("inf")
-        out = []
+        out, names, size = [], [], 0
         for f in Folder(self.path).committed():
             if self.sources is not None and f["bucket"] not in {bucket_of(s, f["buckets"]) for s in self.sources}:
                 continue
             if bounded and (f["lo"] is None or f["hi"] < self.lo or f["lo"] > self.hi):
                 continue
-            out.append(InputPartition(f["name"]))
-        return out or [InputPartition(None)]
+            names.append(f["name"])
+            size += f["bytes"]
+            if size >= FILE_BYTES:
+                out.append(InputPartition(names))
+                names, size = [], 0
+        return [*out, InputPartition(names)] if names or not out else out
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if partition.value is None:
-            return
+        for name in partition.value:
+            yield from self._file(name)
+
+    def _file(self, name: str) -> Iterator[tuple]:
         wanted = "body" in self.names and self.limit > 0
-        with Folder(self.path).open(partition.value) as raw:
+        with Folder(self.path).open(name) as raw:
             f = io.BufferedReader(raw, 1 << 16)
             while line := f.readline():
                 head = json.loads(line)
@@ -153,7 +159,7 @@ def read_answers(spark, path: str, **options) -> DataFrame:
 def write_answers(answers: DataFrame, path: str, mode: str = "append", buckets: int = BUCKETS) -> None:
     """Writes answers so that a task meets few buckets; a source with many answers is spread over tasks."""
     answers.sparkSession.dataSource.register(Answers)
-    spread = F.pmod(F.xxhash64("url", "fetched_at"), F.lit(8))
+    spread = F.pmod(F.xxhash64("url", "fetched_at"), F.lit(SPREAD))
     dealt = answers.select(*(f.split()[0] for f in SCHEMA.split(", "))).repartition(F.pmod(F.xxhash64("source_id"), F.lit(buckets)), spread)
     dealt.write.format("answers").mode(mode).option("path", path).option("buckets", buckets).save()
 
