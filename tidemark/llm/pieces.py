@@ -443,7 +443,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     shared = spark.sparkContext.broadcast(model)
     counted = known.select("text").mapInArrow(_counted(shared), "word string, count bigint").groupBy("word").agg(F.sum("count").alias("count"))
     encoded = cut(encode_words(counted, model))
-    chars = encoded.agg(F.coalesce(F.sum(F.col("count") * F.length("word")), F.lit(0)).alias("n")).first().n
+    chars = known.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n  # words of any length
     hot = spark.sparkContext.broadcast(frequent_words(encoded, shared, most))
     parts = partitions(spark)
     # both uses of the dealt texts read all columns, so that the exchange is written once

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -25,6 +26,25 @@ CHUNK = 1 << 14
 REMEMBERED = 1_000_000
 
 
+#: What ``encode_texts`` takes a tokenizer to do with a text before its merges.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def refuse_others(path: str) -> None:
+    """Raises ``ValueError`` for a tokenizer that does other things with white space, case, letters or special strings than ``encode_texts`` relies on."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    splits = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    known = (
+        (told.get("normalizer") or {}).get("normalizers") == NORMALIZERS and splits[0].get("pattern") == {"Regex": SPLIT} and splits[0].get("behavior") == "Removed" and splits[0].get("invert")
+        and [(x.get("type"), x.get("use_regex"), x.get("add_prefix_space")) for x in splits[1:]] == [("ByteLevel", False, False)]
+        and not any(told.get(k) for k in ("post_processor", "truncation", "padding")) and all(t["content"].startswith("<|") for t in told.get("added_tokens") or [])
+    )
+    if not known:
+        raise ValueError(f"the tokenizer {path} is not supported")
+
+
 class Vocabulary:
     """The ids of the words that a worker has met, by the words' hashes, as arrays."""
 
@@ -297,8 +317,9 @@ def write_tokens(docs: DataFrame, out: str, path: str, terminals: int, end_id: i
     number of symbols and of ids; arrays as by ``pack``, ``doc_ids`` as 64-bit integers.
 
     A null text counts as empty: its ids are the end alone. Rows without an id come first, in shards of numbers below 0; rows
-    with equal ids follow each other by their compressed text. An empty table writes no rows. Other columns are ignored.
+    with equal ids follow each other by their compressed text. A tokenizer that works otherwise than ``encode_texts`` takes it to is refused. An empty table writes no rows. Other columns are ignored.
     """
+    refuse_others(path)
     spark = docs.sparkSession
     known = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     bounds = id_bounds(known, "doc_id", partitions(spark))
