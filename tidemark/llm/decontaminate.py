@@ -83,8 +83,13 @@ def split_item(n: int) -> int:
     return n - tail if n - tail >= 5 else 0
 
 
-def build(rows: list[tuple[int, str]], total: int, df: dict[int, int], mean: float) -> Index:
-    """An index of items ``(id, text)``; the corpus has ``total`` items of ``mean`` words, ``df`` of them with a term."""
+def build(rows: list[tuple[int, str]], total: int, df: dict[int, int], mean: float, percent: int = 100, least: float = 1.0) -> Index:
+    """An index of items ``(id, text)``; the corpus has ``total`` items of ``mean`` words, ``df`` of them with a term.
+
+    A text with ``percent`` % of the distinct word runs of both parts of an item lacks no more of its distinct words than of these runs
+    (a missing word is missing from as many runs). Where the heaviest words of that number are worth so much that the rest is below
+    ``least`` of the item's own score, the item's impacts are shares of a smaller one, of which the rest is ``least``: so no such text is missed.
+    """
     w = Words([t for _, t in rows], plain=True)
     per: dict[int, list[tuple[int, float]]] = {}
     parts, longest = [], 5
@@ -97,11 +102,12 @@ def build(rows: list[tuple[int, str]], total: int, df: dict[int, int], mean: flo
             d = df[t]
             idf = max(np.log((total - d + 0.5) / (d + 0.5)), 1e-6)
             own.append(idf * f * (K1 + 1) / (f + K1 * (1 - B + B * len(h) / mean)))
-        whole = sum(own)
-        for t, x in zip(kinds.tolist(), own, strict=True):
-            per.setdefault(t, []).append((i, x / whole))
         cut, width = split_item(len(h)), min(5, max(1, len(h)))
         parts.append((grams(h[:cut], width), grams(h[cut:], width), width))
+        lacking = sum(len(x) * (100 - percent) // 100 for x in parts[-1][:2])
+        whole = min(sum(own), max(sum(sorted(own)[: len(own) - lacking]), min(own)) / least) if own else 0.0
+        for t, x in zip(kinds.tolist(), own, strict=True):
+            per.setdefault(t, []).append((i, x / whole))
     terms = np.array(sorted(per), np.uint64)
     lists = [per[t] for t in sorted(per)]
     first = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
@@ -155,10 +161,11 @@ def wand(index: Index, block: int, terms: np.ndarray, least: float) -> list[int]
     return found
 
 
-def search(index: Index, w: Words, least: float) -> list[tuple[int, int]]:
+def search(index: Index, w: Words, least: float, whole: bool = False) -> list[tuple[int, int]]:
     """Pairs (text, item) of which a passage of the text scores ``least`` or more of the item's own score.
 
-    Passages overlap by the longest item, so that a copy of an item is whole in one of them. The essential terms of a
+    Passages overlap by the longest item, so that a copy of an item is whole in one of them. With ``whole``, a text of several passages
+    is one more passage itself, which finds items whose parts are far from each other. The essential terms of a
     passage name the blocks to look at; of these, blocks whose maxima over all terms of the passage do not reach ``least`` are skipped,
     and only the rest are searched item by item.
     """
@@ -186,8 +193,13 @@ def search(index: Index, w: Words, least: float) -> list[tuple[int, int]]:
         ok = (start >= 0) & (before < start) & (place < start + stride + index.longest)
         cells.append((base[text] + place // stride - back)[ok])
         kinds.append(term[ok])
+    passages = int(rows.sum())
+    if whole:  # numbered after the passages, by text
+        ok = order[~same & (rows[text[order]] > 1)]
+        cells.append(passages + text[ok])
+        kinds.append(term[ok])
     cell, kind = np.concatenate(cells), np.concatenate(kinds)
-    by = np.argsort(cell, kind="stable")  # two ascending runs
+    by = np.argsort(cell, kind="stable")  # ascending runs
     cell, kind = cell[by], kind[by]
     if index.named is None or index.named[0] != least:
         index.named = (least, *essential(index, least))
@@ -206,18 +218,25 @@ def search(index: Index, w: Words, least: float) -> list[tuple[int, int]]:
         for k in (lo + np.flatnonzero(total >= least - 1e-9)).tolist():
             passage, block = divmod(int(pairs[k]), index.blocks)
             for item in wand(index, block, kind[begin[k] : end[k]], least - 1e-9):
-                hit.append((int(np.searchsorted(base, passage, "right")) - 1, item))
+                hit.append((passage - passages if passage >= passages else int(np.searchsorted(base, passage, "right")) - 1, item))
     return sorted(set(hit))
 
 
-def overlaps(index: Index, w: Words, text: int, item: int) -> tuple[int, int, int, int]:
-    """How many of the question's and of the answer's word runs the text has, of how many."""
-    question, answer, width = index.parts[item]
-    own = grams(w.hash[w.first[text] : w.first[text + 1]], width)
-    return int(np.isin(question, own).sum()), len(question), int(np.isin(answer, own).sum()), len(answer)
+def leaking(index: Index, w: Words, percent: int, least: float) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """Leaks among the texts: text, item, how many of the question's word runs the text has, of how many, and the same of the answer."""
+    of, own = -1, {}
+    for text, item in search(index, w, least, True):
+        if text != of:  # pairs come by text
+            of, own = text, {}
+        question, answer, width = index.parts[item]
+        if width not in own:
+            own[width] = grams(w.hash[w.first[text] : w.first[text + 1]], width)
+        q, r = (int((own[width][np.searchsorted(own[width][:-1], x)] == x).sum()) if len(own[width]) else 0 for x in (question, answer))
+        if 100 * q >= percent * len(question) and 100 * r >= percent * len(answer):
+            yield text, item, q, len(question), r, len(answer)
 
 
-def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Broadcast]:
+def indexes(items: DataFrame, percent: int, least: float, id_col: str = "item_id", text_col: str = "text") -> Iterator[Broadcast]:
     """Indexes of all items, each of at most about ``INDEX_CHARS`` characters and sent to the executors once; statistics are over all items."""
     known = items.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     total = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("chars")).first()
@@ -250,15 +269,15 @@ def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -
             df = {r.h & (2**64 - 1): r.n for r in stats.join(wanted, "h").collect()}
         rows = [r for r in rows if len(Words([r[1]], plain=True).hash)]
         if rows:
-            yield items.sparkSession.sparkContext.broadcast(build(rows, total.n, df, mean))
+            yield items.sparkSession.sparkContext.broadcast(build(rows, total.n, df, mean, percent, least))
 
 
 def leaks(docs: DataFrame, items: DataFrame, percent: int = 80, least: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents that contain test items: ``doc_id, item_id, question_shared, question_size, answer_shared, answer_size``.
 
-    Every passage of every whole text queries the BM25 index of the items (lower case, words parted
+    Every passage of every whole text, and the text itself, queries the BM25 index of the items (lower case, words parted
     by white space and ASCII punctuation); items that score ``least`` of their own score or more are
-    retrieved, without a limit. A pair is a leak if the document has ``percent`` % of the distinct
+    retrieved, without a limit, and those of which a leak may score less, from that score on. A pair is a leak if the document has ``percent`` % of the distinct
     five-word runs of the item's question and of its answer (the last quarter; an item of fewer than
     ten words has an answer only, one of fewer than five counts as one run).
 
@@ -270,17 +289,13 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = 80, least: float = 0
     schema = f"doc_id {kind}, item_id {item_kind}, question_shared bigint, question_size bigint, answer_shared bigint, answer_size bigint"
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = docs.sparkSession.createDataFrame([], schema)
-    for sent in indexes(items):  # one pass for each index
+    for sent in indexes(items, percent, least):  # one pass for each index
 
         def run(batches, sent=sent):
             index = sent.value
             for batch in batches:
                 for a, _, texts in text_slices(batch.column(1), 250_000):
-                    w, out = Words(texts, plain=True), []
-                    for text, item in search(index, w, least):
-                        q, qs, r, rs = overlaps(index, w, text, item)
-                        if 100 * q >= percent * qs and 100 * r >= percent * rs:
-                            out.append((a + text, index.item_ids[item], q, qs, r, rs))
+                    out = [(a + text, index.item_ids[item], *sizes) for text, item, *sizes in leaking(index, Words(texts, plain=True), percent, least)]
                     cols = list(zip(*out, strict=True)) if out else [[]] * 6
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64())] + [pa.array(c, pa.int64()) for c in cols[2:]],
@@ -294,16 +309,14 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = 80, least: float = 0
 def without_leaks(docs: DataFrame, items: DataFrame, percent: int = 80, least: float = 0.6, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, that contain no test item as ``leaks`` finds them; a pass for each index, no shuffle."""
     at = docs.columns.index(text_col)
-    for sent in indexes(items):
+    for sent in indexes(items, percent, least):
 
         def run(batches, sent=sent):
             index = sent.value
             for batch in batches:
                 for a, b, texts in text_slices(batch.column(at), 250_000):
-                    w, keep = Words(texts, plain=True), np.ones(b - a, bool)
-                    for text, item in search(index, w, least):
-                        q, qs, r, rs = overlaps(index, w, text, item)
-                        keep[text] &= not (100 * q >= percent * qs and 100 * r >= percent * rs)
+                    keep = np.ones(b - a, bool)
+                    keep[[x[0] for x in leaking(index, Words(texts, plain=True), percent, least)]] = False
                     yield batch.slice(a, b - a).filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
