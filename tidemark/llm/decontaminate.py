@@ -36,6 +36,7 @@ class Index:
     impacts: np.ndarray
     block_at: np.ndarray  # of each term and block with it: term * blocks + block, ascending
     block_max: np.ndarray  # the greatest impact of each of those
+    block_first: np.ndarray  # where the postings of each of those begin, one more at the end
     blocks: int
     dense: np.ndarray | None  # the same as a table of terms and blocks, where it has at most DENSE cells
     parts: list[tuple[np.ndarray, np.ndarray, int]]  # question's and answer's grams, and their width
@@ -120,7 +121,7 @@ def build(rows: list[tuple[int, str]], total: int, df: dict[int, int], mean: flo
     if len(terms) * blocks <= DENSE:
         dense = np.zeros((len(terms), blocks))
         dense.ravel()[at[new]] = tops
-    return Index([i for i, _ in rows], longest, terms, first, items, impacts, at[new], tops, blocks, dense, parts)
+    return Index([i for i, _ in rows], longest, terms, first, items, impacts, at[new], tops, np.append(new, len(at)), blocks, dense, parts)
 
 
 def wand(index: Index, block: int, terms: np.ndarray, least: float) -> list[int]:
@@ -129,13 +130,14 @@ def wand(index: Index, block: int, terms: np.ndarray, least: float) -> list[int]
     Lists are kept by their next item; the pivot is the first at which the bounds of the lists up to
     it reach ``least``. Items before the pivot are skipped; an item at it is scored.
     """
-    lists = []
-    tops = bounds(index, terms, np.full(len(terms), block))
-    for t, top in zip(terms[tops > 0].tolist(), tops[tops > 0].tolist(), strict=True):
-        a, b = index.first[t], index.first[t + 1]
-        a, b = a + np.searchsorted(index.items[a:b], [block * BLOCK, (block + 1) * BLOCK])
-        if a < b:
-            lists.append([int(index.items[a]), top, int(a), int(b)])
+    want = terms.astype(np.int64) * index.blocks + block
+    at = np.minimum(np.searchsorted(index.block_at, want), len(index.block_at) - 1)
+    at = at[index.block_at[at] == want]
+    size = index.block_first[at + 1] - index.block_first[at]
+    end = np.cumsum(size)
+    postings = np.repeat(index.block_first[at] - end + size, size) + np.arange(size.sum())
+    items, impacts = index.items[postings].tolist(), index.impacts[postings].tolist()
+    lists = [[items[b - n], top, b - n, b] for top, n, b in zip(index.block_max[at].tolist(), size.tolist(), end.tolist(), strict=True)]
     found = []
     while lists:
         lists.sort()
@@ -148,15 +150,16 @@ def wand(index: Index, block: int, terms: np.ndarray, least: float) -> list[int]
         if pivot is None:
             break
         if lists[0][0] == pivot:
-            if sum(float(index.impacts[x[2]]) for x in lists if x[0] == pivot) >= least:
+            if sum(impacts[x[2]] for x in lists if x[0] == pivot) >= least:
                 found.append(pivot)
             goal = pivot + 1
         else:
             goal = pivot
         for x in lists:
             if x[0] < goal:
-                x[2] += int(np.searchsorted(index.items[x[2] : x[3]], goal))
-                x[0] = int(index.items[x[2]]) if x[2] < x[3] else -1
+                while x[2] < x[3] and items[x[2]] < goal:
+                    x[2] += 1
+                x[0] = items[x[2]] if x[2] < x[3] else -1
         lists = [x for x in lists if x[2] < x[3]]
     return found
 
