@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import htmlx, text
 from tidemark.operators import store
 from tidemark.plans import poll, search
+from tidemark.queries import QUERIES
 from tidemark.schema import config_from_json, config_to_json, split_valid_sources
 from tidemark.sources import feeds, opml
 from tidemark.sources.snapshots import Snapshots
@@ -174,3 +175,17 @@ def test_upsert_twice_is_once(spark):
     batch = spark.createDataFrame([(1, 1, "g"), (2, 1, "g"), (3, 2, "g")], "id bigint, source_id bigint, guid string")
     once = store.upsert_items(batch.limit(0), batch)
     assert {r.id for r in once.collect()} == {1, 3} and store.upsert_items(once, batch).count() == 0
+
+
+PAGES_CUT = [(1, "http://h/1", "<title>a &amp;&amp</title><article><h1>a &amp;&amp</h1><p>b&quo &quot;c&quot &amp;d;&#65;&#65</p></article>"), (2, "http://h/2", "<title>&ampx; &lt</title><article>&ampx; x</article>")]
+
+
+def pages_cut(spark, tmp_path):
+    spark.createDataFrame(PAGES_CUT, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    return str(tmp_path)
+
+
+def test_html_rule_keeps_references_without_semicolon_as_its_sql(spark, tmp_path):
+    sf = pages_cut(spark, tmp_path)
+    got = {r.page_id: (r.title, r.content_text) for r in QUERIES["html_rule"](spark, sf).collect()}
+    assert got == {1: ("a &&amp", 'a &&amp b&quo "c&quot &d;A&#65'), 2: ("&ampx; &lt", "&ampx; x")}

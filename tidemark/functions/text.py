@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from html.entities import html5
 from urllib.parse import quote_plus, unquote_plus
 
 import pandas as pd
@@ -71,6 +72,21 @@ def all_entities(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else html.unescape(t))
 
 
+def _closed(markup: str | None) -> str | None:
+    return None if markup is None else _REFERENCE.sub(lambda m: m[0] if m[1] and (m[1][0] == "#" or m[1] in html5) else "&amp;" + m[0][1:], markup)
+
+
+@F.pandas_udf(T.StringType())
+def closed_references(markup: pd.Series) -> pd.Series:
+    """Markup of which only references that end with a semicolon decode: every other ampersand is escaped. Browsers also decode ``&amp`` and others without one."""
+    return markup.map(_closed)
+
+
+def closed_entities(text: Column) -> Column:
+    """As ``all_entities``, of references that end with a semicolon."""
+    return all_entities(closed_references(text))
+
+
 def html_to_text(markup: Column, decode=all_entities) -> Column:
     """Each tag a space, entities decoded, white space collapsed and trimmed."""
     return collapse(decode(F.regexp_replace(markup, "<[^>]+>", " ")))
@@ -99,6 +115,7 @@ def published(published_at: Column, updated_at: Column, fetched_at: Column) -> C
 ALLOWED = frozenset("a abbr b blockquote br code em h1 h2 h3 h4 h5 h6 hr i img li ol p pre q s strong sub sup table tbody td th thead tr u ul article div span main section".split())
 ATTRIBUTES = {"a": ("href",), "img": ("src", "alt"), "": ("title",)}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_REFERENCE = re.compile(r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]*;)?")
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 
 
