@@ -194,3 +194,15 @@ def test_html_rule_keeps_references_without_semicolon_as_its_sql(spark, tmp_path
 def test_html_selector_keeps_references_without_semicolon_as_its_sql(spark, tmp_path):
     got = {r.page_id: r.content_text for r in QUERIES["html_selector"](spark, pages_cut(spark, tmp_path)).collect()}
     assert got == {1: 'a &&amp b&quo "c&quot &d;A&#65', 2: "&ampx; x"}
+
+
+def test_page_items_may_keep_references_without_semicolon(spark):
+    df = spark.createDataFrame([(1, "http://a/", PAGES_CUT[0][2], ""), (2, "http://a/", PAGES_CUT[0][2], "article")], "source_id bigint, url string, html string, content_selector string")
+    got = {r.source_id: (r.title, r.content_text) for r in feeds.page_items(df, 5, closed=True).collect()}
+    assert got == {1: ("a &&amp", 'a &&amp b&quo "c&quot &d;A&#65'), 2: ("", 'a &&amp b&quo "c&quot &d;A&#65')}
+    assert feeds.page_items(df, 5).where("source_id = 1").first().title == "a &&"  # as browsers
+
+
+def test_page_round_keeps_references_without_semicolon_as_its_sql(spark, tmp_path):
+    got = {r.source_id: (r.title, r.content_text) for r in QUERIES["page_round_items"](spark, pages_cut(spark, tmp_path)).collect()}
+    assert got == {1: ("a &&amp", 'a &&amp b&quo "c&quot &d;A&#65'), 2: ("", "&ampx; x")}

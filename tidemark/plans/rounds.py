@@ -39,11 +39,11 @@ def feed_round(sources: DataFrame, items: DataFrame, answers: DataFrame, ts: int
     return fresh, _polls(asked.drop("body").join(bad, "source_id", "left"), fresh, F.col("bad").isNull(), ts)
 
 
-def page_round(sources: DataFrame, items: DataFrame, answers: DataFrame, ts: int) -> tuple[DataFrame, DataFrame]:
+def page_round(sources: DataFrame, items: DataFrame, answers: DataFrame, ts: int, closed: bool = False) -> tuple[DataFrame, DataFrame]:
     """Answers of html sources, index pages and articles, to the items that are new and the polls for ``apply_polls``.
 
     An answer for a source's own url is its index page: its links within the selector, to its own host, stripped and once each, less those stored, are the articles
-    to store, from their answers of status 200; others are tried again in a later round and count for nothing. A source without a scraper config is not polled at all.
+    to store, from their answers of status 200; others are tried again in a later round and count for nothing. A source without a scraper config is not polled at all. ``closed`` is that of ``page_items``.
     """
     html = sources.where("type = 'html' and not is_dead and scraper_config is not null").select(F.col("id").alias("source_id"), "type", F.col("url").alias("_index"), "scraper_config")
     asked = answers.join(html, "source_id").where("url = _index")
@@ -52,6 +52,6 @@ def page_round(sources: DataFrame, items: DataFrame, answers: DataFrame, ts: int
     wanted = new_urls(links.select("source_id", strip_tracking_full("link").alias("url")), items)
     got = answers.where("status = 200").select("source_id", "url", body_text(F.col("body")).alias("html")).join(wanted, ["source_id", "url"])
     configs = html.select("source_id", F.col("scraper_config.content_selector").alias("content_selector"))
-    made = page_items(got.join(configs, "source_id"), ts).withColumn("place", F.col("url"))
+    made = page_items(got.join(configs, "source_id"), ts, closed).withColumn("place", F.col("url"))
     fresh = kept(upsert_items(items, made, "place").drop("place"))
     return fresh, _polls(asked.drop("body"), fresh, F.lit(True), ts)
