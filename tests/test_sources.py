@@ -158,3 +158,19 @@ def test_pages_are_polled_end_to_end(spark):
     assert after == {1: (1800, 1900, 0, "", "", 99), 2: (3600, 220, 2, "", "", 99), **{k: (3600, 5, 1, "old", "then", 1) for k in (3, 4, 5)}}
     forced = spark.createDataFrame([(3, 1, 100, "new", "x", "x")], "source_id long, seq long, ts long, outcome string, etag string, last_modified string")
     assert poll.apply_polls(sources, forced, 99).where("id = 3").first().updated_at == 1
+
+
+def test_answers_are_read_in_batches_by_bytes(spark, tmp_path):
+    from pyspark.sql.datasource import InputPartition
+
+    from tidemark.sources.answers import Answers
+    from tidemark.tables import BATCH_BYTES
+
+    body = random.Random(3).randbytes(100_000)
+    rows = [(k, f"u{k}", None, 200, None, None, k, None, None if k % 5 == 0 else body) for k in range(150)]
+    write_answers(spark.createDataFrame(rows, SCHEMA), str(tmp_path))
+    reader = Answers({"path": str(tmp_path)}).reader(spark.createDataFrame([], SCHEMA).schema)
+    batches = [b for p in reader.partitions() for b in reader.read(InputPartition(p.value))]
+    assert sum(b.num_rows for b in batches) == 150 and max(b.nbytes for b in batches) < BATCH_BYTES + 200_000
+    assert read_answers(spark, str(tmp_path)).where("length(body) = 100000").count() == 120
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == BATCH_BYTES

@@ -20,6 +20,7 @@ from pyspark.sql.types import Row, StructType
 
 from tidemark.schema import BODY_LIMIT
 from tidemark.sources.files import Folder, Written
+from tidemark.tables import BATCH_BYTES, small_batches
 
 FIELDS = ("source_id", "url", "final_url", "status", "etag", "last_modified", "fetched_at", "error")
 SCHEMA = "source_id bigint, url string, final_url string, status int, etag string, last_modified string, fetched_at bigint, error string, body binary"
@@ -43,7 +44,7 @@ class Answers(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return AnswersReader(self.options["path"], schema.names, int(self.options.get("limit", BODY_LIMIT)))
+        return BatchReader(self.options["path"], schema.names, int(self.options.get("limit", BODY_LIMIT)))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         missing = set(FIELDS + ("body",)) - set(schema.names)
@@ -149,9 +150,30 @@ class AnswersReader(DataSourceReader):
                     yield tuple(body if n == "body" else head[n] for n in self.names)
 
 
+class BatchReader(AnswersReader):
+    """What Spark reads: the same rows in Arrow batches by bytes. Of rows Spark would gather ten thousand, however large their bodies."""
+
+    def read(self, partition: InputPartition) -> Iterator:
+        import pyarrow as pa
+
+        kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+        kind = {name: kinds[k] for name, k in (f.split() for f in SCHEMA.split(", "))}
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(x, kind[n]) for n, x in zip(self.names, zip(*rows, strict=True), strict=True)], names=self.names)
+        rows, size = [], 0
+        for row in super().read(partition):
+            rows.append(row)
+            size += 64 + sum(len(x) for x in row if isinstance(x, (str, bytes)))
+            if size >= BATCH_BYTES:
+                yield made()
+                rows, size = [], 0
+        if rows:
+            yield made()
+
+
 def read_answers(spark, path: str, **options) -> DataFrame:
     """The answers under ``path``; filters by ``source_id`` and ``fetched_at`` choose the files that are opened."""
     spark.dataSource.register(Answers)
+    small_batches(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("answers").option("path", path).options(**options).load()
 
@@ -159,6 +181,7 @@ def read_answers(spark, path: str, **options) -> DataFrame:
 def write_answers(answers: DataFrame, path: str, mode: str = "append", buckets: int = BUCKETS) -> None:
     """Writes answers so that a task meets few buckets; a source with many answers is spread over tasks."""
     answers.sparkSession.dataSource.register(Answers)
+    small_batches(answers.sparkSession)
     spread = F.pmod(F.xxhash64("url", "fetched_at"), F.lit(SPREAD))
     dealt = answers.select(*(f.split()[0] for f in SCHEMA.split(", "))).repartition(F.pmod(F.xxhash64("source_id"), F.lit(buckets)), spread)
     dealt.write.format("answers").mode(mode).option("path", path).option("buckets", buckets).save()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.htmlx import by_rule, by_selector
+from tidemark.functions.htmlx import by_config
 from tidemark.functions.text import all_entities, closed_entities, closed_references, feed_content, feed_guid, html_to_text, page_guid, published, sanitize, strip_tracking_full
 from tidemark.schema import BODY_LIMIT
 
@@ -85,10 +85,8 @@ def page_items(pages: DataFrame, poll_ts: int, closed: bool = False) -> DataFram
     """
     decode = closed_entities if closed else all_entities
     pages = pages.withColumn("html", closed_references("html")) if closed else pages
-    picked = F.coalesce(F.col("content_selector"), F.lit("")) != ""
-    rows = pages.withColumn("url", strip_tracking_full("url")).withColumn("rule", by_rule("html")).withColumn("own", by_selector("html", F.coalesce("content_selector", F.lit(""))))
-    title, content = F.when(picked, "").otherwise(F.col("rule.title")), F.when(picked, F.col("own")).otherwise(F.col("rule.content"))
-    return rows.select("source_id", "url", title.alias("title"), content.alias("raw")).select(
+    rows = pages.withColumn("url", strip_tracking_full("url")).withColumn("part", by_config("html", F.coalesce("content_selector", F.lit(""))))
+    return rows.select("source_id", "url", "part.title", F.col("part.content").alias("raw")).select(
         "source_id", page_guid(F.col("url"), F.col("title")).alias("guid"), "url", "title", F.lit("").alias("author"), F.lit(poll_ts).cast("bigint").alias("published_at"),
         sanitize("raw").alias("content_html"), html_to_text(sanitize("raw"), decode).alias("content_text"),
     )
