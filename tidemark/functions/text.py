@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 from html.entities import html5
 from urllib.parse import quote_plus, unquote_plus
 
@@ -214,8 +215,13 @@ def porter(word: str) -> str:
     return word[:-1] if _measure(word) > 1 and _double(word) and word.endswith("l") else word
 
 
+@lru_cache(1 << 17)
+def _met(word: str) -> str:
+    return porter(word)
+
+
 @F.pandas_udf(T.StringType())
 def stem(words: pd.Series) -> pd.Series:
-    """Porter stems; each distinct word of a batch is stemmed once."""
-    known = {w: None if w is None else porter(w) for w in words.unique()}
+    """Porter stems; each distinct word of a batch is stemmed once, and a worker keeps the stems of the words it met last."""
+    known = {w: None if w is None else _met(w) for w in words.unique()}
     return words.map(known)
