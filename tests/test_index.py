@@ -132,3 +132,12 @@ def test_stems_are_counted_without_a_shuffle_of_terms(spark, monkeypatch):
     counts, _ = search.stemmed_index(df, ("title", "content_text"), stem, [porter("falling")])
     assert sorted(map(tuple, counts.collect())) == [(1, "fall", 2), (2, "fall", 1)]
     assert len(plans) == 1 and "Exchange" not in plans[0]
+
+
+def test_what_a_task_gathers_of_a_term_is_bounded(spark, tmp_path):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    index = StoredIndex(spark, f"file://{tmp_path}/index", ("title",), shards=2)
+    index.insert(spark.range(0, 1 << 19, 1 << 12).selectExpr("id", "'same' as title"))
+    groups = index._read(["same"]).groupBy("range").agg(F.sum("n").alias("n"), (F.max("last") - F.min("first")).alias("ids")).collect()
+    assert len(groups) == 4 and all(g.n == 32 and g.ids < 1 << 17 for g in groups)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20

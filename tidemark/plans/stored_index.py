@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.search import B, K1, EmptyQuery, tokens
 from tidemark.sources.snapshots import Versions
+from tidemark.tables import small_batches
 
 #: Postings of a block; ids of a range (as a power of two) that a block stays within, which bounds what a task gathers of one term.
-BLOCK, RANGE = 128, 20
+BLOCK, RANGE = 128, 17
 #: Ids of a cell (as a power of two), in which bounds of several terms are added up.
 CELL = 10
 #: Tokens that become arrays at once.
@@ -163,6 +164,7 @@ class StoredIndex:
     # --- writes
 
     def _tokenized(self, items: DataFrame) -> DataFrame:
+        small_batches(self.spark)
         lists = [tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"t{k}") for k, c in enumerate(self.columns)]
         return items.where("id is not null").select(F.col("id").cast("bigint").alias("id"), *lists).mapInArrow(_fragments(len(self.columns)), _FRAGMENT)
 
@@ -171,6 +173,7 @@ class StoredIndex:
         return self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}")
 
     def _segment(self, fragments: DataFrame, bounds: list[int]) -> dict:
+        small_batches(self.spark)
         name = self.versions.fresh("segment")
         shard = reduce(lambda x, y: x + y, ((F.col("key") >= b).cast("int") for b in bounds), F.lit(0))
         dealt = fragments.withColumn("shard", shard).drop("key").repartition("shard", "range").sortWithinPartitions("shard", "term", "range")
