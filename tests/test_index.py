@@ -141,3 +141,30 @@ def test_what_a_task_gathers_of_a_term_is_bounded(spark, tmp_path):
     groups = index._read(["same"]).groupBy("range").agg(F.sum("n").alias("n"), (F.max("last") - F.min("first")).alias("ids")).collect()
     assert len(groups) == 4 and all(g.n == 32 and g.ids < 1 << 17 for g in groups)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
+@pytest.mark.parametrize("ranges", [2048, 0])
+def test_marks_and_merges_with_and_without_bits(spark, tmp_path, monkeypatch, ranges):
+    monkeypatch.setattr(stored_index, "BIT_RANGES", ranges)
+    r = random.Random(3)
+    rows = [(k * 50_021 - 300, f"t{k % 5}", None, " ".join(f"w{r.randrange(9)}" for _ in range(r.randrange(12)))) for k in range(120)]
+    df = spark.createDataFrame(rows, ITEMS).cache()
+    index = StoredIndex(spark, f"file://{tmp_path}/index", shards=3)
+    index.insert(df.where("id % 2 = 0"))
+    index.delete(df.where("id % 3 = 0"))
+    index.insert(df.where("id % 5 = 0"))
+    live = df.where("id % 2 = 0 and id % 3 <> 0 or id % 5 = 0")
+    check(index, live)
+    index.optimize()
+    check(index, live)
+
+
+def test_texts_and_postings_are_not_shuffled_for_marks(spark, tmp_path):
+    rows = [(k, "", "", f"a b{k}") for k in range(50)]
+    df = spark.createDataFrame(rows, ITEMS)
+    index = StoredIndex(spark, f"file://{tmp_path}/index", shards=2)
+    index.insert(df.where("id < 40"))
+    index.delete(df.where("id < 9"))
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan(index.counts()) and "BroadcastHashJoin" in plan(index.counts())
+    assert "SortMergeJoin" not in plan(index._held(df, False)) and index._held(df, False).count() == 19

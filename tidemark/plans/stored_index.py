@@ -21,6 +21,8 @@ from tidemark.tables import small_batches
 
 #: Postings of a block; ids of a range (as a power of two) that a block stays within, which bounds what a task gathers of one term.
 BLOCK, RANGE = 128, 17
+#: Sets of ids are sent to every executor as bits while they have at most so many ranges (16 KB each); else postings are joined to them.
+BIT_RANGES = 2048
 #: Ids of a cell (as a power of two), in which bounds of several terms are added up.
 CELL = 10
 #: Tokens that become arrays at once.
@@ -99,6 +101,32 @@ def _fragments(columns: int):
     return run
 
 
+def _bit(item_id: Column) -> Column:
+    """Whether the id is in ``_bits`` of its range; null where there are none."""
+    word = F.get("_bits", F.shiftright(item_id, 6).bitwiseAND(F.lit((1 << (RANGE - 6)) - 1)).cast("int"))
+    return F.call_function("shiftright", word, item_id.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def _living(batches):
+    """Blocks with ``head``, their first id in its range, and ``alive`` of each posting (null: all) to fragments."""
+    for batch in batches:
+        flat = lambda name: batch[name].flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pc.list_value_length(batch["off"]).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        keep = np.ones(len(row), bool)
+        keep[pc.is_valid(batch["alive"]).to_numpy(zero_copy_only=False)[row]] = batch["alive"].flatten().to_numpy(zero_copy_only=False)
+        off, tf, length, row_places = flat("off") + batch["head"].to_numpy()[row], flat("tf"), flat("len"), pc.list_value_length(batch["places"]).to_numpy(zero_copy_only=False)
+        held = np.where(row_places[row] > 0, tf, 0)  # the list of items has no places
+        n, places = np.bincount(row[keep], minlength=len(sizes)), flat("places")[np.repeat(keep, held)]
+        some = np.flatnonzero(n)
+        kept = np.bincount(row[keep], held[keep], len(sizes)).astype(np.int64)
+        terms = batch["term"].take(pa.array(some))
+        yield pa.RecordBatch.from_arrays(
+            [terms, pa.array(np.array([term_key(t) for t in terms.to_pylist()], np.int64)), batch["range"].take(pa.array(some)), _lists(off[keep], n[some]), _lists(tf[keep], n[some]), _lists(length[keep], n[some]), _lists(places, kept[some])],
+            names=[f.split()[0] for f in _FRAGMENT.split(", ")],
+        )
+
+
 def _blocks(batches):
     """Fragments sorted by term and range to blocks of at most ``BLOCK`` postings, by id."""
 
@@ -195,41 +223,73 @@ class StoredIndex:
         """Adds items that the index lacks, as a segment of its own; returns the new version."""
         base, parts = self.versions.current()
         segments = [p for p in parts if p["kind"] == "segment"]
-        if segments and (known := self._within(items)):
-            items = items.join(known, "id", "left_anti")
-        scratch = self.versions.fresh("scratch")
-        fragments = self._write(scratch, self._tokenized(items))
-        bounds = segments[0]["bounds"] if segments else self._bounds(fragments)
-        made = self._segment(fragments, bounds) | {"bounds": bounds, "at": base + 1}
-        self._drop(scratch)
+        if segments:
+            bounds = segments[0]["bounds"]
+            made = self._segment(self._tokenized(self._held(items, False)), bounds)
+        else:
+            scratch = self.versions.fresh("scratch")
+            fragments = self._write(scratch, self._tokenized(items))
+            bounds = self._bounds(fragments)
+            made = self._segment(fragments, bounds)
+            self._drop(scratch)
+        made |= {"bounds": bounds, "at": base + 1}
         return self.versions.commit(base, [*parts, made])
 
     def delete(self, items: DataFrame) -> int:
         """Marks items as deleted; those that the index does not have are ignored. ``items`` carry the texts they were inserted with, as the terms' counts need them."""
         base, parts = self.versions.current()
-        known = self._within(items)
-        there = items.join(known, "id", "left_semi") if known else items.limit(0)
+        there = self._held(items, True)
         name = self.versions.fresh("marks")
         scratch = self.versions.fresh("scratch")
         lost = self._write(scratch, self._tokenized(there))
         lost.groupBy("term").agg(F.sum(F.size("off")).alias("n"), F.sum(F.aggregate("len", F.lit(0).cast("bigint"), lambda x, y: x + y)).alias("tokens")).write.parquet(f"{self.path}/{name}/terms")
         lost.where(F.col("term") == ITEM).select(F.explode(F.transform("off", lambda o: o + F.shiftleft("range", RANGE))).alias("item_id")).write.parquet(f"{self.path}/{name}/ids")
         self._drop(scratch)
+        ranges = self.spark.read.schema("item_id bigint").parquet(f"{self.path}/{name}/ids").select(F.shiftright("item_id", RANGE)).distinct().count()
         total = self.spark.read.schema("term string, n bigint, tokens bigint").parquet(f"{self.path}/{name}/terms").where(F.col("term") == ITEM).first()
-        return self.versions.commit(base, [*parts, {"name": name, "kind": "marks", "at": base + 1, "items": total.n if total else 0, "tokens": total.tokens if total else 0}])
+        return self.versions.commit(base, [*parts, {"name": name, "kind": "marks", "at": base + 1, "items": total.n if total else 0, "tokens": total.tokens if total else 0, "ranges": ranges}])
+
+    def _bits(self, ids: DataFrame, *by: str) -> DataFrame:
+        """``ids(item_id, *by)`` as ``_range, *by, _bits``, a bit for each id of a range, in words of 64."""
+        span = F.shiftright("item_id", RANGE).alias("_range")
+        off = F.col("item_id").bitwiseAND(F.lit((1 << RANGE) - 1)).cast("int")
+        words = ids.select(span, *by, F.shiftright(off, 6).alias("word"), off.bitwiseAND(F.lit(63)).alias("bit")).groupBy("_range", *by, "word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+        held = words.groupBy("_range", *by).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))  # 2^11 words at most
+        return held.select("_range", *by, F.transform(F.sequence(F.lit(0), F.lit((1 << (RANGE - 6)) - 1)), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("bigint"))).alias("_bits"))
+
+    def _held(self, items: DataFrame, there: bool) -> DataFrame:
+        """Items that the index has, or those that it lacks; their texts are not shuffled while ids lie in ``BIT_RANGES`` ranges at most."""
+        known = self._within(items)
+        if known is None:
+            return items.limit(0) if there else items
+        if known.select(F.shiftright("id", RANGE)).distinct().limit(BIT_RANGES + 1).count() > BIT_RANGES:
+            return items.join(known, "id", "left_semi" if there else "left_anti")
+        bits, wide = self._bits(known.select(F.col("id").alias("item_id"))), F.col("id").cast("bigint")
+        marked = items.withColumn("_range", F.shiftright(wide, RANGE)).join(F.broadcast(bits), "_range", "left")
+        return marked.where(F.coalesce(_bit(wide), F.lit(False)) == there).select(*(F.col(f"`{c}`") for c in items.columns))
 
     def optimize(self) -> int:
         """Merges all segments into one without what is marked; texts are not read again. Shards follow the terms anew."""
         base, _ = self.versions.current()
-        scratch = self.versions.fresh("scratch")
-        alive = self._alive(self._decoded(self._read()))
-        span = F.shiftright("item_id", RANGE)
-        posting = F.struct((F.col("item_id") - F.shiftleft(span, RANGE)).cast("int").alias("off"), "tf", "len", "places")
-        rows = alive.groupBy("term", span.alias("range"), F.shiftright("item_id", 7).alias("_few")).agg(F.array_sort(F.collect_list(posting)).alias("p"))  # 128 at most
-        fragments = self._write(scratch, rows.select("term", _key_column(F.col("term")).alias("key"), "range", F.col("p.off").alias("off"), F.col("p.tf").alias("tf"), F.col("p.len").alias("len"), F.flatten("p.places").alias("places")))
-        bounds = self._bounds(fragments)
-        made = self._segment(fragments, bounds) | {"bounds": bounds, "at": base + 1}
-        self._drop(scratch)
+        blocks = self._read()
+        bounds = self._bounds(blocks.select("term", _key_column(F.col("term")).alias("key")))
+        if self._many_dead():
+            scratch = self.versions.fresh("scratch")
+            alive = self._alive(self._decoded(blocks))
+            span = F.shiftright("item_id", RANGE)
+            posting = F.struct((F.col("item_id") - F.shiftleft(span, RANGE)).cast("int").alias("off"), "tf", "len", "places")
+            rows = alive.groupBy("term", span.alias("range"), F.shiftright("item_id", 7).alias("_few")).agg(F.array_sort(F.collect_list(posting)).alias("p"))  # 128 at most
+            fragments = self._write(scratch, rows.select("term", _key_column(F.col("term")).alias("key"), "range", F.col("p.off").alias("off"), F.col("p.tf").alias("tf"), F.col("p.len").alias("len"), F.flatten("p.places").alias("places")))
+            made = self._segment(fragments, bounds)
+            self._drop(scratch)
+        else:
+            # blocks lose what is marked where they lie and are fragments then
+            small_batches(self.spark)
+            head = (F.col("first") - F.shiftleft("range", RANGE)).cast("int")
+            alive = F.when(F.col("_bits").isNotNull(), F.transform("off", lambda o: ~_bit((head + o).cast("bigint"))))
+            marked = blocks.join(F.broadcast(self._dead()), (F.col("range") == F.col("_range")) & (F.col("at") == F.col("_at")), "left")
+            made = self._segment(marked.select("term", "range", head.alias("head"), "off", "tf", "len", "places", alive.alias("alive")).mapInArrow(_living, _FRAGMENT), bounds)
+        made |= {"bounds": bounds, "at": base + 1}
         return self.versions.commit(base, [made])
 
     def _within(self, items: DataFrame) -> DataFrame | None:
@@ -268,9 +328,22 @@ class StoredIndex:
         """Postings ``(item_id, at, ...)`` of which no later version marks the item."""
         if not any(p["kind"] == "marks" for p in self.versions.current()[1]):
             return postings
+        if not self._many_dead():
+            marked = postings.withColumn("_range", F.shiftright("item_id", RANGE)).join(F.broadcast(self._dead().withColumnRenamed("_at", "at")), ["_range", "at"], "left")
+            return marked.where(~F.coalesce(_bit(F.col("item_id")), F.lit(False))).drop("_range", "_bits")
         dead = self._marks("ids", "item_id bigint").groupBy("item_id").agg(F.max("dead").alias("dead"))
         return postings.join(dead, "item_id", "left").where("dead is null or dead < at").drop("dead")
 
+    def _many_dead(self) -> bool:
+        """Whether marks lie in more ranges than are sent to every executor."""
+        parts = self.versions.current()[1]
+        return sum(p.get("ranges", BIT_RANGES + 1) for p in parts if p["kind"] == "marks") * max(1, sum(p["kind"] == "segment" for p in parts)) > BIT_RANGES
+
+    def _dead(self) -> DataFrame:
+        """``_range, _at, _bits``: the ids that are marked in segments of a version."""
+        ats = F.array(*(F.lit(p["at"]) for p in self.versions.current()[1] if p["kind"] == "segment")).cast("array<int>")
+        return self._bits(self._marks("ids", "item_id bigint").withColumn("_at", F.explode(ats)).where("dead >= _at").select("item_id", "_at"), "_at")
+
     def _decoded(self, blocks: DataFrame) -> DataFrame:
         """``item_id, term, tf, len, places, at``: a row for each posting."""
         starts = F.aggregate("tf", F.struct(F.lit(0).alias("s"), F.array().cast("array<int>").alias("a")), lambda x, t: F.struct((x["s"] + t).alias("s"), F.concat(x["a"], F.array(x["s"])).alias("a")), lambda x: x["a"])
