@@ -623,6 +623,30 @@ def test_crowded_keys_lose_no_line(spark, monkeypatch):
     assert got == want and 10 < len(want) < len(rows)
 
 
+@pytest.mark.parametrize("crowd", (512, 20))
+def test_lines_that_are_alike_make_no_pairs_among_them(spark, monkeypatch, crowd):
+    """A group of many near copies is compared once for each line, under crowded keys and under others."""
+    monkeypatch.setattr(lines, "CROWD", crowd)
+    compared, plain = [], lines._alike
+
+    def counted(docs, pairs, *rest):
+        compared.append(pairs.count())
+        return plain(docs, pairs, *rest)
+
+    monkeypatch.setattr(lines, "_alike", counted)
+    base = "one two three four five six seven eight nine ten eleven twelve".split()
+    rows = [(i, " ".join([*base[: i % 12], f"new{i}", *base[i % 12 :]])) for i in range(300)]
+    got = {x.doc for x in lines.removed_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == set(range(1, 300)) and sum(compared) < 300
+
+
+def test_white_space_of_all_kinds_parts_tokens(spark):
+    first = "one two three four five six seven eight nine ten"
+    rows = [(1, first), (2, first.replace(" ", "\t", 3).replace(" ", "\x0b\f", 2)), (3, "\r" + first.replace(" ", " \r ") + "\f"), (4, " \t\r\f\x0b "), (5, " \t\r\f\x0b ")]
+    got = {x.doc for x in lines.removed_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), least=1).collect()}
+    assert got == {2, 3}
+
+
 @pytest.mark.parametrize("hot", (0, 3))
 def test_lines_of_frequent_tokens_and_of_all_lengths(spark, monkeypatch, hot):
     """Keys by threes, by twos and one by one, with few and with many frequent tokens, on both sides of each length where they change."""

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,10 +23,10 @@ NARROW = 64
 CROWD = 512
 
 
-#: White space inside a line.
-_SPACES = "[ \\t\\r\\f\\x0b]+"
+#: White space inside a line, but for the space.
+_SPACES = "\t\r\f\x0b"
 _PLACE = ["doc", "at"]
-_ROW = "struct<id: bigint, np: bigint, s1: bigint, s2: bigint>"
+_KEYED = ["key", "doc", "at", "np", "s1", "s2"]
 
 
 def _row(text_col: str) -> Column:
@@ -32,28 +34,36 @@ def _row(text_col: str) -> Column:
     return F.shiftleft(F.xxhash64(text_col).bitwiseAND(F.lit((1 << 31) - 1)), 32)
 
 
+def _spaced(text: Column) -> Column:
+    """``text`` with spaces for other white space inside a line, so that a plain split finds the tokens."""
+    spaced = reduce(lambda x, space: F.replace(x, F.lit(space), F.lit(" ")), _SPACES, text)
+    return F.when(reduce(or_, (F.contains(text, F.lit(space)) for space in _SPACES)), spaced).otherwise(text)
+
+
 def _hashes(line: Column) -> Column:
     """The hashes of the tokens of a line in lower case: they are parted by white space."""
-    return F.array_remove(F.transform(F.split(line, _SPACES), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+    return F.array_remove(F.transform(F.split(_spaced(line), " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
 
 
 def _places(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """Lines of ``least`` tokens or more: ``doc, at, same, hs``.
 
     ``at`` holds the row's mark and the line's number from 0, so a place is ``doc, at``; ``same`` is a hash of the line in
-    lower case, and ``hs`` are those of its tokens.
+    lower case, and ``hs`` are those of its distinct tokens.
     """
+    # a generator's output is computed once; a filter on a plain column would be pushed down and split the line again
     return (
         docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
         .select(F.col(id_col).alias("doc"), _row(text_col).alias("row"), F.posexplode(F.split(F.lower(text_col), "\n")).alias("line", "raw"))
         .where(F.length(F.trim("raw")) > 0)
-        .select("doc", F.col("row").bitwiseOR(F.col("line").cast("bigint")).alias("at"), F.xxhash64("raw").alias("same"), _hashes(F.col("raw")).alias("hs"))
+        .select("doc", F.col("row").bitwiseOR(F.col("line").cast("bigint")).alias("at"), F.xxhash64("raw").alias("same"), F.explode(F.array(_hashes(F.col("raw")))).alias("hs"))
         .where(F.size("hs") >= least)
+        .withColumn("hs", F.array_distinct("hs"))
     )
 
 
-def _frequencies(hs: DataFrame) -> Column:
-    """Counts of the frequent tokens, as a table by slot of the token's hash (0: not frequent), 40 bits to the left.
+def _frequencies(hs: DataFrame) -> tuple[Column, int]:
+    """In how many lines the frequent tokens are, as a table by slot of the token's hash (0: not frequent), 40 bits to the left; and the most lines that any other token is in.
 
     Every token of every line is counted; the ``FREQUENT`` greatest counts reach the driver. A rare
     token in a frequent one's slot counts as frequent: that changes the order for every line alike.
@@ -62,7 +72,7 @@ def _frequencies(hs: DataFrame) -> Column:
     slots = [0] * SLOTS
     for r in top:
         slots[r.h % SLOTS] = max(slots[r.h % SLOTS], min(r.df, (1 << 22) - 1))
-    return F.split(F.lit(",".join(str(n << 40) for n in slots)), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(str(n << 40) for n in slots)), ",").cast("array<bigint>"), top[-1].df if len(top) == FREQUENT else HOT // 8
 
 
 def _distinct_lines(lines: DataFrame, slots: Column, percent: int) -> DataFrame:
@@ -79,7 +89,8 @@ def _distinct_lines(lines: DataFrame, slots: Column, percent: int) -> DataFrame:
     makes unlike (of one to three tokens at 80 %) is alike only if equal, and its key is the whole
     set. ``s1`` and ``s2`` are a parity sketch of the set; in sets of at most ``NARROW`` tokens all of it is in the first.
     """
-    rank = F.transform("hs", lambda h: F.get(slots, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 24)))
+    # values that can't be null are sorted as plain numbers
+    rank = F.transform("hs", lambda h: F.coalesce(F.get(slots, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 24)), F.lit(0).cast("bigint")))
     threes = "flatten(flatten(transform(sequence(rare + 1, k), i -> transform(sequence(i + 1, k + 1), j -> transform(sequence(j + 1, k + 2), l -> xxhash64(element_at(t, i), element_at(t, j), element_at(t, l)))))))"
     twos = "flatten(transform(sequence(rare + 1, k), i -> transform(sequence(i + 1, k + 1), j -> xxhash64(element_at(t, i), element_at(t, j)))))"
     band = f"cast(floor(ln(n) / {math.log(100 / percent)!r}) as int)"
@@ -94,7 +105,7 @@ def _distinct_lines(lines: DataFrame, slots: Column, percent: int) -> DataFrame:
           if({longer} >= {BY_TWOS}, {ones}, {none}))))
     """
     return (
-        lines.select("doc", "at", "same", F.sort_array(F.array_distinct(rank)).alias("t")).withColumn("n", F.size("t"))
+        lines.select("doc", "at", "same", F.sort_array(rank).alias("t")).withColumn("n", F.size("t"))
         .withColumn("k", F.expr(f"n - cast(({percent} * n + 99) div 100 as int) + 1"))
         .withColumn("rare", F.expr(f"if(element_at(t, k) < {HOT} * {1 << 40}L, k, size(filter(slice(t, 1, k), v -> v < {HOT} * {1 << 40}L)))"))
         .select(
@@ -108,9 +119,9 @@ def _distinct_lines(lines: DataFrame, slots: Column, percent: int) -> DataFrame:
 
 
 def _keyed(distinct: DataFrame) -> DataFrame:
-    """A row for each key of a line: ``key, id, np, s1, s2``; ``np`` holds the set's size and the first place that the key's first token can have."""
-    return distinct.select("id", "n", "rare", "s1", "s2", F.posexplode("keys").alias("p", "key")).where("key is not null").select(
-        "key", "id", F.expr("shiftleft(cast(n as bigint), 32) | (least(p, rare) + 1)").alias("np"), "s1", "s2"
+    """A row for each key of a line: ``key, doc, at, np, s1, s2, p, rare``; ``np`` holds the set's size and the first place that the key's first token can have."""
+    return distinct.select(*_PLACE, "n", "rare", "s1", "s2", F.posexplode("keys").alias("p", "key")).where("key is not null").select(
+        "key", *_PLACE, F.expr("shiftleft(cast(n as bigint), 32) | (least(p, rare) + 1)").alias("np"), "s1", "s2", "p", "rare"
     )
 
 
@@ -131,31 +142,28 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
     asked = cut(wanted.distinct().select("doc", _mark().alias("row"), _number().alias("line")).groupBy("doc", "row").agg(F.collect_list("line").alias("lines")))
     return cut(
         docs.select(F.col(id_col).alias("doc"), _row(text_col).alias("row"), F.col(text_col).alias("text")).join(small(asked, F.size("lines")), ["doc", "row"])
-        .select("doc", "row", F.explode(F.expr(r"transform(lines, i -> struct(i as line, element_at(split(lower(text), '\n'), i + 1) as raw))")).alias("x"))
-        .select("doc", F.col("row").bitwiseOR(F.col("x.line").cast("bigint")).alias("at"), "x.raw").dropDuplicates(_PLACE)
+        .select("doc", "row", "lines", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "raw")).where(F.array_contains("lines", F.col("line")))
+        .select("doc", F.col("row").bitwiseOR(F.col("line").cast("bigint")).alias("at"), "raw").dropDuplicates(_PLACE)
         .select("doc", "at", F.array_distinct(_hashes(F.col("raw"))).alias("hs"))
     )
 
 
-def _alike(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The later lines of the pairs (``a`` and ``b``, ids) whose full sets are alike: ``id, doc, at``.
+def _alike(docs: DataFrame, pairs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The lines ``doc, at`` of the pairs ``doc, at, a_doc, a_at`` whose full sets are alike to that of ``a_doc, a_at``."""
+    sets = _token_sets(docs, pairs.select(*_PLACE).union(pairs.select("a_doc", "a_at")), id_col, text_col)
+    both = pairs.join(sets, _PLACE).join(sets.toDF("a_doc", "a_at", "hs_a"), ["a_doc", "a_at"])
+    common = F.size(F.array_intersect("hs_a", "hs"))
+    return cut(both.where(100 * common >= percent * (F.size("hs_a") + F.size("hs") - common)).select(*_PLACE).distinct())
 
-    One earlier line is enough, so each later line is held against its earliest candidate first, and only what is left against all.
-    """
-    pairs = cut(pairs.distinct())
-    places = cut(distinct.select("id", "doc", "at").join(small(cut(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"))), "id"))
-    at = lambda x: places.select(F.col("id").alias(x), F.struct("doc", "at", "id").alias(f"at_{x}"))
-    ordered = cut(pairs.join(at("a"), "a").join(at("b"), "b").select(F.least("at_a", "at_b").alias("first"), F.greatest("at_a", "at_b").alias("later")))
-    sets = _token_sets(docs, places.select("doc", "at"), id_col, text_col).join(places, _PLACE).select("id", "hs")
 
-    def held(some: DataFrame) -> DataFrame:
-        both = some.select(F.col("first.id").alias("a"), "later").withColumn("b", F.col("later.id")).join(sets.toDF("a", "hs_a"), "a").join(sets.toDF("b", "hs_b"), "b")
-        common = F.size(F.array_intersect("hs_a", "hs_b"))
-        return cut(both.where(100 * common >= percent * (F.size("hs_a") + F.size("hs_b") - common)).select("later").distinct())
+def _crowded(met: DataFrame, others: int, percent: int) -> DataFrame:
+    """The keys of more than ``CROWD`` lines.
 
-    first = held(ordered.groupBy("later").agg(F.min("first").alias("first")))
-    rest = held(ordered.join(small(first, F.lit(3)), "later", "left_anti"))
-    return cut(first.union(rest).select("later.id", "later.doc", "later.at"))
+    A rare token is in fewer than ``HOT`` lines, or is none of the counted ones, each of which is in at most ``others``; so it need be counted as a key only where one of these bounds is above ``CROWD``.
+    """
+    n = "(np >> 32)"
+    other = f"p >= rare or {n} < 3 or 100 * {n} < {percent} * ({n} + 1)"
+    return cut(met.where("true" if max(HOT, others) > CROWD else other).groupBy("key").agg(F.count("*").alias("members")).where(f"members > {CROWD}"))
 
 
 def later_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
@@ -163,33 +171,46 @@ def later_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, p
 
     Candidates share a prefix key and pass the length filter, the positional filter and a parity
     sketch (its Hamming distance is at most the size of the symmetric difference); their texts are
-    fetched and the full sets compared. Under a key that at most ``CROWD`` lines have all pairs are tried. Lines with a
-    more crowded key are held against the earliest line of the most crowded one, a row for each line. One earlier line is
-    enough for a line to go, so a group of many lines that are alike is settled by its earliest and not expanded into all pairs;
-    lines that are left are tried with all earlier lines of their crowded keys.
+    fetched and the full sets compared. One earlier line is enough for a line to go, so of the candidates of a line one in the
+    first document that has any is compared, a row for each line, and pairs are never gathered: a group of many lines that are alike is settled so.
+    Under a key that at most ``CROWD`` lines have all pairs are tried, under one of more the earliest line with every other.
+    Only lines that this leaves, and that have other candidates or a crowded key, are compared with every candidate before them.
     """
-    distinct = cut(_distinct_lines(lines, _frequencies(lines), percent).withColumn("id", F.monotonically_increasing_id()))
+    slots, others = _frequencies(lines)
+    distinct = cut(_distinct_lines(lines, slots, percent))
     discard(lines)
-    met = _keyed(distinct).withColumn("members", F.count("*").over(Window.partitionBy("key")))
-    some = met.where(f"members > 1 and members <= {CROWD}")
-    # of two sets that are alike the smaller has 2p / (1 + p) of its own tokens in common, so of its first tokens fewer are enough
-    smaller = some.where(f"(np & 4294967295) <= (np >> 32) - ({2 * percent} * (np >> 32) + {99 + percent}) div {100 + percent} + 1")
-    row = "named_struct('id', id, 'np', np, 's1', s1, 's2', s2)"
-    ordered = "a.key = b.key and (a.np >> 32 < b.np >> 32 or a.np >> 32 = b.np >> 32 and a.id < b.id)"
-    # one query, so that both of its halves read one exchange: pairs, and rows of crowded keys
-    both = cut(
-        smaller.alias("a").join(some.alias("b"), F.expr(f"{ordered} and {_fits(percent)}")).selectExpr("cast(null as bigint) as key", "a.id as a", "b.id as b", f"cast(null as {_ROW}) as row")
-        .union(met.where(f"members > {CROWD}").selectExpr("key", "cast(null as bigint)", "cast(null as bigint)", f"{row} as row"))
+    met = _keyed(distinct)
+    crowded = small(_crowded(met, others, percent))
+    met = met.select(_KEYED)
+    a, b = (F.struct(*(F.col(f"{x}.{c}") for c in _PLACE)) for x in "ab")
+    # of two sets that are alike the smaller (a) has 2p / (1 + p) of its own tokens in common, so of its first tokens fewer are enough;
+    # said by the lesser of both sizes, so that both sides of the join read one exchange
+    n = "least(a.np >> 32, b.np >> 32)"
+    smaller = F.expr(f"(a.np & 4294967295) <= {n} - ({2 * percent} * {n} + {99 + percent}) div {100 + percent} + 1")
+    ordered = F.expr("a.key = b.key") & (F.expr("a.np >> 32 < b.np >> 32") | (F.expr("a.np >> 32 = b.np >> 32") & (a < b)))
+    some, crowd = met, None
+    if not crowded.isEmpty():
+        some, crowd = met.join(crowded.select("key"), "key", "left_anti"), met.join(crowded.select("key"), "key")
+    column = lambda of, c, name: F.when(a < b, F.col(f"{of[0]}.{c}")).otherwise(F.col(f"{of[1]}.{c}")).alias(name)
+    tried = some.alias("a").join(some.alias("b"), ordered & smaller & F.expr(_fits(percent))).select(
+        *(column("ba", c, c) for c in _PLACE), *(column("ab", c, f"a_{c}") for c in _PLACE), F.lit(False).alias("crowd")
+    )
+    if crowd is not None:
+        first = F.first(F.struct(*_KEYED)).over(Window.partitionBy("key").orderBy(*_PLACE))
+        led = crowd.select(F.struct(*_KEYED).alias("b"), first.alias("a")).withColumn("fit", (a < b) & F.expr(_fits(percent)))
+        tried = tried.union(led.select(*(F.col(f"b.{c}") for c in _PLACE), *(F.when(F.col("fit"), F.col(f"a.{c}")) for c in _PLACE), F.lit(True)))
+    # at most one row for each line leaves a task
+    one = cut(tried.groupBy(*_PLACE).agg(F.min("a_doc").alias("a_doc"), F.min_by("a_at", "a_doc").alias("a_at"), F.max("crowd").alias("crowd"), F.expr("min(a_doc) < max(a_doc) or min(a_at) < max(a_at)").alias("more")))
+    gone = _alike(docs, one.where("a_doc is not null").drop("crowd", "more"), percent, id_col, text_col)
+    open_ = cut(one.where("more or crowd").join(small(gone, F.lit(2)), _PLACE, "left_anti").select(_PLACE))
+    if open_.isEmpty():
+        return gone
+    asked = cut(_keyed(distinct.join(small(open_, F.lit(2)), _PLACE)).select(_KEYED))
+    pairs = (
+        met.alias("a").join(small(asked, F.lit(len(_KEYED))).alias("b"), F.expr("a.key = b.key") & (a < b) & F.expr(_fits(percent)))
+        .select(*(F.col(f"b.{c}") for c in _PLACE), *(F.col(f"a.{c}").alias(f"a_{c}") for c in _PLACE)).distinct()
     )
-    place = distinct.select("id", F.struct("doc", "at").alias("place"))
-    crowd = cut(both.where("key is not null").select("key", "row.*").join(place, "id"))
-    sizes = crowd.groupBy("key").agg(F.count("*").alias("members"), F.min_by(F.struct("id", "np", "s1", "s2"), "place").alias("a"))
-    most = crowd.join(sizes, "key").groupBy("id").agg(F.max_by(F.struct("a", F.struct("id", "np", "s1", "s2").alias("b")), F.struct("members", "key")).alias("x")).select("x.*")
-    led = most.where(F.expr(f"a.id <> b.id and {_fits(percent)}")).select("a.id", "b.id")
-    gone = _alike(docs, distinct, both.where("key is null").select("a", "b").union(led), percent, id_col, text_col)
-    left = crowd.join(small(gone.select("id", F.lit(True).alias("gone")), F.lit(2)), "id", "left")
-    pairs = left.alias("a").join(left.alias("b"), F.expr(f"a.key = b.key and b.gone is null and a.place < b.place and {_fits(percent)}")).selectExpr("a.id as a", "b.id as b")
-    return gone.union(_alike(docs, distinct, pairs, percent, id_col, text_col)).select("doc", "at")
+    return gone.union(_alike(docs, cut(pairs), percent, id_col, text_col))
 
 
 def _mark() -> Column:
