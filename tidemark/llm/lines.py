@@ -118,10 +118,10 @@ def _distinct_lines(lines: DataFrame, slots: Column, percent: int) -> DataFrame:
     )
 
 
-def _keyed(distinct: DataFrame) -> DataFrame:
-    """A row for each key of a line: ``key, doc, at, np, s1, s2, p, rare``; ``np`` holds the set's size and the first place that the key's first token can have."""
-    return distinct.select(*_PLACE, "n", "rare", "s1", "s2", F.posexplode("keys").alias("p", "key")).where("key is not null").select(
-        "key", *_PLACE, F.expr("shiftleft(cast(n as bigint), 32) | (least(p, rare) + 1)").alias("np"), "s1", "s2", "p", "rare"
+def _keyed(distinct: DataFrame, *others: str) -> DataFrame:
+    """A row for each key of a line: ``key, doc, at, np, s1, s2, p, rare`` and the ``others``; ``np`` holds the set's size and the first place that the key's first token can have."""
+    return distinct.select(*_PLACE, "n", "rare", "s1", "s2", *others, F.posexplode("keys").alias("p", "key")).where("key is not null").select(
+        "key", *_PLACE, F.expr("shiftleft(cast(n as bigint), 32) | (least(p, rare) + 1)").alias("np"), "s1", "s2", "p", "rare", *others
     )
 
 
@@ -172,37 +172,51 @@ def later_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, p
     Candidates share a prefix key and pass the length filter, the positional filter and a parity
     sketch (its Hamming distance is at most the size of the symmetric difference); their texts are
     fetched and the full sets compared. One earlier line is enough for a line to go, so of the candidates of a line one in the
-    first document that has any is compared, a row for each line, and pairs are never gathered: a group of many lines that are alike is settled so.
-    Under a key that at most ``CROWD`` lines have all pairs are tried, under one of more the earliest line with every other.
-    Only lines that this leaves, and that have other candidates or a crowded key, are compared with every candidate before them.
+    first document that has any is compared, a row for each line, and pairs are never gathered. Under each key the earliest line is tried with
+    every other first, which settles most of a group of many lines that are alike. Lines that this leaves are tried with all others of their keys that at most ``CROWD`` lines have.
+    Only lines that are left then, and that have other candidates or a crowded key, are compared with every candidate before them.
     """
     slots, others = _frequencies(lines)
     distinct = cut(_distinct_lines(lines, slots, percent))
     discard(lines)
     met = _keyed(distinct)
     crowded = small(_crowded(met, others, percent))
-    met = met.select(_KEYED)
     a, b = (F.struct(*(F.col(f"{x}.{c}") for c in _PLACE)) for x in "ab")
+
+    def nearest(tried: DataFrame, *more: Column) -> DataFrame:
+        """Of the candidates of a line one in the first document: at most one row for each line leaves a task."""
+        return cut(tried.groupBy(*_PLACE).agg(F.min("a_doc").alias("a_doc"), F.min_by("a_at", "a_doc").alias("a_at"), *more))
+
+    met = met.select(_KEYED)
+    # column by column: a struct would go through the exchange as well
+    by_place = Window.partitionBy("key").orderBy(*_PLACE)
+    led = met.select(*_KEYED, *(F.first(c).over(by_place).alias(f"first_{c}") for c in _KEYED[1:])).select(
+        F.struct(*_KEYED).alias("b"), F.struct(*(F.col(f"first_{c}").alias(c) for c in _KEYED[1:])).alias("a")
+    )
+    near = nearest(led.where((a < b) & F.expr(_fits(percent))).select(*(F.col(f"b.{c}") for c in _PLACE), *(F.col(f"a.{c}").alias(f"a_{c}") for c in _PLACE)))
+    settled = _alike(docs, near, percent, id_col, text_col)
+    discard(near)  # and the exchange that it was made from
+    flagged = distinct.join(small(settled.withColumn("gone", F.lit(True)), F.lit(3)), _PLACE, "left")
     # of two sets that are alike the smaller (a) has 2p / (1 + p) of its own tokens in common, so of its first tokens fewer are enough;
     # said by the lesser of both sizes, so that both sides of the join read one exchange
     n = "least(a.np >> 32, b.np >> 32)"
     smaller = F.expr(f"(a.np & 4294967295) <= {n} - ({2 * percent} * {n} + {99 + percent}) div {100 + percent} + 1")
     ordered = F.expr("a.key = b.key") & (F.expr("a.np >> 32 < b.np >> 32") | (F.expr("a.np >> 32 = b.np >> 32") & (a < b)))
-    some, crowd = met, None
+    some = _keyed(flagged, "gone").select(*_KEYED, F.coalesce("gone", F.lit(False)).alias("gone"))
+    crowd = None
     if not crowded.isEmpty():
-        some, crowd = met.join(crowded.select("key"), "key", "left_anti"), met.join(crowded.select("key"), "key")
+        some, crowd = some.join(crowded.select("key"), "key", "left_anti"), some.where("not gone").join(crowded.select("key"), "key")
     column = lambda of, c, name: F.when(a < b, F.col(f"{of[0]}.{c}")).otherwise(F.col(f"{of[1]}.{c}")).alias(name)
-    tried = some.alias("a").join(some.alias("b"), ordered & smaller & F.expr(_fits(percent))).select(
+    left = F.when(a < b, ~F.col("b.gone")).otherwise(~F.col("a.gone"))
+    tried = some.alias("a").join(some.alias("b"), ordered & smaller & left & F.expr(_fits(percent))).select(
         *(column("ba", c, c) for c in _PLACE), *(column("ab", c, f"a_{c}") for c in _PLACE), F.lit(False).alias("crowd")
     )
     if crowd is not None:
-        first = F.first(F.struct(*_KEYED)).over(Window.partitionBy("key").orderBy(*_PLACE))
-        led = crowd.select(F.struct(*_KEYED).alias("b"), first.alias("a")).withColumn("fit", (a < b) & F.expr(_fits(percent)))
-        tried = tried.union(led.select(*(F.col(f"b.{c}") for c in _PLACE), *(F.when(F.col("fit"), F.col(f"a.{c}")) for c in _PLACE), F.lit(True)))
-    # at most one row for each line leaves a task
-    one = cut(tried.groupBy(*_PLACE).agg(F.min("a_doc").alias("a_doc"), F.min_by("a_at", "a_doc").alias("a_at"), F.max("crowd").alias("crowd"), F.expr("min(a_doc) < max(a_doc) or min(a_at) < max(a_at)").alias("more")))
+        tried = tried.union(crowd.select(*_PLACE, *(F.lit(None).cast("bigint") for _ in _PLACE), F.lit(True)).distinct())
+    one = nearest(tried, F.max("crowd").alias("crowd"), F.expr("min(a_doc) < max(a_doc) or min(a_at) < max(a_at)").alias("more"))
     gone = _alike(docs, one.where("a_doc is not null").drop("crowd", "more"), percent, id_col, text_col)
     open_ = cut(one.where("more or crowd").join(small(gone, F.lit(2)), _PLACE, "left_anti").select(_PLACE))
+    gone = settled.union(gone)
     if open_.isEmpty():
         return gone
     asked = cut(_keyed(distinct.join(small(open_, F.lit(2)), _PLACE)).select(_KEYED))
